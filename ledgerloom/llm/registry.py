@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, secrets, sharding
+from . import decontaminate, language, neardup, packing, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": packing.op3_packing,
     "op4_secrets": secrets.op4_secrets,
     "op7_sharding": sharding.op7_sharding,
     "op8_language": language.op8_language,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_neardup": neardup.op10_neardup,
 }
 ORACLE_SQL: dict[str, str] = {"op4_secrets": secrets.ORACLE}
