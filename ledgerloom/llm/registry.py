@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, neardup, packing, secrets, sharding
+from . import decontaminate, language, neardup, packing, secrets, sharding, suffixdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.op3_packing,
     "op4_secrets": secrets.op4_secrets,
+    "op6_suffix_dedup": suffixdedup.op6_suffix_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op8_language": language.op8_language,
     "op9_decontamination": decontaminate.op9_decontamination,
