@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SHARDS, SEED = 40, "interleave 1"
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 
 def ranked(rows: DataFrame, key: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
