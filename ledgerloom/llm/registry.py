@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, neardup, packing, secrets, sharding, suffixdedup
+from . import decontaminate, language, mainhtml, neardup, packing, secrets, sharding, suffixdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_main_text": mainhtml.op2_main_text,
     "op3_packing": packing.op3_packing,
     "op4_secrets": secrets.op4_secrets,
     "op6_suffix_dedup": suffixdedup.op6_suffix_dedup,
