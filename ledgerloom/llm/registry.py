@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mainhtml, neardup, packing, secrets, sharding, suffixdedup
+from . import decontaminate, language, mainhtml, neardup, neighbours, packing, secrets, sharding, suffixdedup, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": tokencounts.op1_token_counts,
     "op2_main_text": mainhtml.op2_main_text,
     "op3_packing": packing.op3_packing,
     "op4_secrets": secrets.op4_secrets,
+    "op5_neighbours": neighbours.op5_neighbours,
     "op6_suffix_dedup": suffixdedup.op6_suffix_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op8_language": language.op8_language,
