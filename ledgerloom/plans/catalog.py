@@ -1,10 +1,17 @@
-"""All queries over the account-ledger views, with their SQL."""
+"""All queries over the account-ledger views: importing the operator modules registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from .registry import ORACLE_SQL, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = [
+    "operators.scalars",
+    "operators.filters",
+    "operators.joins",
+]
+for module in MODULES:
+    import_module(f"ledgerloom.{module}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
