@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +27,12 @@ IS_WORD = word_table([0x20, *range(0x09, 0x0E)])
 SHINGLE, PERCENT = 5, 80
 #: Minwise tokens of a sketch, and how many must agree: at similarity 0.8 fewer agree with a chance of 1.2e-6.
 SKETCH, AGREE = 32, 14
-#: Trees (a pair at 0.8 misses all with a chance of 0.2**16), the size up to which a node is compared exhaustively,
-#: the tokens by which a larger node branches again, and how often.
-TREES, LEAF, BRANCHES, DEPTH = 16, 24, 3, 4
+#: Trees (the first two tokens of each keep a pair at 0.8 together with a chance of 0.64, so all miss it with a chance of
+#: 0.36**16, 8e-8), the size up to which a node is compared exhaustively, the tokens by which a larger node branches
+#: again, and how often.
+TREES, LEAF, BRANCHES, DEPTH = 16, 24, 3, 3
+#: A node of at most so many tokens (distinct shingles of its documents, added up) is compared in one task.
+NODE_TOKENS = 1_000_000
 #: Trees of each of the first rounds, which compare every document of a node with one pivot only.
 STAR_ROUNDS = ((0, 3), (3, 8))
 
@@ -115,8 +119,8 @@ def ordered(x: str, y: str) -> list[Column]:
 
 
 def roots(reps: DataFrame, trees: range) -> DataFrame:
-    """One row for each document and tree: the root's child in which it lies."""
-    nodes = [F.xxhash64(F.lit(t), F.get("sketch", F.lit(t))) for t in trees]
+    """One row for each document and tree: the node in which its first two tokens put it."""
+    nodes = [F.xxhash64(F.lit(t), F.get("sketch", F.lit(2 * t)), F.get("sketch", F.lit(2 * t + 1))) for t in trees]
     return reps.select("doc_id", "n", F.explode(F.array(*nodes)).alias("node"))
 
 
@@ -129,19 +133,56 @@ def stars(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def undecided(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of nodes that hold documents of more than one class, with their class and the node's size."""
+    """Rows of nodes that hold documents of more than one class, with their class and the node's documents and tokens."""
     placed = nodes.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    mixed = placed.groupBy("node").agg(F.count("*").alias("size"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("node", "size")
+    mixed = placed.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("node", "size", "tokens")
     return placed.join(mixed, "node")
 
 
 def exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of different classes within a node."""
+    """Pairs of documents of different classes within a small node."""
     other = nodes.select("node", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("class").alias("c2"))
     met = nodes.join(other, "node").where((F.col("doc_id") < F.col("d2")) & (F.col("class") != F.col("c2")) & can_be_similar("n", "n2", percent))
     return met.select(F.col("doc_id").alias("a"), F.col("d2").alias("b")).distinct()
 
 
+def link_classes(sets: list[np.ndarray], classes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between similar sets that join different classes, as few as join all that can be joined.
+
+    Of two sets of different classes one lies outside the largest class, so only those are held against all others.
+    """
+    root = np.unique(classes, return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(tokens, kind="stable")
+    holders, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(tokens))])
+    ends = np.cumsum(sizes)
+    largest, out = np.bincount(root).argmax(), []
+    for i in np.flatnonzero(root != largest).tolist():
+        own = tokens[ends[i] - sizes[i] : ends[i]]
+        common = np.bincount(np.concatenate([holders[begin[x] : begin[x + 1]] for x in own.tolist()]), minlength=len(sets))
+        similar = np.flatnonzero((root != root[i]) & (100 * common >= percent * (sizes + sizes[i] - common)))
+        for j in similar.tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def compare_nodes(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within nodes of bounded size, each compared exhaustively on the full sets in one task."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = shingle_sets(pa.array(rows["text"], pa.large_string()), k)
+        ids = rows["doc_id"].to_numpy()
+        links = link_classes(sets, rows["class"].to_numpy(), percent)
+        return pd.DataFrame([(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in links], columns=["a", "b"]).astype("int64")
+
+    whole = nodes.select("node", "doc_id", "class").join(texts, "doc_id")
+    return whole.groupBy("node").applyInPandas(run, "a long, b long").distinct()
+
+
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Near-duplicate classes of ``documents`` (doc_id, text) at a Jaccard similarity of ``percent`` / 100 or more.
 
@@ -156,50 +197,55 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     groups = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     members = stage_table(full.select("doc_id", "n", "d1", "d2").join(groups, ["d1", "d2", "n"]).select("doc_id", "n", "rep"), "members")
     reps = stage_table(full.select("doc_id", "n", "sketch").join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
-    texts = source
     links, tested, classes = None, None, None
-    plan = [*STAR_ROUNDS, None]
-    for step in plan:
-        if step is not None:
-            nodes = roots(reps, range(*step))
-            if classes is not None:
-                nodes = undecided(nodes, classes).select("doc_id", "n", "node")
-            pairs = stars(nodes, percent)
-        else:
-            pairs = leaves(reps, classes, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage_table(agreeing(pairs, reps, percent), "pairs")
-        new = stage_table(confirmed(pairs, texts, shingle, percent), "links")
+    for step in STAR_ROUNDS:
+        nodes = roots(reps, range(*step))
+        if classes is not None:
+            nodes = undecided(nodes, classes).select("doc_id", "n", "node")
+        pairs = stars(nodes, percent)
+        pairs = stage_table(agreeing(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), reps, percent), "pairs")
+        new = stage_table(confirmed(pairs, source, shingle, percent), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         classes = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+    small, larger = leaves(reps, classes)
+    pairs = stage_table(agreeing(exhaustive(small, percent).join(tested, ["a", "b"], "left_anti"), reps, percent), "pairs")
+    new = confirmed(pairs, source, shingle, percent)
+    for nodes in larger:
+        new = new.unionByName(compare_nodes(nodes, source, shingle, percent))
+    links = links.unionByName(stage_table(new, "links"))
+    classes = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
     named = members.join(classes.select(F.col("doc_id").alias("rep"), "class"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "rep").alias("component_id"))
     alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def leaves(reps: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs from all trees: nodes of several classes branch until they are small, then are compared exhaustively."""
+def leaves(reps: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Nodes of all trees that hold several classes: small ones, and larger ones of bounded size.
+
+    A node beyond the bound branches by further tokens.  What is still beyond it after the last level is cut into blocks,
+    and every two blocks are a node: no pair is lost.
+    """
     nodes = stage_table(undecided(roots(reps, range(TREES)), classes), "nodes")
-    found = []
-    for depth in range(DEPTH + 1):
-        large = F.col("size") > LEAF if depth < DEPTH else F.lit(False)
-        found.append(exhaustive(nodes.where(~large), percent))
-        if depth == DEPTH:
-            break
-        rest = nodes.where(large)
-        if rest.isEmpty():
-            break
+    small, larger = nodes.where(F.col("size") <= LEAF), [nodes.where((F.col("size") > LEAF) & (F.col("tokens") <= NODE_TOKENS))]
+    for depth in range(DEPTH):
+        beyond = nodes.where((F.col("size") > LEAF) & (F.col("tokens") > NODE_TOKENS))
+        if beyond.isEmpty():
+            return small, larger
         # a node's branching tokens are drawn by its name, so all its documents use the same ones
-        tokens = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(i)), F.lit(SKETCH)).cast("int") for i in range(BRANCHES)]
-        child = F.explode(F.array(*[F.xxhash64("node", F.lit(i), F.get("sketch", t)) for i, t in enumerate(tokens)])).alias("child")
-        below = rest.select("node", "doc_id").join(reps, "doc_id").select("doc_id", "n", child).withColumnRenamed("child", "node")
+        drawn = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(i)), F.lit(SKETCH)).cast("int") for i in range(BRANCHES)]
+        child = F.explode(F.array(*[F.xxhash64("node", F.lit(i), F.get("sketch", t)) for i, t in enumerate(drawn)])).alias("child")
+        below = beyond.select("node", "doc_id").join(reps, "doc_id").select("doc_id", "n", child).withColumnRenamed("child", "node")
         nodes = stage_table(undecided(below, classes), "nodes")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        small = small.unionByName(nodes.where(F.col("size") <= LEAF))
+        larger.append(nodes.where((F.col("size") > LEAF) & (F.col("tokens") <= NODE_TOKENS)))
+    beyond = nodes.where((F.col("size") > LEAF) & (F.col("tokens") > NODE_TOKENS))
+    blocks = F.ceil(F.col("tokens") * 3 / NODE_TOKENS).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    cut = beyond.select("node", "doc_id", "class", own.alias("own"), other)
+    larger.append(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "class"))
+    return small, larger
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
