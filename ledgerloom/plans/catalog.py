@@ -10,6 +10,8 @@ MODULES = [
     "operators.scalars",
     "operators.filters",
     "operators.joins",
+    "operators.aggregates",
+    "operators.windows",
 ]
 for module in MODULES:
     import_module(f"ledgerloom.{module}")
