@@ -28,11 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: While it holds, the shuffle files of a query go when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, so that a lost executor costs no recomputation."""
+    """Write ``df`` as Parquet in the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    The table is written once, so its shuffle files are of no use afterwards and are given up at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -124,7 +124,7 @@ def contexts(documents: DataFrame, places: DataFrame, length: int, gram: int) ->
                 cut = pa.array([data[s:e] for s, e in zip(begin, end, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([anchor, pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(lo.astype(np.int32)), cut], names=["anchor", "doc_id", "lo", "bytes"])
 
-    grouped = places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("places"))
+    grouped = stage_table(places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("places")), "places")
     return documents.join(grouped, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "anchor long, doc_id long, lo int, bytes binary")
 
 
@@ -297,7 +297,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     copies = stage_table(named.join(firsts, "name").where("doc_id > first").select("doc_id", F.lit(0).alias("s"), F.col("size").alias("e")), "copies")
     places = repeated(find_anchors(source, length, gram)).join(copies.select("doc_id"), "doc_id", "left_anti")
     found = contexts(source, places, length, gram)
-    return copies.unionByName(mark(found, length))
+    return copies.unionByName(stage_table(mark(found, length), "marks"))
 
 
 def removed(documents: DataFrame, spans: DataFrame) -> DataFrame:
