@@ -12,6 +12,8 @@ MODULES = [
     "operators.joins",
     "operators.aggregates",
     "operators.windows",
+    "operators.resolution",
+    "operators.validation",
 ]
 for module in MODULES:
     import_module(f"ledgerloom.{module}")
