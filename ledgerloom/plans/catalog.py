@@ -14,6 +14,8 @@ MODULES = [
     "operators.windows",
     "operators.resolution",
     "operators.validation",
+    "operators.bureaus",
+    "operators.extraction",
 ]
 for module in MODULES:
     import_module(f"ledgerloom.{module}")
