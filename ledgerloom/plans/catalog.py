@@ -16,6 +16,12 @@ MODULES = [
     "operators.validation",
     "operators.bureaus",
     "operators.extraction",
+    "operators.letters",
+    "operators.access",
+    "operators.vectors",
+    "sources.ingest",
+    "sources.stores",
+    "streaming.feeds",
 ]
 for module in MODULES:
     import_module(f"ledgerloom.{module}")
