@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, SpanHash, gram_hashes, pieces, signed, sliding_min, utf8, word_spans, word_table
+from .common import FOLD, SpanHash, gram_hashes, pieces, sliding_min, utf8, word_spans, word_table
 
 #: Bytes that separate words, after lower-casing: \x00-\x2F, \x3A-\x60, \x7B-\x7F.
 SEPARATORS = [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -177,8 +177,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     """Word runs of ``documents`` (doc_id, text) that occur as windows of ``benchmark`` (item_id, text).
 
     Returns doc_id, n_words, spans (disjoint runs of word indexes, end exclusive), items (item ids as sorted strings).
-    Null and empty texts have no words and no hits; repeated rows are judged each for itself; an empty benchmark gives
-    no hits; other columns are ignored.  The benchmark goes to the executors in blocks of at most ``block_bytes`` of
+    Null and empty texts have no words and no hits; repeated rows are judged each for itself (with several blocks the rows
+    of one doc_id become one); an empty benchmark gives no hits; other columns are ignored.  The benchmark goes to the executors in blocks of at most ``block_bytes`` of
     text (one item at least), each a broadcast of bounded size; blocks after the first are further passes over the
     documents whose results are merged by document.
     """
@@ -230,5 +230,3 @@ def brute_force(documents: list[tuple], benchmark: list[tuple], window: int = WI
         out[doc] = len(w), len(hit), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
     return out
 
-
-__all__ = ["brute_force", "digest", "find_contamination", "op9_decontamination", "signed"]

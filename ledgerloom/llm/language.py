@@ -32,6 +32,8 @@ class ContextTrees:
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
         self.languages, self.order = sorted(texts), order
+        if not texts:
+            return
         coded = {}
         self.symbol = np.zeros(256, dtype=np.uint8)
         joined = {}

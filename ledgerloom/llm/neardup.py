@@ -189,7 +189,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     Returns doc_id, n_shingles, component_id (the smallest doc_id of the class) and kept (doc_id = component_id).
     Words are runs of bytes other than white space, A-Z in lower case.  Null and empty texts and texts without words
     have an empty set and stand alone; equal sets are one class whatever their size; other columns are ignored.
-    Repeated rows of one doc_id with equal texts get equal rows.
+    Repeated rows of one doc_id with equal texts get equal rows; rows without a doc_id have no component of their own.
     """
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stage_table(sketches(source, shingle), "sketches")

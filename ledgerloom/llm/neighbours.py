@@ -70,7 +70,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (doubles), dim of the vectors that take part: not null, all components finite numbers, not zero."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("v").isNotNull())
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
     return rows.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
@@ -138,7 +138,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, tables:
 
     Returns query_id, rank (from 1), vec_id, score (Euclidean distance, doubles); ties go to the smaller vec_id, and a
     query's own vec_id is no candidate.  Null and zero vectors, and those with null or non-finite components, take no
-    part; vectors of different dimensions never meet; fewer candidates give fewer rows; other columns are ignored.
+    part, nor do rows without an id; vectors of different dimensions never meet; equal rows count once; fewer candidates
+    give fewer rows; other columns are ignored.
 
     Of equal vectors only the k + 1 smallest ids can be among the k nearest of any query, so no more are indexed.
     """

@@ -100,17 +100,17 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 def join_back(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, salts: int = SALTS) -> DataFrame:
     """All spans of every path: ``paths`` (doc_id, text) against the ledger's rows for these rules.
 
-    Returns doc_id and spans, sorted by start, then by the rule's place.  Paths without findings have no spans.
+    Returns doc_id, blob and spans, sorted by start, then by the rule's place.  Paths without findings have no spans.
     """
     live = ledger.where(F.col("rule").isin([r.version for r in rules]) & (F.size("spans") > 0))
     findings = live.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     findings = findings.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     key = paths.select("doc_id", blob_of(F.col("text")).alias("blob"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
-    return key.join(findings, ["blob", "salt"], "left").select("doc_id", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
+    return key.join(findings, ["blob", "salt"], "left").select("doc_id", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
 
 
 def find_secrets(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Scan ``documents`` (doc_id, text) and return (doc_id, spans) and the new ledger rows.
+    """Scan ``documents`` (doc_id, text) and return (doc_id, blob, spans) and the new ledger rows.
 
     Every row keeps its own result; equal texts have equal spans; null texts have none; other columns are ignored.
     """
@@ -136,17 +136,17 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(documents: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``documents`` with the text of every span replaced by ``mark``; ``found`` has doc_id (unique) and spans."""
+    """``documents`` with the text of every span replaced by ``mark``; ``found`` has doc_id, blob and spans."""
     none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc, x):
         gap = F.when(x["s"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    text = F.aggregate("spans", none, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    dirty = found.where(F.size("spans") > 0)
-    names = documents.columns
-    return documents.join(dirty, "doc_id", "left").withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).select(*names)
+    text = F.aggregate("_secret_spans", none, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    dirty = found.where(F.size("spans") > 0).select("doc_id", F.col("blob").alias("_secret_blob"), F.col("spans").alias("_secret_spans")).dropDuplicates(["doc_id", "_secret_blob"])
+    whole = documents.withColumn("_secret_blob", blob_of(F.col("text"))).join(dirty, ["doc_id", "_secret_blob"], "left")
+    return whole.withColumn("text", F.when(F.size("_secret_spans") > 0, text).otherwise(F.col("text"))).select(*documents.columns)
 
 
 def oracle() -> str:

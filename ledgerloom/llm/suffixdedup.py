@@ -291,7 +291,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     Earlier: in a smaller doc_id, or before in the same text.  ``documents`` has doc_id (unique) and text.  Whole copies
     of an earlier text are found by their digest and need no index.
     """
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= length)
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     named = source.select("doc_id", F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("name"))
     firsts = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("name", "first")
     copies = stage_table(named.join(firsts, "name").where("doc_id > first").select("doc_id", F.lit(0).alias("s"), F.col("size").alias("e")), "copies")
@@ -312,8 +312,9 @@ def removed(documents: DataFrame, spans: DataFrame) -> DataFrame:
                 lists = batch.column("spans")
                 flat, bounds = lists.flatten(), np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
                 base = np.repeat(offsets[:-1], bounds)
-                np.add.at(cover, np.asarray(flat.field("s")) + base, 1)
-                np.add.at(cover, np.asarray(flat.field("e")) + base, -1)
+                limit = np.repeat(offsets[1:], bounds)
+                np.add.at(cover, np.minimum(np.asarray(flat.field("s")) + base, limit), 1)
+                np.add.at(cover, np.minimum(np.asarray(flat.field("e")) + base, limit), -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 number, spans, kept = [], [], []
                 for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -333,7 +334,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     """Remove each byte of ``documents`` (doc_id, text) that a repeated string of ``length`` bytes covers.
 
     Null texts are empty; texts shorter than ``length`` keep all bytes; an empty table gives no rows; other columns are
-    ignored.  Rows that repeat a doc_id are told apart by nothing: their doc_id has to be unique.
+    ignored.  Rows without a doc_id keep all bytes.  Equal rows of one doc_id count as one text and get equal rows;
+    different texts must not share a doc_id.
     """
     return removed(documents, repeated_spans(documents, length, gram))
 
