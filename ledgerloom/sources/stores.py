@@ -76,13 +76,13 @@ def single(rows: DataFrame) -> DataFrame:
     """Exactly one row, or an error when the result is read."""
     n = rows.agg(F.count("*").alias("_n"))
     checked = n.select(F.assert_true(c("_n") == 1, F.lit("expected exactly one row")).alias("_ok"))
-    return rows.join(F.broadcast(checked)).drop("_ok")
+    return rows.join(F.broadcast(checked)).where(c("_ok").isNull()).drop("_ok")
 
 
 def maybe_single(rows: DataFrame) -> DataFrame:
     n = rows.agg(F.count("*").alias("_n"))
     checked = n.select(F.assert_true(c("_n") <= 1, F.lit("expected at most one row")).alias("_ok"))
-    return rows.join(F.broadcast(checked)).drop("_ok")
+    return rows.join(F.broadcast(checked)).where(c("_ok").isNull()).drop("_ok")
 
 
 @query("S29_single", "SELECT user_id, email FROM profiles WHERE user_id = 'U5'")
