@@ -19,13 +19,19 @@ from .common import FOLD, pieces, utf8
 
 ORDER = 4
 #: Bounds of the labelled sample: texts expected for each language, characters of each, languages.
-SAMPLE_TEXTS, SAMPLE_CHARS, MOST_LANGUAGES = 400, 2000, 64
+SAMPLE_TEXTS, SAMPLE_CHARS, MOST_LANGUAGES = 300, 1500, 64
+#: Contexts whose costs are worked out at a time, to keep the fit small.
+BLOCK = 2048
 #: Code lengths are held in 1/256 bit, so that sums are exact whatever the partitioning.
 SCALE = 256
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 
 
+def whole_bits(cost: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(cost * SCALE), 32767).astype(np.int16)
+
+
 class ContextTrees:
     """Frozen trees of all languages as tables: from a context's id and the next symbol to the id of the longer context,
     and to the code length of that symbol in every language."""
@@ -44,7 +50,7 @@ class ContextTrees:
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.width = width = len(seen) + 1
         for lang, (raw, offsets) in joined.items():
-            coded[lang] = self.symbol[raw].astype(np.int64), offsets
+            coded[lang] = self.symbol[raw].astype(np.int32), offsets
         n = len(self.languages)
         # order 0: one context; every symbol has a floor, as a last escape leads to equal chances
         self.child: list[np.ndarray] = []  # child[k][id of k-context * width + symbol] = id of (k+1)-context, -1 if no tree has it
@@ -53,39 +59,42 @@ class ContextTrees:
             c = np.bincount(coded[lang][0], minlength=width).astype(float)
             d, total = np.count_nonzero(c), c.sum()
             costs[0, :, j] = -np.log2(np.where(c > 0, c / (total + d + 1), (d + 1) / (total + d + 1) / width))
-        self.cost = [np.rint(costs * SCALE).astype(np.int32).reshape(width, n)]
-        context = {lang: np.zeros(len(c), np.int64) for lang, (c, _) in coded.items()}  # the id of the k-context before each symbol
+        self.cost = [whole_bits(costs).reshape(width, n)]
+        context = {lang: np.zeros(len(c), np.int32) for lang, (c, _) in coded.items()}  # the id of the k-context before each symbol
         lower_of = np.zeros(1, np.int64)  # from a k-context's id to that of its suffix
         for k in range(order):
             # contexts of order k+1 that occur: (id of the k-context that starts one symbol earlier, the symbol after it)
             keys = {}
             for lang, (c, offsets) in coded.items():
-                before = np.full(len(c), -1, np.int64)
+                before = np.full(len(c), -1, np.int32)
                 if len(c) > 1:
                     earlier = context[lang][:-1]
                     before[1:] = np.where(earlier >= 0, earlier * width + c[:-1], -1)
                 before[offsets[:-1][offsets[:-1] < len(c)]] = -1
                 keys[lang] = before
-            longer = np.unique(np.concatenate([v[v >= 0] for v in keys.values()] or [np.zeros(0, np.int64)]))
+            longer = np.unique(np.concatenate([v[v >= 0] for v in keys.values()] or [np.zeros(0, np.int32)]))
             child = np.full(len(lower_of) * width, -1, np.int32)
             child[longer] = np.arange(len(longer))
             self.child.append(child)
             # the suffix of context (p, s) of order k+1 is (suffix of p, s) of order k
             suffix = np.zeros(len(longer), np.int64) if k == 0 else self.child[k - 1][lower_of[longer // width] * width + longer % width].astype(np.int64)
             shorter_cost = self.cost[k].reshape(-1, width, n)
-            table = np.empty((len(longer), width, n), np.int32)
+            table = np.empty((len(longer), width, n), np.int16)
             for j, lang in enumerate(self.languages):
-                c, at = coded[lang][0], keys[lang]
+                c, at = coded[lang][0], keys.pop(lang)
                 ids = np.where(at >= 0, child[at], -1)
                 context[lang] = ids
-                count = np.bincount(ids[ids >= 0] * width + c[ids >= 0], minlength=len(longer) * width).reshape(-1, width)
-                distinct, total = (count > 0).sum(1), count.sum(1)
-                known = total > 0
-                base = shorter_cost[suffix, :, j]
-                bottom = np.where(known, total + distinct, 1)[:, None]
-                escape = np.where(known, -np.log2(np.where(known, distinct, 1) / np.where(known, total + distinct, 1)), 0)
-                table[:, :, j] = np.where(count > 0, np.rint(-np.log2(np.maximum(count, 1) / bottom) * SCALE), base + np.rint(escape * SCALE)[:, None])
-            self.cost.append(table.reshape(-1, n).astype(np.int32))
+                for start in range(0, len(longer), BLOCK):
+                    end = min(start + BLOCK, len(longer))
+                    inside = (ids >= start) & (ids < end)
+                    count = np.bincount((ids[inside] - start) * width + c[inside], minlength=(end - start) * width).reshape(-1, width)
+                    distinct, total = (count > 0).sum(1), count.sum(1)
+                    known = total > 0
+                    bottom = np.where(known, total + distinct, 1)[:, None]
+                    escape = np.where(known, -np.log2(np.where(known, distinct, 1) / bottom[:, 0]), 0)
+                    shorter = shorter_cost[suffix[start:end], :, j] / SCALE + escape[:, None]
+                    table[start:end, :, j] = whole_bits(np.where(count > 0, -np.log2(np.maximum(count, 1) / bottom), shorter))
+            self.cost.append(table.reshape(-1, n))
             lower_of = suffix
         self.freeze()
 
@@ -95,7 +104,7 @@ class ContextTrees:
         sizes = [len(c) // width for c in self.cost]
         self.dead = sizes
         self.offset = np.concatenate([[0], np.cumsum([len(c) for c in self.cost])]).tolist()
-        self.table = np.minimum(np.concatenate(self.cost), 32767).astype(np.int16).reshape(-1, n)
+        self.table = np.concatenate(self.cost).reshape(-1, n)
         self.steps = []
         for k, child in enumerate(self.child):
             step = np.full((sizes[k] + 1) * width, sizes[k + 1], np.int64)
