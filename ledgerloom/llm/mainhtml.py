@@ -1,8 +1,8 @@
 """Main text of web pages by removing site templates.
 
 Every element subtree is hashed (tag, text and children).  Spark counts in how many pages of a host each hash occurs;
-subtrees that recur across many pages of the host are its template.  Extraction drops template subtrees outside the
-article and elements that are no article by their kind (menus, headers, footers, sidebars, notices, adverts, forms,
+subtrees that recur across many pages of the host are its template.  Extraction drops template subtrees, inside the
+article as well as outside, and elements that are no article by their kind (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments), and returns the blocks that are left.
 """
 
@@ -24,6 +24,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 #: An open element of the second kind ends where one of the first begins.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+SENTENCE = frozenset("p h1 h2 h3 h4 h5 h6 figcaption caption summary dt".split())
 SCOPES = frozenset("article aside body button div footer form header main nav ol section table td th ul".split())
 ARTICLE = frozenset({"article", "main"})
 NEVER = frozenset("head script style noscript template nav aside footer form iframe object svg canvas button select textarea datalist dialog menu audio video search title".split())
@@ -33,6 +34,12 @@ NAMES = frozenset(
 )
 #: A template subtree occurs in so many pages of its host, and in this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.3
+#: Inside an article it occurs in so many pages; a bare one, which may be a shared sentence, also in LEAST_SHARE of the
+#: pages, or in so many pages if it has so many words.
+INSIDE_PAGES, BARE_PAGES, BARE_WORDS = 10, 30, 5
+#: Lowest bits of a hash: a bare subtree (no name, no block in it), one of BARE_WORDS or more.  Levels of a template.
+BARE, LONG = 1, 2
+OUTSIDE, INSIDE = 1, 2
 #: Templates of all hosts are broadcast up to this many; beyond it they are joined page by page.
 BROADCAST_ROWS, SALTS = 200_000, 16
 
@@ -107,21 +114,31 @@ def walk_up(root: Element) -> list[Element]:
 
 
 def subtree_hashes(root: Element) -> dict[int, int]:
-    """id(element) to a hash of its tag, text and children; only subtrees that hold text get one."""
+    """id(element) to a hash of its tag, text and children, BARE and LONG in its lowest bits; only subtrees that hold text get one."""
     out: dict[int, int] = {}
+    words: dict[int, int] = {}
+    blocks: set[int] = set()
     for element in walk_up(root):
-        parts, full = [element.tag], False
+        parts, full, count = [element.tag], False, 0
         for child in element.children:
             if isinstance(child, str):
-                text = " ".join(child.split())
-                if text:
-                    parts.append(text)
+                found = child.split()
+                if found:
+                    parts.append(" ".join(found))
                     full = True
-            elif id(child) in out:
+                    count += len(found)
+                continue
+            if child.tag in BLOCK or id(child) in blocks:
+                blocks.add(id(element))
+            if id(child) in out:
                 parts.append(str(out[id(child)]))
                 full = True
+                count += words[id(child)]
         if full:
-            out[id(element)] = int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            value = int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            bare = not element.names and id(element) not in blocks
+            out[id(element)] = value & ~(BARE | LONG) | (BARE if bare else 0) | (LONG if count >= BARE_WORDS else 0)
+            words[id(element)] = count
     return out
 
 
@@ -132,26 +149,30 @@ def unwanted(element: Element, inside: bool) -> bool:
     return bool(element.names) and element.tag not in ("html", "body", *ARTICLE) and not NAMES.isdisjoint(re.split(r"[^a-z]+", element.names.lower()))
 
 
-def outer_hashes(root: Element) -> set[int]:
-    """Hashes of the subtrees that lie outside articles and hold none."""
+def template_hashes(root: Element) -> dict[int, int]:
+    """id(element) to the hash of the subtrees that may be a template: they hold no article and are no part of a sentence."""
     hashes, holds = subtree_hashes(root), set()
     for element in walk_up(root):
         if element.tag in ARTICLE or any(id(c) in holds for c in element.children if isinstance(c, Element)):
             holds.add(id(element))
-    out, stack = set(), [root]
+    out: dict[int, int] = {}
+    # (element, is it within running text)
+    stack = [(root, False)]
     while stack:
-        element = stack.pop()
-        if element.tag in ARTICLE:
-            continue
-        if id(element) in hashes and id(element) not in holds and element.tag != "#page":
-            out.add(hashes[id(element)])
-        stack.extend(c for c in element.children if isinstance(c, Element))
+        element, running = stack.pop()
+        if id(element) in hashes and id(element) not in holds and element.tag != "#page" and (element.tag in BLOCK or not running):
+            out[id(element)] = hashes[id(element)]
+        flows = (running and element.tag not in BLOCK) or element.tag in SENTENCE or any(isinstance(c, str) and c.strip() for c in element.children)
+        stack.extend((c, flows) for c in element.children if isinstance(c, Element))
     return out
 
 
-def main_text(root: Element, template: set[int] | frozenset[int]) -> str:
-    """Blocks of the article (of the page, where it has none) without template subtrees and unwanted elements."""
-    hashes = subtree_hashes(root) if template else {}
+def main_text(root: Element, template: dict[int, int]) -> str:
+    """Blocks of the article (of the page, where it has none) without template subtrees and unwanted elements.
+
+    ``template`` has the levels of the host's hashes.
+    """
+    hashes = template_hashes(root) if template else {}
     whole = not any(e.tag in ARTICLE for e in walk_up(root))
     blocks: list[str] = []
     words: list[str] = []
@@ -175,7 +196,8 @@ def main_text(root: Element, template: set[int] | frozenset[int]) -> str:
                 words.append(node)
             continue
         article = node.tag in ARTICLE
-        if unwanted(node, inside and not whole) or (not article and (not inside or whole) and hashes.get(id(node)) in template):
+        level = INSIDE if inside and not whole else OUTSIDE
+        if unwanted(node, inside and not whole) or template.get(hashes.get(id(node)), 0) & level:
             continue
         if node.tag == "br":
             words.append(" ")
@@ -199,17 +221,21 @@ def page_hashes(pages: DataFrame) -> DataFrame:
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, "html"):
-                found = [sorted(outer_hashes(parse(h))) for h in batch.column("html").to_pylist()]
+                found = [sorted(set(template_hashes(parse(h)).values())) for h in batch.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(found, pa.list_(pa.int64()))], names=["page_id", "host", "hashes"])
 
     return pages.mapInArrow(run, "page_id long, host string, hashes array<long>").select("page_id", "host", F.explode("hashes").alias("hash"))
 
 
 def host_templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
-    """host, hash of the subtrees that recur across many pages of their host."""
+    """host, hash, level of the subtrees that recur across many pages of their host."""
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
     counts = page_hashes(pages).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    return counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * least_share).select("host", "hash")
+    n, bare, long = F.col("n"), F.col("hash").bitwiseAND(BARE) != 0, F.col("hash").bitwiseAND(LONG) != 0
+    common = n >= F.col("pages") * least_share
+    inside = (n >= INSIDE_PAGES) & (~bare | common | (long & (n >= BARE_PAGES)))
+    level = F.when(common, OUTSIDE).otherwise(0) + F.when(inside, INSIDE).otherwise(0)
+    return counts.join(sizes, "host").select("host", "hash", level.alias("level")).where(F.col("level") > 0)
 
 
 OUT = "page_id long, url string, text string"
@@ -224,17 +250,17 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host_of(F.col("url")))
     templates = stage_table(host_templates(source, least_pages, least_share), "templates")
     if templates.count() <= broadcast_rows:
-        by_host = defaultdict(set)
+        by_host = defaultdict(dict)
         for row in templates.toLocalIterator():
-            by_host[row["host"]].add(row["hash"])
-        shared = source.sparkSession.sparkContext.broadcast({h: frozenset(x) for h, x in by_host.items()})
-        return source.mapInArrow(lambda batches: texts(batches, lambda batch: [shared.value.get(h, frozenset()) for h in batch.column("host").to_pylist()]), OUT)
+            by_host[row["host"]][row["hash"]] = row["level"]
+        shared = source.sparkSession.sparkContext.broadcast(dict(by_host))
+        return source.mapInArrow(lambda batches: texts(batches, lambda batch: [shared.value.get(h, {}) for h in batch.column("host").to_pylist()]), OUT)
     # a host may have a third of all pages, so its templates are repeated and its pages dealt over the copies
     salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = page_hashes(source).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "hash", "salt"], "left_semi")
-    lists = own.groupBy("page_id").agg(F.collect_set("hash").alias("template"))
-    joined = source.join(lists, "page_id", "left").withColumn("template", F.coalesce("template", F.expr("cast(array() as array<bigint>)")))
-    return joined.mapInArrow(lambda batches: texts(batches, lambda batch: [frozenset(x) for x in batch.column("template").to_pylist()]), OUT)
+    own = page_hashes(source).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "hash", "salt"])
+    lists = own.groupBy("page_id", "host").agg(F.collect_set(F.struct("hash", "level")).alias("template"))
+    joined = source.join(lists, ["page_id", "host"], "left")
+    return joined.mapInArrow(lambda batches: texts(batches, lambda batch: [{e["hash"]: e["level"] for e in x or ()} for x in batch.column("template").to_pylist()]), OUT)
 
 
 def texts(batches: Iterator[pa.RecordBatch], templates) -> Iterator[pa.RecordBatch]:

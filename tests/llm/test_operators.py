@@ -98,6 +98,15 @@ def test_templates_without_article(spark, broadcast_rows):
     assert got[20] == "Shared line of the site\nOwn text 20\nShared end"
 
 
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_templates_inside_articles(spark, broadcast_rows):
+    page = """<html><body><div>Outer</div><article><h1>Title {0}</h1><div class="zq7"><p>Join our club and save</p></div><p>Own text of page {0} with <b>Note</b> inside.</p>{1}<ul class="k2"><li><a href="/a">Other story</a></li></ul></article></body></html>"""
+    rows = [(i, f"http://h.example/{i}", page.format(i, "<p>A sentence that four pages share.</p>" if i < 4 else "")) for i in range(16)]
+    got = {r.page_id: r.text for r in mainhtml.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_rows=broadcast_rows).collect()}
+    assert got[3] == "Title 3\nOwn text of page 3 with Note inside.\nA sentence that four pages share."
+    assert got[9] == "Title 9\nOwn text of page 9 with Note inside."
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
