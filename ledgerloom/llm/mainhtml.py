@@ -28,10 +28,16 @@ SENTENCE = frozenset("p h1 h2 h3 h4 h5 h6 figcaption caption summary dt".split()
 SCOPES = frozenset("article aside body button div footer form header main nav ol section table td th ul".split())
 ARTICLE = frozenset({"article", "main"})
 NEVER = frozenset("head script style noscript template nav aside footer form iframe object svg canvas button select textarea datalist dialog menu audio video search title".split())
-#: Words in class, id or role that name what is no article.
+#: What holds no text of the page, whatever is in it.
+HIDDEN = frozenset("head script style noscript template iframe object svg canvas audio video title".split())
+#: Names in class, id or role of what is no article.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pagination popup promo promotion related replies respond sidebar sidenav share sharing skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Reader comments are often longer than the article.
+READERS = frozenset("comment comments disqus replies respond".split())
+#: Words that a name may have besides.
+PLAIN = frozenset("area bar block bottom box container content inner left list outer right section site top wrap wrapper".split())
 #: A template subtree occurs in so many pages of its host, and in this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.3
 #: Inside an article it occurs in so many pages; a bare one, which may be a shared sentence, also in LEAST_SHARE of the
@@ -66,8 +72,8 @@ class Builder(HTMLParser):
             self.leave(ENDS[tag], frozenset({"ul", "ol", "dl", "table", "select"}))
         if tag == "body":
             self.leave({"head"}, frozenset())
-        named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        element = Element(tag, named)
+        names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+        element = Element(tag, names)
         self.open[-1].children.append(element)
         if tag not in VOID:
             self.open.append(element)
@@ -142,11 +148,38 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     return out
 
 
-def unwanted(element: Element, inside: bool) -> bool:
+def named(token: str, inside: bool) -> bool:
+    """Is each word of a class, id or role a name of what is no article, or plain?  In an article, headers are its own."""
+    words = set(re.split(r"[^a-z]+", token)) - {""}
+    found = words & NAMES
+    return bool(found) and words <= NAMES | PLAIN and not (inside and found <= {"header", "masthead"})
+
+
+def holders(root: Element) -> set[int]:
+    """ids of the elements that hold the largest article of the page, or most of its text and are no menu, footer, aside or reader comments."""
+    size: dict[int, int] = {}
+    parent: dict[int, Element] = {}
+    order = walk_up(root)
+    for element in order:
+        size[id(element)] = 0 if element.tag in HIDDEN else sum(len("".join(c.split())) if isinstance(c, str) else size[id(c)] for c in element.children)
+        parent.update((id(c), element) for c in element.children if isinstance(c, Element))
+    out = {id(e) for e in order if 2 * size[id(e)] > size[id(root)] and e.tag not in ("nav", "menu", "footer", "aside") and READERS.isdisjoint(e.names.lower().split())}
+    above = max((e for e in order if e.tag in ARTICLE), key=lambda e: size[id(e)], default=None)
+    while above is not None:
+        out.add(id(above))
+        above = parent.get(id(above))
+    return out
+
+
+def unwanted(element: Element, inside: bool, holds: set[int]) -> bool:
     """Is the element no article by its kind?  An article's own header holds its title."""
+    if element.tag in HIDDEN:
+        return True
+    if id(element) in holds:
+        return False
     if element.tag in NEVER or (element.tag == "header" and not inside):
         return True
-    return bool(element.names) and element.tag not in ("html", "body", *ARTICLE) and not NAMES.isdisjoint(re.split(r"[^a-z]+", element.names.lower()))
+    return bool(element.names) and element.tag not in ("html", "body", *ARTICLE) and any(named(x, inside) for x in element.names.lower().split())
 
 
 def template_hashes(root: Element) -> dict[int, int]:
@@ -173,6 +206,7 @@ def main_text(root: Element, template: dict[int, int]) -> str:
     ``template`` has the levels of the host's hashes.
     """
     hashes = template_hashes(root) if template else {}
+    holds = holders(root)
     whole = not any(e.tag in ARTICLE for e in walk_up(root))
     blocks: list[str] = []
     words: list[str] = []
@@ -197,7 +231,7 @@ def main_text(root: Element, template: dict[int, int]) -> str:
             continue
         article = node.tag in ARTICLE
         level = INSIDE if inside and not whole else OUTSIDE
-        if unwanted(node, inside and not whole) or template.get(hashes.get(id(node)), 0) & level:
+        if unwanted(node, inside and not whole, holds) or template.get(hashes.get(id(node)), 0) & level:
             continue
         if node.tag == "br":
             words.append(" ")

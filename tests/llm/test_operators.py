@@ -107,6 +107,24 @@ def test_templates_inside_articles(spark, broadcast_rows):
     assert got[9] == "Title 9\nOwn text of page 9 with Note inside."
 
 
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        ("<div class='layout has-sidebar'><article><p>Own text</p></article><div class='sidebar'>Side</div></div>", "Own text"),
+        ("<div id='page' class='with-navigation no-comments'><main><p>Own text</p></main></div>", "Own text"),
+        ("<div class='widget'><article><p>Own text</p></article></div>", "Own text"),
+        ("<form><article><p>Own text</p></article></form>", "Own text"),
+        ("<article><header class='entry-header'><h1>Title</h1></header><p>Own text</p></article>", "Title\nOwn text"),
+        ("<article><header class='header'><h1>Title</h1></header><p>Own text</p></article>", "Title\nOwn text"),
+        ("<div class='widget'><p>Own text of a page without an article</p></div><div class='cookie-notice'>Cookies</div>", "Own text of a page without an article"),
+        ("<article><p>Own text that is long enough</p><div class='x sidebar-wrapper'>Side</div></article>", "Own text that is long enough"),
+        ("<article><p>Own text</p><section id='comments'><p>What a reader wrote about it, at length</p></section></article>", "Own text"),
+    ],
+)
+def test_wrappers_of_the_article_stay(html, expected):
+    assert mainhtml.main_text(mainhtml.parse(f"<html><body>{html}</body></html>"), {}) == expected
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
