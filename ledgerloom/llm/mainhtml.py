@@ -38,14 +38,19 @@ NAMES = frozenset(
 READERS = frozenset("comment comments disqus replies respond".split())
 #: Words that a name may have besides.
 PLAIN = frozenset("area bar block bottom box container content inner left list outer right section site top wrap wrapper".split())
-#: A template subtree occurs in so many pages of its host, and in this share of them.
-LEAST_PAGES, LEAST_SHARE = 3, 0.3
-#: Inside an article it occurs in so many pages; a bare one, which may be a shared sentence, also in LEAST_SHARE of the
-#: pages, or in so many pages if it has so many words.
-INSIDE_PAGES, BARE_PAGES, BARE_WORDS = 10, 30, 5
-#: Lowest bits of a hash: a bare subtree (no name, no block in it), one of BARE_WORDS or more.  Levels of a template.
+#: A template subtree occurs in so many distinct pages of its host, inside an article in so many.  One that is bare or of
+#: less than WORDS words may be a shared sentence: it also occurs in LEAST_SHARE of the pages, or it is not both and
+#: occurs in so many (outside, inside).
+LEAST_PAGES, INSIDE_PAGES, LEAST_SHARE = 3, 10, 0.3
+WORDS, SENTENCE_PAGES, SENTENCE_PAGES_INSIDE = 5, 10, 30
+#: A template is sure in this share of the pages; others stay where they are most of a page's text and more than this
+#: many characters, as they show a near copy there.
+SURE_SHARE, COPY_CHARS = 0.5, 400
+#: Lowest bits of a hash: a bare subtree (no block in it), one of WORDS or more.  Levels of a template.
 BARE, LONG = 1, 2
-OUTSIDE, INSIDE = 1, 2
+OUTSIDE, INSIDE, SURE = 1, 2, 4
+#: Stands for a page in the counts.
+PAGE = 0
 #: Templates of all hosts are broadcast up to this many; beyond it they are joined page by page.
 BROADCAST_ROWS, SALTS = 200_000, 16
 
@@ -142,8 +147,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
                 count += words[id(child)]
         if full:
             value = int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-            bare = not element.names and id(element) not in blocks
-            out[id(element)] = value & ~(BARE | LONG) | (BARE if bare else 0) | (LONG if count >= BARE_WORDS else 0)
+            out[id(element)] = value & ~(BARE | LONG) | (0 if id(element) in blocks else BARE) | (LONG if count >= WORDS else 0)
             words[id(element)] = count
     return out
 
@@ -205,11 +209,24 @@ def main_text(root: Element, template: dict[int, int]) -> str:
 
     ``template`` has the levels of the host's hashes.
     """
-    hashes = template_hashes(root) if template else {}
     holds = holders(root)
     whole = not any(e.tag in ARTICLE for e in walk_up(root))
+    levels = {e: template[h] for e, h in template_hashes(root).items() if h in template} if template else {}
+    text, unsure = blocks_of(root, whole, holds, levels)
+    if unsure > COPY_CHARS and unsure > len(text):
+        text, _ = blocks_of(root, whole, holds, {e: level for e, level in levels.items() if level & SURE})
+    return text
+
+
+def length(element: Element) -> int:
+    return sum(len(c) for e in walk_up(element) for c in e.children if isinstance(c, str))
+
+
+def blocks_of(root: Element, whole: bool, holds: set[int], levels: dict[int, int]) -> tuple[str, int]:
+    """The text without the templates of ``levels``, and how many characters went with templates that are not sure."""
     blocks: list[str] = []
     words: list[str] = []
+    unsure = 0
 
     def end():
         text = " ".join("".join(words).split())
@@ -229,9 +246,12 @@ def main_text(root: Element, template: dict[int, int]) -> str:
             if inside:
                 words.append(node)
             continue
-        article = node.tag in ARTICLE
-        level = INSIDE if inside and not whole else OUTSIDE
-        if unwanted(node, inside and not whole, holds) or template.get(hashes.get(id(node)), 0) & level:
+        if unwanted(node, inside and not whole, holds):
+            continue
+        level = levels.get(id(node), 0)
+        if level & (INSIDE if inside and not whole else OUTSIDE):
+            if inside and not level & SURE:
+                unsure += length(node)
             continue
         if node.tag == "br":
             words.append(" ")
@@ -239,9 +259,9 @@ def main_text(root: Element, template: dict[int, int]) -> str:
         if node.tag in BLOCK:
             end()
             stack.append(None)
-        stack.extend((child, inside or article) for child in reversed(node.children))
+        stack.extend((child, inside or node.tag in ARTICLE) for child in reversed(node.children))
     end()
-    return "\n".join(blocks)
+    return "\n".join(blocks), unsure
 
 
 def host_of(url):
@@ -249,27 +269,40 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def hashes_of(html: str | None) -> tuple[int, list[int]]:
+    """A hash of the page's text without unwanted elements, which copies share, and those of its subtrees."""
+    root = parse(html)
+    text = main_text(root, {})
+    own = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return own, sorted({PAGE, *template_hashes(root).values()})
+
+
 def page_hashes(pages: DataFrame) -> DataFrame:
-    """page_id, host, hash: each hash once for each row."""
+    """page_id, host, page (the hash of its text), hash: each hash once for each row, and PAGE."""
 
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, "html"):
-                found = [sorted(set(template_hashes(parse(h)).values())) for h in batch.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), pa.array(found, pa.list_(pa.int64()))], names=["page_id", "host", "hashes"])
+                found = [hashes_of(h) for h in batch.column("html").to_pylist()]
+                columns = [batch.column("page_id"), batch.column("host"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "page", "hashes"])
 
-    return pages.mapInArrow(run, "page_id long, host string, hashes array<long>").select("page_id", "host", F.explode("hashes").alias("hash"))
+    return pages.mapInArrow(run, "page_id long, host string, page long, hashes array<long>").select("page_id", "host", "page", F.explode("hashes").alias("hash"))
 
 
 def host_templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
-    """host, hash, level of the subtrees that recur across many pages of their host."""
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = page_hashes(pages).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    """host, hash, level of the subtrees that recur across many distinct pages of their host."""
+    each = page_hashes(pages).select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    counts = stage_table(each.where((F.col("n") >= least_pages) | (F.col("hash") == PAGE)), "counts")
+    sizes = counts.where(F.col("hash") == PAGE).select("host", F.col("n").alias("pages"))
     n, bare, long = F.col("n"), F.col("hash").bitwiseAND(BARE) != 0, F.col("hash").bitwiseAND(LONG) != 0
     common = n >= F.col("pages") * least_share
-    inside = (n >= INSIDE_PAGES) & (~bare | common | (long & (n >= BARE_PAGES)))
-    level = F.when(common, OUTSIDE).otherwise(0) + F.when(inside, INSIDE).otherwise(0)
-    return counts.join(sizes, "host").select("host", "hash", level.alias("level")).where(F.col("level") > 0)
+    block, some = common | (long & ~bare), long | ~bare
+    outside = block | (some & (n >= SENTENCE_PAGES))
+    inside = (n >= INSIDE_PAGES) & (block | (some & (n >= SENTENCE_PAGES_INSIDE)))
+    level = F.when(outside, OUTSIDE).otherwise(0) + F.when(inside, INSIDE).otherwise(0) + F.when(n >= F.col("pages") * SURE_SHARE, SURE).otherwise(0)
+    known = counts.where((F.col("hash") != PAGE) & (F.col("n") >= least_pages)).join(sizes, "host")
+    return known.select("host", "hash", level.alias("level")).where(F.col("level").bitwiseAND(OUTSIDE | INSIDE) != 0)
 
 
 OUT = "page_id long, url string, text string"
@@ -278,8 +311,8 @@ OUT = "page_id long, url string, text string"
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The main text of every row of ``pages`` (page_id, url, html): page_id, url, text.
 
-    Null and empty html give an empty text.  Pages without a host are one host of their own.  Repeated rows count as
-    pages of their host and are extracted each for itself; other columns are ignored.
+    Null and empty html give an empty text.  Pages without a host are one host of their own.  Repeated rows and
+    copies count as one page of their host and are extracted each for itself; other columns are ignored.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host_of(F.col("url")))
     templates = stage_table(host_templates(source, least_pages, least_share), "templates")

@@ -125,6 +125,24 @@ def test_wrappers_of_the_article_stay(html, expected):
     assert mainhtml.main_text(mainhtml.parse(f"<html><body>{html}</body></html>"), {}) == expected
 
 
+def test_copies_are_one_page(spark):
+    body = "<html><body><script>track({0})</script><div><p>{1}</p></div></body></html>"
+    rows = [(i, "http://small.example/", body.format(i, f"Text {max(i, 3)}")) for i in range(8)]  # 0 to 3 are copies
+    near = "<html><body><div><p>Story of its own {0}</p>" + "".join(f"<p>Sentence {j} of a long report that many pages repeat in full.</p>" for j in range(20)) + "</div></body></html>"
+    rows += [(100 + i, "http://near.example/", near.format(i)) for i in range(12)]
+    rows += [(200 + i, "http://near.example/", body.format(i, f"Another text {i}")) for i in range(20)]
+    got = {r.page_id: r.text for r in mainhtml.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"Text {max(i, 3)}" for i in range(8)]
+    assert got[104].count("\n") == 20 and got[204] == "Another text 4"
+
+
+def test_furniture_of_a_large_host(spark):
+    page = "<html><body><div class='k{1}'><p>Layout {1} of this site</p></div><div><p>Own text {0} with several more words</p></div><p>Indeed.</p></body></html>"
+    rows = [(i, "http://h.example/", page.format(i, i % 5)) for i in range(60)] + [(100 + i, "http://h.example/", page.format(100 + i, 100 + i).replace("Indeed", "Well")) for i in range(200)]
+    got = {r.page_id: r.text for r in mainhtml.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[7] == "Own text 7 with several more words\nIndeed."
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
