@@ -4,6 +4,7 @@ A pseudo-rotation is three rounds of random signs and a fast Hadamard transform.
 the nearest of the signed axes, which names its bucket; each table has a rotation (or several) of its own.  Queries
 look into the buckets of the axes that are nearest next as well (multiprobe).  What lies in a bucket is ranked by the
 exact distance of the original vectors, each bucket hands on its best rows for each query, and those are merged.
+Queries that found fewer rows than they should are compared with all vectors, part by part.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import stage_table
+
 #: Tables, rotations of each table, probes of each query in each table, seed.
 TABLES, ROTATIONS, PROBES, SEED = 8, 1, 16, 20240229
 NEIGHBOURS = 10
@@ -133,6 +136,24 @@ def nearest_in(keep: int):
     return run
 
 
+def within(index: DataFrame, visits: DataFrame, place: list[str], k: int) -> DataFrame:
+    """query_id, vec_id, score: each query's k nearest rows in each place that it visits."""
+    return index.select(*place, "vec_id", "v").groupBy(*place).cogroup(visits.select(*place, "vec_id", "v").groupBy(*place)).applyInPandas(nearest_in(k), "query_id long, vec_id long, score double")
+
+
+def scanned(base: DataFrame, queries: DataFrame, k: int, part_rows: int) -> DataFrame:
+    """Exact: each query with all vectors of its dimension, in parts of about ``part_rows`` vectors and queries."""
+    cut = lambda n: F.ceil(F.col(n) / part_rows).cast("int")
+    sizes = base.groupBy("dim").count().select("dim", cut("count").alias("parts"))
+    asked = queries.groupBy("dim").count().select("dim", cut("count").alias("blocks"))
+    cuts = stage_table(sizes.join(asked, "dim"), "cuts")
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    index = base.join(cuts, "dim").withColumn("part", part("parts")).withColumn("block", every("blocks"))
+    visits = queries.join(cuts, "dim").withColumn("block", part("blocks")).withColumn("part", every("parts"))
+    return within(index, visits, ["dim", "part", "block"], k)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, tables: int = TABLES, rotations: int = ROTATIONS, probes: int = PROBES, seed: int = SEED, part_rows: int = PART_ROWS) -> DataFrame:
     """The ``k`` nearest found rows of ``vectors`` (vec_id, embedding) for each row of ``queries`` (vec_id, embedding).
 
@@ -152,7 +173,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, tables:
     index = hashed(base, tables, rotations, seed, carry=True).join(parts, ["tab", "bucket", "dim"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     visits = probes_of(usable(queries), tables, rotations, probes, seed).join(parts, ["tab", "bucket", "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     place = ["tab", "bucket", "dim", "part"]
-    found = index.select(*place, "vec_id", "v").groupBy(*place).cogroup(visits.select(*place, "vec_id", "v").groupBy(*place)).applyInPandas(nearest_in(k), "query_id long, vec_id long, score double")
+    found = stage_table(within(index, visits, place, k), "neighbours")
+    # a query has k rows, or as many as there are other ids of its dimension; those with fewer meet all vectors
+    asked = usable(queries).distinct()
+    n_ids = base.groupBy("dim").agg(F.count_distinct("vec_id").alias("ids"))
+    n_found = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).withColumnRenamed("query_id", "vec_id")
+    own = base.select("vec_id", "dim").distinct().withColumn("own", F.lit(1))
+    due = asked.join(n_found, "vec_id", "left").join(n_ids, "dim").join(own, ["vec_id", "dim"], "left")
+    short = stage_table(due.where(F.coalesce("n", F.lit(0)) < F.least(F.lit(k), F.col("ids") - F.coalesce("own", F.lit(0)))).select("dim", "vec_id", "v"), "short")
+    if not short.isEmpty():
+        found = found.unionByName(scanned(base, short, k, part_rows))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

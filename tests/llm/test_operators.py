@@ -236,6 +236,24 @@ def test_neighbours_on_awkward_rows(spark):
     assert neighbours.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_neighbours_of_a_few_vectors_and_of_a_cone(spark):
+    draw = np.random.default_rng(4)
+    few = [(i, v.tolist()) for i, v in enumerate(draw.normal(size=(7, 64)))]
+    centre = draw.normal(size=64)
+    cone = [(i, (centre + draw.normal(size=64) / 1000).tolist()) for i in range(1, 400)]
+    outliers = [(1000 + i, v.tolist()) for i, v in enumerate(draw.normal(size=(20, 64)))]
+    for rows, where in ((few, "true"), (cone + outliers, "vec_id >= 1000")):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = neighbours.search(frame, frame.where(where), part_rows=64).collect()
+        exact = neighbours.brute_force(rows, 1)
+        asked = [q for q in exact if where == "true" or q >= 1000]
+        found = {q: {r.vec_id: r.score for r in got if r.query_id == q} for q in asked}
+        assert all(len(found[q]) == len(exact[q]) for q in asked)
+        assert len(got) == sum(map(len, found.values()))
+        if rows is few:
+            assert all(list(found[q]) and set(found[q]) == {v for v, _ in exact[q]} for q in asked)
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
