@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, SpanHash, gram_hashes, pieces, sliding_min, utf8, word_spans, word_table
+from .common import FOLD, SpanHash, gram_hashes, pieces, sliding_min, stage_table, utf8, word_spans, word_table
 
 #: Bytes that separate words, after lower-casing: \x00-\x2F, \x3A-\x60, \x7B-\x7F.
 SEPARATORS = [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
@@ -133,11 +133,11 @@ def blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list, list[str]]]
     yield ids, texts
 
 
-SCHEMA = "doc_id long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
+SCHEMA = "row long, doc_id long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
 
 
 def scan_block(documents: DataFrame, index, window: int) -> DataFrame:
-    """Per document its number of words, the disjoint word runs that are hit, and the items that hit."""
+    """Per row of ``documents`` (row, doc_id, text) its number of words, the disjoint word runs that are hit, and the items that hit."""
 
     def run(batches):
         model: Index = index.value
@@ -151,15 +151,16 @@ def scan_block(documents: DataFrame, index, window: int) -> DataFrame:
                 n = len(batch)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("row"),
                         batch.column("doc_id"),
                         pa.array(np.diff(first), pa.int64()),
                         pa.array([[{"s": s, "e": e} for s, e in merged(spans[i])] if i in spans else [] for i in range(n)], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))),
                         pa.array([sorted(items[i]) if i in items else [] for i in range(n)], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    names=["row", "doc_id", "n_words", "spans", "items"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return documents.mapInArrow(run, SCHEMA)
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -177,23 +178,26 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     """Word runs of ``documents`` (doc_id, text) that occur as windows of ``benchmark`` (item_id, text).
 
     Returns doc_id, n_words, spans (disjoint runs of word indexes, end exclusive), items (item ids as sorted strings).
-    Null and empty texts have no words and no hits; repeated rows are judged each for itself (with several blocks the rows
-    of one doc_id become one); an empty benchmark gives no hits; other columns are ignored.  The benchmark goes to the executors in blocks of at most ``block_bytes`` of
-    text (one item at least), each a broadcast of bounded size; blocks after the first are further passes over the
-    documents whose results are merged by document.
+    Null and empty texts have no words and no hits; every row is judged for itself, also where ids repeat or are null; an
+    empty benchmark gives no hits; other columns are ignored.  The benchmark goes to the executors in blocks of at most
+    ``block_bytes`` of text (one item at least), each a broadcast of bounded size; blocks after the first are further
+    passes over the documents, which are then written once with a row key, by which the results are merged.
     """
     spark = documents.sparkSession
-    parts = []
+    source = documents.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = []
     for ids, texts in blocks(benchmark, block_bytes):
         words, first = words_of(pa.array(texts, pa.string()))
-        parts.append(scan_block(documents, spark.sparkContext.broadcast(Index(ids, words, first, window, k)), window))
-    if len(parts) == 1:
-        return parts[0]
+        shared.append(spark.sparkContext.broadcast(Index(ids, words, first, window, k)))
+    if len(shared) == 1:
+        return scan_block(source, shared[0], window).drop("row")
+    keyed = stage_table(source.withColumn("row", F.monotonically_increasing_id()), "rows")
+    parts = [scan_block(keyed, index, window) for index in shared]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
     join = F.udf(lambda groups: [{"s": s, "e": e} for s, e in merged((x.s, x.e) for g in groups for x in g)], "array<struct<s:int,e:int>>")
-    return whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), join(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return whole.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), join(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("row")
 
 
 def digest(found: DataFrame) -> DataFrame:

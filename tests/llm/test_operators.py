@@ -376,6 +376,15 @@ def test_decontamination_on_awkward_rows(spark, awkward, empty):
     assert decontaminate.digest(decontaminate.find_contamination(documents, benchmark.limit(0))).where("contaminated").count() == 0
 
 
+def test_one_block_and_many_give_the_same_rows(spark):
+    w = [f"w{i}" for i in range(40)]
+    texts = [(1, " ".join(w[:15])), (1, "other text"), (1, "other text"), (None, " ".join(w[20:35]) + " x"), (None, "y"), (2, None)]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(w[2:14])), (2, " ".join(w[20:33])), (3, "other text")], "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.find_contamination(documents, benchmark, block_bytes=b).collect()), key=repr) for b in (1 << 20, 1))
+    assert one == many and len(one) == len(texts)
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 
 
