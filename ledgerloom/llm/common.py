@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -19,33 +23,75 @@ BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (a test) gets a temporary folder; on a cluster that is an error, as a folder of one
+    machine is no shared one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="ledgerloom-")
+        if current.isDefined():
+            path = current.get()
+        elif re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            path = tempfile.mkdtemp(prefix="ledgerloom-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-#: While it holds, the shuffle files of a query go when the query has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session (dots written as two underscores) that hold for a while."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: While these hold, the shuffle files of a query go when the query has ended, and no side of a join is sent through the
+#: driver unless a hint says so.
+WRITING = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true", "spark__sql__autoBroadcastJoinThreshold": "-1"}
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+def stage_table(df: DataFrame, name: str, **counts: Column) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that a lost executor costs no recomputation.
 
-    The table is written once, so its shuffle files are of no use afterwards and are given up at once.
+    The table is written once, so its shuffle files are of no use afterwards and are given up at once.  ``counts`` are
+    aggregates over the rows written; their values are the attribute ``observed`` of the result.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation() if counts else None
+    with settings(spark, **WRITING):
+        (df.observe(seen, *[c.alias(k) for k, c in counts.items()]) if seen else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.observed = seen.get if seen else {}
+    out.staged = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stage_table`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.staged)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Sides of joins are broadcast up to so many ids.
+BROADCAST_IDS = 500_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, number: int, how: str) -> DataFrame:
+    """Semi or anti join of ``rows`` with ``number`` ids of one column: a broadcast up to BROADCAST_IDS, else a shuffle."""
+    return rows.join(F.broadcast(ids) if number <= BROADCAST_IDS else ids.hint("merge"), key, how)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

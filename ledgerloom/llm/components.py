@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import discard, stage_table
 
 ROUNDS = 60
 
@@ -16,20 +16,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are allowed.  Each step keeps the components and shortens paths to the smallest node; it
     takes a number of steps in the order of log(nodes).  Every step's edges are a written table.
     """
-    links = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    state = {"n": F.count("*"), "names": F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))}
+    links = stage_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", **state)
     for _ in range(ROUNDS):
+        if not links.observed["n"]:
+            break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        links = stage_table(small, "edges")
-        now = tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.lit(0))).first())
-        if now == before:
+        before, links = links, stage_table(small, "edges", **state)
+        discard(before)
+        if before.observed == links.observed:
             break
-        before = now
     else:
         raise RuntimeError("components have not settled")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,12 +1,16 @@
 """Near-duplicate classes by a chosen-path set similarity join.
 
-Documents are sets of word shingles.  Each independent tree branches the documents by one of their minwise tokens: two
-documents meet in a child with a chance equal to their Jaccard similarity.  Nodes that are still large branch again, by
-several further minwise tokens, so that a similar pair is seldom parted; small nodes are compared exhaustively.  The
-trees repeat until the chance to miss a pair at the threshold is negligible.  A node whose documents are already one
-class needs no more comparisons, which keeps the work on large groups of copies linear in their size.
-
-Pairs that meet are first held against a sketch (all minwise tokens), then confirmed on the full sets.
+Documents are sets of word shingles.  Each of several independent trees starts with all documents in one node.  A node
+branches by a few minwise tokens that its name draws: every document goes to one child for each of them, so two documents
+meet in a child with a chance equal to their Jaccard similarity.  A node with few documents is compared exhaustively;
+every larger one branches again by tokens of its own.  The trees repeat until the chance to miss a pair at the threshold
+is negligible.
+
+Equal sets are one representative from the start.  A first look at the trees holds every document of a larger node
+against one pivot, and the links make classes.  A node whose documents are one class needs no more comparisons, and one
+where few documents stand outside its largest class compares only those with the rest: so the work on large groups of
+copies stays linear in their size.  Pairs that meet are first held against a sketch (all minwise tokens), then confirmed
+on the full sets: first the best pair of every two classes, then what still joins different classes.
 """
 
 from __future__ import annotations
@@ -14,27 +18,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, FOLD, SpanHash, gram_hashes, mix, pieces, signed, stage_table, utf8, word_spans, word_table
+from .common import BASE, FOLD, SpanHash, by_ids, discard, gram_hashes, mix, pieces, settings, signed, stage_table, utf8, word_spans, word_table
 from .components import connected_components
 
 #: Bytes between words: space and \x09-\x0D.
 IS_WORD = word_table([0x20, *range(0x09, 0x0E)])
 SHINGLE, PERCENT = 5, 80
-#: Minwise tokens of a sketch, and how many must agree: at similarity 0.8 fewer agree with a chance of 1.2e-6.
-SKETCH, AGREE = 32, 14
-#: Trees (the first two tokens of each keep a pair at 0.8 together with a chance of 0.64, so all miss it with a chance of
-#: 0.36**16, 8e-8), the size up to which a node is compared exhaustively, the tokens by which a larger node branches
-#: again, and how often.
-TREES, LEAF, BRANCHES, DEPTH = 16, 24, 3, 3
-#: A node of at most so many tokens (distinct shingles of its documents, added up) is compared in one task.
-NODE_TOKENS = 1_000_000
-#: Trees of each of the first rounds, which compare every document of a node with one pivot only.
-STAR_ROUNDS = ((0, 3), (3, 8))
+#: Minwise tokens of a sketch, and how many must agree: at similarity 0.8 fewer agree with a chance of 3.4e-6.
+SKETCH, AGREE = 48, 25
+#: Trees, tokens by which a node branches, and levels.  A pair at 0.8 loses a branching with a chance of 0.04 and a tree
+#: of any depth with 0.0625, all trees with 2.4e-10.
+TREES, BRANCHES, LEVELS = 8, 2, 8
+#: A node with so many documents is compared exhaustively, also one with so many documents outside its largest class.
+LEAF = 24
+#: A node that is still larger after the last level is cut into blocks of about so many documents.
+BLOCK = 256
+#: Copies of each group of equal sets in the join with its documents, which may be a third of all rows.
+SALTS = 16
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +84,10 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
                     names[full, 1] = np.bitwise_xor.reduceat(mix(flat ^ np.uint64(BASE)), begins)
                 place = np.full(len(sets), -1)
                 place[full] = np.arange(len(full))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(place >= 0, SKETCH, 0))]), pa.int32()), pa.array(signed(mix(tokens)).ravel(), pa.int64()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(place >= 0, SKETCH, 0))]), pa.int32()), pa.array((mix(tokens) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32).ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(signed(names[:, 0].copy())), pa.array(signed(names[:, 1].copy())), lists], names=["doc_id", "n", "d1", "d2", "sketch"])
 
-    return documents.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch array<long>")
+    return documents.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch array<int>")
 
 
 def can_be_similar(a: str, b: str, percent: int) -> Column:
@@ -91,15 +95,16 @@ def can_be_similar(a: str, b: str, percent: int) -> Column:
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose sketches agree often enough."""
+    """Pairs (a, b) whose sizes allow the similarity and whose sketches agree often enough, with the number that agrees."""
     left = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    same = sum((F.get("sa", F.lit(i)) == F.get("sb", F.lit(i))).cast("int") for i in range(SKETCH))
-    return pairs.join(left, "a").join(right, "b").where(can_be_similar("na", "nb", percent) & (same >= AGREE)).select("a", "b")
+    same = F.expr(" + ".join(f"cast(get(sa, {i}) = get(sb, {i}) as int)" for i in range(SKETCH)))
+    met = pairs.join(left, "a").join(right, "b").where(can_be_similar("na", "nb", percent))
+    return met.select("a", "b", same.alias("same")).where(F.col("same") >= AGREE)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar: 100 x intersection >= percent x union."""
+def confirmed(pairs: DataFrame, most: int, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of ``most`` pairs (a, b) or less whose full sets are similar: 100 x intersection >= percent x union.  A written table."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
@@ -109,143 +114,151 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 keep = [100 * c >= percent * (len(x) + len(y) - c) for c, x, y in zip(common, sets_a, sets_b, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    whole = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    whole = whole.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return whole.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = stage_table(by_ids(texts, ids, "doc_id", 2 * most, "left_semi").dropDuplicates(["doc_id"]), "texts")
+    whole = pairs.select("a", "b").join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    whole = whole.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    out = stage_table(whole.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
+    discard(held)
+    return out
 
 
 def ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def roots(reps: DataFrame, trees: range) -> DataFrame:
-    """One row for each document and tree: the node in which its first two tokens put it."""
-    nodes = [F.xxhash64(F.lit(t), F.get("sketch", F.lit(2 * t)), F.get("sketch", F.lit(2 * t + 1))) for t in trees]
-    return reps.select("doc_id", "n", F.explode(F.array(*nodes)).alias("node"))
+def roots(reps: DataFrame, *columns: str) -> DataFrame:
+    """The children of the roots: one row for each document, tree and token of the tree's root."""
+    nodes = ", ".join(f"xxhash64({t}, get(sketch, {t}))" for t in range(TREES * BRANCHES))
+    return reps.select(*columns, F.expr(f"explode(array({nodes}))").alias("node"))
+
+
+def children(rows: DataFrame, level: int) -> DataFrame:
+    """The rows (node and others, sketch) in the children of their nodes; a node's name draws its tokens."""
+    drawn = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.lit(SKETCH)).cast("int") for i in range(BRANCHES)]
+    drawn[1:] = [F.pmod(drawn[0] + 1 + F.pmod(x, F.lit(SKETCH - 1)), F.lit(SKETCH)) for x in drawn[1:]]  # another one than the first
+    child = F.explode(F.array(*[F.xxhash64("node", F.lit(i), F.get("sketch", t)) for i, t in enumerate(drawn)])).alias("node")
+    return rows.select("doc_id", "n", "class", child)
 
 
 def stars(nodes: DataFrame, percent: int) -> DataFrame:
-    """Each document of a node with the node's pivot, which is drawn by a hash."""
+    """Each document of a larger node with the node's pivot, which is drawn by a hash."""
     pivot = F.min(F.struct(F.xxhash64("doc_id", "node"), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p")
-    pivots = nodes.groupBy("node").agg(pivot, F.count("*").alias("size")).where("size > 1").select("node", "p.pivot", "p.pivot_n")
+    pivots = nodes.groupBy("node").agg(pivot, F.count("*").alias("size")).where("size > 4").select("node", "p.pivot", "p.pivot_n")
     met = nodes.join(pivots, "node").where((F.col("doc_id") != F.col("pivot")) & can_be_similar("n", "pivot_n", percent))
     return met.select(*ordered("doc_id", "pivot")).distinct()
 
 
-def undecided(nodes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of nodes that hold documents of more than one class, with their class and the node's documents and tokens."""
-    placed = nodes.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    mixed = placed.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("node", "size", "tokens")
-    return placed.join(mixed, "node")
+def undecided(rows: DataFrame) -> DataFrame:
+    """Rows of nodes that hold documents of more than one class, with the node's size, largest class and outsiders."""
+    each = rows.groupBy("node", "class").agg(F.count("*").alias("c"))
+    largest = F.max(F.struct("c", F.col("class").alias("top"))).alias("m")
+    mixed = each.groupBy("node").agg(F.sum("c").alias("size"), largest, F.count("*").alias("classes")).where("classes > 1")
+    return rows.join(mixed.select("node", "size", "m.top", (F.col("size") - F.col("m.c")).alias("outsiders")), "node")
 
 
 def exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of different classes within a small node."""
-    other = nodes.select("node", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("class").alias("c2"))
-    met = nodes.join(other, "node").where((F.col("doc_id") < F.col("d2")) & (F.col("class") != F.col("c2")) & can_be_similar("n", "n2", percent))
-    return met.select(F.col("doc_id").alias("a"), F.col("d2").alias("b")).distinct()
+    """Pairs of documents of different classes within a node: of every such two one lies outside the largest class."""
+    out = nodes.where("class <> top").select("node", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("class").alias("c2"))
+    once = (F.col("class") == F.col("top")) | (F.col("doc_id") < F.col("d2"))
+    met = nodes.join(out, "node").where((F.col("class") != F.col("c2")) & once & can_be_similar("n", "n2", percent))
+    return met.select(*ordered("doc_id", "d2"))
 
 
-def link_classes(sets: list[np.ndarray], classes: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between similar sets that join different classes, as few as join all that can be joined.
-
-    Of two sets of different classes one lies outside the largest class, so only those are held against all others.
-    """
-    root = np.unique(classes, return_inverse=True)[1]
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    tokens = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    order = np.argsort(tokens, kind="stable")
-    holders, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(tokens))])
-    ends = np.cumsum(sizes)
-    largest, out = np.bincount(root).argmax(), []
-    for i in np.flatnonzero(root != largest).tolist():
-        own = tokens[ends[i] - sizes[i] : ends[i]]
-        common = np.bincount(np.concatenate([holders[begin[x] : begin[x + 1]] for x in own.tolist()]), minlength=len(sets))
-        similar = np.flatnonzero((root != root[i]) & (100 * common >= percent * (sizes + sizes[i] - common)))
-        for j in similar.tolist():
-            if root[j] != root[i]:
-                out.append((i, j))
-                root[root == root[j]] = root[i]
-    return out
+def in_blocks(nodes: DataFrame) -> DataFrame:
+    """Larger nodes as smaller ones: each block of all documents with each block of the outsiders, so no pair is lost."""
+    def own(n):
+        return F.pmod(F.xxhash64("doc_id", "node"), n).cast("int")
 
+    blocks, out = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("outsiders") / BLOCK).cast("int")
+    all_rows = nodes.select("*", own(blocks).alias("i"), F.explode(F.sequence(F.lit(0), out - 1)).alias("o"), F.lit(False).alias("second"))
+    outsiders = nodes.where("class <> top").select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), own(out).alias("o"), F.lit(True).alias("second"))
+    return all_rows.unionByName(outsiders).withColumn("node", F.xxhash64("node", "i", "o"))
 
-def compare_nodes(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) within nodes of bounded size, each compared exhaustively on the full sets in one task."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = shingle_sets(pa.array(rows["text"], pa.large_string()), k)
-        ids = rows["doc_id"].to_numpy()
-        links = link_classes(sets, rows["class"].to_numpy(), percent)
-        return pd.DataFrame([(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in links], columns=["a", "b"]).astype("int64")
+def between_blocks(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different classes between the two sides of each node of ``in_blocks``."""
+    out = nodes.where("second").select("node", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("class").alias("c2"))
+    met = nodes.where("not second").join(out, "node").where((F.col("class") != F.col("c2")) & can_be_similar("n", "n2", percent))
+    return met.select(*ordered("doc_id", "d2"))
 
-    whole = nodes.select("node", "doc_id", "class").join(texts, "doc_id")
-    return whole.groupBy("node").applyInPandas(run, "a long, b long").distinct()
 
+def tree_pairs(placed: DataFrame, percent: int, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs that meet in the trees' nodes, and the written tables they are read from.
 
-def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    ``placed`` has doc_id, n, class and sketch.  A node above the leaf size branches, unless few of its documents stand
+    outside its largest class; what the last level leaves is compared in blocks.
+    """
+    final = (F.col("size") <= LEAF) | (F.col("outsiders") <= LEAF)
+    nodes = stage_table(undecided(roots(placed, "doc_id", "n", "class")), "nodes", larger=F.count(F.when(~final, 1)))
+    met, tables = exhaustive(nodes.where(final), percent), [nodes]
+    for level in range(levels):
+        if not nodes.observed["larger"]:
+            return met.distinct(), tables
+        below = nodes.where(~final).select("node", "doc_id").join(placed, "doc_id")
+        nodes = stage_table(undecided(children(below, level)), "nodes", larger=F.count(F.when(~final, 1)))
+        met = met.unionByName(exhaustive(nodes.where(final), percent))
+        tables.append(nodes)
+    return met.unionByName(between_blocks(in_blocks(nodes.where(~final)), percent)).distinct(), tables
+
+
+def classes_of(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+
+
+def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose documents are of different classes so far, with the classes as ca < cb."""
+    for x in ("a", "b"):
+        own = classes.select(F.col("doc_id").alias(x), F.col("class").alias(f"c{x}"))
+        pairs = pairs.join(own, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+    return pairs.where("ca <> cb").select("a", "b", "same", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+
+
+def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int, levels: int = LEVELS) -> DataFrame:
+    """doc_id, class of the representatives that are similar to another one, directly or over others."""
+    pairs = stage_table(agreeing(stars(roots(reps, "doc_id", "n"), percent), reps, percent), "pairs", n=F.count("*"))
+    links = confirmed(pairs, pairs.observed["n"], texts, k, percent)
+    classes = classes_of(links)
+    placed = stage_table(reps.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")), "placed")
+    met, tables = tree_pairs(placed, percent, levels)
+    rest = stage_table(apart(agreeing(met, reps, percent), classes), "pairs", n=F.count("*"))
+    discard(pairs, placed, *tables)
+    # the best pair of every two classes, then all pairs that still join two
+    best = rest.groupBy("ca", "cb").agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b")
+    for chosen in (best, None):
+        if not rest.observed["n"]:
+            break
+        links = links.unionByName(confirmed(rest if chosen is None else chosen, rest.observed["n"], texts, k, percent))
+        classes = classes_of(links)
+        if chosen is not None:
+            before, rest = rest, stage_table(apart(rest.select("a", "b", "same"), classes), "pairs", n=F.count("*"))
+            discard(before)
+    return classes
+
+
+def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, levels: int = LEVELS) -> DataFrame:
     """Near-duplicate classes of ``documents`` (doc_id, text) at a Jaccard similarity of ``percent`` / 100 or more.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id of the class) and kept (doc_id = component_id).
     Words are runs of bytes other than white space, A-Z in lower case.  Null and empty texts and texts without words
     have an empty set and stand alone; equal sets are one class whatever their size; other columns are ignored.
-    Repeated rows of one doc_id with equal texts get equal rows; rows without a doc_id have no component of their own.
+    Repeated rows of one doc_id with equal texts get equal rows; different texts must not share a doc_id.  Rows without a
+    doc_id are linked with nothing: component_id and kept are null.
     """
+    spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = stage_table(sketches(source, shingle), "sketches")
-    full = sets.where("n > 0")
-    groups = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    members = stage_table(full.select("doc_id", "n", "d1", "d2").join(groups, ["d1", "d2", "n"]).select("doc_id", "n", "rep"), "members")
-    reps = stage_table(full.select("doc_id", "n", "sketch").join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "representatives")
-    links, tested, classes = None, None, None
-    for step in STAR_ROUNDS:
-        nodes = roots(reps, range(*step))
-        if classes is not None:
-            nodes = undecided(nodes, classes).select("doc_id", "n", "node")
-        pairs = stars(nodes, percent)
-        pairs = stage_table(agreeing(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), reps, percent), "pairs")
-        new = stage_table(confirmed(pairs, source, shingle, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        classes = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
-    small, larger = leaves(reps, classes)
-    pairs = stage_table(agreeing(exhaustive(small, percent).join(tested, ["a", "b"], "left_anti"), reps, percent), "pairs")
-    new = confirmed(pairs, source, shingle, percent)
-    for nodes in larger:
-        new = new.unionByName(compare_nodes(nodes, source, shingle, percent))
-    links = links.unionByName(stage_table(new, "links"))
-    classes = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
-    named = members.join(classes.select(F.col("doc_id").alias("rep"), "class"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "rep").alias("component_id"))
-    alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def leaves(reps: DataFrame, classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Nodes of all trees that hold several classes: small ones, and larger ones of bounded size.
-
-    A node beyond the bound branches by further tokens.  What is still beyond it after the last level is cut into blocks,
-    and every two blocks are a node: no pair is lost.
-    """
-    nodes = stage_table(undecided(roots(reps, range(TREES)), classes), "nodes")
-    small, larger = nodes.where(F.col("size") <= LEAF), [nodes.where((F.col("size") > LEAF) & (F.col("tokens") <= NODE_TOKENS))]
-    for depth in range(DEPTH):
-        beyond = nodes.where((F.col("size") > LEAF) & (F.col("tokens") > NODE_TOKENS))
-        if beyond.isEmpty():
-            return small, larger
-        # a node's branching tokens are drawn by its name, so all its documents use the same ones
-        drawn = [F.pmod(F.xxhash64("node", F.lit(depth), F.lit(i)), F.lit(SKETCH)).cast("int") for i in range(BRANCHES)]
-        child = F.explode(F.array(*[F.xxhash64("node", F.lit(i), F.get("sketch", t)) for i, t in enumerate(drawn)])).alias("child")
-        below = beyond.select("node", "doc_id").join(reps, "doc_id").select("doc_id", "n", child).withColumnRenamed("child", "node")
-        nodes = stage_table(undecided(below, classes), "nodes")
-        small = small.unionByName(nodes.where(F.col("size") <= LEAF))
-        larger.append(nodes.where((F.col("size") > LEAF) & (F.col("tokens") <= NODE_TOKENS)))
-    beyond = nodes.where((F.col("size") > LEAF) & (F.col("tokens") > NODE_TOKENS))
-    blocks = F.ceil(F.col("tokens") * 3 / NODE_TOKENS).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    cut = beyond.select("node", "doc_id", "class", own.alias("own"), other)
-    larger.append(cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", "class"))
-    return small, larger
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        sets = stage_table(sketches(source, shingle), "sketches")
+        full, name = sets.where("n > 0 and doc_id is not null"), ["d1", "d2", "n"]
+        groups = stage_table(full.groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.count("*").alias("size")), "groups")
+        classes = linked_classes(groups.select("doc_id", "n", "sketch"), source.where("doc_id is not null"), shingle, percent, levels)
+        # only groups of several rows and those of a class need a join with their documents
+        named = groups.select(*name, "size", "doc_id").join(classes, "doc_id", "left").where("size > 1 or class is not null")
+        named = named.select(*name, F.coalesce("class", "doc_id").alias("class"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = sets.where("n > 0 and doc_id is not null").select("doc_id", *name, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+        found = salted.join(named, [*name, "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+        alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return stage_table(found.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id")), "classes")
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
