@@ -4,6 +4,8 @@ For each language a context tree of orders 0 to ``ORDER`` counts which byte foll
 then frozen: a byte costs the code length of its symbol in the longest context that has seen it, and each longer
 context on the way costs an escape (method C: distinct symbols against all).  A text goes to the language that codes it
 in the fewest bits.  Bytes the training text never shows share one symbol; a context no tree has costs nothing.
+
+Spark counts the byte strings of a sample of labelled rows, whole texts; only the counts come to the driver.
 """
 
 from __future__ import annotations
@@ -18,10 +20,8 @@ from pyspark.sql import functions as F
 from .common import FOLD, pieces, utf8
 
 ORDER = 4
-#: Bounds of the labelled sample: texts expected for each language, characters of each, languages.
-SAMPLE_TEXTS, SAMPLE_CHARS, MOST_LANGUAGES = 300, 1500, 64
-#: Contexts whose costs are worked out at a time, to keep the fit small.
-BLOCK = 2048
+#: Bound of the labelled sample: rows expected for each language.
+SAMPLE_TEXTS = 400
 #: Code lengths are held in 1/256 bit, so that sums are exact whatever the partitioning.
 SCALE = 256
 UNDETERMINED = "und"
@@ -32,85 +32,87 @@ def whole_bits(cost: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(cost * SCALE), 32767).astype(np.int16)
 
 
+def grams(raw: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """The strings of k bytes of each text, as numbers; none crosses two texts."""
+    n = len(raw) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out = np.zeros(n, np.int64)
+    for i in range(k):
+        out = (out << 8) | raw[i : i + n]
+    inside = np.ones(n, bool)
+    for cut in offsets[1:-1].tolist():
+        inside[max(0, cut - k + 1) : cut] = False
+    return out[inside]
+
+
+def gram_counts(batch: pa.RecordBatch, language: np.ndarray, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Language, length, strings and their counts of a batch of texts."""
+    for j in np.unique(language).tolist():
+        raw, offsets = utf8(batch.column("text").filter(pa.array(language == j)))
+        for k in range(1, order + 2):
+            yield j, k, *np.unique(grams(FOLD[raw], offsets, k), return_counts=True)
+
+
 class ContextTrees:
-    """Frozen trees of all languages as tables: from a context's id and the next symbol to the id of the longer context,
-    and to the code length of that symbol in every language."""
+    """Frozen trees of all languages.
+
+    A context of order k is a string of k bytes that some language has; the string with a symbol after it is a context of
+    order k + 1.  ``cost[k]`` has the code length of the last byte of each string of k + 1 bytes after the others, in every
+    language; ``escape[k]`` has that of leaving a context of order k for the next shorter one.
+    """
 
-    def __init__(self, texts: dict[str, list[str]], order: int = ORDER):
-        self.languages, self.order = sorted(texts), order
-        if not texts:
+    def __init__(self, languages: list[str], counts: list[tuple[int, int, np.ndarray, np.ndarray]], order: int = ORDER):
+        """``counts``: language number, length of the strings, strings (each once for each language), how often they occur."""
+        self.languages, self.order = languages, order
+        n = len(languages)
+        if not n:
             return
-        coded = {}
-        self.symbol = np.zeros(256, dtype=np.uint8)
-        joined = {}
-        for lang in self.languages:
-            raw, offsets = utf8(pa.array(texts[lang], pa.string()))
-            joined[lang] = FOLD[raw], offsets
-        seen = np.unique(np.concatenate([j[0] for j in joined.values()] or [np.zeros(0, np.uint8)]))
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        self.width = width = len(seen) + 1
-        for lang, (raw, offsets) in joined.items():
-            coded[lang] = self.symbol[raw].astype(np.int32), offsets
-        n = len(self.languages)
-        # order 0: one context; every symbol has a floor, as a last escape leads to equal chances
-        self.child: list[np.ndarray] = []  # child[k][id of k-context * width + symbol] = id of (k+1)-context, -1 if no tree has it
-        costs = np.zeros((1, width, n))
-        for j, lang in enumerate(self.languages):
-            c = np.bincount(coded[lang][0], minlength=width).astype(float)
-            d, total = np.count_nonzero(c), c.sum()
-            costs[0, :, j] = -np.log2(np.where(c > 0, c / (total + d + 1), (d + 1) / (total + d + 1) / width))
-        self.cost = [whole_bits(costs).reshape(width, n)]
-        context = {lang: np.zeros(len(c), np.int32) for lang, (c, _) in coded.items()}  # the id of the k-context before each symbol
-        lower_of = np.zeros(1, np.int64)  # from a k-context's id to that of its suffix
-        for k in range(order):
-            # contexts of order k+1 that occur: (id of the k-context that starts one symbol earlier, the symbol after it)
-            keys = {}
-            for lang, (c, offsets) in coded.items():
-                before = np.full(len(c), -1, np.int32)
-                if len(c) > 1:
-                    earlier = context[lang][:-1]
-                    before[1:] = np.where(earlier >= 0, earlier * width + c[:-1], -1)
-                before[offsets[:-1][offsets[:-1] < len(c)]] = -1
-                keys[lang] = before
-            longer = np.unique(np.concatenate([v[v >= 0] for v in keys.values()] or [np.zeros(0, np.int32)]))
-            child = np.full(len(lower_of) * width, -1, np.int32)
-            child[longer] = np.arange(len(longer))
-            self.child.append(child)
-            # the suffix of context (p, s) of order k+1 is (suffix of p, s) of order k
-            suffix = np.zeros(len(longer), np.int64) if k == 0 else self.child[k - 1][lower_of[longer // width] * width + longer % width].astype(np.int64)
-            shorter_cost = self.cost[k].reshape(-1, width, n)
-            table = np.empty((len(longer), width, n), np.int16)
-            for j, lang in enumerate(self.languages):
-                c, at = coded[lang][0], keys.pop(lang)
-                ids = np.where(at >= 0, child[at], -1)
-                context[lang] = ids
-                for start in range(0, len(longer), BLOCK):
-                    end = min(start + BLOCK, len(longer))
-                    inside = (ids >= start) & (ids < end)
-                    count = np.bincount((ids[inside] - start) * width + c[inside], minlength=(end - start) * width).reshape(-1, width)
-                    distinct, total = (count > 0).sum(1), count.sum(1)
-                    known = total > 0
-                    bottom = np.where(known, total + distinct, 1)[:, None]
-                    escape = np.where(known, -np.log2(np.where(known, distinct, 1) / bottom[:, 0]), 0)
-                    shorter = shorter_cost[suffix[start:end], :, j] / SCALE + escape[:, None]
-                    table[start:end, :, j] = whole_bits(np.where(count > 0, -np.log2(np.maximum(count, 1) / bottom), shorter))
-            self.cost.append(table.reshape(-1, n))
-            lower_of = suffix
-        self.freeze()
-
-    def freeze(self) -> None:
-        """One table of costs over all orders, and child tables with a dead row, so that scoring needs no masks."""
-        n, width = len(self.languages), self.width
-        sizes = [len(c) // width for c in self.cost]
-        self.dead = sizes
-        self.offset = np.concatenate([[0], np.cumsum([len(c) for c in self.cost])]).tolist()
-        self.table = np.concatenate(self.cost).reshape(-1, n)
-        self.steps = []
-        for k, child in enumerate(self.child):
-            step = np.full((sizes[k] + 1) * width, sizes[k + 1], np.int64)
-            step[: len(child)] = np.where(child >= 0, child, sizes[k + 1])
-            self.steps.append(step)
-        del self.cost, self.child
+        self.grams = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([g for _, length, g, _ in counts if length == k] or [np.zeros(0, np.int64)])) for k in range(1, order + 2)]
+        self.cost, self.escape = [], []
+        width = len(self.grams[1]) + 1
+        for k in range(order + 1):
+            known, longer = self.grams[k], self.grams[k + 1]
+            count = np.zeros((len(longer), n))
+            for j, length, strings, times in counts:
+                if length == k + 1:
+                    np.add.at(count, (np.searchsorted(longer, strings), j), times)
+            parent = np.searchsorted(known, longer >> 8)
+            total, distinct = np.zeros((len(known), n)), np.zeros((len(known), n))
+            np.add.at(total, parent, count)
+            np.add.at(distinct, parent, count > 0)
+            if k == 0:  # a last escape leads to equal chances for all symbols
+                bottom = total + distinct + 1
+                self.floor = whole_bits(-np.log2((distinct + 1) / bottom / width))[0]
+                self.escape.append(np.zeros((1, n), np.int16))
+                self.cost.append(np.where(count > 0, whole_bits(-np.log2(np.maximum(count, 1) / bottom)), self.floor))
+                continue
+            bottom = np.where(total > 0, total + distinct, 1)
+            self.escape.append(whole_bits(np.where(total > 0, -np.log2(np.maximum(distinct, 1) / bottom), 0)))
+            shorter = np.searchsorted(longer_before := self.grams[k], longer & ((1 << 8 * k) - 1))
+            assert len(longer_before) == len(self.cost[k - 1])
+            left = self.cost[k - 1][shorter].astype(np.int32) + self.escape[k][parent]
+            self.cost.append(np.where(count > 0, whole_bits(-np.log2(np.maximum(count, 1) / bottom[parent])), np.minimum(left, 32767)).astype(np.int16))
+        self.index()
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("symbol", "child")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        if self.languages:
+            self.index()
+
+    def index(self) -> None:
+        """``child[k]``: from a context of order k and a symbol to the number of the longer string, its count for none."""
+        self.symbol = np.zeros(256, np.int64)
+        self.symbol[self.grams[1]] = np.arange(1, len(self.grams[1]) + 1)
+        width = len(self.grams[1]) + 1
+        self.child = []
+        for known, longer in zip(self.grams[:-1], self.grams[1:], strict=True):
+            step = np.full((len(known) + 1) * width, len(longer), np.int32)
+            step[np.searchsorted(known, longer >> 8) * width + self.symbol[longer & 255]] = np.arange(len(longer))
+            self.child.append(step)
 
     def bits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Code length of every text in every language (in 1/SCALE bit), and the texts' bytes."""
@@ -119,58 +121,66 @@ class ContextTrees:
         full = np.flatnonzero(lengths)
         if len(full) == 0 or not self.languages:
             return out, lengths
-        symbols = self.symbol[FOLD[raw]].astype(np.int64)
-        begins = offsets[:-1][full]
-        context = np.zeros(len(symbols), np.int64)
-        row = symbols.copy()  # in the cost table, of the longest known context so far
-        for k, step in enumerate(self.steps):
-            # the longer context starts one symbol earlier: it is a child of the context one place before
-            following = np.empty_like(context)
-            following[1:] = step[context[:-1] * self.width + symbols[:-1]]
-            following[begins] = self.dead[k + 1]
-            context = following
-            np.copyto(row, context * self.width + (symbols + self.offset[k + 1]), where=context < self.dead[k + 1])
-        out[full] = np.add.reduceat(self.table[row], begins, axis=0, dtype=np.int64)
+        width, begins = len(self.grams[1]) + 1, offsets[:-1][full]
+        symbols = self.symbol[FOLD[raw]]
+        contexts, longer = [np.zeros(len(symbols), np.int32)], []
+        for k, child in enumerate(self.child):
+            longer.append(child[contexts[k].astype(np.int64) * width + symbols])
+            # the context of the next place: this one's with the symbol after it
+            following = np.empty_like(contexts[0])
+            following[1:] = longer[k][:-1]
+            following[begins] = len(self.grams[k + 1])
+            contexts.append(following)
+        bits, left = np.zeros((len(symbols), len(self.languages)), np.int32), np.arange(len(symbols))
+        for k in range(self.order, -1, -1):
+            known = contexts[k][left] < len(self.grams[k])
+            at, short = left[known], left[~known]
+            string = longer[k][at]
+            hit = string < len(self.grams[k + 1])
+            bits[at[hit]] += self.cost[k][string[hit]]
+            at = at[~hit]
+            bits[at] += self.escape[k][contexts[k][at]] if k else self.floor
+            left = np.concatenate([short, at])
+        out[full] = np.add.reduceat(bits, begins, axis=0, dtype=np.int64)
         return out, lengths
 
 
-def training_sample(documents: DataFrame, texts: int, chars: int) -> dict[str, list[str]]:
-    """A bounded sample of labelled texts: about ``texts`` for each language, chosen by a hash, ``chars`` of each."""
-    labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.substring("text", 1, chars).alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)).alias("draw"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    out: dict[str, list[str]] = {row["lang"]: [] for row in counts}
-    if out:
-        share = F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], int((1 << 30) * min(1.0, texts / row["count"])))])
-        for row in labelled.where(F.col("draw") < share[F.col("lang")]).orderBy("lang", "draw", "text").toLocalIterator():
-            out[row["lang"]].append(row["text"])
-    return out
-
-
-def train(documents: DataFrame, order: int = ORDER, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> ContextTrees:
-    """Fit the trees on rows of ``documents`` (doc_id, text, lang).  The sample's bound: ``texts`` x ``chars`` for each language."""
-    sample = training_sample(documents, texts, chars)
-    return ContextTrees(own_segments(ContextTrees(sample, order), sample), order)
+def train(documents: DataFrame, order: int = ORDER, texts: int = SAMPLE_TEXTS) -> ContextTrees:
+    """Fit the trees on rows of ``documents`` (doc_id, text, lang): every label, about ``texts`` rows of each, whole.
 
+    The rows are drawn by a hash of doc_id; rows without a label or a text take no part.
+    """
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
+    labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", draw.alias("draw"))
+    rows = sorted((row["lang"], row["count"]) for row in labelled.groupBy("lang").count().collect())
+    languages = [lang for lang, _ in rows]
+    if not languages:
+        return ContextTrees([], [], order)
+    share = F.create_map(*[F.lit(x) for lang, n in rows for x in (lang, int((1 << 30) * min(1.0, texts / n)))])
+    number = F.create_map(*[F.lit(x) for j, lang in enumerate(languages) for x in (lang, j)])
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                for j, k, strings, times in gram_counts(batch, np.asarray(batch.column("j")), order):
+                    columns = [pa.array(np.full(len(strings), j, np.int32)), pa.array(np.full(len(strings), k, np.int32)), pa.array(strings), pa.array(times.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["j", "k", "gram", "n"])
 
-def own_segments(trees: ContextTrees, sample: dict[str, list[str]], chars: int = 200) -> dict[str, list[str]]:
-    """The sample's segments that a first fit gives to their own label: labelled texts also quote other languages."""
-    out = {}
-    for lang, texts in sample.items():
-        segments = [x[i : i + chars] for x in texts for i in range(0, len(x), chars)]
-        own = trees.bits(pa.array(segments, pa.string()))[0].argmin(1) == trees.languages.index(lang) if segments else []
-        out[lang] = [x for x, keep in zip(segments, own, strict=True) if keep] or texts
-    return out
+    sample = labelled.where(F.col("draw") < share[F.col("lang")]).select(number[F.col("lang")].alias("j"), "text")
+    found = sample.mapInArrow(run, "j int, k int, gram long, n long").groupBy("j", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
+    j, k, gram, n = (found.column(c).to_numpy() for c in ("j", "k", "gram", "n"))
+    return ContextTrees(languages, [(a, b, gram[own], n[own]) for a in range(len(languages)) for b in range(1, order + 2) for own in [(j == a) & (k == b)]], order)
 
 
-SCHEMA = "doc_id long, lang_pred string, score double, bits_per_byte double"
+FOUND = "lang_pred string, score double, bits_per_byte double"
 
 
-def identify(documents: DataFrame, model: ContextTrees) -> DataFrame:
+def identify(documents: DataFrame, model: ContextTrees, keep: tuple[str, ...] = ()) -> DataFrame:
     """Predict the language of every whole text of ``documents`` (doc_id, text).
 
     Returns doc_id, lang_pred, score (the winner's share of the languages' chances for a mean byte, 0 to 1) and
     bits_per_byte (the winner's code length).  Null texts and texts without a letter give ``und`` with score 0, and so
-    does a model without languages.  Equal code lengths go to the first language in alphabetical order.  Repeated rows
+    does a model without languages.  The columns ``keep`` come through as they are, after doc_id.  Equal code lengths go to the first language in alphabetical order.  Repeated rows
     are predicted each for itself; other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
@@ -188,10 +198,13 @@ def identify(documents: DataFrame, model: ContextTrees) -> DataFrame:
                     mean = bits[known] / SCALE / np.maximum(sizes[known], 1)[:, None]
                     least = mean.min(1)
                     score[known], rate[known] = 1 / np.exp2(least[:, None] - mean).sum(1), least
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(rate), batch.column("kept")], names=["doc_id", "lang_pred", "score", "bits_per_byte", "kept"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("known"))
-    return rows.mapInArrow(run, SCHEMA)
+    known = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("known")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), known, F.struct(F.lit(0).alias("_none"), *keep).alias("kept"))
+    kept = "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema["kept"].dataType) + ">"
+    out = rows.mapInArrow(run, f"doc_id long, {FOUND}, kept {kept}")
+    return out.select("doc_id", *[F.col("kept")[c].alias(c) for c in keep], "lang_pred", "score", "bits_per_byte")
 
 
 def held_out():
