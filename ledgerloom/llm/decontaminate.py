@@ -2,30 +2,33 @@
 
 Of each run of consecutive word k-grams the smallest hash is kept as a fingerprint, on the benchmark side and on the
 document side.  A shared span of ``window`` words holds ``window - k + 1`` k-grams, so both sides keep a fingerprint
-inside it: every such span is found.  Hits are extended word by word, and only runs of at least ``window`` equal words
-count.  Items shorter than a window are looked up by the hash of all their words.
+inside it: every such span is found.  Spark joins the fingerprints of both sides; hits are extended word by word, and
+only runs of at least ``window`` equal words count.  Items shorter than a window are looked up by the hash of all their
+words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD, SpanHash, gram_hashes, pieces, sliding_min, stage_table, utf8, word_spans, word_table
+from .common import FOLD, SpanHash, gram_hashes, mix, pieces, signed, sliding_min, stage_table, utf8, word_spans, word_table
 
 #: Bytes that separate words, after lower-casing: \x00-\x2F, \x3A-\x60, \x7B-\x7F.
 SEPARATORS = [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 IS_WORD = word_table(SEPARATORS)
 WINDOW, GRAM = 10, 5
-#: A block of the benchmark that is broadcast has at most this many bytes of text.
-BLOCK_BYTES = 8_000_000
+#: Bits of the table that says which fingerprints the benchmark may have: a fixed size, whatever the benchmark's.
 FILTER_BITS = 20
+#: Copies of each benchmark fingerprint in the join: a passage may be in a third of all documents.
+SALTS = 16
+#: Fingerprints of the benchmark are broadcast up to so many; more are dealt by their hash.
+BROADCAST_ROWS = 200_000
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,111 +59,84 @@ def fingerprints(words: np.ndarray, first: np.ndarray, window: int = WINDOW, k:
     return at, grams[at]
 
 
-class Index:
-    """Fingerprints of one block of the benchmark.  Its size follows the block's, which is bounded."""
-
-    def __init__(self, ids: list, words: np.ndarray, first: np.ndarray, window: int, k: int):
-        self.ids, self.words, self.first, self.window, self.k = ids, words, first, window, k
-        self.at, hashes = fingerprints(words, first, window, k)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at = hashes[order], self.at[order]
-        self.item = np.searchsorted(first, self.at, side="right") - 1
-        self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[self.hashes & np.uint64((1 << FILTER_BITS) - 1)] = True
-        self.short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_length = defaultdict(list)
-        for i, n in enumerate(np.diff(first)):
-            if 0 < n < window:
-                by_length[int(n)].append(i)
-        for n, items in by_length.items():
-            grams = np.array([gram_hashes(words[first[i] : first[i + 1]], n)[0] for i in items], dtype=np.uint64)
-            order = np.argsort(grams, kind="stable")
-            bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-            bits[grams & np.uint64((1 << FILTER_BITS) - 1)] = True
-            self.short[n] = grams[order], np.array(items)[order], bits
-
-    def hits(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Runs of words in the texts that equal a window: text, first word, end, item."""
-        mask = np.uint64((1 << FILTER_BITS) - 1)
-        at, grams = fingerprints(words, first, self.window, self.k)
-        maybe = self.filter[grams & mask]
-        at, grams = at[maybe], grams[maybe]
-        low, high = np.searchsorted(self.hashes, grams), np.searchsorted(self.hashes, grams, side="right")
-        done: dict[tuple[int, int], int] = {}
-        for p, lo, hi in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-            text = int(np.searchsorted(first, p, side="right")) - 1
-            begin, end = int(first[text]), int(first[text + 1])
-            for e in range(lo, hi):
-                q, item = int(self.at[e]), int(self.item[e])
-                if done.get((p - q, item), -1) > p:
-                    continue  # on this diagonal an earlier hit was extended past this word
-                b, f = int(self.first[item]), int(self.first[item + 1])
-                left = equal(words[max(begin, p - (q - b)) : p][::-1], self.words[max(b, q - (p - begin)) : q][::-1])
-                right = equal(words[p : min(end, p + f - q)], self.words[q : min(f, q + end - p)])
-                done[p - q, item] = p + right
-                if left + right >= self.window:
-                    yield text, p - left - begin, p + right - begin, item
-        for n, (hashes, items, bits) in self.short.items():
-            grams = gram_hashes(words, n)
-            at = np.flatnonzero(bits[grams & mask])
-            low, high = np.searchsorted(hashes, grams[at]), np.searchsorted(hashes, grams[at], side="right")
-            for p, lo, hi in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-                text = int(np.searchsorted(first, p, side="right")) - 1
-                if p + n > first[text + 1]:
-                    continue
-                for item in items[lo:hi].tolist():
-                    if (words[p : p + n] == self.words[self.first[item] : self.first[item] + n]).all():
-                        yield text, p - int(first[text]), p + n - int(first[text]), item
-
-
-def equal(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common prefix."""
-    differ = np.flatnonzero(a != b)
-    return int(differ[0]) if len(differ) else len(a)
-
-
-def blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list, list[str]]]:
-    """The benchmark's items in blocks of bounded size: the stated query set, streamed to the driver block by block."""
-    ids, texts, held = [], [], 0
-    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        size = len(row.text.encode())
-        if ids and held + size > limit:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-        ids.append(row.item_id)
-        texts.append(row.text)
-        held += size
-    yield ids, texts
-
-
-SCHEMA = "row long, doc_id long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
-
-
-def scan_block(documents: DataFrame, index, window: int) -> DataFrame:
-    """Per row of ``documents`` (row, doc_id, text) its number of words, the disjoint word runs that are hit, and the items that hit."""
+def around(words: np.ndarray, first: np.ndarray, text: np.ndarray, at: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that windows with the k-gram at each place can reach; a place outside the text has a name of its own."""
+    place = at[:, None] + np.arange(k - window, window)
+    inside = (place >= first[text][:, None]) & (place < first[text + 1][:, None])
+    return np.where(inside, words[np.clip(place, 0, len(words) - 1)], np.uint64(0)), inside
+
+
+FINGERPRINT = "struct<at:int,size:int,hash:long,words:array<long>>"
+KIND = pa.struct([("at", pa.int32()), ("size", pa.int32()), ("hash", pa.int64()), ("words", pa.list_(pa.int64()))])
+
+
+def places(words: np.ndarray, first: np.ndarray, window: int, k: int, short: list[int], whole: bool, allowed: np.ndarray | None) -> tuple[np.ndarray, pa.Array]:
+    """Fingerprints of texts, and the text of each: the winnowed k-grams with the words around them (null where there is
+    none), and the runs of ``short`` many words (``whole``: only texts that are no longer).  ``allowed`` is the filter."""
+    lengths = np.diff(first)
+    out = []
+    for size in [0, *short]:
+        if size:
+            grams = gram_hashes(words, size)
+            at = np.arange(len(grams))
+        else:
+            at, grams = fingerprints(words, first, window, k)
+        hashes = mix(grams ^ np.uint64(size))
+        if allowed is not None:
+            keep = allowed[hashes & np.uint64((1 << FILTER_BITS) - 1)]
+            at, hashes = at[keep], hashes[keep]
+        text = np.searchsorted(first, at, side="right") - 1
+        if size:
+            keep = (lengths[text] == size) if whole else at + size <= first[text + 1]
+            at, hashes, text = at[keep], hashes[keep], text[keep]
+        around_words, inside = around(words, first, text, at, window, k) if not size else (np.zeros((len(at), 0), np.uint64), None)
+        flat = pa.array(signed(around_words.ravel()), pa.int64(), mask=None if inside is None else ~inside.ravel())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * around_words.shape[1], pa.int32()), flat)
+        columns = [pa.array((at - first[text]).astype(np.int32)), pa.array(np.full(len(at), size, np.int32)), pa.array(signed(hashes)), lists]
+        out.append((text, pa.StructArray.from_arrays(columns, fields=list(KIND))))
+    text = np.concatenate([t for t, _ in out])
+    order = np.argsort(text, kind="stable")
+    return text[order], pa.concat_arrays([x for _, x in out]).take(pa.array(order))
+
+
+def fingerprinted(rows: DataFrame, window: int, k: int, short: list[int], whole: bool, allowed=None) -> DataFrame:
+    """``rows`` (text and others) with n_words and fingerprints instead of the text."""
+    others = [f for f in rows.schema if f.name != "text"]
 
     def run(batches):
-        model: Index = index.value
-        for whole in batches:
-            for batch in pieces(whole, "text"):
+        for all_rows in batches:
+            for batch in pieces(all_rows, "text", 1 << 19):
                 words, first = words_of(batch.column("text"))
-                spans, items = defaultdict(list), defaultdict(set)
-                for text, s, e, item in model.hits(words, first):
-                    spans[text].append((s, e))
-                    items[text].add(str(model.ids[item]))
-                n = len(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row"),
-                        batch.column("doc_id"),
-                        pa.array(np.diff(first), pa.int64()),
-                        pa.array([[{"s": s, "e": e} for s, e in merged(spans[i])] if i in spans else [] for i in range(n)], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))),
-                        pa.array([sorted(items[i]) if i in items else [] for i in range(n)], pa.list_(pa.string())),
-                    ],
-                    names=["row", "doc_id", "n_words", "spans", "items"],
-                )
-
-    return documents.mapInArrow(run, SCHEMA)
+                text, found = places(words, first, window, k, short, whole, None if allowed is None else allowed.value)
+                offsets = pa.array(np.searchsorted(text, np.arange(len(batch) + 1)).astype(np.int32))
+                kept = [batch.column(f.name) for f in others]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(offsets, found)], names=[*(f.name for f in others), "n_words", "fingerprints"])
+
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+    return rows.mapInArrow(run, f"{ddl}n_words long, fingerprints array<{FINGERPRINT}>")
+
+
+def hits_of(documents: DataFrame, items: DataFrame, number: int, window: int, k: int, broadcast_rows: int) -> DataFrame:
+    """row, s, e, item: runs of at least ``window`` equal words around equal fingerprints, and whole short items."""
+    left = documents.select("row", F.explode("fingerprints").alias("f")).select("row", "f.*")
+    right = items.select("item", F.explode("fingerprints").alias("f")).select("item", F.col("f.hash").alias("hash"), F.col("f.size").alias("size"), F.col("f.words").alias("other")).distinct()
+    if number <= broadcast_rows:
+        met = left.join(F.broadcast(right), ["hash", "size"])
+    else:
+        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = left.withColumn("salt", F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).join(right, ["hash", "size", "salt"])
+    reach = window - k
+    same = [f"(get(words, {i}) = get(other, {i}))" for i in range(2 * window - k)]
+
+    def run(order):  # how many words are equal, from the k-gram outwards
+        return " + ".join(f"cast(coalesce({' and '.join(same[i] for i in order[: n + 1])}, false) as int)" for n in range(len(order)))
+
+    equal = " and ".join(same[reach:window])
+    met = met.where(F.expr(f"size > 0 or coalesce({equal}, false)"))
+    before = F.when(F.col("size") > 0, 0).otherwise(F.expr(run(list(range(reach - 1, -1, -1)))))
+    after = F.when(F.col("size") > 0, F.col("size")).otherwise(k + F.expr(run(list(range(window, 2 * window - k)))))
+    spans = met.select("row", "item", "size", (F.col("at") - before).alias("s"), (F.col("at") + after).alias("e"))
+    return spans.where((F.col("size") > 0) | (F.col("e") - F.col("s") >= window)).select("row", "item", "s", "e")
 
 
 def merged(spans) -> list[tuple[int, int]]:
@@ -174,30 +150,42 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def by_row(hits: DataFrame) -> DataFrame:
+    """row, spans (disjoint runs), items (sorted)."""
+
+    def run(batches):
+        for batch in batches:
+            spans = [[{"s": s, "e": e} for s, e in merged((x["s"], x["e"]) for x in row)] for row in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), batch.column("items")], names=["row", "spans", "items"])
+
+    rows = hits.groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.mapInArrow(run, "row long, spans array<struct<s:int,e:int>>, items array<string>")
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, keep: tuple[str, ...] = (), broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Word runs of ``documents`` (doc_id, text) that occur as windows of ``benchmark`` (item_id, text).
 
-    Returns doc_id, n_words, spans (disjoint runs of word indexes, end exclusive), items (item ids as sorted strings).
-    Null and empty texts have no words and no hits; every row is judged for itself, also where ids repeat or are null; an
-    empty benchmark gives no hits; other columns are ignored.  The benchmark goes to the executors in blocks of at most
-    ``block_bytes`` of text (one item at least), each a broadcast of bounded size; blocks after the first are further
-    passes over the documents, which are then written once with a row key, by which the results are merged.
+    Returns doc_id, the columns ``keep``, n_words, spans (disjoint runs of word indexes, end exclusive), items (item ids as
+    sorted strings).  Null and empty texts have no words and no hits; every row is judged for itself, also where ids
+    repeat or are null; an empty benchmark gives no hits; other columns are ignored.
+
+    Fingerprints of both sides carry the words around them, so a join by their hash extends a hit without the texts.  A
+    bit table of fixed size keeps most fingerprints that the benchmark lacks out of the join.
     """
     spark = documents.sparkSession
-    source = documents.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = []
-    for ids, texts in blocks(benchmark, block_bytes):
-        words, first = words_of(pa.array(texts, pa.string()))
-        shared.append(spark.sparkContext.broadcast(Index(ids, words, first, window, k)))
-    if len(shared) == 1:
-        return scan_block(source, shared[0], window).drop("row")
-    keyed = stage_table(source.withColumn("row", F.monotonically_increasing_id()), "rows")
-    parts = [scan_block(keyed, index, window) for index in shared]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    join = F.udf(lambda groups: [{"s": s, "e": e} for s, e in merged((x.s, x.e) for g in groups for x in g)], "array<struct<s:int,e:int>>")
-    return whole.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), join(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("row")
+    texts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null and item_id is not null")
+    items = stage_table(fingerprinted(texts, window, k, list(range(1, window)), True), "items", n=F.sum(F.size("fingerprints")))
+    place = F.explode(F.transform("fingerprints", lambda x: F.struct(x["hash"].bitwiseAND((1 << FILTER_BITS) - 1).cast("int").alias("bit"), x["size"].alias("size"))))
+    known = items.select(place.alias("x")).select("x.bit", "x.size").distinct().toArrow()  # at most a row for each bit and short length
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[known.column("bit").to_numpy()] = True
+    short = sorted(set(known.column("size").to_pylist()) - {0})
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    read = fingerprinted(source, window, k, short, False, spark.sparkContext.broadcast(bits))
+    rows = stage_table(read.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    hits = stage_table(by_row(hits_of(rows, items, items.observed["n"] or 0, window, k, broadcast_rows)), "hits", n=F.count("*"))
+    none = [F.coalesce(c, F.expr(f"cast(array() as {t})")).alias(c) for c, t in (("spans", "array<struct<s:int,e:int>>"), ("items", "array<string>"))]
+    return rows.join(hits, "row", "left").select("doc_id", *keep, "n_words", *none)
 
 
 def digest(found: DataFrame) -> DataFrame:
