@@ -9,11 +9,14 @@ to all paths.  DataFrame functions alone are used.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import by_ids, shared_dir, stage_table
+
 
 def either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -109,13 +112,37 @@ def join_back(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RUL
     return key.join(findings, ["blob", "salt"], "left").select("doc_id", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
 
 
-def find_secrets(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+LEDGER = "blob binary, rule string, spans array<struct<s:int,k:int,e:int>>"
+
+
+def open_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger stored at ``path``; None where there is none yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(LEDGER).parquet(path) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else None
+
+
+def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan what the ledger at ``path`` lacks of ``versions`` (text), add it there, and return the whole ledger.
+
+    A run that was cut off adds nothing, or all of its rows, and can be repeated; runs of one ledger follow each other.
+    """
+    spark = versions.sparkSession
+    new = stage_table(scan(versions, open_ledger(spark, path), rules), "findings")  # written before the ledger changes
+    new.write.mode("append").parquet(path)
+    return open_ledger(spark, path)
+
+
+def find_secrets(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Scan ``documents`` (doc_id, text) and return (doc_id, blob, spans) and the new ledger rows.
 
+    With ``path`` the ledger is stored there: what it holds is not scanned again, and the whole ledger is returned.
     Every row keeps its own result; equal texts have equal spans; null texts have none; other columns are ignored.
     """
-    new = scan(documents, ledger, rules)
-    whole = new if ledger is None else ledger.select("blob", "rule", "spans").unionByName(new)
+    if path is not None:
+        whole = new = update_ledger(documents, path, rules)
+    else:
+        new = scan(documents, ledger, rules)
+        whole = new if ledger is None else ledger.select("blob", "rule", "spans").unionByName(new)
     return join_back(documents, whole, rules), new
 
 
@@ -129,14 +156,18 @@ def count_of(place: int) -> Column:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    path = f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    found, _ = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path=path)
     base = F.filter("spans", lambda x: x["k"] < len(BASE_RULES))
     counts = [count_of(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
     return found.select("doc_id", *counts, F.sha2(rendered(base, RULES), 256).alias("base_sha256"), rendered(F.col("spans"), RULES).alias("spans"))
 
 
-def redact(documents: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``documents`` with the text of every span replaced by ``mark``; ``found`` has doc_id, blob and spans."""
+def redact(documents: DataFrame, ledger: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``documents`` with the text of every span that the ledger has for it replaced by ``mark``; spans that overlap are one.
+
+    Rows without a finding pass by the join; null texts stay null; equal rows get equal texts.
+    """
     none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def cut(acc, x):
@@ -144,9 +175,18 @@ def redact(documents: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> Da
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     text = F.aggregate("_secret_spans", none, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    dirty = found.where(F.size("spans") > 0).select("doc_id", F.col("blob").alias("_secret_blob"), F.col("spans").alias("_secret_spans")).dropDuplicates(["doc_id", "_secret_blob"])
-    whole = documents.withColumn("_secret_blob", blob_of(F.col("text"))).join(dirty, ["doc_id", "_secret_blob"], "left")
-    return whole.withColumn("text", F.when(F.size("_secret_spans") > 0, text).otherwise(F.col("text"))).select(*documents.columns)
+    live = ledger.where(F.col("rule").isin([r.version for r in rules]) & (F.size("spans") > 0))
+    dirty = live.groupBy(F.col("blob").alias("_secret_blob")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_secret_spans"))
+    dirty = stage_table(dirty, "dirty", n=F.count("*"))
+    named = documents.withColumn("_secret_blob", blob_of(F.col("text")))
+    ids = dirty.select("_secret_blob")
+    clean = by_ids(named, ids, "_secret_blob", dirty.observed["n"], "left_anti").select(*documents.columns)
+    found = by_ids(named, ids, "_secret_blob", dirty.observed["n"], "left_semi")
+    # a blob may belong to a third of the rows with findings
+    salt = F.pmod(F.xxhash64(*[c for c in documents.columns if c != "text"]), F.lit(SALTS)).cast("int")
+    dirty = dirty.withColumn("_secret_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    whole = found.withColumn("_secret_salt", salt).join(dirty, ["_secret_blob", "_secret_salt"])
+    return clean.unionByName(whole.withColumn("text", text).select(*documents.columns))
 
 
 def oracle() -> str:

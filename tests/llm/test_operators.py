@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("ledgerloom.llm")
@@ -186,9 +187,9 @@ def test_secrets(awkward, empty):
     got = {r.doc_id: [tuple(x) for x in r.spans] for r in found.collect()}
     assert got[9] == [(0, 0, 24), (25, 1, 45)] and got[0] == [] and got[7] == []
     assert found.count() == len(TEXTS) + 1 and secrets.find_secrets(empty)[0].count() == 0
-    kept = {r.doc_id: r.text for r in secrets.redact(awkward, found).collect()}
+    kept = {r.doc_id: r.text for r in secrets.redact(awkward, ledger).collect()}
     assert kept[9] == "[SECRET] [SECRET]" and kept[7] == LONG and kept[0] is None
-    assert secrets.redact(awkward, found).count() == len(TEXTS) + 1
+    assert secrets.redact(awkward, ledger).count() == len(TEXTS) + 1
 
 
 def test_a_short_value_hides_what_follows(spark):
@@ -212,6 +213,20 @@ def test_ledger_scans_only_what_is_new(spark):
     assert new.count() == len(more) + 2  # all rules on the new blob, the new rule on the old ones
 
 
+def test_stored_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = spark.createDataFrame([(1, "secret=abcdefghijklmnop"), (2, "clean")], "doc_id long, text string")
+    found, ledger = secrets.find_secrets(first, path=path)
+    assert {r.doc_id: len(r.spans) for r in found.collect()} == {1: 1, 2: 0} and ledger.count() == 2 * len(secrets.RULES)
+    # a second run reads it: a finding put there by hand is returned for a text that is not scanned again
+    fake = spark.createDataFrame([(3, "never scanned")], "doc_id long, text string")
+    made = fake.select(secrets.blob_of(F.col("text")).alias("blob"), F.explode(F.array(*[F.lit(r.version) for r in secrets.RULES])).alias("rule"))
+    made.withColumn("spans", F.expr(f"if(rule = '{secrets.RULES[0].version}', array(named_struct('s', 1, 'k', 0, 'e', 3)), array())").cast(secrets.SPANS)).write.mode("append").parquet(path)
+    found, ledger = secrets.find_secrets(first.unionByName(fake), path=path)
+    assert {r.doc_id: [tuple(x) for x in r.spans] for r in found.collect()} == {1: [(0, 0, 23)], 2: [], 3: [(1, 0, 3)]}
+    assert ledger.count() == 3 * len(secrets.RULES)
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -315,7 +330,8 @@ def test_language(spark, corpus, sf_dir):
 
 def test_code_lengths_against_definition():
     texts = {"x": ["abracadabra", "abrab"], "y": ["banana bandana"]}
-    trees = language.ContextTrees(texts, order=2)
+    batch = pa.RecordBatch.from_pydict({"text": texts["x"] + texts["y"]})
+    trees = language.ContextTrees(["x", "y"], list(language.gram_counts(batch, np.array([0, 0, 1]), 2)), order=2)
 
     def count(lang, context):
         return Counter(t[i + len(context)] for t in texts[lang] for i in range(len(t) - len(context)) if t[i : i + len(context)] == context)
@@ -331,8 +347,6 @@ def test_code_lengths_against_definition():
             return cost(lang, context[1:], symbol)
         return -np.log2(c[symbol] / (n + d)) if c[symbol] else -np.log2(d / (n + d)) + cost(lang, context[1:], symbol)
 
-    import pyarrow as pa
-
     for probe in ["abra", "banda", "zzz", "nab", "a"]:
         bits = trees.bits(pa.array([probe, ""]))[0] / language.SCALE
         for j, lang in enumerate(trees.languages):
@@ -361,7 +375,7 @@ def check_decontamination(documents, benchmark, **options):
 def test_decontamination(spark, corpus, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     assert any(x[1] for x in check_decontamination(corpus, benchmark).values())
-    check_decontamination(corpus, benchmark, block_bytes=2000)
+    check_decontamination(corpus, benchmark, broadcast_rows=0)
 
 
 def test_decontamination_on_awkward_rows(spark, awkward, empty):
@@ -376,13 +390,13 @@ def test_decontamination_on_awkward_rows(spark, awkward, empty):
     assert decontaminate.digest(decontaminate.find_contamination(documents, benchmark.limit(0))).where("contaminated").count() == 0
 
 
-def test_one_block_and_many_give_the_same_rows(spark):
+def test_small_and_large_benchmarks_give_the_same_rows(spark):
     w = [f"w{i}" for i in range(40)]
     texts = [(1, " ".join(w[:15])), (1, "other text"), (1, "other text"), (None, " ".join(w[20:35]) + " x"), (None, "y"), (2, None)]
     documents = spark.createDataFrame(texts, "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, " ".join(w[2:14])), (2, " ".join(w[20:33])), (3, "other text")], "item_id long, text string")
-    one, many = (sorted(map(tuple, decontaminate.find_contamination(documents, benchmark, block_bytes=b).collect()), key=repr) for b in (1 << 20, 1))
-    assert one == many and len(one) == len(texts)
+    one, many = (sorted(map(tuple, decontaminate.find_contamination(documents, benchmark, broadcast_rows=n).collect()), key=repr) for n in (1000, 0))
+    assert one == many and len(one) == len(texts) and sum(bool(r[2]) for r in one) == 4
 
 
 # 10 ----------------------------------------------------------------------------------------------------------------
@@ -416,8 +430,23 @@ def test_neardup_large_group(spark, monkeypatch):
     rows += [(1000 + i, f"other text number {i} " + " ".join(base[:30])) for i in range(60)]
     documents = spark.createDataFrame(rows, "doc_id long, text string")
     check_neardup(documents, 4)
-    monkeypatch.setattr(neardup, "NODE_TOKENS", 2000)  # nodes beyond the bound branch, then are cut into blocks
-    monkeypatch.setattr(neardup, "DEPTH", 1)
+    monkeypatch.setattr(neardup, "LEAF", 3)  # what the first level leaves is cut into blocks
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    for levels in (0, 1):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents, 4, levels=levels).collect()}
+        assert got == neardup.brute_force(pairs(documents), 4)
+
+
+def test_neardup_trees_branch(spark):
+    """Texts that share a passage fill nodes above the leaf size; the trees branch them and lose no pair."""
+    draw = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(40)) for _ in range(400)]
+    texts += [t + " end" for t in texts[::20]]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = neardup.stage_table(neardup.sketches(documents, 4).select("doc_id", "n", "sketch", F.col("doc_id").alias("class")), "reps")
+    _, tables = neardup.tree_pairs(reps, 80)
+    assert len(tables) > 1 and tables[0].observed["larger"] > 0
     check_neardup(documents, 4)
 
 
@@ -447,7 +476,17 @@ def test_pipeline(spark, sf_dir, corpus):
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
             keep = {d for d, (_, hit, _) in decontaminate.brute_force(rows, items).items() if not hit}
         elif name == "language_id":
-            keep = {d for d, t in rows if any(ch.isalpha() for ch in t or "")}
+            model = language.train(before.where(~language.held_out()))
+            bits, sizes = model.bits(pa.array([t for _, t in rows], pa.string()))
+            worst = corpus_pipeline.MOST_BITS * language.SCALE
+            keep = {d for (d, t), b, n in zip(rows, bits.min(1), sizes, strict=True) if any(ch.isalpha() for ch in t or "") and b < worst * n}
+            best = {d: model.languages[j] for (d, _), j in zip(rows, bits.argmin(1), strict=True)}
+            assert all(r.lang == best[r.doc_id] for r in docs.collect())
+        elif name == "secret_scan":
+            keep = {d for d, _ in rows}
+            hits = {r.doc_id for r in secrets.find_secrets(before)[0].where("size(spans) > 0").collect()}
+            after = dict(pairs(docs))
+            assert hits and all(("[SECRET]" in after[d]) == (d in hits) and (d in hits or after[d] == t) for d, t in rows)
         else:
             keep = {d for d, _ in rows}
         assert {r.doc_id for r in docs.select("doc_id").collect()} == keep, name
@@ -460,8 +499,15 @@ def test_pipeline(spark, sf_dir, corpus):
 def test_pipeline_on_awkward_rows(spark, sf_dir, awkward):
     import corpus_pipeline
 
-    docs = awkward
+    docs, counts = awkward.unionByName(awkward.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))), []
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir).cache()
-        assert docs.count() > 0
+        counts.append(docs.count())
+        if len(counts) == 2:  # repeated rows and copies without an id are one document, and that with the smallest id stays
+            ids = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.select("doc_id").collect())
+    assert counts[0] == 12 and ids == [(False, d) for d in (3, 4, 6, 7, 9, 10, 11)]
     assert docs.agg(F.max("length")).first()[0] <= 1024
+    empty = awkward.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, sf_dir)
+        assert empty.count() == 0
