@@ -91,7 +91,12 @@ BROADCAST_IDS = 500_000
 
 def by_ids(rows: DataFrame, ids: DataFrame, key: str, number: int, how: str) -> DataFrame:
     """Semi or anti join of ``rows`` with ``number`` ids of one column: a broadcast up to BROADCAST_IDS, else a shuffle."""
-    return rows.join(F.broadcast(ids) if number <= BROADCAST_IDS else ids.hint("merge"), key, how)
+    return rows.join(sized(ids, number), key, how)
+
+
+def sized(side: DataFrame, number: int) -> DataFrame:
+    """A narrow side of a join that has ``number`` rows at most: broadcast up to BROADCAST_IDS."""
+    return F.broadcast(side) if number <= BROADCAST_IDS else side.hint("merge")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -7,10 +7,10 @@ every larger one branches again by tokens of its own.  The trees repeat until th
 is negligible.
 
 Equal sets are one representative from the start.  A first look at the trees holds every document of a larger node
-against one pivot, and the links make classes.  A node whose documents are one class needs no more comparisons, and one
-where few documents stand outside its largest class compares only those with the rest: so the work on large groups of
-copies stays linear in their size.  Pairs that meet are first held against a sketch (all minwise tokens), then confirmed
-on the full sets: first the best pair of every two classes, then what still joins different classes.
+against a few pivots, and the links to the nearest ones make classes.  A node whose documents are one class needs no more
+comparisons, and one where few documents stand outside its largest class compares only those with the rest.  So does one
+that branching hardly makes smaller, as its documents are alike.  Pairs that meet in small nodes are first held against a
+sketch (all minwise tokens), then confirmed on the full sets; larger nodes are compared on the full sets, in blocks.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, FOLD, SpanHash, by_ids, discard, gram_hashes, mix, pieces, settings, signed, stage_table, utf8, word_spans, word_table
+from .common import BASE, FOLD, SpanHash, by_ids, discard, gram_hashes, mix, pieces, settings, signed, sized, stage_table, utf8, word_spans, word_table
 from .components import connected_components
 
 #: Bytes between words: space and \x09-\x0D.
@@ -35,8 +36,12 @@ SKETCH, AGREE = 48, 25
 TREES, BRANCHES, LEVELS = 8, 2, 8
 #: A node with so many documents is compared exhaustively, also one with so many documents outside its largest class.
 LEAF = 24
-#: A node that is still larger after the last level is cut into blocks of about so many documents.
-BLOCK = 256
+#: A node that holds so large a share of the documents of the node above it is compared as it is.
+DENSE = 0.5
+#: Pivots of a larger node.
+PIVOTS = 2
+#: Larger nodes are compared in blocks of about so many tokens (distinct shingles of their documents, added up).
+BLOCK_TOKENS = 500_000
 #: Copies of each group of equal sets in the join with its documents, which may be a third of all rows.
 SALTS = 16
 
@@ -104,7 +109,7 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, most: int, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``most`` pairs (a, b) or less whose full sets are similar: 100 x intersection >= percent x union.  A written table."""
+    """Those of ``most`` pairs (a, b) or less whose full sets are similar: 100 x intersection >= percent x union."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
@@ -115,12 +120,10 @@ def confirmed(pairs: DataFrame, most: int, texts: DataFrame, k: int, percent: in
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = stage_table(by_ids(texts, ids, "doc_id", 2 * most, "left_semi").dropDuplicates(["doc_id"]), "texts")
+    held = by_ids(texts, ids, "doc_id", 2 * most, "left_semi").dropDuplicates(["doc_id"])
     whole = pairs.select("a", "b").join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     whole = whole.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    out = stage_table(whole.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "links")
-    discard(held)
-    return out
+    return whole.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def ordered(x: str, y: str) -> list[Column]:
@@ -134,27 +137,31 @@ def roots(reps: DataFrame, *columns: str) -> DataFrame:
 
 
 def children(rows: DataFrame, level: int) -> DataFrame:
-    """The rows (node and others, sketch) in the children of their nodes; a node's name draws its tokens."""
-    drawn = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(i)), F.lit(SKETCH)).cast("int") for i in range(BRANCHES)]
-    drawn[1:] = [F.pmod(drawn[0] + 1 + F.pmod(x, F.lit(SKETCH - 1)), F.lit(SKETCH)) for x in drawn[1:]]  # another one than the first
-    child = F.explode(F.array(*[F.xxhash64("node", F.lit(i), F.get("sketch", t)) for i, t in enumerate(drawn)])).alias("node")
-    return rows.select("doc_id", "n", "class", child)
+    """The rows (node, doc_id, n, class, size, sketch) in the children of their nodes; a node's name draws its tokens."""
+    first = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(SKETCH)).cast("int")
+    step = F.pmod(F.xxhash64("node", F.lit(-1 - level)), F.lit(SKETCH // BRANCHES)).cast("int") + 1
+    drawn = [F.pmod(first + i * step, F.lit(SKETCH)) for i in range(BRANCHES)]
+    child = F.explode(F.array(*[F.xxhash64("node", F.lit(i), F.get("sketch", t)) for i, t in enumerate(drawn)])).alias("child")
+    return rows.select("doc_id", "n", "class", F.col("size").alias("above"), child).withColumnRenamed("child", "node")
 
 
 def stars(nodes: DataFrame, percent: int) -> DataFrame:
-    """Each document of a larger node with the node's pivot, which is drawn by a hash."""
-    pivot = F.min(F.struct(F.xxhash64("doc_id", "node"), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"))).alias("p")
-    pivots = nodes.groupBy("node").agg(pivot, F.count("*").alias("size")).where("size > 4").select("node", "p.pivot", "p.pivot_n")
+    """Each document of a larger node with the node's pivots, which are drawn by hashes."""
+    drawn = [F.min(F.struct(F.xxhash64("doc_id", "node", F.lit(i)), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"))) for i in range(PIVOTS)]
+    pivots = nodes.groupBy("node").agg(F.array(*drawn).alias("p"), F.count("*").alias("size")).where("size > 4")
+    pivots = pivots.select("node", F.explode(F.array_distinct(F.transform("p", lambda p: F.struct(p["pivot"], p["pivot_n"])))).alias("p")).select("node", "p.*")
     met = nodes.join(pivots, "node").where((F.col("doc_id") != F.col("pivot")) & can_be_similar("n", "pivot_n", percent))
-    return met.select(*ordered("doc_id", "pivot")).distinct()
+    return met.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
 def undecided(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that hold documents of more than one class, with the node's size, largest class and outsiders."""
-    each = rows.groupBy("node", "class").agg(F.count("*").alias("c"))
-    largest = F.max(F.struct("c", F.col("class").alias("top"))).alias("m")
-    mixed = each.groupBy("node").agg(F.sum("c").alias("size"), largest, F.count("*").alias("classes")).where("classes > 1")
-    return rows.join(mixed.select("node", "size", "m.top", (F.col("size") - F.col("m.c")).alias("outsiders")), "node")
+    """Rows (node, doc_id, n, class, above) of nodes that hold documents of more than one class, with the node's size and
+    tokens, its largest class, and those outside it."""
+    each = rows.groupBy("node", "class").agg(F.count("*").alias("c"), F.sum("n").alias("t"), F.max("above").alias("above"))
+    largest = F.max(F.struct("c", "t", F.col("class").alias("top"))).alias("m")
+    mixed = each.groupBy("node").agg(F.sum("c").alias("size"), F.sum("t").alias("tokens"), F.max("above").alias("above"), largest, F.count("*").alias("classes")).where("classes > 1")
+    outside = [(F.col("size") - F.col("m.c")).alias("outsiders"), (F.col("tokens") - F.col("m.t")).alias("out_tokens")]
+    return rows.drop("above").join(mixed.select("node", "size", "tokens", "above", "m.top", *outside), "node")
 
 
 def exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
@@ -166,73 +173,115 @@ def exhaustive(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def in_blocks(nodes: DataFrame) -> DataFrame:
-    """Larger nodes as smaller ones: each block of all documents with each block of the outsiders, so no pair is lost."""
+    """Larger nodes as groups of bounded size: each block of all documents with each block of the outsiders."""
     def own(n):
         return F.pmod(F.xxhash64("doc_id", "node"), n).cast("int")
 
-    blocks, out = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("outsiders") / BLOCK).cast("int")
-    all_rows = nodes.select("*", own(blocks).alias("i"), F.explode(F.sequence(F.lit(0), out - 1)).alias("o"), F.lit(False).alias("second"))
-    outsiders = nodes.where("class <> top").select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), own(out).alias("o"), F.lit(True).alias("second"))
-    return all_rows.unionByName(outsiders).withColumn("node", F.xxhash64("node", "i", "o"))
+    blocks, out = F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int"), F.ceil(F.col("out_tokens") / BLOCK_TOKENS).cast("int")
+    every = nodes.select("*", own(blocks).alias("i"), F.explode(F.sequence(F.lit(0), out - 1)).alias("o"), F.lit(False).alias("outside"))
+    outsiders = nodes.where("class <> top").select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), own(out).alias("o"), F.lit(True).alias("outside"))
+    return every.unionByName(outsiders).select(F.xxhash64("node", "i", "o").alias("node"), "doc_id", "class", "outside")
+
+
+def links_between(base: list[np.ndarray], base_class: np.ndarray, sets: list[np.ndarray], set_class: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (of ``base``, of ``sets``) between similar sets of different classes, as few as join all that can be joined."""
+    names = np.unique(np.concatenate([base_class, set_class]), return_inverse=True)[1]
+    root, own_root = names[: len(base)], names[len(base) :]
+    sizes = np.array([len(s) for s in base])
+    flat = np.concatenate(base)
+    order = np.argsort(flat, kind="stable")
+    tokens, holders, out = flat[order], np.repeat(np.arange(len(base)), sizes)[order], []
+    for j, own in enumerate(sets):
+        low, high = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+        common = np.bincount(np.concatenate([holders[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]), minlength=len(base))
+        for i in np.flatnonzero((root != own_root[j]) & (100 * common >= percent * (sizes + len(own) - common))).tolist():
+            if root[i] != own_root[j]:
+                out.append((i, j))
+                old, new = root[i], own_root[j]
+                root[root == old], own_root[own_root == old] = new, new
+    return out
+
 
+def compare_groups(groups: DataFrame, number: int, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within the ``number`` rows of ``in_blocks``, each group compared on the full sets in one task."""
 
-def between_blocks(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes between the two sides of each node of ``in_blocks``."""
-    out = nodes.where("second").select("node", F.col("doc_id").alias("d2"), F.col("n").alias("n2"), F.col("class").alias("c2"))
-    met = nodes.where("not second").join(out, "node").where((F.col("class") != F.col("c2")) & can_be_similar("n", "n2", percent))
-    return met.select(*ordered("doc_id", "d2"))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out, base = rows[rows["outside"]], rows[~rows["outside"]]
+        links = []
+        if len(out) and len(base):
+            sets = [shingle_sets(pa.array(x["text"], pa.large_string()), k) for x in (base, out)]
+            links = links_between(sets[0], base["class"].to_numpy(), sets[1], out["class"].to_numpy(), percent)
+        a, b = base["doc_id"].to_numpy(), out["doc_id"].to_numpy()
+        return pd.DataFrame([(min(a[i], b[j]), max(a[i], b[j])) for i, j in links], columns=["a", "b"]).astype("int64")
 
+    held = by_ids(texts, groups.select("doc_id").distinct(), "doc_id", number, "left_semi").dropDuplicates(["doc_id"])
+    return groups.join(held, "doc_id").groupBy("node").applyInPandas(run, "a long, b long").distinct()
 
-def tree_pairs(placed: DataFrame, percent: int, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs that meet in the trees' nodes, and the written tables they are read from.
+
+def branched(placed: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Nodes in which documents are compared, small ones and larger ones; and the tables they are read from.
 
     ``placed`` has doc_id, n, class and sketch.  A node above the leaf size branches, unless few of its documents stand
-    outside its largest class; what the last level leaves is compared in blocks.
+    outside its largest class or it holds most of the node above; what the last level leaves is compared as it is.
     """
-    final = (F.col("size") <= LEAF) | (F.col("outsiders") <= LEAF)
-    nodes = stage_table(undecided(roots(placed, "doc_id", "n", "class")), "nodes", larger=F.count(F.when(~final, 1)))
-    met, tables = exhaustive(nodes.where(final), percent), [nodes]
+    small, final = F.col("size") <= LEAF, (F.col("outsiders") <= LEAF) | (F.col("size") >= F.col("above") * DENSE)
+    counts = {"open": F.count(F.when(~small & ~final, 1)), "larger": F.count(F.when(~small, 1))}
+    root = roots(placed, "doc_id", "n", "class").withColumn("above", F.lit(1 << 60))
+    nodes = stage_table(undecided(root), "nodes", **counts)
+    tables, larger = [nodes], [nodes.where(~small & final)]
     for level in range(levels):
-        if not nodes.observed["larger"]:
-            return met.distinct(), tables
-        below = nodes.where(~final).select("node", "doc_id").join(placed, "doc_id")
-        nodes = stage_table(undecided(children(below, level)), "nodes", larger=F.count(F.when(~final, 1)))
-        met = met.unionByName(exhaustive(nodes.where(final), percent))
-        tables.append(nodes)
-    return met.unionByName(between_blocks(in_blocks(nodes.where(~final)), percent)).distinct(), tables
-
-
-def classes_of(links: DataFrame) -> DataFrame:
-    return connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
-
-
-def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose documents are of different classes so far, with the classes as ca < cb."""
-    for x in ("a", "b"):
-        own = classes.select(F.col("doc_id").alias(x), F.col("class").alias(f"c{x}"))
-        pairs = pairs.join(own, x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-    return pairs.where("ca <> cb").select("a", "b", "same", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-
-
-def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int, levels: int = LEVELS) -> DataFrame:
-    """doc_id, class of the representatives that are similar to another one, directly or over others."""
-    pairs = stage_table(agreeing(stars(roots(reps, "doc_id", "n"), percent), reps, percent), "pairs", n=F.count("*"))
-    links = confirmed(pairs, pairs.observed["n"], texts, k, percent)
-    classes = classes_of(links)
-    placed = stage_table(reps.join(classes, "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id")), "placed")
-    met, tables = tree_pairs(placed, percent, levels)
-    rest = stage_table(apart(agreeing(met, reps, percent), classes), "pairs", n=F.count("*"))
-    discard(pairs, placed, *tables)
-    # the best pair of every two classes, then all pairs that still join two
-    best = rest.groupBy("ca", "cb").agg(F.max(F.struct("same", "a", "b")).alias("x")).select("x.a", "x.b")
-    for chosen in (best, None):
-        if not rest.observed["n"]:
+        if not nodes.observed["open"]:
             break
-        links = links.unionByName(confirmed(rest if chosen is None else chosen, rest.observed["n"], texts, k, percent))
-        classes = classes_of(links)
-        if chosen is not None:
-            before, rest = rest, stage_table(apart(rest.select("a", "b", "same"), classes), "pairs", n=F.count("*"))
-            discard(before)
+        below = nodes.where(~small & ~final).select("node", "doc_id", "size").join(placed, "doc_id")
+        nodes = stage_table(undecided(children(below, level)), "nodes", **counts)
+        tables.append(nodes)
+        larger.append(nodes.where(~small & final))
+    larger.append(nodes.where(~small & ~final))
+
+    def union(parts):
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    return union([t.where(small) for t in tables]), union(larger), tables
+
+
+class Classes:
+    """doc_id, class of the documents that have a link, from a growing set of links."""
+
+    def __init__(self):
+        self.links, self.most = None, 0
+
+    def add(self, links: DataFrame, number: int) -> None:
+        """Join the classes that ``number`` links (a, b) at most link."""
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.most += 2 * number
+        self.table = connected_components(self.links).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+
+    def of(self, rows: DataFrame, key: str = "doc_id", name: str = "class") -> DataFrame:
+        found = self.table.select(F.col("doc_id").alias(key), F.col("class").alias(name))
+        return rows.join(sized(found, self.most), key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int, levels: int = LEVELS) -> Classes:
+    """Classes of the representatives that are similar to another one, directly or over others."""
+    classes, count = Classes(), {"n": F.count("*")}
+    near = agreeing(stars(roots(reps, "doc_id", "n"), percent), reps, percent).groupBy("a").agg(F.max(F.struct("same", "b"))["b"].alias("b"))
+    pairs = stage_table(near.select(*ordered("a", "b")).distinct(), "pairs", **count)
+    links = stage_table(confirmed(pairs, pairs.observed["n"], texts, k, percent), "links", **count)
+    classes.add(links, links.observed["n"])
+    placed = stage_table(classes.of(reps), "placed")
+    small, larger, tables = branched(placed, levels)
+    rest = stage_table(agreeing(exhaustive(small, percent).distinct(), reps, percent), "pairs", **count)
+    links = confirmed(rest, rest.observed["n"], texts, k, percent)
+    number = sum(t.observed["larger"] for t in tables)
+    if number:
+        links = links.unionByName(compare_groups(in_blocks(larger), number, texts, k, percent))
+    links = stage_table(links, "links", **count)
+    if links.observed["n"]:
+        classes.add(links, links.observed["n"])
+    discard(pairs, rest, placed, *tables)
     return classes
 
 
@@ -253,8 +302,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
         groups = stage_table(full.groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.count("*").alias("size")), "groups")
         classes = linked_classes(groups.select("doc_id", "n", "sketch"), source.where("doc_id is not null"), shingle, percent, levels)
         # only groups of several rows and those of a class need a join with their documents
-        named = groups.select(*name, "size", "doc_id").join(classes, "doc_id", "left").where("size > 1 or class is not null")
-        named = named.select(*name, F.coalesce("class", "doc_id").alias("class"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        named = classes.of(groups.select(*name, "size", "doc_id")).where("size > 1 or class <> doc_id")
+        named = named.select(*name, "class", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         salted = sets.where("n > 0 and doc_id is not null").select("doc_id", *name, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
         found = salted.join(named, [*name, "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
         alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
