@@ -25,7 +25,7 @@ from .encoder import default_encoder
 SEQUENCE, END_ID = 1024, 2
 BUCKET_ROWS = 50_000
 #: Iterations of a solve, and solves on what rounding has left.
-STEPS, SOLVES, ETA = 300, 2, 3.0
+STEPS, SOLVES, ETA = 300, 2, 2.0
 
 
 def best_configuration(price: np.ndarray, capacity: int) -> Counter:
@@ -54,19 +54,19 @@ def best_configuration(price: np.ndarray, capacity: int) -> Counter:
 def fractional(counts: np.ndarray, capacity: int, steps: int = STEPS, eta: float = ETA) -> dict[tuple, float]:
     """An approximate solution of the linear program for ``counts`` (pieces by length): configuration to its share.
 
-    Every step adds 1/steps of the volume bound of the configuration that the weights price highest, then lowers the
-    weights of the lengths in it by the exponential of their covered fraction.
+    The weight of a length's row starts at the tokens it has to cover and falls by the exponential of its covered
+    fraction, so a piece is priced at its length times that exponential.  Every step adds 1/steps of the volume bound of
+    the configuration that is priced highest, or as much as its rows still need.
     """
     lengths = np.arange(len(counts))
     live = counts > 0
     unit = max(1.0, float((lengths * counts).sum()) / capacity / steps)
     covered, out = np.zeros(len(counts)), defaultdict(float)
     for _ in range(steps):
-        # the price of a length follows the tokens it holds; its weight falls with the part of it that is covered
         part = np.divide(covered, counts, out=np.zeros(len(counts)), where=live)
         if part[live].min() >= 1:
             break
-        price = np.where(live & (part < 1), lengths * np.exp(-eta * part) + lengths, 0.0) * (1 + lengths / capacity / 50)
+        price = np.where(live & (part < 1), lengths * np.exp(-eta * part), 0.0)
         config = best_configuration(price, capacity)
         amount = min([unit, *((counts[n] - covered[n]) / k for n, k in config.items())])
         amount = max(amount, min([1.0, *(counts[n] / k for n, k in config.items())]))
@@ -109,22 +109,22 @@ def best_fit(counts: np.ndarray, capacity: int) -> Counter:
 
 
 def solve(counts: np.ndarray, capacity: int, solves: int = SOLVES) -> Counter:
-    """Configurations and how many sequences take each; every piece of ``counts`` is placed."""
-    left, out = counts.astype(np.int64).copy(), Counter()
+    """Configurations and how many sequences take each; every piece of ``counts`` is placed.
+
+    The rounded program's sequences and those that best fit fills with the rest, or best fit alone where it needs fewer.
+    """
+    counts = counts.astype(np.int64)
+    left, out = counts.copy(), Counter()
     for _ in range(solves):
-        if left.sum() < 64:
-            break
-        before = int(left.sum())
-        for config, share in sorted(fractional(left, capacity).items(), key=lambda x: (-x[1], x[0])):
+        for config, share in sorted(fractional(left, capacity).items(), key=lambda x: (-x[1], x[0])) if left.any() else ():
             whole = min([int(share + 1e-9), *(int(left[n]) // k for n, k in config)])
             if whole > 0 and sum(n * k for n, k in config) > capacity - max(2, capacity // 256):
                 out[config] += whole
                 for n, k in config:
                     left[n] -= whole * k
-        if int(left.sum()) > 0.98 * before:
-            break
     out.update(best_fit(left, capacity))
-    return out
+    plain = best_fit(counts, capacity)
+    return plain if sum(plain.values()) < sum(out.values()) else out
 
 
 class Slots:
