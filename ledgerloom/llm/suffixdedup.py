@@ -5,8 +5,9 @@ Spark brings together the places that can hold a repeat; a run-length index find
 1.  Of every window of ``LENGTH`` bytes the leftmost smallest hash of its ``GRAM``-byte strings is kept as an anchor.
     Equal windows keep the same anchor at the same place, so a repeat needs an anchor that occurs twice: anchors are
     dealt by their hash, and single ones go.
-2.  Around each remaining anchor the bytes of all windows that can have chosen it are cut out (a context) and dealt by
-    the anchor.  A context equal to an earlier one is a repeat as a whole; the others go to an index.
+2.  Around each remaining anchor the bytes of all windows that can have chosen it are cut out (a context).  Equal contexts
+    of an anchor are merged before they are dealt: all but the earliest are repeats as a whole.  Of anchors that have
+    several different contexts, these go to an index.
 3.  The index is the run-compressed Burrows-Wheeler transform of the contexts.  Text positions are sampled where a run
     begins; there the neighbour in suffix order and the length of the match with it are stored.  Between samples both
     follow by counting, so the matching statistics of all positions stream from the samples.  Matches of at least
@@ -25,12 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, pieces, signed, sliding_min, stage_table, utf8
+from .common import SpanHash, discard, pieces, signed, sliding_min, stage_table, utf8
 
 LENGTH, GRAM = 100, 32
 #: Contexts are gathered up to so many bytes before an index is built over them.
 INDEX_BYTES = 1 << 20
 PLACE_BITS = 22
+#: Copies of each repeated context in the join with its occurrences.
+SALTS = 16
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +108,13 @@ def repeated(found: DataFrame) -> DataFrame:
 
 
 def contexts(documents: DataFrame, places: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes around each anchor that windows holding it can reach: anchor, doc_id, lo (where they begin), bytes."""
+    """The bytes around each anchor that windows holding it can reach: anchor, ctx (their hash), doc_id, lo (where they
+    begin), middle (of the anchor in them), bytes; only those that hold a window."""
     before, after = length - gram, length
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", 1 << 20):
                 raw, offsets = utf8(batch.column("text"))
                 lists = batch.column("places")
                 flat = lists.flatten()
@@ -119,63 +123,103 @@ def contexts(documents: DataFrame, places: DataFrame, length: int, gram: int) ->
                 doc = np.repeat(np.arange(len(batch)), sizes)
                 lo = np.maximum(at - before, 0)
                 hi = np.minimum(at + after, (offsets[1:] - offsets[:-1])[doc])
-                data = raw.tobytes()
-                begin, end = (offsets[doc] + lo).tolist(), (offsets[doc] + hi).tolist()
-                cut = pa.array([data[s:e] for s, e in zip(begin, end, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([anchor, pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(lo.astype(np.int32)), cut], names=["anchor", "doc_id", "lo", "bytes"])
+                keep = hi - lo >= length
+                lo, hi, doc, anchor = lo[keep], hi[keep], doc[keep], anchor.filter(pa.array(keep))
+                begin, size = offsets[doc] + lo, hi - lo
+                names = signed(SpanHash(raw).spans(begin, begin + size))
+                ends = np.concatenate([[0], np.cumsum(size)])
+                cut = raw[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+                data = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(cut)])
+                yield pa.RecordBatch.from_arrays([anchor, pa.array(names), pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(lo.astype(np.int32)), pa.array((at[keep] - lo).astype(np.int32)), data], names=["anchor", "ctx", "doc_id", "lo", "middle", "bytes"])
 
     grouped = stage_table(places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("places")), "places")
-    return documents.join(grouped, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "anchor long, doc_id long, lo int, bytes binary")
+    return documents.join(grouped, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "anchor long, ctx long, doc_id long, lo int, middle int, bytes binary")
+
+
+def merged_contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Byte runs (doc_id, s, e) that equal an earlier context as a whole, and the different contexts of the anchors that
+    have several, each at its earliest place (anchor, doc_id, lo, middle, bytes)."""
+    first = F.min(F.struct("doc_id", "lo", "middle", "bytes")).alias("x")
+    merged = stage_table(found.groupBy("anchor", "ctx").agg(first, F.count("*").alias("n")).select("anchor", "ctx", "n", "x.*"), "contexts", n=F.count(F.when(F.col("n") > 1, 1)))
+    # the commonest context may be a third of all: it is joined over copies
+    again = merged.where("n > 1").select("anchor", "ctx", F.col("doc_id").alias("d0"), F.col("lo").alias("l0"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = found.select("anchor", "ctx", "doc_id", "lo", F.octet_length("bytes").alias("size"), F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALTS)).cast("int").alias("salt"))
+    whole = rows.join(again, ["anchor", "ctx", "salt"]).where("doc_id <> d0 or lo <> l0").select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e"))
+    several = merged.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    return whole, merged.select("anchor", "doc_id", "lo", "middle", "bytes").join(several, "anchor", "left_semi")
 
 
 class RunIndex:
-    """Run-compressed Burrows-Wheeler transform of texts (each ends with a terminator of its own), with sampled runs."""
+    """Run-compressed Burrows-Wheeler transform of texts (each ends with a terminator of its own), with sampled runs.
+
+    Only suffixes of ``length`` bytes or more are rows: shorter ones have no match that counts.
+    """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], length: int):
         sizes = np.array([len(t) + 1 for t in texts])
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
         n = int(self.ends[-1])
         # bytes are 1 to 256; the terminator of text i counts as smaller than all bytes, and than those of later texts
         symbols = np.zeros(n, np.int64)
-        symbols[np.setdiff1d(np.arange(n), self.ends - 1, assume_unique=True)] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+        inside = np.ones(n, bool)
+        inside[self.ends - 1] = False
+        symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
         self.symbols, self.text_of = symbols, np.repeat(np.arange(len(texts)), sizes)
-        suffixes, rows = self.sort(symbols, int(sizes.max()))
+        end = self.ends[self.text_of] - 1
+        self.long = np.flatnonzero(np.arange(n) + length <= end)
+        suffixes = self.sort(symbols, end, int(sizes.max()))
         before = np.where(suffixes > 0, symbols[suffixes - 1], 0)
         # a terminator equals no other symbol, so it is a run of its own
         head = np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == 0)])
         self.runs = int(head.sum())
-        sampled = suffixes[head] - 1
-        sampled = np.sort(np.concatenate([sampled[sampled >= 0], [n - 1]]))
-        row = rows[sampled]
-        neighbour = np.where(row > 0, suffixes[row - 1], -1)
-        self.sampled, self.neighbour, self.match = sampled, neighbour, self.compare(sampled, neighbour)
-
-    def sort(self, symbols: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix order by doubling; suffixes that are equal up to their terminators are ordered by their texts."""
+        # the last row of a text has none to its right, and comes in between rows that move on from others
+        last = ~np.isin(suffixes + 1, self.long, kind="table") if len(suffixes) else np.zeros(0, bool)
+        begins = suffixes[head] - 1
+        chosen = np.zeros(n + 1, bool)
+        chosen[begins[(begins >= 0) & (symbols[begins] > 0)]] = True
+        chosen[suffixes[last]] = True
+        chosen[suffixes[1:][last[:-1]]] = True
+        rows = np.zeros(n, np.int64)
+        rows[suffixes] = np.arange(len(suffixes))
+        self.sampled = np.flatnonzero(chosen)
+        row = rows[self.sampled]
+        self.neighbour = np.where(row > 0, suffixes[row - 1], -1)
+        self.match = self.compare(self.sampled, self.neighbour)
+
+    def sort(self, symbols: np.ndarray, end: np.ndarray, longest: int) -> np.ndarray:
+        """The rows in suffix order, by doubling; those that are equal up to their terminators are ordered by their texts."""
         n = len(symbols)
-        end = self.ends[self.text_of] - 1
         place = np.arange(n)
-        key, have = np.zeros(n, np.int64), 7
+        used = np.flatnonzero(np.bincount(symbols, minlength=258))
+        code = np.searchsorted(used, np.arange(258)) + 1
+        key, have = np.zeros(n, np.int64), 6
         for t in range(have):
-            inside = place + t < end
-            key = key * 257 + np.where(inside, symbols[np.minimum(place + t, n - 1)], 0)
-        rank = self.ranks(key)
+            key = key * (len(used) + 2) + np.where(place + t < end, code[symbols[np.minimum(place + t, n - 1)]], 0)
         while have < longest:
-            following = np.where(place + have < end, rank[np.minimum(place + have, n - 1)] + 1, 0)
-            rank = self.ranks(rank * (n + 2) + following)
+            rank = self.ranks(key)
+            last = 2 * have >= longest
+            at = self.long if last else place
+            key = rank[at] * (n + 2) + np.where(at + have < end[at], rank[np.minimum(at + have, n - 1)] + 1, 0)
             have *= 2
-        suffixes = np.argsort(rank * n + place)
-        rows = np.empty(n, np.int64)
-        rows[suffixes] = place
-        return suffixes, rows
+        return self.long[self.order(key[self.long] if len(key) == n else key)[0]]
 
     @staticmethod
-    def ranks(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        ordered = key[order]
+    def order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The stable order of the keys, and the sorted keys."""
+        n = len(key)
+        bits = max(1, n.bit_length())
+        if n and int(key.max()) < 1 << (63 - bits):  # a key and its place in one number sort faster
+            both = np.sort((key << bits) | np.arange(n))
+            return both & ((1 << bits) - 1), both >> bits
+        at = np.argsort(key, kind="stable")
+        return at, key[at]
+
+    @classmethod
+    def ranks(cls, key: np.ndarray) -> np.ndarray:
+        at, ordered = cls.order(key)
         out = np.empty(len(key), np.int64)
-        out[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
+        out[at] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
         return out
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -192,97 +236,92 @@ class RunIndex:
         return out
 
     def statistics(self) -> tuple[np.ndarray, np.ndarray]:
-        """For every position the text position before it in suffix order and the length of their match.
+        """For every row's text position that before it in suffix order and the length of their match.
 
         From a position to the one left of it both move by one, unless a run begins at its row: so they follow from the
         next sample to the right.
         """
-        place = np.arange(len(self.symbols))
-        sample = np.searchsorted(self.sampled, place)
-        back = self.sampled[sample] - place
+        sample = np.searchsorted(self.sampled, self.long)
+        back = self.sampled[sample] - self.long
         return np.where(self.neighbour[sample] >= 0, self.neighbour[sample] - back, -1), self.match[sample] + back
 
 
-def repeats(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """Byte runs (document, start, end) of the texts covered by windows that also start earlier in another text."""
-    index = RunIndex(texts)
-    neighbour, match = index.statistics()
+def sharing(texts: list[bytes], middles: np.ndarray, anchors: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which contexts can share a window with another one of their anchor: a window that starts in one half of the range
+    before the anchor holds all bytes from there to its shortest reach, and these are equal in both."""
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    begins = np.cumsum(sizes) - sizes
+    spans, half = SpanHash(raw), (length - gram) // 2
+    out = np.zeros(len(texts), bool)
+    for before, after in ((0, length - half), (half, gram)):
+        at = np.flatnonzero((middles >= before) & (middles + after <= sizes))
+        names = spans.spans(begins[at] + middles[at] - before, begins[at] + middles[at] + after) ^ anchors[at].astype(np.uint64)
+        _, which, number = np.unique(names, return_inverse=True, return_counts=True)
+        out[at] |= number[which] > 1
+    return out
+
+
+def repeats(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte runs (documents, starts, ends) of the texts covered by windows that also start earlier in another text."""
+    index = RunIndex(texts, length)
+    at, (neighbour, match) = index.long, index.statistics()
+    row = np.zeros(len(index.symbols), np.int64)
+    row[at] = np.arange(len(at))
     linked = (match >= length) & (neighbour >= 0)
-    place = np.arange(len(match))
-    head = np.where(linked, neighbour, place)
+    head = np.where(linked, row[neighbour], np.arange(len(at)))
     while True:
         further = head[head]
         if (further == head).all():
             break
         head = further
-    text = index.text_of
-    where = place - index.begins[text] + starts[text]
+    text = index.text_of[at]
+    where = at - index.begins[text] + starts[text]
     names = np.unique(docs, return_inverse=True)[1]
     key = (names[text].astype(np.int64) << 40) | where
     first = np.full(len(match), np.iinfo(np.int64).max)
     in_chain = linked.copy()
     in_chain[head[linked]] = True
     np.minimum.at(first, head[in_chain], key[in_chain])
-    marked = in_chain & (key > first[head])
-    at = np.flatnonzero(marked)
-    if len(at):
-        cut = np.flatnonzero(np.diff(at) != 1)
-        for s, e in zip(at[np.concatenate([[0], cut + 1])].tolist(), at[np.concatenate([cut, [len(at) - 1]])].tolist(), strict=True):
-            yield int(docs[text[s]]), int(where[s]), int(where[e]) + length
+    gone = np.flatnonzero(in_chain & (key > first[head]))
+    new = np.concatenate([[True], np.diff(at[gone]) != 1]) if len(gone) else np.zeros(0, bool)
+    begin, end = gone[new], gone[np.concatenate([new[1:], [True]])] if len(gone) else gone
+    return docs[text[begin]], where[begin], where[end] + length
 
 
-def mark(found: DataFrame, length: int, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Byte runs (doc_id, s, e) to remove, from contexts dealt by their anchor."""
+def mark(found: DataFrame, length: int, gram: int, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """Byte runs (doc_id, s, e) to remove, from different contexts dealt by their anchor; whole anchors share an index."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        texts, docs, los, held = [], [], [], 0  # distinct contexts that wait for an index
-        group: dict[bytes, tuple[int, int]] = {}
-        anchor_now, out = None, []
-
-        def close_group():
-            nonlocal held
-            if len(group) > 1:
-                for data, (doc, lo) in group.items():
-                    texts.append(data)
-                    docs.append(doc)
-                    los.append(lo)
-                    held += len(data)
-            group.clear()
-
-        def flush():
-            nonlocal held
-            if texts:
-                out.extend(repeats(texts, np.array(docs), np.array(los), length))
-            texts.clear()
-            docs.clear()
-            los.clear()
-            held = 0
+        held, size, anchor = [], 0, None
+
+        def index():
+            rows = pa.Table.from_batches(held)
+            docs, los = np.asarray(rows.column("doc_id")), np.asarray(rows.column("lo")).astype(np.int64)
+            texts = rows.column("bytes").to_pylist()
+            keep = np.flatnonzero(sharing(texts, np.asarray(rows.column("middle")).astype(np.int64), np.asarray(rows.column("anchor")), length, gram))
+            doc, s, e = repeats([texts[i] for i in keep], docs[keep], los[keep], length) if len(keep) else (keep, keep, keep)
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "s", "e"])
 
         for batch in batches:
-            for anchor, doc, lo, data in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "lo", "bytes")), strict=True):
-                if anchor != anchor_now:
-                    close_group()
-                    anchor_now = anchor
-                    if held >= index_bytes:
-                        flush()
-                if len(data) < length:
-                    continue
-                if data in group:
-                    if group[data] != (doc, lo):
-                        out.append((doc, lo, lo + len(data)))
-                else:
-                    group[data] = doc, lo
-            yield from emit(out)
-            out.clear()
-        close_group()
-        flush()
-        yield from emit(out)
-
-    def emit(out):
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "s", "e"])
-
-    return found.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "lo").mapInArrow(run, "doc_id long, s int, e int")
+            names = np.asarray(batch.column("anchor"))
+            sizes = np.asarray(pc.binary_length(batch.column("bytes"))).astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else []
+            begin = 0
+            for at in [*starts, len(names)]:
+                # what is held ends with an anchor here, unless the batch goes on with the anchor of the last one
+                if at > begin:
+                    held.append(batch.slice(begin, at - begin))
+                    size += int(sizes[begin:at].sum())
+                    begin = at
+                if size >= index_bytes and at < len(names) and (at > 0 or names[0] != anchor):
+                    yield index()
+                    held, size = [], 0
+            anchor = names[-1] if len(names) else anchor
+        if held:
+            yield index()
+
+    return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, s int, e int")
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -296,8 +335,11 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     firsts = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("name", "first")
     copies = stage_table(named.join(firsts, "name").where("doc_id > first").select("doc_id", F.lit(0).alias("s"), F.col("size").alias("e")), "copies")
     places = repeated(find_anchors(source, length, gram)).join(copies.select("doc_id"), "doc_id", "left_anti")
-    found = contexts(source, places, length, gram)
-    return copies.unionByName(stage_table(mark(found, length), "marks"))
+    found = stage_table(contexts(source, places, length, gram), "occurrences")
+    whole, different = merged_contexts(found)
+    marks = stage_table(mark(different, length, gram).unionByName(whole), "marks")
+    discard(found)
+    return copies.unionByName(marks)
 
 
 def removed(documents: DataFrame, spans: DataFrame) -> DataFrame:

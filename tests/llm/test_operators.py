@@ -177,6 +177,28 @@ def test_configurations_cover_all(seed):
             placed[n] += k * number
     bound = -(-int((np.arange(1025) * counts).sum()) // 1024)
     assert (placed == counts).all() and sum(used.values()) <= bound * 1.01 + 2
+    for size in (3, 40, 900):  # never more than best fit, and few pieces take the same way
+        some = np.bincount(lengths[:size], minlength=1025)
+        used = packing.solve(some, 1024)
+        assert sum(used.values()) <= sum(packing.best_fit(some, 1024).values())
+        assert sum(k * number * (n > 0) for c, number in used.items() for n, k in c) == size
+
+
+def test_configurations_of_few_pieces_are_as_few_as_can_be():
+    from itertools import product
+
+    def fewest(pieces, capacity):  # every way to deal the pieces to sequences
+        for n in range(1, len(pieces) + 1):
+            for where in product(range(n), repeat=len(pieces)):
+                if all(sum(p for p, w in zip(pieces, where, strict=True) if w == i) <= capacity for i in range(n)):
+                    return n
+        return 0
+
+    draw = random.Random(2)
+    for _ in range(25):
+        pieces = [draw.randint(1, 14) for _ in range(draw.randint(1, 6))]
+        used = packing.solve(np.bincount(pieces, minlength=21), 20)
+        assert sum(used.values()) == fewest(pieces, 20)
 
 
 # 4 -----------------------------------------------------------------------------------------------------------------
@@ -278,7 +300,8 @@ def test_run_index_against_definition():
         base = [bytes(draw.choice(b"ab\x00") for _ in range(draw.randint(3, 40))) for _ in range(4)]
         texts = [b"".join(draw.choice(base)[: draw.randint(1, 40)] for _ in range(draw.randint(1, 5))) for _ in range(draw.randint(1, 9))]
         length, got, seen, expected = draw.randint(3, 9), {}, set(), {}
-        for d, s, e in suffixdedup.repeats(texts, np.arange(len(texts)), np.zeros(len(texts), int), length):
+        texts = [t for t in texts if len(t) >= length] or [b"abababababab"]
+        for d, s, e in zip(*suffixdedup.repeats(texts, np.arange(len(texts)), np.zeros(len(texts), int), length), strict=True):
             got.setdefault(d, set()).update(range(s, e))
         for d, t in enumerate(texts):
             for i in range(len(t) - length + 1):
@@ -431,7 +454,7 @@ def test_neardup_large_group(spark, monkeypatch):
     documents = spark.createDataFrame(rows, "doc_id long, text string")
     check_neardup(documents, 4)
     monkeypatch.setattr(neardup, "LEAF", 3)  # what the first level leaves is cut into blocks
-    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_TOKENS", 2000)
     for levels in (0, 1):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents, 4, levels=levels).collect()}
         assert got == neardup.brute_force(pairs(documents), 4)
@@ -445,8 +468,8 @@ def test_neardup_trees_branch(spark):
     texts += [t + " end" for t in texts[::20]]
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     reps = neardup.stage_table(neardup.sketches(documents, 4).select("doc_id", "n", "sketch", F.col("doc_id").alias("class")), "reps")
-    _, tables = neardup.tree_pairs(reps, 80)
-    assert len(tables) > 1 and tables[0].observed["larger"] > 0
+    _, _, tables = neardup.branched(reps)
+    assert len(tables) > 1 and tables[0].observed["open"] > 0
     check_neardup(documents, 4)
 
 
