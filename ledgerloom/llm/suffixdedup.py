@@ -108,7 +108,7 @@ def repeated(found: DataFrame) -> DataFrame:
 
 
 def contexts(documents: DataFrame, places: DataFrame, length: int, gram: int) -> DataFrame:
-    """The bytes around each anchor that windows holding it can reach: anchor, ctx (their hash), doc_id, lo (where they
+    """``places`` has doc_id and its places (at, anchor).  The bytes around each anchor that windows holding it can reach: anchor, ctx (their hash), doc_id, lo (where they
     begin), middle (of the anchor in them), bytes; only those that hold a window."""
     before, after = length - gram, length
 
@@ -132,21 +132,27 @@ def contexts(documents: DataFrame, places: DataFrame, length: int, gram: int) ->
                 data = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(cut)])
                 yield pa.RecordBatch.from_arrays([anchor, pa.array(names), pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(lo.astype(np.int32)), pa.array((at[keep] - lo).astype(np.int32)), data], names=["anchor", "ctx", "doc_id", "lo", "middle", "bytes"])
 
-    grouped = stage_table(places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("places")), "places")
-    return documents.join(grouped, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "anchor long, ctx long, doc_id long, lo int, middle int, bytes binary")
+    return documents.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "anchor long, ctx long, doc_id long, lo int, middle int, bytes binary")
 
 
-def merged_contexts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Byte runs (doc_id, s, e) that equal an earlier context as a whole, and the different contexts of the anchors that
-    have several, each at its earliest place (anchor, doc_id, lo, middle, bytes)."""
+def merged_contexts(found: DataFrame) -> DataFrame:
+    """The different contexts of each anchor, each at its earliest place, and how often it occurs.  A written table."""
     first = F.min(F.struct("doc_id", "lo", "middle", "bytes")).alias("x")
-    merged = stage_table(found.groupBy("anchor", "ctx").agg(first, F.count("*").alias("n")).select("anchor", "ctx", "n", "x.*"), "contexts", n=F.count(F.when(F.col("n") > 1, 1)))
+    return stage_table(found.groupBy("anchor", "ctx").agg(first, F.count("*").alias("n")).select("anchor", "ctx", "n", "x.*"), "contexts")
+
+
+def equal_runs(found: DataFrame, merged: DataFrame) -> DataFrame:
+    """Byte runs (doc_id, s, e) that equal an earlier context as a whole."""
     # the commonest context may be a third of all: it is joined over copies
     again = merged.where("n > 1").select("anchor", "ctx", F.col("doc_id").alias("d0"), F.col("lo").alias("l0"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = found.select("anchor", "ctx", "doc_id", "lo", F.octet_length("bytes").alias("size"), F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALTS)).cast("int").alias("salt"))
-    whole = rows.join(again, ["anchor", "ctx", "salt"]).where("doc_id <> d0 or lo <> l0").select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e"))
+    return rows.join(again, ["anchor", "ctx", "salt"]).where("doc_id <> d0 or lo <> l0").select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e"))
+
+
+def several_contexts(merged: DataFrame) -> DataFrame:
+    """The contexts of the anchors that have several."""
     several = merged.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    return whole, merged.select("anchor", "doc_id", "lo", "middle", "bytes").join(several, "anchor", "left_semi")
+    return merged.select("anchor", "doc_id", "lo", "middle", "bytes").join(several, "anchor", "left_semi")
 
 
 class RunIndex:
@@ -335,11 +341,15 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     firsts = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("name", "first")
     copies = stage_table(named.join(firsts, "name").where("doc_id > first").select("doc_id", F.lit(0).alias("s"), F.col("size").alias("e")), "copies")
     places = repeated(find_anchors(source, length, gram)).join(copies.select("doc_id"), "doc_id", "left_anti")
-    found = stage_table(contexts(source, places, length, gram), "occurrences")
-    whole, different = merged_contexts(found)
-    marks = stage_table(mark(different, length, gram).unionByName(whole), "marks")
+    grouped = stage_table(places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor")).alias("places")), "places")
+    found = stage_table(contexts(source, grouped, length, gram), "occurrences")
+    discard(grouped)
+    merged = merged_contexts(found)
+    whole = stage_table(equal_runs(found, merged), "marks")
     discard(found)
-    return copies.unionByName(marks)
+    marks = stage_table(mark(several_contexts(merged), length, gram), "marks")
+    discard(merged)
+    return copies.unionByName(marks).unionByName(whole)
 
 
 def removed(documents: DataFrame, spans: DataFrame) -> DataFrame:
