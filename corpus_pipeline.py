@@ -6,51 +6,65 @@ next stage's documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, language, neardup, packing, secrets
-from ledgerloom.llm.common import stage_table
+from ledgerloom.llm.common import by_ids, discard, shared_dir, stage_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A text that the best language codes in so many bits a byte is in none of them: plain bytes cost no more.
+MOST_BITS = 8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Predict the language of every text; texts without one (null, or no letter) go.  ``lang`` keeps its label.
+    """Identify the language of every row by itself; ``lang`` becomes the prediction.
 
-    The trees are fitted on labelled rows as in op8_language; without any labelled row, letters alone decide.
+    Texts without a language go: null and empty ones, those without a letter, and those that no language codes in less
+    than ``MOST_BITS`` a byte.  The trees are fitted on labelled rows as in op8_language.  Without any labelled row only
+    texts without a letter go, and ``lang`` stays null.
     """
     rows = docs.select(*COLUMNS)
     model = language.train(rows.where(~language.held_out()))
-    found = language.identify(rows.select("doc_id", "text"), model)
-    rejected = found.where(F.col("lang_pred") == language.UNDETERMINED) if model.languages else rows.where(~F.coalesce(F.col("text").rlike(language.LETTER), F.lit(False)))
-    return rows.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    if not model.languages:
+        return rows.where(F.col("text").rlike(language.LETTER))
+    found = language.identify(rows, model, ("text", "source", "n_chars"))
+    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("bits_per_byte") < MOST_BITS))
+    return kept.withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the smallest doc_id."""
-    rows = docs.select(*COLUMNS)
-    gone = neardup.near_duplicates(rows.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
-    return rows.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each near-duplicate class stays: that of the smallest doc_id, and of its rows (or of those without an
+    id, where no row has one) the first.  Texts without words are linked with nothing and stay."""
+    rows = stage_table(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    classes = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row")
+    ids = classes.join(rows.select("_row", "doc_id"), "_row")
+    gone = stage_table(classes.select("_row").join(ids.groupBy("component_id").agg(first).select("_row"), "_row", "left_anti"), "gone", n=F.count("*"))
+    return by_ids(rows, gone, "_row", gone.observed["n"], "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    rows = docs.select(*COLUMNS)
-    found = decontaminate.find_contamination(rows.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(found.where(F.size("spans") > 0).select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose text holds a window of a benchmark item go; equal texts go together, null and empty ones stay."""
+    name = F.unhex(F.sha2("text", 256))
+    rows = docs.select(*COLUMNS).withColumn("_name", name)
+    found = decontaminate.find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("_name",))
+    gone = stage_table(found.where(F.size("spans") > 0).select("_name").distinct(), "gone", n=F.count("*"))
+    return by_ids(rows, gone, "_name", gone.observed["n"], "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; the documents stay, with n_chars of the new text."""
+    """Secrets are replaced by a mark; all rows stay, with n_chars of the new text (0 for null)."""
     rows = docs.select(*COLUMNS)
-    found, _ = secrets.find_secrets(rows.select("doc_id", "text"))
-    clean = secrets.redact(rows, stage_table(found.where(F.size("spans") > 0), "secrets"))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
+    ledger = secrets.update_ledger(rows, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    clean = secrets.redact(rows, ledger)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents, placed in sequences."""
+    """Token pieces of all rows, placed in sequences; null and empty texts are the end id alone, repeated rows count."""
     return packing.pack(docs.select("doc_id", "text"))
 
 
@@ -67,7 +81,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = stage_table(stage(spark, docs, sf_dir), name)
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
