@@ -51,9 +51,9 @@ def bureau_distribution(v: Views) -> DataFrame:
     return v.tradelines.groupBy("user_id").agg(*[F.count_if(c("credit_bureau") == b).alias(b.lower()) for b in BUREAUS])
 
 
-@query("A4_recent_activity", f"SELECT user_id, count(*) FILTER (WHERE created_on >= {DAY} - 365) AS new_disputes, count(*) FILTER (WHERE status = 'resolved' AND updated_on >= {DAY} - 365) AS resolved FROM disputes GROUP BY user_id")
+@query("A4_recent_activity", f"SELECT user_id, count(*) FILTER (WHERE created_on >= {DAY} - 30) AS new_disputes, count(*) FILTER (WHERE status = 'resolved' AND updated_on >= {DAY} - 30) AS resolved FROM disputes GROUP BY user_id")
 def recent_activity(v: Views) -> DataFrame:
-    since = F.date_sub(as_of(), 365)
+    since = F.date_sub(as_of(), 30)
     return v.disputes.groupBy("user_id").agg(F.count_if(c("created_on") >= since).alias("new_disputes"), F.count_if((c("status") == "resolved") & (c("updated_on") >= since)).alias("resolved"))
 
 

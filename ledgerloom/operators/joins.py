@@ -39,32 +39,39 @@ def add_new_only(v: Views) -> DataFrame:
 
 
 @query("J6_detailed_key_match", f"""WITH k AS (SELECT id, ord, user_id, creditor_name, date_opened, credit_bureau, {FIRST4_SQL} AS first4 FROM tradelines)
-    SELECT i.id, min_by(e.id, e.ord) AS existing_id FROM k i JOIN k e ON i.user_id = e.user_id AND i.creditor_name = e.creditor_name AND i.date_opened = e.date_opened AND i.credit_bureau = e.credit_bureau AND i.first4 = e.first4
-    WHERE i.ord % 2 = 0 AND e.ord % 2 = 1 OR i.ord % 2 = 0 AND e.ord % 4 = 0 AND e.ord < i.ord GROUP BY i.id""")
+    SELECT i.id, min_by(e.id, e.ord) AS existing_id FROM k i JOIN k e ON i.user_id = e.user_id AND i.creditor_name = e.creditor_name AND i.date_opened = e.date_opened AND i.credit_bureau = e.credit_bureau AND i.first4 = e.first4 AND e.ord < i.ord GROUP BY i.id""")
 def detailed_key_match(v: Views) -> DataFrame:
-    """The first existing record with the same user, creditor, account prefix, date and bureau."""
+    """The first record with the same user, creditor, account prefix, date and bureau that came before.
+
+    The first of a key is an aggregate, so a key's records never meet each other.
+    """
     key = ["user_id", "creditor_name", "date_opened", "credit_bureau", "first4"]
     t = v.tradelines.withColumn("first4", T.account_first_4(c("account_number"))).select("id", "ord", *key)
-    old = t.select(c("id").alias("existing_id"), c("ord").alias("existing_ord"), *key)
-    met = t.where(c("ord") % 2 == 0).join(old, key).where((c("existing_ord") % 2 == 1) | (c("existing_ord") % 4 == 0) & (c("existing_ord") < c("ord")))
-    return met.groupBy("id").agg(F.min_by("existing_id", "existing_ord").alias("existing_id"))
+    first = t.groupBy(*key).agg(F.min_by("id", "ord").alias("existing_id"), F.min("ord").alias("existing_ord"))
+    return t.join(first, key).where("existing_ord < ord").select("id", "existing_id")
 
 
 @query("J7_M5_fuzzy_match", f"""WITH k AS (SELECT id, ord, user_id, account_number, credit_bureau, {MATCH_SQL} AS creditor, left(regexp_replace(account_number, '[^0-9]', '', 'g'), 4) AS digits, coalesce(CAST({PARSE} AS VARCHAR), '') AS day FROM tradelines),
     m AS (SELECT i.id, e.id AS existing_id, e.ord AS existing_ord, i.account_number = 'Unknown' AND e.account_number = 'Unknown' AS unknown, i.digits = e.digits AND length(i.digits) = 4 AS account, i.day = e.day AND i.day <> '' AS dated
-        FROM k i JOIN k e ON i.user_id = e.user_id AND i.creditor = e.creditor AND i.credit_bureau = e.credit_bureau WHERE i.ord % 2 = 0 AND e.ord % 4 = 0 AND i.ord <> e.ord)
-    SELECT id, min_by(existing_id, existing_ord) AS existing_id, CAST(min_by(50 + CASE WHEN unknown OR account THEN 25 ELSE 0 END + CASE WHEN dated THEN 25 ELSE 0 END, existing_ord) AS INTEGER) AS confidence FROM m WHERE unknown OR (account AND dated) GROUP BY id""")
+        FROM k i JOIN k e ON i.user_id = e.user_id AND i.creditor = e.creditor AND i.credit_bureau = e.credit_bureau WHERE e.ord < i.ord)
+    SELECT id, min_by(existing_id, existing_ord) AS existing_id, CAST(min_by(50 + CASE WHEN unknown OR account THEN 25 ELSE 0 END + CASE WHEN dated THEN 25 ELSE 0 END, existing_ord) AS INTEGER) AS confidence, true AS creditor_match, min_by(unknown OR account, existing_ord) AS account_match, min_by(dated, existing_ord) AS date_match, true AS bureau_match
+    FROM m WHERE unknown OR (account AND dated) GROUP BY id""")
 def fuzzy_match(v: Views) -> DataFrame:
-    """An equi-join on user, normal creditor and bureau replaces the scan over all of a user's records."""
+    """The first record that came before with the same user, normal creditor and bureau, and either the same four digits
+    and day, or, like this one, no known number.
+
+    The two ways exclude each other and are equi-joins with the first record of their keys, so the work grows with the
+    rows and not with the square of a key's rows.
+    """
     key = ["user_id", "creditor", "credit_bureau"]
-    t = v.tradelines.select("id", "ord", "user_id", "account_number", "credit_bureau", T.match_creditor(c("creditor_name")).alias("creditor"), T.account_digits(c("account_number")).alias("digits"), D.iso(c("date_opened")).alias("day"))
-    old = t.where(c("ord") % 4 == 0).select(*key, *[c(x).alias(f"e_{x}") for x in ("id", "ord", "account_number", "digits", "day")])
-    unknown = (c("account_number") == "Unknown") & (c("e_account_number") == "Unknown")
-    account = (c("digits") == c("e_digits")) & (F.length("digits") == 4)
-    dated = (c("day") == c("e_day")) & (c("day") != "")
-    met = t.where(c("ord") % 2 == 0).join(old, key).where((c("ord") != c("e_ord")) & (unknown | (account & dated)))
-    score = F.lit(50) + F.when(unknown | account, 25).otherwise(0) + F.when(dated, 25).otherwise(0)
-    return met.groupBy("id").agg(F.min_by("e_id", "e_ord").alias("existing_id"), F.min_by(score, c("e_ord")).alias("confidence"))
+    t = v.tradelines.select("id", "ord", "account_number", "user_id", "credit_bureau", T.match_creditor(c("creditor_name")).alias("creditor"), T.account_digits(c("account_number")).alias("digits"), D.iso(c("date_opened")).alias("day"))
+    unknown, known = t.where("account_number = 'Unknown'"), t.where("length(digits) = 4 and day <> ''")
+    first = [F.min("ord").alias("e_ord"), F.min_by("id", "ord").alias("existing_id")]
+    blank = unknown.join(unknown.groupBy(*key).agg(*first, F.min_by("day", "ord").alias("e_day")), key).withColumn("date_match", (c("day") == c("e_day")) & (c("day") != ""))
+    exact = known.join(known.groupBy(*key, "digits", "day").agg(*first), [*key, "digits", "day"]).withColumn("date_match", F.lit(True))
+    both = blank.select("id", "ord", "e_ord", "existing_id", "date_match").unionByName(exact.select("id", "ord", "e_ord", "existing_id", "date_match")).where("e_ord < ord")
+    yes = F.lit(True)
+    return both.select("id", "existing_id", F.when(c("date_match"), 100).otherwise(75).alias("confidence"), yes.alias("creditor_match"), yes.alias("account_match"), "date_match", yes.alias("bureau_match"))
 
 
 @query("J9_letters_for_bureaus", "SELECT b.bureau, t.id FROM (VALUES ('Experian'), ('Equifax'), ('TransUnion')) b(bureau) JOIN tradelines t ON t.credit_bureau = '' OR t.credit_bureau = b.bureau WHERE t.is_negative")

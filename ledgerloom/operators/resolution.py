@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.empties import MERGEABLE, PLACEHOLDERS, is_placeholder, needs_enrichment
+from ..functions.empties import PLACEHOLDERS, is_empty_merge, is_placeholder, needs_enrichment
 from ..plans.registry import query
 from ..plans.views import Views
 from .scalars import FIRST4_SQL
@@ -27,45 +27,47 @@ def fill(old: Column, new: Column) -> Column:
     return F.when(is_placeholder(old) & ~is_placeholder(new), new).otherwise(old)
 
 
-SPLIT = f"""k AS (SELECT *, {FIRST4_SQL} AS first4 FROM tradelines), o AS (SELECT user_id, creditor_name, first4, date_opened, credit_bureau, min_by(id, ord) AS e_id, min_by(account_balance, ord) AS e_balance, min_by(credit_limit, ord) AS e_limit, min_by(account_number, ord) AS e_number, min_by(dispute_count, ord) AS e_count
-    FROM k WHERE ord % 2 = 1 OR ord % 4 = 0 GROUP BY 1, 2, 3, 4, 5), n AS (SELECT * FROM k WHERE ord % 4 = 2 OR ord % 8 = 3)"""
+#: Fields of the stored record that merging looks at.
+STORED = ["id", "ord", "account_number", "dispute_count", "is_negative", "credit_bureau", "date_opened", *FIELDS]
+SPLIT = f"""k AS (SELECT *, {FIRST4_SQL} AS first4 FROM tradelines), f AS (SELECT user_id, creditor_name, first4, date_opened, credit_bureau, min(ord) AS e_ord FROM k GROUP BY 1, 2, 3, 4, 5),
+    n AS (SELECT k.*, {", ".join(f"e.{x} AS e_{x}" for x in STORED)} FROM k JOIN f USING (user_id, creditor_name, first4, date_opened, credit_bureau) LEFT JOIN tradelines e ON e.ord = f.e_ord AND f.e_ord < k.ord)"""
 
 
-def split(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Stored records (the first of each key) and incoming ones."""
+def met(v: Views) -> DataFrame:
+    """Every record with the stored one: the first of its key, where that came before it (e_...; null where none did)."""
     k = keyed(v.tradelines)
-    first = [F.min_by(f, "ord").alias(n) for f, n in (("id", "e_id"), ("account_balance", "e_balance"), ("credit_limit", "e_limit"), ("account_number", "e_number"), ("dispute_count", "e_count"))]
-    return k.where("ord % 2 = 1 or ord % 4 = 0").groupBy(*KEY).agg(*first), k.where("ord % 4 = 2 or ord % 8 = 3")
+    first = k.groupBy(*KEY).agg(F.min_by(F.struct(*STORED), "ord").alias("e"))
+    both = k.join(first, KEY)
+    return both.select(*k.columns, *[F.when(c("e.ord") < c("ord"), c(f"e.{x}")).alias(f"e_{x}") for x in STORED])
 
 
-@query("M1_M2_M3_merge_records", f"""WITH {SPLIT} SELECT n.id, CASE WHEN {PLACE.format("n.creditor_name")} OR n.first4 = '' OR {PLACE.format("n.credit_bureau")} THEN 'INVALID_DATA' WHEN o.e_id IS NOT NULL THEN 'MERGED' ELSE 'NEW' END AS action, o.e_id AS existing_id,
-    CASE WHEN {PLACE.format("e_balance")} AND NOT {PLACE.format("n.account_balance")} THEN n.account_balance ELSE e_balance END AS balance, CASE WHEN {PLACE.format("e_limit")} AND NOT {PLACE.format("n.credit_limit")} THEN n.credit_limit ELSE e_limit END AS "limit",
-    CASE WHEN length(n.account_number) > length(e_number) THEN n.account_number ELSE e_number END AS number, greatest(e_count, n.dispute_count) AS disputes
-    FROM n LEFT JOIN o ON n.user_id = o.user_id AND n.creditor_name = o.creditor_name AND n.first4 = o.first4 AND n.date_opened = o.date_opened AND n.credit_bureau = o.credit_bureau""")
+@query("M1_M2_M3_merge_records", f"""WITH {SPLIT} SELECT id, CASE WHEN {PLACE.format("creditor_name")} OR first4 = '' OR {PLACE.format("credit_bureau")} THEN 'INVALID_DATA' WHEN e_id IS NOT NULL THEN 'MERGED' ELSE 'NEW' END AS action, e_id AS existing_id,
+    {", ".join(f"CASE WHEN e_id IS NOT NULL AND {PLACE.format(f'e_{x}')} AND NOT {PLACE.format(x)} THEN {x} ELSE e_{x} END AS {x}" for x in [*FIELDS, "date_opened"])},
+    CASE WHEN e_id IS NOT NULL AND ({PLACE.format("e_account_number")} OR length(account_number) > length(e_account_number)) THEN account_number ELSE e_account_number END AS number, CASE WHEN e_id IS NOT NULL THEN greatest(e_dispute_count, dispute_count) END AS disputes FROM n""")
 def merge_records(v: Views) -> DataFrame:
     """Each incoming record against the stored state: new, merged (placeholders filled) or invalid."""
-    old, new = split(v)
-    met = new.join(old, KEY, "left")
+    stored = c("e_id").isNotNull()
     invalid = is_placeholder(c("creditor_name")) | (c("first4") == "") | is_placeholder(c("credit_bureau"))
-    action = F.when(invalid, "INVALID_DATA").when(c("e_id").isNotNull(), "MERGED").otherwise("NEW")
-    return met.select(
+    longer = stored & (is_placeholder(c("e_account_number")) | (F.length("account_number") > F.length("e_account_number")))
+    return met(v).select(
         "id",
-        action.alias("action"),
+        F.when(invalid, "INVALID_DATA").when(stored, "MERGED").otherwise("NEW").alias("action"),
         c("e_id").alias("existing_id"),
-        fill(c("e_balance"), c("account_balance")).alias("balance"),
-        fill(c("e_limit"), c("credit_limit")).alias("limit"),
-        F.when(F.length("account_number") > F.length("e_number"), c("account_number")).otherwise(c("e_number")).alias("number"),
-        F.greatest("e_count", "dispute_count").alias("disputes"),
+        *[F.when(stored, fill(c(f"e_{x}"), c(x))).alias(x) for x in [*FIELDS, "date_opened"]],
+        F.when(longer, c("account_number")).otherwise(c("e_account_number")).alias("number"),
+        F.when(stored, F.greatest("e_dispute_count", "dispute_count")).alias("disputes"),
     )
 
 
-@query("M4_save_outcome", f"""WITH {SPLIT} SELECT n.id, CASE WHEN n.creditor_name = '' OR n.account_number = '' OR n.credit_bureau = '' OR n.date_opened = '' THEN 'skipped: partial' WHEN o.e_id IS NULL THEN 'inserted' WHEN {ENRICH.format("e_balance")} OR {ENRICH.format("e_limit")} THEN 'updated' ELSE 'skipped: complete' END AS outcome
-    FROM n LEFT JOIN o ON n.user_id = o.user_id AND n.creditor_name = o.creditor_name AND n.first4 = o.first4 AND n.date_opened = o.date_opened AND n.credit_bureau = o.credit_bureau""")
+@query("M4_save_outcome", f"""WITH {SPLIT} SELECT id, CASE WHEN creditor_name = '' OR account_number = '' OR credit_bureau = '' OR date_opened = '' THEN 'skipped: partial' WHEN e_id IS NULL THEN 'inserted' WHEN {" OR ".join(f"({ENRICH.format(f'e_{x}')} AND NOT {ENRICH.format(x)})" for x in FIELDS)} THEN 'updated' ELSE 'skipped: complete' END AS outcome,
+    array_to_string(list_filter([{", ".join(f"CASE WHEN e_id IS NOT NULL AND {ENRICH.format(f'e_{x}')} AND NOT {ENRICH.format(x)} THEN '{x}' END" for x in FIELDS)}], lambda x: x IS NOT NULL), ',') AS enriched FROM n""")
 def save_outcome(v: Views) -> DataFrame:
-    old, new = split(v)
+    """What becomes of each record, and the fields of the stored one that it enriches."""
     partial = (c("creditor_name") == "") | (c("account_number") == "") | (c("credit_bureau") == "") | (c("date_opened") == "")
-    outcome = F.when(partial, "skipped: partial").when(c("e_id").isNull(), "inserted").when(needs_enrichment(c("e_balance")) | needs_enrichment(c("e_limit")), "updated").otherwise("skipped: complete")
-    return new.join(old, KEY, "left").select("id", outcome.alias("outcome"))
+    gains = {x: c("e_id").isNotNull() & needs_enrichment(c(f"e_{x}")) & ~needs_enrichment(c(x)) for x in FIELDS}
+    some = F.array_compact(F.array(*[F.when(g, x) for x, g in gains.items()]))
+    outcome = F.when(partial, "skipped: partial").when(c("e_id").isNull(), "inserted").when(F.size(some) > 0, "updated").otherwise("skipped: complete")
+    return met(v).select("id", outcome.alias("outcome"), F.array_join(some, ",").alias("enriched"))
 
 
 def fold(field: str, order: str = "ord") -> Column:
@@ -85,22 +87,19 @@ def sequential_enrichment(v: Views) -> DataFrame:
 EMPTY = "({0} IS NULL OR {0} IN ('', '$0'))"
 
 
-@query("M7_sparse_update", f"""WITH {SPLIT} SELECT n.id, CASE WHEN {EMPTY.format("e_balance")} AND NOT {EMPTY.format("n.account_balance")} THEN n.account_balance END AS set_balance, CASE WHEN {EMPTY.format("e_limit")} AND NOT {EMPTY.format("n.credit_limit")} THEN n.credit_limit END AS set_limit, CASE WHEN n.is_negative THEN true END AS set_negative
-    FROM n JOIN o ON n.user_id = o.user_id AND n.creditor_name = o.creditor_name AND n.first4 = o.first4 AND n.date_opened = o.date_opened AND n.credit_bureau = o.credit_bureau""")
-def sparse_update(v: Views) -> DataFrame:
-    """Only the fields that change; null leaves a field as it is, and negative stays once it is set."""
-    old, new = split(v)
+CHANGES = [*FIELDS, "credit_bureau"]
 
-    def change(e: str, n: str) -> Column:
-        empty = [c(x).isNull() | c(x).isin(MERGEABLE) for x in (e, n)]
-        return F.when(empty[0] & ~empty[1], c(n))
 
-    return new.join(old, KEY).select("id", change("e_balance", "account_balance").alias("set_balance"), change("e_limit", "credit_limit").alias("set_limit"), F.when(c("is_negative"), True).alias("set_negative"))
+@query("M7_sparse_update", f"""WITH {SPLIT} SELECT id, {", ".join(f"CASE WHEN {EMPTY.format(f'e_{x}')} AND NOT {EMPTY.format(x)} THEN {x} END AS set_{x}" for x in CHANGES)}, CASE WHEN is_negative AND NOT e_is_negative THEN true END AS set_negative FROM n WHERE e_id IS NOT NULL""")
+def sparse_update(v: Views) -> DataFrame:
+    """Only the fields that change; null leaves a field as it is, and negative stays once it is set."""
+    changes = [F.when(is_empty_merge(c(f"e_{x}")) & ~is_empty_merge(c(x)), c(x)).alias(f"set_{x}") for x in CHANGES]
+    return met(v).where(c("e_id").isNotNull()).select("id", *changes, F.when(c("is_negative") & ~c("e_is_negative"), True).alias("set_negative"))
 
 
-@query("M8_validate_and_fix", "SELECT id, upper(trim(creditor_name)) AS creditor_name, 'Equifax' AS credit_bureau, coalesce(nullif(account_type, ''), 'other') AS account_type FROM tradelines WHERE trim(creditor_name) <> ''")
+@query("M8_validate_and_fix", "SELECT id, upper(trim(creditor_name)) AS creditor_name, coalesce(nullif(credit_bureau, ''), 'Unknown') AS credit_bureau, coalesce(nullif(account_type, ''), 'other') AS account_type FROM tradelines WHERE trim(creditor_name) <> ''")
 def validate_and_fix(v: Views) -> DataFrame:
-    return v.tradelines.where(F.trim("creditor_name") != "").select("id", F.upper(F.trim("creditor_name")).alias("creditor_name"), F.lit("Equifax").alias("credit_bureau"), F.coalesce(F.nullif("account_type", F.lit("")), F.lit("other")).alias("account_type"))
+    return v.tradelines.where(F.trim("creditor_name") != "").select("id", F.upper(F.trim("creditor_name")).alias("creditor_name"), F.coalesce(F.nullif("credit_bureau", F.lit("")), F.lit("Unknown")).alias("credit_bureau"), F.coalesce(F.nullif("account_type", F.lit("")), F.lit("other")).alias("account_type"))
 
 
 @query("M10_potential_duplicates", "SELECT user_id, creditor_name, account_number, count(*) AS n, min(id) AS first_id FROM tradelines WHERE creditor_name <> '' AND account_number <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1")

@@ -15,7 +15,8 @@ c = F.col
 TYPES = ["Credit Card", "credit_card", "Auto Loan", "auto_loan", "Mortgage", "mortgage", "Student Loan", "student_loan", "Personal Loan", "personal_loan", "Store Card", "store_card", "Line of Credit", "line_of_credit", "Installment Loan", "installment", "Business", "business", "Secured", "secured"]
 STATUSES = ["Open", "Closed", "Current", "Late", "Charged Off", "Collection", "Paid", "Settled", "Dispute"]
 BUREAUS = ["Experian", "Equifax", "TransUnion"]
-STATES = ["TX", "GA", "PA"]
+STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split()
+#: Formats of amounts, account numbers and dates.
 CURRENCY, MASKED, FULL = r"^\$?\d{1,3}(,\d{3})*(\.\d{2})?$|^\$?\d+(\.\d{2})?$", r"^[*xX]{2,}\d{2,}$", r"^[A-Za-z0-9*xX-]{4,}$"
 DATE = r"^\d{1,2}/\d{1,2}/\d{4}$|^\d{4}-\d{2}-\d{2}$|^\d{1,2}-\d{1,2}-\d{4}$"
 
@@ -35,6 +36,20 @@ def in_sql(value: str, known: list[str]) -> str:
     return f"{value} IN ({', '.join(repr(k) for k in known)})"
 
 
+def possible_day(value: Column) -> Column:
+    """Of a date in one of the formats: a month of the year, a day up to 31, and a year from 1900 to that of AS_OF."""
+    parts = F.split(value, "[/-]")
+    iso = F.length(parts[0]) == 4
+    year, month, day = (F.when(iso, parts[i]).otherwise(parts[j]).try_cast("int") for i, j in ((0, 2), (1, 0), (2, 1)))
+    return month.between(1, 12) & day.between(1, 31) & year.between(1900, int(AS_OF[:4]))
+
+
+def possible_day_sql(f: str) -> str:
+    part = f"string_split_regex({f}, '[/-]')"
+    year, month, day = (f"TRY_CAST(CASE WHEN length({part}[1]) = 4 THEN {part}[{i}] ELSE {part}[{j}] END AS INTEGER)" for i, j in ((1, 3), (2, 1), (3, 2)))
+    return f"({month} BETWEEN 1 AND 12 AND {day} BETWEEN 1 AND 31 AND {year} BETWEEN 1900 AND {AS_OF[:4]})"
+
+
 def field_score(name: str, value: Column) -> Column:
     """Confidence of one field; below zero where it is invalid."""
     if name == "creditor":
@@ -45,7 +60,7 @@ def field_score(name: str, value: Column) -> Column:
     if name == "account":
         return F.when(value == "", 0.4).when(value.rlike(MASKED), 0.9).when(value.rlike(FULL), 0.8).otherwise(-0.2)
     if name == "date":
-        return F.when(value == "", 0.3).when(value.rlike(DATE), 0.9).otherwise(-0.1)
+        return F.when(value == "", 0.3).when(value.rlike(DATE), F.when(possible_day(value), 0.9).otherwise(-0.3)).otherwise(-0.1)
     if name == "type":
         return F.when(value == "", -0.01).when(value.isin(TYPES), 0.95).when(within(value, TYPES), 0.8).otherwise(-0.3)
     if name == "status":
@@ -59,7 +74,7 @@ def score_sql(name: str, f: str) -> str:
         "creditor": f"CASE WHEN {f} = '' THEN -0.01 WHEN length({f}) >= 3 AND regexp_matches({f}, '[A-Za-z]') THEN CASE WHEN regexp_matches(upper({f}), 'BANK|CREDIT|CAPITAL|CHASE|AMEX') THEN 0.95 ELSE 0.9 END ELSE -0.3 END",
         "currency": f"CASE WHEN {f} = '' THEN 0.5 WHEN regexp_matches({f}, '{CURRENCY}') THEN CASE WHEN {amount} BETWEEN 0 AND 1000000 THEN 0.9 ELSE -0.3 END WHEN regexp_matches({f}, '\\d') THEN 0.6 ELSE -0.1 END",
         "account": f"CASE WHEN {f} = '' THEN 0.4 WHEN regexp_matches({f}, '{MASKED}') THEN 0.9 WHEN regexp_matches({f}, '{FULL}') THEN 0.8 ELSE -0.2 END",
-        "date": f"CASE WHEN {f} = '' THEN 0.3 WHEN regexp_matches({f}, '{DATE}') THEN 0.9 ELSE -0.1 END",
+        "date": f"CASE WHEN {f} = '' THEN 0.3 WHEN regexp_matches({f}, '{DATE}') THEN CASE WHEN {possible_day_sql(f)} THEN 0.9 ELSE -0.3 END ELSE -0.1 END",
         "type": f"CASE WHEN {f} = '' THEN -0.01 WHEN {in_sql(f, TYPES)} THEN 0.95 WHEN {within_sql(f, TYPES)} THEN 0.8 ELSE -0.3 END",
         "status": f"CASE WHEN {f} = '' THEN 0.4 WHEN {in_sql(f, STATUSES)} THEN 0.9 WHEN {within_sql(f, STATUSES)} THEN 0.7 ELSE 0.5 END",
         "bureau": f"CASE WHEN {f} = '' THEN 0.3 WHEN {in_sql(f, BUREAUS)} THEN 0.95 WHEN {within_sql(f, BUREAUS)} THEN 0.8 ELSE 0.4 END",
@@ -159,7 +174,10 @@ def report_checks(v: Views) -> DataFrame:
     return v.tradelines.select("id", F.array_join(F.array_compact(F.array(*[F.when(r, m) for r, m in rules])), "; ").alias("errors"))
 
 
-@query("V12_V13_profile_forms", r"""SELECT user_id, length(first_name) BETWEEN 1 AND 50 AS name_ok, state IN ('TX', 'GA', 'PA') AS state_ok, regexp_full_match(zip_code, '\d{5}(-\d{4})?') AS zip_ok, ssn = '' OR regexp_full_match(ssn, '\d{3}-?\d{2}-?\d{4}') AS ssn_ok, regexp_full_match(email, '[^@\s]+@[^@\s]+\.[^@\s]+') AS email_ok, regexp_matches(right(ssn, 4), '^\d{4}$') AS last_four_ok FROM profiles""")
+STATES_SQL = ", ".join(f"'{x}'" for x in STATES)
+
+
+@query("V12_V13_profile_forms", r"""SELECT user_id, length(first_name) BETWEEN 1 AND 50 AS name_ok, state IN ({STATES_SQL}) AS state_ok, regexp_full_match(zip_code, '\d{5}(-\d{4})?') AS zip_ok, ssn = '' OR regexp_full_match(ssn, '\d{3}-?\d{2}-?\d{4}') AS ssn_ok, regexp_full_match(email, '[^@\s]+@[^@\s]+\.[^@\s]+') AS email_ok, regexp_matches(right(ssn, 4), '^\d{4}$') AS last_four_ok FROM profiles""".replace("{STATES_SQL}", STATES_SQL))
 def profile_forms(v: Views) -> DataFrame:
     return v.profiles.select(
         "user_id",
@@ -170,3 +188,13 @@ def profile_forms(v: Views) -> DataFrame:
         c("email").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$").alias("email_ok"),
         F.right("ssn", F.lit(4)).rlike(r"^\d{4}$").alias("last_four_ok"),
     )
+
+
+@query("D7_date_checks", rf"""SELECT id, CASE WHEN trim(date_opened) = '' THEN 'empty' WHEN NOT regexp_matches(trim(date_opened), '{DATE}') THEN 'unrecognized' WHEN {possible_day_sql("trim(date_opened)")} THEN 'valid' ELSE 'out of range' END AS verdict FROM tradelines
+    UNION ALL SELECT 'X' || CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 32 > 12 OR o_orderkey % 32 = 0 OR o_orderkey % 40 = 0 OR o_orderkey % 40 > 31 THEN 'out of range' ELSE 'valid' END AS verdict FROM orders""")
+def date_checks(v: Views) -> DataFrame:
+    """Three formats, and a day that can be; the second half checks made-up days, which often cannot."""
+    value = F.trim("date_opened")
+    verdict = F.when(value == "", "empty").when(~value.rlike(DATE), "unrecognized").when(possible_day(value), "valid").otherwise("out of range")
+    made = v.table("orders").select(F.concat(F.lit("X"), "o_orderkey").alias("id"), F.concat_ws("/", c("o_orderkey") % 32, c("o_orderkey") % 40, F.lit("1999")).alias("date_opened"))
+    return v.tradelines.select("id", "date_opened").unionByName(made).select("id", verdict.alias("verdict"))

@@ -45,9 +45,9 @@ def read_text(spark, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.lit(1.0).alias("confidence"))
 
 
-@query("S7_retention", "SELECT id FROM disputes WHERE created_on >= DATE '2001-08-02' - 7 * 52")
+@query("S7_retention", "SELECT id FROM disputes WHERE created_on >= DATE '2001-08-02' - 7")
 def retention(v: Views) -> DataFrame:
-    return v.disputes.where(c("created_on") >= F.date_sub(F.lit("2001-08-02").cast("date"), 7 * 52)).select("id")
+    return v.disputes.where(c("created_on") >= F.date_sub(F.lit("2001-08-02").cast("date"), 7)).select("id")
 
 
 @query("S10_S12_process_by_kind", f"SELECT kind, count(*) AS total, count(*) FILTER (WHERE ok) AS successful, count(*) FILTER (WHERE NOT ok) AS failed FROM (SELECT {KIND_SQL} AS kind, {KIND_SQL} IN ('pdf', 'txt') AND length(trim(text)) > 0 AS ok FROM files) GROUP BY kind")
