@@ -480,6 +480,28 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# all ---------------------------------------------------------------------------------------------------------------
+
+COLUMNS = {
+    "op2_main_text": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
+    "op3_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op4_secrets": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op5_neighbours": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op6_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op7_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op8_language": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op9_decontamination": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
+    "op10_neardup": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_columns_of_queries(spark, sf_dir, name):
+    from ledgerloom.llm import registry
+
+    assert dict(registry.QUERIES[name](spark, sf_dir).dtypes) == COLUMNS[name]
+
+
 # pipeline ----------------------------------------------------------------------------------------------------------
 
 
