@@ -68,3 +68,26 @@ def test_balanced_json():
 def test_page_numbers():
     assert page_numbers(1, 3) == [1, 2, 3]
     assert page_numbers(7, 40) == [1, None, 5, 6, 7, 8, 9, None, 40]
+
+
+def test_bureau_fixture(spark):
+    """A heading that names TransUnion: its name twice (0.9) and the phrase with it (0.7), all at the top."""
+    from types import SimpleNamespace
+
+    from ledgerloom.operators import bureaus
+
+    text = "TransUnion Credit Report\n\n" + "\n\n".join(f"{name}\nAccount Number: ****{n}\nCredit Card\nBalance: $500.00" for name, n in (("CHASE BANK USA, N.A.", 1234), ("CAPITAL ONE BANK USA, N.A.", 5678), ("WELLS FARGO AUTO", 9012)))
+    other = "x" * 60 + "\nThe following accounts are listed on your credit file\nVantageScore by Experian"
+    v = SimpleNamespace(reports=spark.createDataFrame([(1, text), (2, other), (3, "Experian")], "ord long, text string"))
+    counts = {(r.ord, r.bureau): (r.n, r.best) for r in bureaus.indicator_counts(v).collect()}
+    assert counts == {(1, "TransUnion"): (3, 0.9), (2, "Equifax"): (1, 0.5), (2, "Experian"): (2, 0.9), (3, "Experian"): (3, 0.95)}
+    found = {r.ord: (r.bureau, r.confidence) for r in bureaus.detected_bureau(v).collect()}
+    assert found[1] == ("TransUnion", 0.8772) and found[3][0] == "Unknown"
+
+
+def test_date_ranges(spark):
+    from ledgerloom.operators.validation import field_score
+
+    values = {"01/15/2020": -0.3, "01/15/2000": 0.9, "2000-12-31": 0.9, "99/99/2000": -0.3, "12-31-1899": -0.3, "": 0.3, "May 2000": -0.1}
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", field_score("date", F.col("v")).alias("s")).collect()
+    assert {r.v: r.s for r in rows} == values
