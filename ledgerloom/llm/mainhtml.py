@@ -322,11 +322,13 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
             by_host[row["host"]][row["hash"]] = row["level"]
         shared = source.sparkSession.sparkContext.broadcast(dict(by_host))
         return source.mapInArrow(lambda batches: texts(batches, lambda batch: [shared.value.get(h, {}) for h in batch.column("host").to_pylist()]), OUT)
-    # a host may have a third of all pages, so its templates are repeated and its pages dealt over the copies
+    # a host may have a third of all pages, so its templates are repeated and its pages dealt over the copies; each row is
+    # joined by a key of its own, as ids may be null or repeat
+    keyed = stage_table(source.withColumn("row", F.monotonically_increasing_id()), "pages")
     salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = page_hashes(source).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "hash", "salt"])
-    lists = own.groupBy("page_id", "host").agg(F.collect_set(F.struct("hash", "level")).alias("template"))
-    joined = source.join(lists, ["page_id", "host"], "left")
+    own = page_hashes(keyed.select(F.col("row").alias("page_id"), "host", "html")).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "hash", "salt"])
+    lists = own.groupBy(F.col("page_id").alias("row")).agg(F.collect_set(F.struct("hash", "level")).alias("template"))
+    joined = keyed.join(lists, "row", "left")
     return joined.mapInArrow(lambda batches: texts(batches, lambda batch: [{e["hash"]: e["level"] for e in x or ()} for x in batch.column("template").to_pylist()]), OUT)
 
 

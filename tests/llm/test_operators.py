@@ -97,6 +97,12 @@ def test_templates_without_article(spark, broadcast_rows):
     got = {r.page_id: r.text for r in mainhtml.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_rows=broadcast_rows).collect()}
     assert got[3] == "Own text 3"
     assert got[20] == "Shared line of the site\nOwn text 20\nShared end"
+    # ids that repeat or are null, and no rows at all
+    rows = [(None if i < 4 else 1, url, html) for i, (_, url, html) in enumerate(rows[:8])]
+    got = mainhtml.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_rows=broadcast_rows).collect()
+    assert sorted(r.text for r in got) == [f"Own text {i}" for i in range(8)]
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert mainhtml.extract(empty, broadcast_rows=broadcast_rows).count() == 0
 
 
 @pytest.mark.parametrize("broadcast_rows", [1000, 0])
