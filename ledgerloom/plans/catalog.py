@@ -16,6 +16,7 @@ MODULES = [
     "operators.validation",
     "operators.bureaus",
     "operators.extraction",
+    "operators.parsers",
     "operators.letters",
     "operators.access",
     "operators.vectors",

@@ -76,6 +76,14 @@ VIEWS = {
         WHEN 2 THEN 'Credit Report from TransUnion' || chr(10) || 'Satisfactory Accounts' || chr(10) WHEN 3 THEN 'short' ELSE 'Experian Equifax TransUnion combined personal credit file' || chr(10) END
         || CASE WHEN o_custkey % 5 = 3 THEN '' ELSE 'CHASE BANK USA' || chr(10) || 'Account: ' || CAST(40000000 + o_custkey AS STRING) || chr(10) || 'Opened 01/15/2020 Balance $1,250.00' || chr(10) || 'Status: Current' || chr(10) || 'CAPITAL ONE' || chr(10)
         || 'Account Number ' || CAST(627804 + o_custkey AS STRING) || 'XXXX' || chr(10) || 'Charge off in Jan 2019, late payment, limit $500' || chr(10) || 'Generated by Equifax 7/23/24, 3:58 PM' || chr(10) || 'payment history and balance' END AS text, count(*) AS n_orders FROM orders GROUP BY o_custkey""",
+    "statements": f"""SELECT o_orderkey AS ord, {pick("o_orderkey", ["Experian", "Equifax", "TransUnion", ""])} AS bureau, CASE o_orderkey % 4
+        WHEN 1 THEN 'Accounts with adverse information' || chr(10) || upper({pick("o_custkey", CREDITORS)}) || chr(10) || 'Account number: ' || CAST(40000000 + o_custkey AS STRING) || chr(10) || 'Date opened: ' || {MONTH} || '/' || {DAY} || '/' || {YEAR} || chr(10) || chr(10)
+            || 'Current balance: $' || CAST(10 + o_custkey % 90 AS STRING) || ',250.00' || chr(10) || CASE WHEN o_custkey % 2 = 0 THEN 'High credit 900' ELSE 'Credit limit: $5,000' END || chr(10) || 'Revolving, ' || {pick("(o_orderkey + o_custkey)", STATUSES)} || chr(10) || 'DISCOVER 22' || chr(10) || '  # 5555123456  Home loan, terminated'
+        WHEN 2 THEN 'Account Information Summary' || chr(10) || {pick("o_custkey", CREDITORS)} || chr(10) || 'Account Number: ' || CAST(40000000 + o_custkey AS STRING) || chr(10) || 'Date Opened: ' || {MONTH} || '-' || {DAY} || '-' || {YEAR} || chr(10)
+            || 'Balance: $' || CAST(10 + o_custkey % 90 AS STRING) || ',250.00' || chr(10) || 'High Balance: $5,000; Monthly Payment: $35.00' || chr(10) || {pick("(o_orderkey + o_custkey)", STATUSES)} || ' vehicle' || chr(10) || ' ----- ' || chr(10) || 'Account: 12345678 of nobody' || chr(10) || 'NAVY FEDERAL' || chr(10) || 'Acct #: 5555123456, installment'
+        ELSE 'Report of July' || chr(10) || 'Potentially Negative Items' || chr(10) || {pick("o_custkey", CREDITORS)} || ' Account: ' || CAST(40000000 + o_custkey AS STRING) || chr(10) || 'Opened: ' || {MONTH} || '/' || {YEAR} || ' Balance: $' || CAST(10 + o_custkey % 90 AS STRING) || ',250.00' || chr(10)
+            || {pick("(o_orderkey + o_custkey)", STATUSES)} || ', limit $5,000' || chr(10) || 'Accounts in Good Standing' || chr(10) || 'WELLS FARGO Account #' || CAST(627804 + o_custkey AS STRING) || chr(10) || 'opened Jan 2019, owes 1,200.00' || chr(10) || 'Current'
+            || CASE WHEN o_custkey % 3 = 0 THEN chr(10) || 'Potentially Negative Items' || chr(10) || 'USAA Account: 77771234' || chr(10) || 'balance $90, closed' ELSE '' END END AS text FROM orders""",
     "files": """SELECT doc_id, source, lang, text, n_chars * 700 AS n_bytes, CASE doc_id % 7 WHEN 0 THEN 'scan_' || CAST(doc_id AS STRING) || '.pdf' WHEN 1 THEN 'report.PDF' WHEN 2 THEN 'photo.jpeg' WHEN 3 THEN 'letter.docx' WHEN 4 THEN 'notes.txt' WHEN 5 THEN 'archive.zip' ELSE 'noextension' END AS name,
         CASE WHEN doc_id % 5 = 0 THEN 'application/octet-stream' ELSE 'application/pdf' END AS mime, CAST(doc_id % 400 AS INT) AS pages FROM documents""",
 }
