@@ -12,67 +12,149 @@ from ..plans.registry import query
 from ..plans.views import Views
 
 c = F.col
-#: Labels that introduce a field, in order.
-AMOUNT, WHEN = r"\$?([\d,]+\.?\d*)", r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
-LABELS = {
-    "account_number": ([r"account\s*(?:number|#|num)", r"acct\s*(?:number|#|num)", r"ref\s*(?:number|#|num)"], r"([*\dX-]{4,})"),
-    "current_balance": ([r"current\s*balance", "balance", r"curr\s*bal", "outstanding", r"amount\s*owed", r"balance\s*due"], AMOUNT),
-    "credit_limit": ([r"credit\s*limit", "limit", r"credit\s*line", r"high\s*credit", r"high\s*balance", r"max\s*credit", r"available\s*credit"], AMOUNT),
-    "monthly_payment": ([r"monthly\s*payment", r"payment\s*amount", r"min\s*payment", r"minimum\s*payment", r"scheduled\s*payment", r"contract\s*payment"], AMOUNT),
-    "date_opened": (["opened", r"date\s*opened", r"account\s*opened", r"open\s*date", r"start\s*date"], WHEN),
-    "date_closed": (["closed", r"date\s*closed", r"account\s*closed", r"close\s*date", r"end\s*date"], WHEN),
-    "account_status": ([r"account\s*status", "status"], r"([a-zA-Z ]+)"),
+#: The patterns of each field, in order; the first group is the value, in either case.
+PATTERNS = {
+    "account_number": [
+        r"account\s*(?:number|#|num)[\s:]*([*\dX-]{4,})",
+        r"acct\s*(?:number|#|num)[\s:]*([*\dX-]{4,})",
+        r"ref\s*(?:number|#|num)[\s:]*([*\dX-]{4,})",
+        r"(\*{4,}\d{4}|\d{4}\*{4,}|[*X]{4,}\d{4}|\d{4}[*X]{4,})",
+        r"([*X-]{4,}\d{4,}|\d{4,}[*X-]{4,})",
+    ],
+    "current_balance": [
+        r"current\s*balance[\s:]*\$?([\d,]+\.?\d*)",
+        r"balance[\s:]*\$?([\d,]+\.?\d*)",
+        r"curr\s*bal[\s:]*\$?([\d,]+\.?\d*)",
+        r"outstanding[\s:]*\$?([\d,]+\.?\d*)",
+        r"amount\s*owed[\s:]*\$?([\d,]+\.?\d*)",
+        r"balance\s*due[\s:]*\$?([\d,]+\.?\d*)",
+    ],
+    "credit_limit": [
+        r"credit\s*limit[\s:]*\$?([\d,]+\.?\d*)",
+        r"limit[\s:]*\$?([\d,]+\.?\d*)",
+        r"credit\s*line[\s:]*\$?([\d,]+\.?\d*)",
+        r"high\s*credit[\s:]*\$?([\d,]+\.?\d*)",
+        r"high\s*balance[\s:]*\$?([\d,]+\.?\d*)",
+        r"max\s*credit[\s:]*\$?([\d,]+\.?\d*)",
+        r"available\s*credit[\s:]*\$?([\d,]+\.?\d*)",
+    ],
+    "monthly_payment": [
+        r"monthly\s*payment[\s:]*\$?([\d,]+\.?\d*)",
+        r"payment\s*amount[\s:]*\$?([\d,]+\.?\d*)",
+        r"min\s*payment[\s:]*\$?([\d,]+\.?\d*)",
+        r"minimum\s*payment[\s:]*\$?([\d,]+\.?\d*)",
+        r"scheduled\s*payment[\s:]*\$?([\d,]+\.?\d*)",
+        r"contract\s*payment[\s:]*\$?([\d,]+\.?\d*)",
+    ],
+    "date_opened": [
+        r"opened[\s:]*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",
+        r"date\s*opened[\s:]*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",
+        r"account\s*opened[\s:]*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",
+        r"open\s*date[\s:]*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",
+        r"start\s*date[\s:]*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",
+    ],
+    "date_closed": [
+        r"closed[\s:]*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",
+        r"date\s*closed[\s:]*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",
+        r"account\s*closed[\s:]*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",
+        r"close\s*date[\s:]*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",
+        r"end\s*date[\s:]*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",
+    ],
+    "payment_status": [
+        r"(current|pays as agreed|ok|good)",
+        r"(\d+)\s*days?\s*late",
+        r"(past due|delinquent|late)",
+        r"(charged off|charge[- ]?off)",
+        r"(collection|collections)",
+        r"(settled|settlement)",
+        r"(bankruptcy|bk)",
+    ],
+    "account_status": [
+        r"status[\s:]*([a-zA-Z\s]+)",
+        r"account\s*status[\s:]*([a-zA-Z\s]+)",
+        r"(open|closed|transferred|sold)",
+        r"(active|inactive)",
+    ],
 }
-CREDITORS = ["chase", r"capital\s*one", r"american\s*express|amex", r"bank\s*of\s*america|boa", r"wells\s*fargo", "citi", "discover", "synchrony", "honda", "ford", "toyota", "navient", "nelnet", r"rocket\s*mortgage", r"navy\s*federal", "usaa", r"lending\s*club"]
-CLEAN = {"account_number": "[^0-9*X-]", "current_balance": "[^0-9.,]", "credit_limit": "[^0-9.,]", "monthly_payment": "[^0-9.,]", "date_opened": "[^0-9/-]", "date_closed": "[^0-9/-]"}
-
-
-def field(text: Column, name: str) -> Column:
-    """The value after the first label that gives one; amounts of zero and too short values are none."""
-    labels, value = LABELS[name]
-    tries = []
-    for label in labels:
-        got = F.trim(F.regexp_extract(text, rf"(?im){label}[\s:]*{value}", 1))
-        if name in CLEAN:
-            got = F.regexp_replace(got, CLEAN[name], "")
-        if name in ("current_balance", "credit_limit", "monthly_payment"):
-            got = F.when(~got.isin("", "0", "0.00", ".00"), got)
-        elif name != "account_status":
-            got = F.when(F.length(got) >= (4 if name == "account_number" else 6), got)
-        else:
-            got = F.nullif(got, F.lit(""))
-        tries.append(got)
-    return F.coalesce(*tries)
+#: Creditors in order, in either case.
+CREDITORS = [
+    r"chase(?:\s+(?:bank|card))?", r"capital\s*one", r"american\s*express|amex", r"bank\s*of\s*america|boa", r"wells\s*fargo", "citi", "discover", "synchrony", "barclay", r"us\s*bank",
+    r"amazon(?:\s+(?:store|card))?", r"target(?:\s+(?:card))?", r"home\s*depot", "lowes?", "walmart", "costco", "nordstrom", "macy's|macys", "kohl's|kohls", r"best\s*buy",
+    r"ford\s*(?:credit|motor\s*credit)?", r"honda\s*(?:financial|finance)?", r"toyota\s*(?:financial|finance)?", r"nissan\s*(?:motor|financial)?", r"gm\s*financial", r"chrysler\s*capital", r"ally\s*(?:auto|financial)?", "santander",
+    "navient", r"great\s*lakes", "nelnet", "fedloan", "mohela", r"dept\.?\s*of\s*education|department\s*of\s*education", r"student\s*loan",
+    r"quicken\s*loans|rocket\s*mortgage", r"freedom\s*mortgage", "pennymac", "caliber", "mortgage",
+    r"navy\s*federal", "usaa", r"pentagon\s*fcu", r"credit\s*union",
+    "paypal", "affirm", "klarna", "sofi", "upstart", r"lending\s*club", "prosper", "avant", "onemain",
+]
+AMOUNTS, DAYS, STATES = ("current_balance", "credit_limit", "monthly_payment"), ("date_opened", "date_closed"), ("payment_status", "account_status")
+CLEAN = {"account_number": "[^0-9*X-]", **dict.fromkeys(AMOUNTS, "[^0-9.,]"), **dict.fromkeys(DAYS, "[^0-9/-]"), **dict.fromkeys(STATES, r"^\s+|\s+$")}
+#: What counts as no value, and what a status is called.
+NOTHING = {**dict.fromkeys(AMOUNTS, ["", "0", "0.00", ".00"]), **dict.fromkeys(STATES, ["", "none", "n/a", "null"])}
+SHORTEST = {"account_number": 4, **dict.fromkeys(DAYS, 6)}
+CALLED = {"Current": "^(current|ok|good|pays as agreed)$", "Late": "late|past due", "Charged Off": "charged off|charge off", "Collection": "collection"}
+
+
+def title(text: Column) -> Column:
+    """Every run of letters with a capital first."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0)), F.initcap), "")
+
+
+def title_sql(text: str) -> str:
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
+
+
+def field(text: Column, low: Column, name: str) -> Column:
+    """The value of the first pattern that gives one; amounts of zero and too short values are none.
+
+    Each pattern runs once and only where those before it gave nothing: what it finds is bound by the filter. Values
+    whose case does not matter are sought in the text in small letters, where patterns need not fold case.
+    """
+
+    def keep(value: Column) -> Column:
+        return F.length(value) >= SHORTEST[name] if name in SHORTEST else ~F.lower(value).isin(NOTHING[name])
+
+    found = [F.regexp_extract(text, f"(?i){p}", 1) if name == "account_number" else F.regexp_extract(low, p, 1) for p in PATTERNS[name]]
+    found = [F.regexp_replace(x, CLEAN[name], "") for x in found]
+    value = F.coalesce(*[F.get(F.filter(F.array(x), keep), F.lit(0)) for x in found])
+    if name not in STATES:
+        return value
+    return F.get(F.transform(F.array(value), lambda x: F.coalesce(*[F.when(x.rlike(p), n) for n, p in CALLED.items()], title(x))), F.lit(0))
 
 
 def field_sql(name: str) -> str:
-    labels, value = LABELS[name]
-    tries = []
-    for label in labels:
-        got = rf"trim(regexp_extract(text, '(?im){label}[\s:]*{value}', 1))"
-        if name in CLEAN:
-            got = f"regexp_replace({got}, '{CLEAN[name]}', '', 'g')"
-        if name in ("current_balance", "credit_limit", "monthly_payment"):
-            got = f"CASE WHEN {got} NOT IN ('', '0', '0.00', '.00') THEN {got} END"
-        elif name != "account_status":
-            got = f"CASE WHEN length({got}) >= {4 if name == 'account_number' else 6} THEN {got} END"
-        else:
-            got = f"nullif({got}, '')"
-        tries.append(got)
-    return f"coalesce({', '.join(tries)})"
+    found = [f"regexp_replace(regexp_extract(text, '(?im){p}', 1), '{CLEAN[name]}', '', 'g')" for p in PATTERNS[name]]
+    keep = f"length(x) >= {SHORTEST[name]}" if name in SHORTEST else "lower(x) NOT IN (" + ", ".join(f"'{x}'" for x in NOTHING.get(name, [])) + ")"
+    value = f"list_filter([{', '.join(found)}], lambda x: {keep})[1]"
+    if name not in STATES:
+        return value
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({value}), '{p}') THEN '{n}'" for n, p in CALLED.items()) + f" ELSE {title_sql(f'lower({value})')} END"
 
 
-def creditor(text: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?i)({p})", 1), F.lit("")) for p in CREDITORS])
+def creditor(text: Column, low: Column) -> Column:
+    """The first known creditor that is named, else the first of the first five lines that is in capitals."""
+    known = F.coalesce(*[F.nullif(F.regexp_extract(low, p, 0), F.lit("")) for p in CREDITORS])
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 5), lambda l: F.regexp_replace(l, r"^\s+|\s+$", ""))
+    capitals = F.get(F.filter(lines, lambda l: (F.length(l) > 3) & l.rlike("[A-Z]") & ~l.rlike("[a-z]")), F.lit(0))
+    return title(F.coalesce(F.trim(F.regexp_replace(known, r"\s+", " ")), capitals))
 
 
-CREDITOR_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, '(?i)({p})', 1), '')" for p in CREDITORS) + ")"
+QUOTED = [p.replace("'", "''") for p in CREDITORS]
+KNOWN_SQL = "trim(regexp_replace(coalesce(" + ", ".join(f"nullif(regexp_extract(text, '(?i){p}', 0), '')" for p in QUOTED) + r"), '\s+', ' ', 'g'))"
+CAPITALS_SQL = r"list_filter(list_transform(string_split(text, chr(10))[1:5], lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), lambda l: length(l) > 3 AND regexp_matches(l, '[A-Z]') AND NOT regexp_matches(l, '[a-z]'))[1]"
 
 
-@query("X6_section_fields", f"SELECT ord, {CREDITOR_SQL} AS creditor, " + ", ".join(f"{field_sql(n)} AS {n}" for n in LABELS) + " FROM sections")
+@query("X6_section_fields", f"SELECT ord, {title_sql('named')} AS creditor, " + ", ".join(f"{field_sql(n)} AS {n}" for n in PATTERNS) + f" FROM (SELECT ord, text, coalesce({KNOWN_SQL}, {CAPITALS_SQL}) AS named FROM sections) WHERE named IS NOT NULL")
 def section_fields(v: Views) -> DataFrame:
-    """All fields of a section in one pass over its text, as column expressions."""
-    return v.sections.select("ord", creditor(c("text")).alias("creditor"), *[field(c("text"), n).alias(n) for n in LABELS])
+    """All fields of the sections that name a creditor, in one pass over their text, as column expressions."""
+    return fields(v.sections)
+
+
+def fields(sections: DataFrame) -> DataFrame:
+    """Sections (ord, text) to their creditor and fields; null where a field is missing, no row without a creditor."""
+    both = sections.select("ord", "text", F.lower("text").alias("low"))
+    # a generator rather than a filter, which would be pushed down and seek the creditor twice
+    named = both.select("ord", "text", "low", F.explode(F.array_compact(F.array(creditor(c("text"), c("low"))))).alias("creditor"))
+    return named.select("ord", "creditor", *[field(c("text"), c("low"), n).alias(n) for n in PATTERNS])
 
 
 @query("X10_X13_X14_small_extractors", r"""SELECT ord, coalesce(list_last(regexp_extract_all(text, '\d{4,16}')), '') AS last_number, coalesce(nullif(regexp_extract(text, '(?i)(?:Account|Acct)(?:\s*[#:]?\s*)(\d{4,16})', 1), ''), nullif(regexp_extract(text, '(?i)(?:Number|No|#)(?:\s*[:]?\s*)(\d{4,16})', 1), ''), nullif(regexp_extract(text, '\b(\d{4,16})\b', 1), ''), '') AS account,
