@@ -257,6 +257,20 @@ def creditor_lines(v: Views) -> DataFrame:
     return hits.groupBy("ord", "name").agg(F.count("*").alias("lines"))
 
 
+#: Creditors that a report is expected to name.
+EXPECTED = [
+    "UPSTART", "SUNRISE BANK", "SCHOOLSFIRST", "SELF FINANCIAL", "WEBBANK", "FINGERHUT", "DISCOVER", "SYNCB", "CARE CREDIT",
+    "CAPITAL ONE", "BANK OF AMERICA", "JPMCB", "CREDIT ONE", "CLIMB", "MOHELA", "LENTEGRITY", "ATLANTIC",
+]
+
+
+@query("X16_expected_creditors", f"SELECT ord, name, mentions FROM (SELECT ord, name, len(string_split(upper(text), name)) - 1 AS mentions FROM sections, (SELECT unnest({EXPECTED}) AS name)) WHERE mentions > 0")
+def expected_creditors(v: Views) -> DataFrame:
+    """How often a text names each expected creditor, in either case; only those that it names."""
+    counts = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_count(F.upper("text"), F.lit(n)).cast("long").alias("mentions")) for n in EXPECTED])
+    return v.sections.select("ord", F.inline(F.filter(counts, lambda x: x["mentions"] > 0)))
+
+
 def table_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tables in text: a header line with known words opens one, lines of three or more columns fill it, others close it."""
     import re
