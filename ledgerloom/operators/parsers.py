@@ -123,7 +123,8 @@ def accounts(reports: DataFrame) -> DataFrame:
     Experian: an account begins at a line that names creditor and account, and needs a number; it is negative if the
     heading above it says so, and what stands under a heading replaces what stood under the same heading before.
     Equifax: a line in capitals begins an account. TransUnion: a line in capitals or of capitalized words does, and a
-    separator ends it. Null and empty texts have no accounts. All windows and the grouping share one shuffle by report.
+    separator ends it. Null and empty texts have no accounts. ``ord`` is unique: rows that share it would be mixed. All
+    windows and the grouping share one shuffle by report.
     """
     form = F.when(c("bureau").isin(EQUIFAX, TRANSUNION), c("bureau")).otherwise(EXPERIAN)
     lines = reports.select("ord", form.alias("form"), F.posexplode(F.split("text", "\n")).alias("n", "raw")).withColumn("n", c("n") + 1)
