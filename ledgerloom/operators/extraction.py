@@ -227,27 +227,6 @@ def sectioned_parser(v: Views) -> DataFrame:
     return out.where("account is not null").withColumn("negative", F.coalesce(c("section") == "negative", F.lit(False)))
 
 
-@query("X5_sections_by_lookahead")
-def sections_by_lookahead(v: Views) -> DataFrame:
-    """Split before creditor names; fewer than two parts: at blank lines; short or unlabelled parts go."""
-    by_name = F.split("text", r"\n\s*(?=CHASE|CAPITAL|WELLS|DISCOVER|AMEX)")
-    parts = F.when(F.size(by_name) >= 2, by_name).otherwise(F.split("text", r"\n\s*\n"))
-    good = F.filter(parts, lambda p: (F.length(p) > 30) & F.lower(p).rlike("account|balance|payment|credit|limit|opened|status"))
-    kept = F.when(F.size(good) > 0, good).otherwise(F.array("text"))
-    return v.reports.select("ord", F.posexplode(kept).alias("n", "section"))
-
-
-@query("X7_X8_entry_parser")
-def entry_parser(v: Views) -> DataFrame:
-    """Entries by known creditors at line starts, their fields, the reason an entry is rejected, one row an account."""
-    entries = v.reports.select("ord", F.posexplode(F.split("text", "(?im)^(?=CHASE|CAPITAL ONE|CITIBANK|AMEX|DISCOVER|WELLS FARGO)")).alias("n", "entry"))
-    head = F.trim(F.regexp_extract("entry", r"^(.*?)(?:\n|Account Number:|Status:)", 1))
-    number = F.regexp_extract("entry", r"(?i)Account(?: Number)?:?\s*(\d{4,}X*)", 1)
-    parsed = entries.where(F.trim("entry") != "").select("ord", "n", F.coalesce(F.nullif(head, F.lit("")), F.lit("Unknown")).alias("creditor"), F.coalesce(F.nullif(number, F.lit("")), F.lit("N/A")).alias("account"), F.regexp_extract("entry", "(?i)collection|charge.?off|late", 0).alias("reason"))
-    first = Window.partitionBy("ord", "creditor", "account").orderBy("n")
-    return parsed.withColumn("k", F.row_number().over(first)).where("k = 1").select("ord", "n", "creditor", "account", "reason", F.when(c("account") == "N/A", "no account number").alias("rejected"))
-
-
 @query("X9_X16_creditor_lines", """WITH l AS (SELECT ord, unnest(string_split(text, chr(10))) AS line FROM reports), k AS (SELECT unnest(['CHASE', 'CAPITAL ONE', 'EQUIFAX', 'EXPERIAN']) AS name) SELECT ord, name, count(*) AS lines FROM l JOIN k ON contains(upper(line), name) GROUP BY 1, 2""")
 def creditor_lines(v: Views) -> DataFrame:
     """Lines that mention each expected name; a line may mention several."""

@@ -162,6 +162,36 @@ def validation_issues(v: Views) -> DataFrame:
     return v.profiles.select("user_id", F.explode(F.array_compact(F.array(*[F.when(r, m) for r, m in rules]))).alias("issue"))
 
 
+#: Amounts of an account that can be.
+LEAST_BALANCE, MOST_BALANCE = 0, 100000
+
+
+def account_issues(accounts: DataFrame, as_of: str) -> DataFrame:
+    """Accounts (id, creditor_name, balance, date_opened, date_closed) to a row for each issue.
+
+    An empty name is missing, an amount beyond the bounds out of range, a day after ``as_of`` an error, and a day of closing
+    before that of opening inconsistent. Unknown amounts and days raise no issue.
+    """
+    today = F.lit(as_of).cast("date")
+    rules = [
+        (F.coalesce("creditor_name", F.lit("")) == "", "missing_data"),
+        (~c("balance").between(LEAST_BALANCE, MOST_BALANCE), "data_range"),
+        (F.greatest("date_opened", "date_closed") > today, "date_error"),
+        (c("date_closed") < c("date_opened"), "date_inconsistency"),
+    ]
+    return accounts.select("id", F.explode(F.array_compact(F.array(*[F.when(r, m) for r, m in rules]))).alias("issue"))
+
+
+@query("V9_account_issues", f"""SELECT id, issue FROM (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id, unnest(list_filter([CASE WHEN l_extendedprice NOT BETWEEN {LEAST_BALANCE} AND {MOST_BALANCE} THEN 'data_range' END, CASE WHEN greatest(CAST(l_shipdate AS DATE), CAST(o_orderdate AS DATE)) > DATE '{AS_OF}' THEN 'date_error' END,
+    CASE WHEN CAST(l_shipdate AS DATE) < CAST(o_orderdate AS DATE) THEN 'date_inconsistency' END], lambda x: x IS NOT NULL)) AS issue FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""")
+def lineitem_issues(v: Views) -> DataFrame:
+    """Line items as accounts: opened when ordered, closed when shipped, which is often before."""
+    both = v.table("lineitem").join(v.table("orders"), c("l_orderkey") == c("o_orderkey"))
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    accounts = both.select(key.alias("id"), F.lit("item").alias("creditor_name"), c("l_extendedprice").alias("balance"), c("o_orderdate").cast("date").alias("date_opened"), c("l_shipdate").cast("date").alias("date_closed"))
+    return account_issues(accounts, AS_OF)
+
+
 @query("V10_report_checks", r"""SELECT id, array_to_string(list_filter([CASE WHEN NOT regexp_full_match(CASE WHEN ord % 4 = 0 THEN 'not-a-uuid' ELSE '123e4567-e89b-12d3-a456-426614174000' END, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') THEN 'Invalid user_id format' END,
     CASE WHEN ord % 1000 NOT BETWEEN 300 AND 850 THEN 'Credit score must be between 300 and 850' END, CASE WHEN account_status = '' THEN 'Report data is required' END], lambda x: x IS NOT NULL), '; ') AS errors FROM tradelines""")
 def report_checks(v: Views) -> DataFrame:

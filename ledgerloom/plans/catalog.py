@@ -17,6 +17,7 @@ MODULES = [
     "operators.bureaus",
     "operators.extraction",
     "operators.parsers",
+    "operators.entries",
     "operators.letters",
     "operators.access",
     "operators.vectors",
