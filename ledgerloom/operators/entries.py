@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,12 +70,12 @@ def sections_by_lookahead(v: Views) -> DataFrame:
 DIVIDERS = r"(?i)\n\s*\n|_{3,}|-{3,}|={3,}|\f|Account\s+Type:"
 NAME_ENDS = r"BANK|CARD|CREDIT|FINANCIAL|CORP|INC|LLC|CO|CAPITAL|CHASE|WELLS|CITI|DISCOVER|AMEX|AMERICAN\s+EXPRESS"
 MARKERS = [
-    "(?im)^(CREDIT CARD|INSTALLMENT|MORTGAGE|AUTO|STUDENT LOAN|COLLECTION)",
-    "(?im)^(Account Type:|Account Name:|Company Name:)",
-    rf"(?im)^\s*([A-Z][A-Z\s&'-]+(?:{NAME_ENDS}))",
     r"[A-Z]{2,}",
     r"\$",
     "(?i)account|balance|payment",
+    "(?im)^(CREDIT CARD|INSTALLMENT|MORTGAGE|AUTO|STUDENT LOAN|COLLECTION)",
+    "(?im)^(Account Type:|Account Name:|Company Name:)",
+    rf"(?im)^\s*([A-Z][A-Z\s&'-]+(?:{NAME_ENDS}))",
 ]
 SHORTEST_BLOCK = 51
 BLOCK_FIELDS = {
@@ -119,8 +122,8 @@ def text_accounts(reports: DataFrame) -> DataFrame:
     pattern that is found; missing ones are empty. Creditors of two letters or fewer, null and empty texts give no row.
     """
     blocks = reports.select("ord", F.posexplode(F.split("text", DIVIDERS)).alias("n", "block")).select("ord", "n", strip(c("block")).alias("block"))
-    marked = F.array(*[c("block").rlike(p) for p in MARKERS])
-    kept = blocks.where((F.length("block") >= SHORTEST_BLOCK) & F.exists(marked, lambda x: x))
+    marked = reduce(or_, [c("block").rlike(p) for p in MARKERS])
+    kept = blocks.where((F.length("block") >= SHORTEST_BLOCK) & marked)
     text = kept.select("ord", "n", F.regexp_replace("block", r"\s+", " ").alias("text"))
     raw = text.select("ord", "n", "text", *[F.trim(F.coalesce(first_of(c("text"), p), F.lit(""))).alias(f) for f, p in BLOCK_FIELDS.items()])
     named = raw.where(F.length("creditor") > 2)
@@ -222,6 +225,8 @@ LINE_PATTERNS = [
 DOLLARS = r"\s*:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)"
 AROUND = {"account_balance": "balance|bal|owe[ds]?", "credit_limit": "limit|credit limit|cl", "monthly_payment": "payment|pmt|monthly"}
 
+HITS = "array<struct<n: int, k: int, found: string, account: string>>"
+
 
 def line_accounts(reports: DataFrame) -> DataFrame:
     """Reports (ord, text) to a row for each line and pattern that finds a creditor; fields come from the lines around.
@@ -232,11 +237,11 @@ def line_accounts(reports: DataFrame) -> DataFrame:
     lines = reports.select("ord", F.split("text", "\n").alias("x"))
 
     def hits(line: Column, n: Column) -> Column:
-        trimmed = strip(line)
-        found = [F.struct(n.alias("n"), F.lit(k).alias("k"), F.regexp_extract(trimmed, f"(?i){p}", 0).alias("found"), F.regexp_extract(trimmed, f"(?i){p}", 1).alias("account")) for k, p in enumerate(LINE_PATTERNS)]
-        return F.filter(F.array(*found), lambda h: h["found"] != "")
+        found = [F.when(line.rlike(f"(?i){p}"), F.struct(n.alias("n"), F.lit(k).alias("k"), F.regexp_extract(line, f"(?i){p}", 0).alias("found"), F.regexp_extract(line, f"(?i){p}", 1).alias("account"))) for k, p in enumerate(LINE_PATTERNS)]
+        # every pattern asks for four digits: most lines have none and run no pattern
+        return F.when(line.rlike(r"\d{4}"), F.array_compact(F.array(*found))).otherwise(F.array().cast(HITS))
 
-    flat = lines.select("ord", "x", F.flatten(F.transform("x", hits)).alias("h"))
+    flat = lines.select("ord", "x", F.flatten(F.transform(F.transform("x", strip), hits)).alias("h"))
     start = lambda h: F.greatest(h["n"] - 2, F.lit(0))
     wide = F.transform("h", lambda h: F.struct(h["n"].alias("n"), h["k"].alias("k"), h["found"].alias("found"), h["account"].alias("account"), F.array_join(F.slice("x", start(h) + 1, h["n"] + 5 - start(h)), " ").alias("t")))
     t = c("t")
