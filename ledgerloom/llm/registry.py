@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mainhtml, neardup, neighbours, packing, secrets, sharding, suffixdedup, tokencounts
+from . import alignment, audit, balanced, decontaminate, language, mainhtml, neardup, neighbours, packing, secrets, sharding, suffixdedup, tokencounts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": tokencounts.op1_token_counts,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": language.op8_language,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_neardup": neardup.op10_neardup,
+    "op11_balanced_packing": balanced.op11_balanced_packing,
+    "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
-ORACLE_SQL: dict[str, str] = {"op4_secrets": secrets.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_secrets": secrets.ORACLE, "op13_filter_audit": audit.ORACLE}
