@@ -76,17 +76,6 @@ def in_and_range(v: Views) -> DataFrame:
     return documents.unionByName(recent)
 
 
-@query("F14_J8_substring_lookup", """SELECT i.id, e.id AS existing_id FROM (SELECT * FROM tradelines WHERE ord % 2 = 0 AND creditor_name <> '' AND account_number <> '' AND date_opened <> '') i JOIN (SELECT * FROM tradelines WHERE ord % 2 = 1) e
-    ON i.user_id = e.user_id AND i.date_opened = e.date_opened WHERE contains(lower(e.creditor_name), lower(i.creditor_name)) AND starts_with(e.account_number, left(i.account_number, 4))""")
-def substring_lookup(v: Views) -> DataFrame:
-    """An equi-join on user and date leaves the substring tests as a residual."""
-    t = v.tradelines
-    new = t.where((c("ord") % 2 == 0) & (c("creditor_name") != "") & (c("account_number") != "") & (c("date_opened") != "")).alias("i")
-    old = t.where(c("ord") % 2 == 1).alias("e")
-    met = new.join(old, (c("i.user_id") == c("e.user_id")) & (c("i.date_opened") == c("e.date_opened")) & F.contains(F.lower("e.creditor_name"), F.lower("i.creditor_name")) & F.startswith(c("e.account_number"), F.left(c("i.account_number"), F.lit(4))))
-    return met.select(c("i.id").alias("id"), c("e.id").alias("existing_id"))
-
-
 KEYWORDS = ["account", "balance", "payment", "credit", "limit", "opened", "status"]
 
 

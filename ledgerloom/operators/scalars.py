@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -114,8 +115,11 @@ def text_sizes(v: Views) -> DataFrame:
 
 
 def token_set_ratio(a: str, b: str) -> int:
-    """100 x the best match of two names as word sets: their common words against each with its own words, and the two."""
-    x, y = set(a.lower().split()), set(b.lower().split())
+    """100 x the best match of two names as word sets: their common words against each with its own words, and the two.
+
+    The definition for a single pair; ``creditors`` scores whole tables.
+    """
+    x, y = (set(re.findall(r"[^\W_]+", name.lower())) for name in (a, b))
     if not x or not y:
         return 0
     common, left, right = sorted(x & y), sorted(x - y), sorted(y - x)
@@ -135,33 +139,7 @@ def token_set_ratio(a: str, b: str) -> int:
                 last = keep
         return 2 * row[-1] / (len(s) + len(t)) if s or t else 0.0
 
-    return round(100 * max([ratio(one, two), *([ratio(base, one), ratio(base, two)] if base else [])]))
-
-
-def standard_creditors(names: DataFrame, column: str, known: list[str], cutoff: int = 75) -> DataFrame:
-    """The best of a list of known creditors for each name, if its score reaches the cutoff; else the name itself.
-
-    Distinct names alone are scored; ties go to the first of the list.
-    """
-
-    def best(values: pd.Series) -> pd.DataFrame:
-        out = []
-        for value in values:
-            scores = [token_set_ratio(value or "", k) for k in known]
-            top = max(range(len(known)), key=lambda i: (scores[i], -i))
-            out.append((known[top], scores[top]) if scores[top] >= cutoff else (value, scores[top]))
-        return pd.DataFrame(out, columns=["standard", "score"])
-
-    distinct = names.select(column).distinct()
-    return distinct.select(column, F.pandas_udf(best, "struct<standard:string,score:int>")(column).alias("m")).select(column, "m.standard", "m.score")
-
-
-KNOWN = ["JPMORGAN CHASE", "WELLS FARGO", "BANK OF AMERICA", "TD BANK", "CAPITAL ONE", "AMERICAN EXPRESS", "CITI CARD", "DISCOVER FINANCIAL", "SYNCHRONY BANK", "HONDA FINANCIAL SERVICES", "NAVY FEDERAL CREDIT UNION", "USAA"]
-
-
-@query("T3_T21_O9_standard_creditor")
-def standard_creditor(v: Views) -> DataFrame:
-    return standard_creditors(v.tradelines, "creditor_name", KNOWN)
+    return int(0.5 + 100 * max([ratio(one, two), *([ratio(base, one), ratio(base, two)] if base else [])]))
 
 
 @query(

@@ -8,7 +8,9 @@ from .registry import ORACLE_SQL, QUERIES
 
 MODULES = [
     "operators.scalars",
+    "operators.creditors",
     "operators.filters",
+    "operators.lookup",
     "operators.joins",
     "operators.aggregates",
     "operators.windows",
@@ -24,6 +26,8 @@ MODULES = [
     "sources.ingest",
     "sources.stores",
     "streaming.feeds",
+    "streaming.sessions",
+    "streaming.timers",
 ]
 for module in MODULES:
     import_module(f"ledgerloom.{module}")

@@ -8,6 +8,7 @@ purpose.  All are narrow projections of one table: filters and columns are pushe
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,8 @@ VIEWS = {
         'U' || CAST(c_custkey % 40 AS STRING) || '/' || CAST(c_custkey AS STRING) || '.pdf' AS file_path, {pick("c_custkey", ["image/png", "application/pdf", "text/plain"])} AS content_type FROM customer""",
     "user_roles": """SELECT 'U' || CAST(c_custkey AS STRING) AS user_id, CASE WHEN c_custkey % 2 = 0 THEN 'admin' ELSE 'user' END AS role FROM customer WHERE c_custkey % 3 = 0
         UNION ALL SELECT 'U' || CAST(c_custkey AS STRING) AS user_id, 'user' AS role FROM customer WHERE c_custkey % 9 = 0""",
+    "name_readings": f"""SELECT ord, CASE WHEN ord % 3 = 0 THEN left(creditor_name, CAST(customer % 19 AS INT)) || substr(creditor_name, CAST(customer % 19 AS INT) + 2) ELSE creditor_name END AS creditor_name
+        FROM (SELECT o_orderkey AS ord, o_custkey AS customer, {pick("o_orderkey", CREDITORS)} AS creditor_name FROM orders) AS named""",
     "sections": f"""SELECT o_orderkey AS ord, {pick("o_orderkey", CREDITORS)} || chr(10) || 'Account Number: ' || CASE o_orderkey % 3 WHEN 0 THEN '****' || CAST(1000 + o_custkey % 9000 AS STRING) WHEN 1 THEN CAST(400000000000 + o_custkey AS STRING) ELSE 'XXXX' || CAST(1000 + o_custkey % 9000 AS STRING) END || chr(10)
         || CASE o_orderkey % 4 WHEN 0 THEN 'Current Balance: $' WHEN 1 THEN 'Bal: $' WHEN 2 THEN 'Amount owed $' ELSE 'Balance $' END || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || ',250.00' || chr(10)
         || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Credit Limit: $5,000.00' || chr(10) END || CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE 'Monthly Payment: $' || CAST(o_custkey % 400 AS STRING) || '.00' || chr(10) END
@@ -84,6 +87,11 @@ VIEWS = {
         ELSE 'Report of July' || chr(10) || 'Potentially Negative Items' || chr(10) || {pick("o_custkey", CREDITORS)} || ' Account: ' || CAST(40000000 + o_custkey AS STRING) || chr(10) || 'Opened: ' || {MONTH} || '/' || {YEAR} || ' Balance: $' || CAST(10 + o_custkey % 90 AS STRING) || ',250.00' || chr(10)
             || {pick("(o_orderkey + o_custkey)", STATUSES)} || ', limit $5,000' || chr(10) || 'Accounts in Good Standing' || chr(10) || 'WELLS FARGO Account #' || CAST(627804 + o_custkey AS STRING) || chr(10) || 'opened Jan 2019, owes 1,200.00' || chr(10) || 'Current'
             || CASE WHEN o_custkey % 3 = 0 THEN chr(10) || 'Potentially Negative Items' || chr(10) || 'USAA Account: 77771234' || chr(10) || 'balance $90, closed' ELSE '' END END AS text FROM orders""",
+    # a job or dispute for every user and tenth of the events' keys, with a row for each change of its status
+    "job_log": """SELECT 'J' || CAST(user_id AS STRING) || '-' || CAST(CAST(regexp_extract(props, '[0-9]+', 0) AS INT) % 10 AS STRING) AS id, event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
+        CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status FROM events""",
+    "dispute_log": """SELECT 'D' || CAST(user_id AS STRING) || '-' || CAST(CAST(regexp_extract(props, '[0-9]+', 0) AS INT) % 10 AS STRING) AS id, event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
+        CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'in_progress' WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'resolved' ELSE 'deleted' END AS status FROM events""",
     "files": """SELECT doc_id, source, lang, text, n_chars * 700 AS n_bytes, CASE doc_id % 7 WHEN 0 THEN 'scan_' || CAST(doc_id AS STRING) || '.pdf' WHEN 1 THEN 'report.PDF' WHEN 2 THEN 'photo.jpeg' WHEN 3 THEN 'letter.docx' WHEN 4 THEN 'notes.txt' WHEN 5 THEN 'archive.zip' ELSE 'noextension' END AS name,
         CASE WHEN doc_id % 5 = 0 THEN 'application/octet-stream' ELSE 'application/pdf' END AS mime, CAST(doc_id % 400 AS INT) AS pages FROM documents""",
 }
@@ -101,8 +109,12 @@ class Views:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
+        return self.over(name, self.table)
+
+    def over(self, name: str, table: Callable[[str], DataFrame]) -> DataFrame:
+        """A view over tables that ``table`` gives, such as streams."""
         text = VIEWS[name]
-        bases = {b: self.table(b) for b in ("orders", "customer", "documents") if re.search(rf"FROM {b}\b", text)}
+        bases = {b: table(b) for b in ("orders", "customer", "documents", "events") if re.search(rf"FROM {b}\b", text)}
         for b in bases:
             text = re.sub(rf"FROM {b}\b", f"FROM {{{b}}}", text)
         return self.spark.sql(text, **bases)
