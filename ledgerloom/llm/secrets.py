@@ -12,7 +12,7 @@ import hashlib
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_ids, shared_dir, stage_table
@@ -61,21 +61,22 @@ def matches(text: Column, rule: Rule) -> Column:
     return F.when(text.contains(rule.needs), found) if rule.needs else found
 
 
-def spans_of(text: Column, found: Column, rule: Rule, order: int) -> Column:
-    """Start and end of each match in code points: the texts between matches and the matches themselves, summed up."""
+#: Parts of a text: rule, number, characters of the gap before the match, of the match, and whether it counts.
+PARTS = "array<struct<k:int,p:int,gap:int,m:int,keep:boolean>>"
+
+
+def parts_of(text: Column, found: Column, rule: Rule, order: int) -> Column:
+    """The gaps between matches and the matches, by their lengths; one part without any stands for a rule that was tried."""
     zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found.alias("m"))
     full = (lambda m: m["m"]) if rule.group else (lambda m: m)
     size = (lambda m: F.length(m["g"])) if rule.group else F.length
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(full(x["m"])), F.lit(0))
-        one = F.array(F.struct(begin.alias("s"), F.lit(order).alias("k"), end.alias("e")))
+    def part(x, i):
         keep = x["m"].isNotNull() & (size(x["m"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.lit(order).alias("k"), i.alias("p"), F.length(x["gap"]).alias("gap"), F.coalesce(F.length(full(x["m"])), F.lit(0)).alias("m"), keep.alias("keep"))
 
-    return F.when(F.size(found) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {SPANS})"))
+    none = F.array(F.struct(F.lit(order).alias("k"), F.lit(0).alias("p"), F.lit(0).alias("gap"), F.lit(0).alias("m"), F.lit(False).alias("keep")))
+    return F.when(F.size(found) > 0, F.transform(zipped, part)).otherwise(none).cast(PARTS)
 
 
 def blob_of(text: Column) -> Column:
@@ -87,17 +88,25 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
     Null and empty texts are no blobs.  A text that occurs many times is one blob.
     """
-    blobs = versions.where(F.length("text") > 0).select(blob_of(F.col("text")).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
+    named = versions.where(F.length("text") > 0).select(blob_of(F.col("text")).alias("blob"), "text")
     none = F.expr("cast(array() as array<string>)")
     if ledger is None:
-        blobs = blobs.withColumn("seen", none)
+        blobs = named.groupBy("blob").agg(F.first("text").alias("text")).withColumn("seen", none)
     else:
-        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", none))
+        # by their names alone it is known which blobs lack a rule; only the texts of these are moved
+        seen = ledger.where(F.col("rule").isin([r.version for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        lacking = named.select("blob").distinct().join(seen, "blob", "left").where(F.coalesce(F.size("seen"), F.lit(0)) < len(rules))
+        lacking = stage_table(lacking.select("blob", F.coalesce("seen", none).alias("seen")), "lacking", n=F.count("*"))
+        texts = by_ids(named, lacking.select("blob"), "blob", lacking.observed["n"], "left_semi").groupBy("blob").agg(F.first("text").alias("text"))
+        blobs = texts.join(lacking, "blob")
     # matches first, places only where there are any: each regular expression runs once over most texts
     found = blobs.select("blob", "text", "seen", *[F.when(~F.array_contains("seen", r.version), matches(F.col("text"), r)).alias(f"m{i}") for i, r in enumerate(rules)])
-    entries = [F.when(~F.array_contains("seen", r.version), F.struct(F.lit(r.version).alias("rule"), spans_of(F.col("text"), F.col(f"m{i}"), r, i).alias("spans"))) for i, r in enumerate(rules)]
-    return found.select("blob", F.explode(F.array_compact(F.array(*entries))).alias("x")).select("blob", "x.rule", "x.spans")
+    parts = [F.when(~F.array_contains("seen", r.version), parts_of(F.col("text"), F.col(f"m{i}"), r, i)).otherwise(F.expr(f"cast(array() as {PARTS})")) for i, r in enumerate(rules)]
+    rows = found.select("blob", F.explode(F.concat(*parts)).alias("x")).select("blob", "x.*")
+    # places are running sums over the parts: linear in the matches; the rows stay where their blob is
+    end = F.sum(F.col("gap") + F.col("m")).over(Window.partitionBy("blob", "k").orderBy("p")).cast("int")
+    spans = rows.withColumn("e", end).groupBy("blob", "k").agg(F.array_sort(F.collect_list(F.when(F.col("keep"), F.struct((F.col("e") - F.col("m")).alias("s"), "k", "e")))).cast(SPANS).alias("spans"))
+    return spans.select("blob", F.get(F.array(*[F.lit(r.version) for r in rules]), F.col("k")).alias("rule"), "spans")
 
 
 def join_back(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, salts: int = SALTS) -> DataFrame:
@@ -155,28 +164,43 @@ def count_of(place: int) -> Column:
     return F.size(F.filter("spans", lambda x: x["k"] == place)).cast("long")
 
 
+#: Setting of a session: where the query keeps its ledger.  Unset, each run starts one of its own.
+LEDGER_SETTING = "spark.ledgerloom.secrets.ledger"
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    path = spark.conf.get(LEDGER_SETTING, None) or f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
     found, _ = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path=path)
     base = F.filter("spans", lambda x: x["k"] < len(BASE_RULES))
     counts = [count_of(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE_RULES)]
     return found.select("doc_id", *counts, F.sha2(rendered(base, RULES), 256).alias("base_sha256"), rendered(F.col("spans"), RULES).alias("spans"))
 
 
+def cut_out(mark: str) -> Column:
+    """The column ``text`` with ``mark`` for each of the column ``_secret_spans``, which do not overlap.
+
+    The parts between them are cut from an array of the text that is made once: of its bytes, where a character is a byte,
+    else of its characters.  So the work is linear in the text however many spans there are.
+    """
+    begin = "if(i = 0, 0, _secret_spans[i - 1].e)"
+    size = f"if(i = size(_secret_spans), length(text), _secret_spans[i].s) - {begin}"
+    each = "transform(sequence(0, size(_secret_spans)), i -> {0})"
+    by_byte = each.format(f"cast(substring(t, {begin} + 1, {size}) as string)")
+    by_character = each.format(f"array_join(slice(t, {begin} + 1, {size}), '')")
+    kept = F.expr(f"if(octet_length(text) = length(text), transform(array(cast(text as binary)), t -> {by_byte})[0], transform(array(split(text, '')), t -> {by_character})[0])")
+    return F.array_join(kept, mark)
+
+
 def redact(documents: DataFrame, ledger: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``documents`` with the text of every span that the ledger has for it replaced by ``mark``; spans that overlap are one.
 
     Rows without a finding pass by the join; null texts stay null; equal rows get equal texts.
     """
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(acc, x):
-        gap = F.when(x["s"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
-
-    text = F.aggregate("_secret_spans", none, cut, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    live = ledger.where(F.col("rule").isin([r.version for r in rules]) & (F.size("spans") > 0))
-    dirty = live.groupBy(F.col("blob").alias("_secret_blob")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_secret_spans"))
+    live = ledger.where(F.col("rule").isin([r.version for r in rules])).select(F.col("blob").alias("_secret_blob"), F.explode("spans").alias("x")).select("_secret_blob", "x.s", "x.e")
+    order = Window.partitionBy("_secret_blob").orderBy("s", "e")
+    fresh = live.withColumn("fresh", F.when(F.col("s") < F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
+    runs = fresh.withColumn("run", F.sum("fresh").over(order)).groupBy("_secret_blob", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    dirty = runs.groupBy("_secret_blob").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("_secret_spans"))
     dirty = stage_table(dirty, "dirty", n=F.count("*"))
     named = documents.withColumn("_secret_blob", blob_of(F.col("text")))
     ids = dirty.select("_secret_blob")
@@ -186,7 +210,7 @@ def redact(documents: DataFrame, ledger: DataFrame, mark: str = "[SECRET]", rule
     salt = F.pmod(F.xxhash64(*[c for c in documents.columns if c != "text"]), F.lit(SALTS)).cast("int")
     dirty = dirty.withColumn("_secret_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     whole = found.withColumn("_secret_salt", salt).join(dirty, ["_secret_blob", "_secret_salt"])
-    return clean.unionByName(whole.withColumn("text", text).select(*documents.columns))
+    return clean.unionByName(whole.withColumn("text", cut_out(mark)).select(*documents.columns))
 
 
 def oracle() -> str:

@@ -288,3 +288,67 @@ def test_audit(spark, awkward, empty, corpus):
         assert got == plain_audit([(r.doc_id, r.text, r.lang) for r in frame.collect()], labels)
     assert audit.audit(empty, marks).count() == 0
     assert audit.audit(awkward, marks.limit(0)).agg({"good_lost": "sum"}).first()[0] == 0
+
+
+# SQL, columns, and long texts --------------------------------------------------------------------------------------
+
+COLUMNS = {
+    "op1_token_counts": None,
+    "op11_balanced_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op12_token_alignment": {"doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint", "count_sum": "bigint", "groups_sha256": "string"},
+    "op13_filter_audit": {"part": "string", "filter_order": "string", "step": "int", "kept": "bigint", "removed": "bigint", "redundant": "bigint", "unique_fails": "bigint", "good_lost": "bigint", "toxic_lost": "bigint", "shapley": "bigint"},
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_columns_of_queries(spark, sf_dir, name):
+    from ledgerloom.llm import registry
+
+    frame = registry.QUERIES[name](spark, sf_dir)
+    assert frame.count() > 0 and dict(frame.dtypes) == (COLUMNS[name] or dict(frame.dtypes))
+
+
+@pytest.mark.parametrize("name", ["op4_secrets", "op13_filter_audit"])
+def test_matches_sql(spark, sf_dir, name):
+    import duckdb
+    from ledgerloom.llm import registry
+
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    frame, want = registry.QUERIES[name](spark, sf_dir), con.execute(registry.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(tuple, frame.select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_secrets_of_a_long_text_take_linear_time(spark):
+    import time
+
+    from ledgerloom.llm import secrets
+
+    draw, took = random.Random(6), {}
+    for letter in ("", "é"):
+        for lines in (1000, 40000):
+            text = "".join(f"{draw.getrandbits(128):032x}{letter}\n" for _ in range(lines))
+            frame = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+            began = time.time()
+            found, ledger = secrets.find_secrets(frame)
+            (row,) = found.collect()
+            middle = time.time()
+            assert [tuple(x) for x in row.spans] == [(i * (33 + len(letter)), 2, i * (33 + len(letter)) + 32) for i in range(lines)]
+            assert secrets.redact(frame, ledger).first().text == f"[SECRET]{letter}\n" * lines
+            took[lines] = middle - began, time.time() - middle
+        assert took[40000][0] < 15 and took[40000][1] < 30, took
+
+
+def test_query_reads_its_stored_ledger(spark, sf_dir, tmp_path):
+    from ledgerloom.llm import registry, secrets
+
+    spark.conf.set(secrets.LEDGER_SETTING, str(tmp_path / "ledger"))
+    try:
+        first = sorted(map(tuple, registry.QUERIES["op4_secrets"](spark, sf_dir).collect()))
+        size = spark.read.parquet(str(tmp_path / "ledger")).count()
+        second = sorted(map(tuple, registry.QUERIES["op4_secrets"](spark, sf_dir).collect()))
+        assert first == second and spark.read.parquet(str(tmp_path / "ledger")).count() == size
+    finally:
+        spark.conf.unset(secrets.LEDGER_SETTING)
