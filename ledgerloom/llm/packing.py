@@ -1,15 +1,20 @@
-"""Best-fit packing of token pieces into sequences of fixed length by a configuration linear program.
+"""Packing of token pieces into sequences of fixed length by a configuration linear program.
 
 The program has one variable for each configuration (a multiset of piece lengths that fits a sequence) and one covering
 row for each length: use every length at least as often as it occurs, with the fewest sequences.  It depends only on
 the histogram of lengths, which has as many entries as a sequence has tokens whatever the corpus.  Multiplicative
 weights solve it: each row's weight falls as its length is covered, and a knapsack dynamic program over the sequence
-prices the configuration of most weight.  The fractional solution is rounded down, what remains is solved again, and
-the last pieces are placed by best fit.  The result is a table of slots: ranks of each length to sequences and places.
+prices the configuration of most weight.  The solution is rounded as it grows: a step takes a whole number of sequences
+of its configuration and only pieces that are left, so steps go on until every row is covered and nothing is covered
+twice.  Prices lean to long pieces, so what is left towards the end is short and fits anywhere; best fit may place what
+the last tenth of the tokens is, where that needs fewer sequences.  The weights are a dual solution as well, and the
+bound that follows from them ends the search.  The result is a table of slots: ranks of each length to sequences and
+places.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -24,56 +29,89 @@ from .encoder import default_encoder
 
 SEQUENCE, END_ID = 1024, 2
 BUCKET_ROWS = 50_000
-#: Iterations of a solve, and solves on what rounding has left.
-STEPS, SOLVES, ETA = 300, 2, 2.0
+#: How fast weights fall, how much prices lean to long pieces (each is tried until the number of sequences is within GAP of
+#: the bound), the share of all sequences that a step takes at most, and the share of the tokens and the number of pieces
+#: that best fit may place, and how near to the best price a configuration has to be to be taken in one step with it.
+ETA, LEANS, GAP, UNIT, REST, FEW, NEAR = 0.5, (0.5, 1.0, 0.2, 2.0), 0.001, 0.01, 0.1, 8, 0.98
 
 
-def best_configuration(price: np.ndarray, capacity: int) -> Counter:
-    """The multiset of lengths of at most ``capacity`` with the highest total price (unbounded knapsack)."""
+def priced(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``capacity`` the highest total price of lengths that fit it (unbounded knapsack), and one length of
+    such a choice (0: the same as with one token less)."""
     value, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     lengths = np.flatnonzero(price > 0)
-    gains = price[lengths]
+    gains, fit = price[lengths], np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
-        n = int(np.searchsorted(lengths, c, side="right"))
+        n, value[c] = fit[c], value[c - 1]
         if n:
             total = value[c - lengths[:n]] + gains[:n]
-            best = int(total.argmax())
-            if total[best] > value[c] + 1e-15:
-                value[c], last[c] = total[best], lengths[best]
-    out, c = Counter(), capacity
-    while c > 0:
-        if last[c]:
-            out[int(last[c])] += 1
-            c -= int(last[c])
-        else:
-            c -= 1
-    return out
-
-
-def fractional(counts: np.ndarray, capacity: int, steps: int = STEPS, eta: float = ETA) -> dict[tuple, float]:
-    """An approximate solution of the linear program for ``counts`` (pieces by length): configuration to its share.
-
-    The weight of a length's row starts at the tokens it has to cover and falls by the exponential of its covered
-    fraction, so a piece is priced at its length times that exponential.  Every step adds 1/steps of the volume bound of
-    the configuration that is priced highest, or as much as its rows still need.
+            at = int(total.argmax())
+            if total[at] > value[c]:
+                value[c], last[c] = total[at], lengths[at]
+    return value, last
+
+
+def choices(price: np.ndarray, capacity: int, near: float):
+    """Configurations with their total prices, the best one of each length that is within ``near`` of the best of all."""
+    value, last = priced(price, capacity)
+    lengths = np.flatnonzero(price > 0)
+    worth = price[lengths] + value[capacity - lengths]
+    for i in np.argsort(-worth, kind="stable").tolist():
+        if worth[i] < near * value[capacity]:
+            return
+        config, room = Counter([int(lengths[i])]), capacity - int(lengths[i])
+        while room > 0:
+            n = int(last[room])
+            if n:
+                config[n] += 1
+            room -= n or 1
+        yield config, float(value[capacity])
+
+
+def topped(config: Counter, left: np.ndarray, capacity: int) -> Counter:
+    """A configuration with the longest pieces added that are there and fit what it leaves free."""
+    room = capacity - sum(n * k for n, k in config.items())
+    for n in np.flatnonzero(left[: room + 1])[::-1].tolist():
+        more = min(room // n, int(left[n]) - config[n])
+        if more > 0:
+            config[n] += more
+            room -= more * n
+    return config
+
+
+def covering(counts: np.ndarray, capacity: int, lean: float, eta: float = ETA, unit: float = UNIT) -> tuple[Counter, int, int]:
+    """A rounded solution of the program for ``counts`` (pieces by length), how many of its sequences best fit filled, and a
+    lower bound from the first weights.
+
+    A length's price is its tokens, more for long ones, times the exponential of its covered share.  Each step takes as
+    many sequences of the configuration priced highest as the pieces left allow, ``unit`` of the volume bound at most.
     """
-    lengths = np.arange(len(counts))
-    live = counts > 0
-    unit = max(1.0, float((lengths * counts).sum()) / capacity / steps)
-    covered, out = np.zeros(len(counts)), defaultdict(float)
-    for _ in range(steps):
-        part = np.divide(covered, counts, out=np.zeros(len(counts)), where=live)
-        if part[live].min() >= 1:
-            break
-        price = np.where(live & (part < 1), lengths * np.exp(-eta * part), 0.0)
-        config = best_configuration(price, capacity)
-        amount = min([unit, *((counts[n] - covered[n]) / k for n, k in config.items())])
-        amount = max(amount, min([1.0, *(counts[n] / k for n, k in config.items())]))
-        for n, k in config.items():
-            covered[n] += amount * k
-        out[tuple(sorted(config.items()))] += amount
-    return out
+    lengths, left, out = np.arange(len(counts)), counts.copy(), Counter()
+    tokens = int((lengths * counts).sum())
+    most, bound, best, by_fit, mark = max(1, int(tokens / capacity * unit)), -(-tokens // capacity), None, 0, REST * tokens
+    while left.any():
+        share = np.divide(counts - left, counts, out=np.zeros(len(counts)), where=counts > 0)
+        price = np.where(left > 0, lengths * (1 + lean * lengths / capacity) * np.exp(-eta * share), 0.0)
+        if (lengths * left).sum() <= mark or left.sum() <= FEW:  # each time that half as much is left
+            rest, mark = best_fit(left, capacity), (lengths * left).sum() / 2
+            if best is None or sum(out.values()) + sum(rest.values()) <= sum(best.values()):
+                best, by_fit = out + rest, sum(rest.values())
+        used: set[int] = set()
+        for config, value in choices(price, capacity, NEAR):
+            if not out:  # every packing of these pieces pays at most this for a sequence
+                bound = max(bound, math.ceil(float(price @ counts) / value - 1e-9))
+            if used & config.keys():
+                continue
+            if any(k > left[n] for n, k in config.items()):
+                if used:
+                    continue
+                config = topped(Counter({n: min(k, int(left[n])) for n, k in config.items()}), left, capacity)
+            number = max(1, min([most, *(int(left[n]) // k for n, k in config.items())]))
+            for n, k in config.items():
+                left[n] -= number * k
+            used |= config.keys()
+            out[tuple(sorted(config.items()))] += number
+    return (out, 0, bound) if best is None or sum(out.values()) <= sum(best.values()) else (best, by_fit, bound)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> Counter:
@@ -108,23 +146,17 @@ def best_fit(counts: np.ndarray, capacity: int) -> Counter:
     return sum(groups.values(), Counter())
 
 
-def solve(counts: np.ndarray, capacity: int, solves: int = SOLVES) -> Counter:
-    """Configurations and how many sequences take each; every piece of ``counts`` is placed.
-
-    The rounded program's sequences and those that best fit fills with the rest, or best fit alone where it needs fewer.
-    """
-    counts = counts.astype(np.int64)
-    left, out = counts.copy(), Counter()
-    for _ in range(solves):
-        for config, share in sorted(fractional(left, capacity).items(), key=lambda x: (-x[1], x[0])) if left.any() else ():
-            whole = min([int(share + 1e-9), *(int(left[n]) // k for n, k in config)])
-            if whole > 0 and sum(n * k for n, k in config) > capacity - max(2, capacity // 256):
-                out[config] += whole
-                for n, k in config:
-                    left[n] -= whole * k
-    out.update(best_fit(left, capacity))
-    plain = best_fit(counts, capacity)
-    return plain if sum(plain.values()) < sum(out.values()) else out
+def solve(counts: np.ndarray, capacity: int) -> Counter:
+    """Configurations and how many sequences take each; every piece of ``counts`` is placed."""
+    counts, best = counts.astype(np.int64), None
+    counts[0] = 0
+    for lean in LEANS if counts.any() else ():
+        found, _, bound = covering(counts, capacity, lean)
+        if best is None or sum(found.values()) < sum(best.values()):
+            best = found
+        if sum(best.values()) <= bound * (1 + GAP):
+            break
+    return best or Counter()
 
 
 class Slots:

@@ -290,6 +290,39 @@ def test_audit(spark, awkward, empty, corpus):
     assert audit.audit(awkward, marks.limit(0)).agg({"good_lost": "sum"}).first()[0] == 0
 
 
+# 3 -----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_program_places_nearly_all(sf_dir, sf):
+    """The program's own sequences, on the lengths of the test tables."""
+    import pyarrow.parquet as pq
+    from ledgerloom.llm import encoder, packing
+
+    enc = encoder.default_encoder()
+    texts = pq.read_table(f"{sf_dir.rpartition('/')[0]}/{sf}/documents.parquet", columns=["text"]).column("text").to_pylist()
+    counts = np.bincount([n % 1024 for n in (len(enc.ids(t or "")) + 1 for t in texts)], minlength=1025)
+    counts[0] = 0
+    found, by_fit, bound = packing.covering(counts, 1024, packing.LEANS[0])
+    assert by_fit <= 0.1 * sum(found.values()) and bound <= sum(found.values()) <= bound + 2
+    assert sum(packing.solve(counts, 1024).values()) <= sum(packing.best_fit(counts, 1024).values())
+
+
+def test_priced_configurations_are_the_best():
+    from itertools import combinations_with_replacement
+
+    from ledgerloom.llm import packing
+
+    draw = np.random.default_rng(8)
+    for _ in range(20):
+        price = np.where(draw.random(13) < 0.6, draw.random(13), 0.0)
+        price[0] = 0
+        best = max((sum(price[list(x)]) for k in range(1, 13) for x in combinations_with_replacement(range(1, 13), k) if sum(x) <= 12), default=0)
+        assert abs(packing.priced(price, 12)[0][12] - best) < 1e-12
+        for config, value in packing.choices(price, 12, 0.9):
+            assert abs(value - best) < 1e-12 and sum(price[n] * k for n, k in config.items()) >= 0.9 * best - 1e-12 and sum(n * k for n, k in config.items()) <= 12
+
+
 # SQL, columns, and long texts --------------------------------------------------------------------------------------
 
 COLUMNS = {
