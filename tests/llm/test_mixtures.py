@@ -323,6 +323,39 @@ def test_priced_configurations_are_the_best():
             assert abs(value - best) < 1e-12 and sum(price[n] * k for n, k in config.items()) >= 0.9 * best - 1e-12 and sum(n * k for n, k in config.items()) <= 12
 
 
+# 5 -----------------------------------------------------------------------------------------------------------------
+
+
+def vectors_of(kind, sizes, seed=1):
+    draw, rows = np.random.default_rng(seed), []
+    for dim, n in sizes:
+        if kind == "spread":
+            x = draw.normal(size=(n, dim))
+        else:
+            x = draw.normal(size=(max(2, n // 25), dim))[draw.integers(0, max(2, n // 25), n)] + 0.1 * draw.normal(size=(n, dim))
+        rows += [(len(rows) + i, v) for i, v in enumerate(x.tolist())]
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["spread", "clustered"])
+@pytest.mark.parametrize("sizes", [[(16, 200), (64, 200), (384, 200), (768, 500)], [(16, 3000), (384, 1500), (128, 10000)]])
+def test_recall_at_any_dimension(spark, kind, sizes):
+    from ledgerloom.llm import neighbours
+
+    rows = vectors_of(kind, sizes)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(frame, frame.where("vec_id % 7 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    at = 0
+    for dim, n in sizes:
+        exact = neighbours.brute_force(rows[at : at + n], 7)
+        hits = [v in got[q] for q in exact for v, _ in exact[q]]
+        assert sum(hits) >= 0.9 * len(hits), (dim, n, sum(hits) / len(hits))
+        assert all(len(got[q]) == 10 for q in exact)
+        at += n
+
+
 # SQL, columns, and long texts --------------------------------------------------------------------------------------
 
 COLUMNS = {
