@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,31 +247,6 @@ def expected_creditors(v: Views) -> DataFrame:
     return v.sections.select("ord", F.inline(F.filter(counts, lambda x: x["mentions"] > 0)))
 
 
-def table_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Tables in text: a header line with known words opens one, lines of three or more columns fill it, others close it."""
-    import re
-
-    for frame in frames:
-        out = []
-        for ord_, text in zip(frame["ord"], frame["text"], strict=True):
-            table, width = 0, 0
-            for line in (text or "").split("\n"):
-                cells = [x for x in re.split(r"\s{2,}|\t", line.strip()) if x]
-                if len(cells) > 2 and re.search(r"(?i)account|balance|date|status|payment", line) and not width:
-                    table, width = table + 1, len(cells)
-                elif width and len(cells) > 2:
-                    out.append((ord_, table, cells))
-                else:
-                    width = 0
-        yield pd.DataFrame(out, columns=["ord", "table_no", "cells"])
-
-
-@query("X12_text_tables")
-def text_tables(v: Views) -> DataFrame:
-    grid = F.concat_ws("\n", F.lit("Account   Balance   Status"), F.concat_ws("   ", "account_number", "account_balance", "account_status"), F.lit("end"))
-    return v.tradelines.where("account_number <> '' and account_balance <> '' and account_status <> ''").select("ord", grid.alias("text")).mapInPandas(table_rows, "ord long, table_no int, cells array<string>")
-
-
 @query("X15_page_chunks", "SELECT doc_id, CAST(k AS INTEGER) AS chunk, CAST(k * 30 + 1 AS INTEGER) AS first_page, CAST(least((k + 1) * 30, pages) AS INTEGER) AS last_page FROM (SELECT doc_id, pages, unnest(range(0, CAST(ceil(pages / 30.0) AS INTEGER))) AS k FROM files)")
 def page_chunks(v: Views) -> DataFrame:
     """Ranges of at most 30 pages; a document without pages has none."""

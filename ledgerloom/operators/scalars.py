@@ -321,12 +321,6 @@ def balanced_json(texts: pd.Series) -> pd.Series:
     return texts.map(find)
 
 
-@query("K2_balanced_json")
-def bracketed_json(v: Views) -> DataFrame:
-    raw = F.concat(F.lit("answer: "), F.to_json(F.struct("id", "credit_bureau", F.struct("ord").alias("more"))), F.lit(" and } more"))
-    return v.tradelines.select("id", F.pandas_udf(balanced_json, "string")(raw).alias("body"))
-
-
 @query(
     "K4_property_map",
     "SELECT id, credit_bureau AS bureau, coalesce(nullif(account_balance, ''), credit_limit) AS amount FROM tradelines",

@@ -8,6 +8,7 @@ from .registry import ORACLE_SQL, QUERIES
 
 MODULES = [
     "operators.scalars",
+    "operators.brackets",
     "operators.creditors",
     "operators.filters",
     "operators.lookup",
@@ -18,6 +19,7 @@ MODULES = [
     "operators.validation",
     "operators.bureaus",
     "operators.extraction",
+    "operators.grids",
     "operators.parsers",
     "operators.entries",
     "operators.letters",

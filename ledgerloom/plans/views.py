@@ -70,6 +70,12 @@ VIEWS = {
         UNION ALL SELECT 'U' || CAST(c_custkey AS STRING) AS user_id, 'user' AS role FROM customer WHERE c_custkey % 9 = 0""",
     "name_readings": f"""SELECT ord, CASE WHEN ord % 3 = 0 THEN left(creditor_name, CAST(customer % 19 AS INT)) || substr(creditor_name, CAST(customer % 19 AS INT) + 2) ELSE creditor_name END AS creditor_name
         FROM (SELECT o_orderkey AS ord, o_custkey AS customer, {pick("o_orderkey", CREDITORS)} AS creditor_name FROM orders) AS named""",
+    "model_answers": """SELECT 'T' || CAST(o_orderkey AS STRING) AS id, CASE o_orderkey % 7 WHEN 0 THEN 'answer: {"id": "' || CAST(o_custkey AS STRING) || '", "more": {"ord": [1, 2]}} and } more' WHEN 1 THEN '[note] {"a": "br } ace", "l": [1, {"b": ' || CAST(o_custkey AS STRING) || '}]} done'
+        WHEN 2 THEN 'cut {"a": {"b": "q' || chr(92) || '"{", "c": [' || CAST(o_custkey AS STRING) || ', 2]}, "d"' WHEN 3 THEN 'nothing here' WHEN 4 THEN 'a stray } ] and [' || CAST(o_custkey AS STRING) || ', [2, 3]] tail {' WHEN 5 THEN '{bad} then {"k": "' || chr(92) || chr(92) || '", "n": ' || CAST(o_custkey AS STRING) || '} [' ELSE '' END AS text FROM orders""",
+    "grid_reports": f"""SELECT o_orderkey AS ord, 'Report of July' || chr(10) || CASE o_orderkey % 4 WHEN 0 THEN 'Creditor   Balance   Status' || chr(10) WHEN 1 THEN 'Account' || chr(9) || 'Payment' || chr(9) || 'Limit' || chr(10) WHEN 2 THEN '' ELSE 'Status' || chr(10) END
+        || {pick("o_custkey", CREDITORS)} || '    ' || CAST(o_custkey AS STRING) || '   Open' || chr(10) || CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'end of part' || chr(10) ELSE chr(10) || 'SECOND' || chr(9) || '12' || chr(9) || 'Closed' || chr(10) END
+        || 'LAST ONE    ' || CAST(o_orderkey AS STRING) || '     Current' || chr(10) || CASE o_custkey % 5 WHEN 0 THEN 'page 2' || chr(10) WHEN 1 THEN 'two  parts' || chr(10) || 'Creditor   Date   Limit' || chr(10) || 'next' || chr(10) WHEN 2 THEN 'a   b' || chr(10) ELSE '' END
+        || 'AFTER    1    2' || CASE o_orderkey % 3 WHEN 0 THEN chr(10) || 'end' || chr(10) || 'x    1    2' || chr(10) || 'note' || chr(10) || 'y    3    4' ELSE '' END AS text FROM orders""",
     "sections": f"""SELECT o_orderkey AS ord, {pick("o_orderkey", CREDITORS)} || chr(10) || 'Account Number: ' || CASE o_orderkey % 3 WHEN 0 THEN '****' || CAST(1000 + o_custkey % 9000 AS STRING) WHEN 1 THEN CAST(400000000000 + o_custkey AS STRING) ELSE 'XXXX' || CAST(1000 + o_custkey % 9000 AS STRING) END || chr(10)
         || CASE o_orderkey % 4 WHEN 0 THEN 'Current Balance: $' WHEN 1 THEN 'Bal: $' WHEN 2 THEN 'Amount owed $' ELSE 'Balance $' END || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || ',250.00' || chr(10)
         || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Credit Limit: $5,000.00' || chr(10) END || CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE 'Monthly Payment: $' || CAST(o_custkey % 400 AS STRING) || '.00' || chr(10) END
@@ -115,6 +121,7 @@ class Views:
         """A view over tables that ``table`` gives, such as streams."""
         text = VIEWS[name]
         bases = {b: table(b) for b in ("orders", "customer", "documents", "events") if re.search(rf"FROM {b}\b", text)}
+        text = text.replace("{", "{{").replace("}", "}}")
         for b in bases:
             text = re.sub(rf"FROM {b}\b", f"FROM {{{b}}}", text)
         return self.spark.sql(text, **bases)
@@ -131,4 +138,5 @@ def with_views(sql: str) -> str:
         return sql
     front = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
     body = sql.strip()
-    return f"WITH {front}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {front} {body}"
+    start = re.match("WITH (RECURSIVE )?", body)
+    return f"WITH {start[1] or ''}{front}, {body[start.end() :]}" if start else f"WITH {front} {body}"
