@@ -24,6 +24,7 @@ MODULES = [
     "operators.entries",
     "operators.letters",
     "operators.access",
+    "operators.inverted",
     "operators.vectors",
     "sources.ingest",
     "sources.stores",
