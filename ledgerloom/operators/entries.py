@@ -165,13 +165,14 @@ ENTRY_NUMBERS = [r"(?i)Account\s+[+:]?\s*(\d{4,}[Xx]*)", r"(?i)Account Number\s*
 ENTRY_NEGATIVE = "(?i)collection|charge.?off|late"
 
 
-def entries_of(reports: DataFrame) -> DataFrame:
+def entries_of(reports: DataFrame, cleaned: bool = True) -> DataFrame:
     """Reports (ord, text) to entries, the valid and the rejected ones; ``errors`` says why, and is empty for valid ones.
 
     An entry begins where a line begins with a known creditor; what stands before the first one is an entry as well. The
     source also asks for the name of the account, which it never fills in, so that none would be valid: that is left out.
+    Cleaning takes days and bureaus out of the text; without it (``cleaned``) an entry keeps its own.
     """
-    parts = F.split(T.sanitize(c("text")), "(?im)^(?=" + "|".join(ENTRY_CREDITORS) + ")")
+    parts = F.split(T.sanitize(c("text")) if cleaned else c("text"), "(?im)^(?=" + "|".join(ENTRY_CREDITORS) + ")")
     entry = reports.select("ord", F.posexplode(parts).alias("n", "entry")).where(strip(c("entry")) != "")
     e = c("entry")
     read = entry.select(
@@ -228,16 +229,17 @@ AROUND = {"account_balance": "balance|bal|owe[ds]?", "credit_limit": "limit|cred
 HITS = "array<struct<n: int, k: int, found: string, account: string>>"
 
 
-def line_accounts(reports: DataFrame) -> DataFrame:
+def line_accounts(reports: DataFrame, last_group: int = 1) -> DataFrame:
     """Reports (ord, text) to a row for each line and pattern that finds a creditor; fields come from the lines around.
 
     Two lines before to four after count as around; they are cut from the text's own array and only for hits. A creditor
-    of two letters or fewer gives no row. For the last pattern the first group is the name, which stands as the number.
+    of two letters or fewer gives no row. For the last pattern the first group is the name, which stands as the number,
+    and the second one (``last_group``) is the number.
     """
     lines = reports.select("ord", F.split("text", "\n").alias("x"))
 
     def hits(line: Column, n: Column) -> Column:
-        found = [F.when(line.rlike(f"(?i){p}"), F.struct(n.alias("n"), F.lit(k).alias("k"), F.regexp_extract(line, f"(?i){p}", 0).alias("found"), F.regexp_extract(line, f"(?i){p}", 1).alias("account"))) for k, p in enumerate(LINE_PATTERNS)]
+        found = [F.when(line.rlike(f"(?i){p}"), F.struct(n.alias("n"), F.lit(k).alias("k"), F.regexp_extract(line, f"(?i){p}", 0).alias("found"), F.regexp_extract(line, f"(?i){p}", last_group if k == len(LINE_PATTERNS) - 1 else 1).alias("account"))) for k, p in enumerate(LINE_PATTERNS)]
         # every pattern asks for four digits: most lines have none and run no pattern
         return F.when(line.rlike(r"\d{4}"), F.array_compact(F.array(*found))).otherwise(F.array().cast(HITS))
 
@@ -262,17 +264,26 @@ def line_accounts(reports: DataFrame) -> DataFrame:
     return found.where("creditor <> ''")
 
 
-HITS_SQL = " UNION ALL ".join(f"SELECT ord, n, t, {k} AS k, regexp_extract(line, '(?i){p}', 0) AS found, regexp_extract(line, '(?i){p}', 1) AS account_number FROM w" for k, p in enumerate(LINE_PATTERNS))
+
+
+def hits_sql(last_group: int) -> str:
+    return " UNION ALL ".join(f"SELECT ord, n, t, {k} AS k, regexp_extract(line, '(?i){p}', 0) AS found, regexp_extract(line, '(?i){p}', {last_group if k == len(LINE_PATTERNS) - 1 else 1}) AS account_number FROM w" for k, p in enumerate(LINE_PATTERNS))
+
+
 OPENED_SQL = r"regexp_extract(t, '(?i)(?:opened|open date|date opened)\s*:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})', 1)"
 
 
-@query("X9_document_lines", rf"""WITH l AS (SELECT ord, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM statements),
-    w AS (SELECT ord, n, regexp_replace(raw, '{EDGES}', '', 'g') AS line, string_agg(raw, ' ') OVER (PARTITION BY ord ORDER BY n ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING) AS t FROM l), h AS ({HITS_SQL}),
+def lines_sql(last_group: int) -> str:
+    return rf"""WITH l AS (SELECT ord, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM statements),
+    w AS (SELECT ord, n, regexp_replace(raw, '{EDGES}', '', 'g') AS line, string_agg(raw, ' ') OVER (PARTITION BY ord ORDER BY n ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING) AS t FROM l), h AS ({hits_sql(last_group)}),
     f AS (SELECT *, upper(trim(regexp_replace(regexp_replace(regexp_replace(found, '(?i)ACCT|ACCOUNT|#|\d+', '', 'g'), '[^A-Za-z0-9_\s&]', ' ', 'g'), '\s+', ' ', 'g'))) AS creditor, {OPENED_SQL} AS day FROM h WHERE found <> ''),
     p AS (SELECT *, string_split_regex(day, '[/-]') AS part FROM f WHERE length(creditor) > 2)
     SELECT ord, CAST(n AS INTEGER) AS n, k, creditor, account_number, {", ".join(f"regexp_extract(t, '(?i)(?:{x}){DOLLARS}', 1) AS {f}" for f, x in AROUND.items())},
         CASE WHEN day = '' THEN '' ELSE CASE WHEN length(part[3]) = 2 THEN CASE WHEN TRY_CAST(part[3] AS INTEGER) > 50 THEN '19' ELSE '20' END ELSE '' END || part[3] || '/' || lpad(part[1], 2, '0') || '/' || lpad(part[2], 2, '0') END AS date_opened,
         {C.ladder_sql("t", C.TEXT_TYPES, "''")} AS account_type, {C.ladder_sql("t", C.TEXT_STATUSES, "'open'")} AS account_status, {C.ladder_sql("t", C.TEXT_BUREAUS, "''")} AS credit_bureau, regexp_matches(t, '(?i){C.NEGATIVE_TEXT}') AS is_negative,
-        coalesce(TRY_CAST(nullif(regexp_extract(t, '(?i)dispute[ds]?\s*:?\s*(\d+)', 1), '') AS INTEGER), 0) AS dispute_count FROM p""")
+        coalesce(TRY_CAST(nullif(regexp_extract(t, '(?i)dispute[ds]?\s*:?\s*(\d+)', 1), '') AS INTEGER), 0) AS dispute_count FROM p"""
+
+
+@query("X9_document_lines", lines_sql(1))
 def document_lines(v: Views) -> DataFrame:
     return line_accounts(v.statements)

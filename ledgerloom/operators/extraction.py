@@ -100,7 +100,7 @@ def title_sql(text: str) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({text}, '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
 
 
-def field(text: Column, low: Column, name: str) -> Column:
+def field(text: Column, low: Column, name: str, patterns: dict[str, list[str]] = PATTERNS) -> Column:
     """The value of the first pattern that gives one; amounts of zero and too short values are none.
 
     Each pattern runs once and only where those before it gave nothing: what it finds is bound by the filter. Values
@@ -110,7 +110,7 @@ def field(text: Column, low: Column, name: str) -> Column:
     def keep(value: Column) -> Column:
         return F.length(value) >= SHORTEST[name] if name in SHORTEST else ~F.lower(value).isin(NOTHING[name])
 
-    found = [F.regexp_extract(text, f"(?i){p}", 1) if name == "account_number" else F.regexp_extract(low, p, 1) for p in PATTERNS[name]]
+    found = [F.regexp_extract(text, f"(?i){p}", 1) if name == "account_number" else F.regexp_extract(low, p, 1) for p in patterns[name]]
     found = [F.regexp_replace(x, CLEAN[name], "") for x in found]
     value = F.coalesce(*[F.get(F.filter(F.array(x), keep), F.lit(0)) for x in found])
     if name not in STATES:
@@ -118,8 +118,8 @@ def field(text: Column, low: Column, name: str) -> Column:
     return F.get(F.transform(F.array(value), lambda x: F.coalesce(*[F.when(x.rlike(p), n) for n, p in CALLED.items()], title(x))), F.lit(0))
 
 
-def field_sql(name: str) -> str:
-    found = [f"regexp_replace(regexp_extract(text, '(?im){p}', 1), '{CLEAN[name]}', '', 'g')" for p in PATTERNS[name]]
+def field_sql(name: str, patterns: dict[str, list[str]] = PATTERNS) -> str:
+    found = [f"regexp_replace(regexp_extract(text, '(?im){p}', 1), '{CLEAN[name]}', '', 'g')" for p in patterns[name]]
     keep = f"length(x) >= {SHORTEST[name]}" if name in SHORTEST else "lower(x) NOT IN (" + ", ".join(f"'{x}'" for x in NOTHING.get(name, [])) + ")"
     value = f"list_filter([{', '.join(found)}], lambda x: {keep})[1]"
     if name not in STATES:
@@ -146,12 +146,12 @@ def section_fields(v: Views) -> DataFrame:
     return fields(v.sections)
 
 
-def fields(sections: DataFrame) -> DataFrame:
+def fields(sections: DataFrame, patterns: dict[str, list[str]] = PATTERNS) -> DataFrame:
     """Sections (ord, text) to their creditor and fields; null where a field is missing, no row without a creditor."""
     both = sections.select("ord", "text", F.lower("text").alias("low"))
     # a generator rather than a filter, which would be pushed down and seek the creditor twice
     named = both.select("ord", "text", "low", F.explode(F.array_compact(F.array(creditor(c("text"), c("low"))))).alias("creditor"))
-    return named.select("ord", "creditor", *[field(c("text"), c("low"), n).alias(n) for n in PATTERNS])
+    return named.select("ord", "creditor", *[field(c("text"), c("low"), n, patterns).alias(n) for n in patterns])
 
 
 @query("X10_X13_X14_small_extractors", r"""SELECT ord, coalesce(list_last(regexp_extract_all(text, '\d{4,16}')), '') AS last_number, coalesce(nullif(regexp_extract(text, '(?i)(?:Account|Acct)(?:\s*[#:]?\s*)(\d{4,16})', 1), ''), nullif(regexp_extract(text, '(?i)(?:Number|No|#)(?:\s*[:]?\s*)(\d{4,16})', 1), ''), nullif(regexp_extract(text, '\b(\d{4,16})\b', 1), ''), '') AS account,

@@ -22,10 +22,12 @@ MODULES = [
     "operators.grids",
     "operators.parsers",
     "operators.entries",
+    "operators.meant",
     "operators.letters",
     "operators.access",
     "operators.inverted",
     "operators.vectors",
+    "sources.evaluation",
     "sources.ingest",
     "sources.stores",
     "streaming.feeds",

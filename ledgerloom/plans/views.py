@@ -76,6 +76,12 @@ VIEWS = {
         || {pick("o_custkey", CREDITORS)} || '    ' || CAST(o_custkey AS STRING) || '   Open' || chr(10) || CASE o_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'end of part' || chr(10) ELSE chr(10) || 'SECOND' || chr(9) || '12' || chr(9) || 'Closed' || chr(10) END
         || 'LAST ONE    ' || CAST(o_orderkey AS STRING) || '     Current' || chr(10) || CASE o_custkey % 5 WHEN 0 THEN 'page 2' || chr(10) WHEN 1 THEN 'two  parts' || chr(10) || 'Creditor   Date   Limit' || chr(10) || 'next' || chr(10) WHEN 2 THEN 'a   b' || chr(10) ELSE '' END
         || 'AFTER    1    2' || CASE o_orderkey % 3 WHEN 0 THEN chr(10) || 'end' || chr(10) || 'x    1    2' || chr(10) || 'note' || chr(10) || 'y    3    4' ELSE '' END AS text FROM orders""",
+    # an expected account as CSV and the one found as JSON, some of either broken
+    "evaluation_lines": f"""SELECT CAST(ord AS STRING) || ',' || replace(creditor, ',', ' ') || ',' || CASE WHEN ord % 41 = 0 THEN 'n/a' ELSE CAST(ord % 5000 AS STRING) || '.50' END || ',' || CASE WHEN ord % 5 = 0 THEN '' ELSE day END AS expected_line,
+        CASE WHEN ord % 37 = 0 THEN 'no json' ELSE '{{"ord": ' || CAST(ord AS STRING) || CASE WHEN ord % 7 = 0 THEN '' ELSE ', "creditor": "' || CASE WHEN ord % 11 = 0 THEN lower(replace(creditor, ',', ' ')) ELSE replace(creditor, ',', ' ') END || '"' END || ', "balance": ' || CAST((ord + CASE WHEN ord % 13 = 0 THEN 1 ELSE 0 END) % 5000 AS STRING) || '.50' || CASE WHEN ord % 3 = 0 THEN '' ELSE ', "opened": "' || day || '"' END || '}}' END AS found_line
+        FROM (SELECT o_orderkey AS ord, {pick("o_orderkey", ["CHASE BANK", "TD BANK, N.A.", "USAA", "AMEX"])} AS creditor, {ISO} AS day FROM orders) AS named""",
+    "scan_responses": """SELECT o_orderkey AS ord, '{"negativeItems": [' || CASE o_orderkey % 3 WHEN 0 THEN '' ELSE '{"id": "N' || CAST(o_orderkey AS STRING) || '", "creditorName": "CHASE", "accountNumber": "' || CAST(o_custkey AS STRING) || '", "amount": ' || CAST(o_orderkey % 900 AS STRING) || ', "bureaus": ["Experian", "Equifax"], "reason": "late", "status": "open", "extra": {"a": 1}}' END
+        || CASE o_orderkey % 3 WHEN 2 THEN ', {"id": "M' || CAST(o_orderkey AS STRING) || '", "amount": 12, "dateReported": "2020-01-02", "bureaus": []}' ELSE '' END || '], "summary": "x"}' AS response FROM orders""",
     "sections": f"""SELECT o_orderkey AS ord, {pick("o_orderkey", CREDITORS)} || chr(10) || 'Account Number: ' || CASE o_orderkey % 3 WHEN 0 THEN '****' || CAST(1000 + o_custkey % 9000 AS STRING) WHEN 1 THEN CAST(400000000000 + o_custkey AS STRING) ELSE 'XXXX' || CAST(1000 + o_custkey % 9000 AS STRING) END || chr(10)
         || CASE o_orderkey % 4 WHEN 0 THEN 'Current Balance: $' WHEN 1 THEN 'Bal: $' WHEN 2 THEN 'Amount owed $' ELSE 'Balance $' END || CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING) || ',250.00' || chr(10)
         || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Credit Limit: $5,000.00' || chr(10) END || CASE WHEN o_orderkey % 3 = 1 THEN '' ELSE 'Monthly Payment: $' || CAST(o_custkey % 400 AS STRING) || '.00' || chr(10) END

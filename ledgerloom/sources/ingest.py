@@ -115,8 +115,14 @@ def encrypted_fields(v: Views) -> DataFrame:
     return sealed.select("user_id", F.aes_decrypt("sealed", key, F.lit("GCM")).cast("string").alias("ssn"), "encoded")
 
 
-@query("S33_nested_items", "SELECT user_id, id, credit_bureau FROM tradelines WHERE is_negative")
+ITEM = "id string, creditorName string, accountNumber string, amount double, dateReported string, bureaus array<string>, reason string, status string"
+
+
+@query("S33_nested_items", r"""WITH i AS (SELECT ord, unnest(CAST(json_extract(response, '$.negativeItems') AS JSON[])) AS x FROM scan_responses)
+    SELECT ord, json_extract_string(x, '$.id') AS id, json_extract_string(x, '$.creditorName') AS creditor_name, json_extract_string(x, '$.accountNumber') AS account_number, CAST(json_extract_string(x, '$.amount') AS DOUBLE) AS amount, json_extract_string(x, '$.dateReported') AS date_reported,
+        array_to_string(CAST(json_extract(x, '$.bureaus') AS VARCHAR[]), ',') AS bureaus, json_extract_string(x, '$.reason') AS reason, json_extract_string(x, '$.status') AS status FROM i""")
 def nested_items(v: Views) -> DataFrame:
-    """A nested list of items, exploded and projected again."""
-    packed = v.tradelines.where("is_negative").groupBy("user_id").agg(F.collect_list(F.struct("id", "credit_bureau", "amount")).alias("items"))
-    return packed.select("user_id", F.explode("items").alias("i")).select("user_id", "i.id", "i.credit_bureau")
+    """Eight fields of each negative item in the responses of a scan, which are JSON with a nested list."""
+    items = F.from_json("response", f"negativeItems array<struct<{', '.join(f.replace(' ', ':', 1) for f in ITEM.split(', '))}>>")["negativeItems"]
+    i = v.scan_responses.select("ord", F.inline(items))
+    return i.select("ord", "id", c("creditorName").alias("creditor_name"), c("accountNumber").alias("account_number"), "amount", c("dateReported").alias("date_reported"), F.array_join("bureaus", ",").alias("bureaus"), "reason", "status")
