@@ -192,16 +192,15 @@ def lineitem_issues(v: Views) -> DataFrame:
     return account_issues(accounts, AS_OF)
 
 
-@query("V10_report_checks", r"""SELECT id, array_to_string(list_filter([CASE WHEN NOT regexp_full_match(CASE WHEN ord % 4 = 0 THEN 'not-a-uuid' ELSE '123e4567-e89b-12d3-a456-426614174000' END, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') THEN 'Invalid user_id format' END,
-    CASE WHEN ord % 1000 NOT BETWEEN 300 AND 850 THEN 'Credit score must be between 300 and 850' END, CASE WHEN account_status = '' THEN 'Report data is required' END], lambda x: x IS NOT NULL), '; ') AS errors FROM tradelines""")
+@query("V10_report_checks", r"""SELECT id, array_to_string(list_filter([CASE WHEN NOT regexp_full_match(user_id, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') THEN 'Invalid user_id format' END,
+    CASE WHEN score NOT BETWEEN 300 AND 850 THEN 'Credit score must be between 300 and 850' END, CASE WHEN report_data = '' THEN 'Report data is required' END], lambda x: x IS NOT NULL), '; ') AS errors FROM credit_reports""")
 def report_checks(v: Views) -> DataFrame:
-    user = F.when(c("ord") % 4 == 0, "not-a-uuid").otherwise("123e4567-e89b-12d3-a456-426614174000")
     rules = [
-        (~user.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "Invalid user_id format"),
-        (~(c("ord") % 1000).between(300, 850), "Credit score must be between 300 and 850"),
-        (c("account_status") == "", "Report data is required"),
+        (~c("user_id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "Invalid user_id format"),
+        (~c("score").between(300, 850), "Credit score must be between 300 and 850"),
+        (c("report_data") == "", "Report data is required"),
     ]
-    return v.tradelines.select("id", F.array_join(F.array_compact(F.array(*[F.when(r, m) for r, m in rules])), "; ").alias("errors"))
+    return v.credit_reports.select("id", F.array_join(F.array_compact(F.array(*[F.when(r, m) for r, m in rules])), "; ").alias("errors"))
 
 
 STATES_SQL = ", ".join(f"'{x}'" for x in STATES)

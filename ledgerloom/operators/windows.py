@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
@@ -89,9 +89,23 @@ def page_numbers(current: int, total: int, around: int = 2) -> list[int | None]:
     return out
 
 
-@query("O3_page_links", "SELECT CAST(unnest(list_filter(range(1, 41), lambda x: x IN (1, 40) OR abs(x - 7) <= 2)) AS BIGINT) AS number")
-def page_links(v: Views) -> DataFrame:
-    return v.spark.createDataFrame([(n,) for n in page_numbers(7, 40) if n is not None], "number long")
+def page_links(current: Column, total: Column, around: int = 2) -> Column:
+    """``page_numbers`` as a column: numbers of pages, null for a gap; it is as long as the links, however many pages there are."""
+    near = F.sequence(F.greatest(F.lit(1), current - around), F.least(total, current + around))
+    wanted = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1)), near, F.array(total))))
+    before = lambda i: F.get(wanted, i - 1)
+    return F.flatten(F.transform(wanted, lambda x, i: F.when((i > 0) & (x - before(i) > 1), F.array(F.lit(None).cast("int"), x)).otherwise(F.array(x))))
+
+
+@query("O3_page_links", """WITH t AS (SELECT user_id, CAST(ceil(count(*) / 20.0) AS INTEGER) AS total, CAST(max(ord) AS BIGINT) AS last FROM tradelines GROUP BY user_id), u AS (SELECT user_id, total, CAST(1 + last % total AS INTEGER) AS page FROM t),
+    w AS (SELECT user_id, page, n, n - lag(n) OVER (PARTITION BY user_id ORDER BY n) > 1 AS gap FROM (SELECT user_id, page, total, unnest(range(1, total + 1)) AS n FROM u) WHERE n IN (1, total) OR abs(n - page) <= 2),
+    r AS (SELECT user_id, page, n, n AS number FROM w UNION ALL SELECT user_id, page, n - 0.5, NULL FROM w WHERE gap)
+    SELECT user_id, page, CAST(row_number() OVER (PARTITION BY user_id ORDER BY n) - 1 AS INTEGER) AS place, CAST(number AS INTEGER) AS number FROM r""")
+def page_links_of_users(v: Views) -> DataFrame:
+    """The links below each user's list of records, at one of its pages."""
+    totals = v.tradelines.groupBy("user_id").agg(F.ceil(F.count("*") / 20).cast("int").alias("total"), F.max("ord").alias("last"))
+    pages = totals.select("user_id", "total", (c("last") % c("total") + 1).cast("int").alias("page"))
+    return pages.select("user_id", "page", F.posexplode(page_links(c("page"), c("total"))).alias("place", "number"))
 
 
 @query("O4_recent_disputes", "SELECT id, created_on FROM disputes ORDER BY created_on DESC, ord DESC LIMIT 5")

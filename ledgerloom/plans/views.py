@@ -80,6 +80,8 @@ VIEWS = {
     "evaluation_lines": f"""SELECT CAST(ord AS STRING) || ',' || replace(creditor, ',', ' ') || ',' || CASE WHEN ord % 41 = 0 THEN 'n/a' ELSE CAST(ord % 5000 AS STRING) || '.50' END || ',' || CASE WHEN ord % 5 = 0 THEN '' ELSE day END AS expected_line,
         CASE WHEN ord % 37 = 0 THEN 'no json' ELSE '{{"ord": ' || CAST(ord AS STRING) || CASE WHEN ord % 7 = 0 THEN '' ELSE ', "creditor": "' || CASE WHEN ord % 11 = 0 THEN lower(replace(creditor, ',', ' ')) ELSE replace(creditor, ',', ' ') END || '"' END || ', "balance": ' || CAST((ord + CASE WHEN ord % 13 = 0 THEN 1 ELSE 0 END) % 5000 AS STRING) || '.50' || CASE WHEN ord % 3 = 0 THEN '' ELSE ', "opened": "' || day || '"' END || '}}' END AS found_line
         FROM (SELECT o_orderkey AS ord, {pick("o_orderkey", ["CHASE BANK", "TD BANK, N.A.", "USAA", "AMEX"])} AS creditor, {ISO} AS day FROM orders) AS named""",
+    "credit_reports": """SELECT 'T' || CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'U' || CAST(o_custkey AS STRING) ELSE concat_ws('-', lpad(lower(hex(o_custkey)), 8, '0'), '12d3', 'a456', '4266', lpad(lower(hex(o_orderkey)), 12, '0')) END AS user_id, o_orderkey % 1000 AS score,
+        CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE '{"orders": 1}' END AS report_data FROM orders""",
     "scan_responses": """SELECT o_orderkey AS ord, '{"negativeItems": [' || CASE o_orderkey % 3 WHEN 0 THEN '' ELSE '{"id": "N' || CAST(o_orderkey AS STRING) || '", "creditorName": "CHASE", "accountNumber": "' || CAST(o_custkey AS STRING) || '", "amount": ' || CAST(o_orderkey % 900 AS STRING) || ', "bureaus": ["Experian", "Equifax"], "reason": "late", "status": "open", "extra": {"a": 1}}' END
         || CASE o_orderkey % 3 WHEN 2 THEN ', {"id": "M' || CAST(o_orderkey AS STRING) || '", "amount": 12, "dateReported": "2020-01-02", "bureaus": []}' ELSE '' END || '], "summary": "x"}' AS response FROM orders""",
     "sections": f"""SELECT o_orderkey AS ord, {pick("o_orderkey", CREDITORS)} || chr(10) || 'Account Number: ' || CASE o_orderkey % 3 WHEN 0 THEN '****' || CAST(1000 + o_custkey % 9000 AS STRING) WHEN 1 THEN CAST(400000000000 + o_custkey AS STRING) ELSE 'XXXX' || CAST(1000 + o_custkey % 9000 AS STRING) END || chr(10)
