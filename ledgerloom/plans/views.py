@@ -13,7 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Every date comparison is made against this day, never against the clock.
+#: Users grow with the tables: 25 customers' orders are one user's records.  Every date comparison is made against this day, never against the clock.
 AS_OF = "2001-08-02"
 
 CREDITORS = [
@@ -38,7 +38,7 @@ def dollars(value: str) -> str:
 
 
 VIEWS = {
-    "tradelines": f"""SELECT 'T' || CAST(o_orderkey AS STRING) AS id, o_orderkey AS ord, 'U' || CAST(o_custkey % 60 AS STRING) AS user_id,
+    "tradelines": f"""SELECT 'T' || CAST(o_orderkey AS STRING) AS id, o_orderkey AS ord, 'U' || CAST(CAST(floor(o_custkey / 25) AS BIGINT) AS STRING) AS user_id,
         {pick("o_orderkey", CREDITORS)} AS creditor_name,
         CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'Unknown' WHEN 2 THEN '****' || CAST(1000 + o_custkey % 37 AS STRING) WHEN 3 THEN CAST(4000 + o_custkey % 37 AS STRING) || '-5678-9012'
             WHEN 4 THEN CAST(1000 + o_custkey % 37 AS STRING) || '****' WHEN 5 THEN 'cba' || CAST(o_custkey % 100 AS STRING) || '****' ELSE CAST(400000000000 + o_custkey AS STRING) END AS account_number,
@@ -51,7 +51,7 @@ VIEWS = {
         CASE o_orderkey % 4 WHEN 0 THEN 'Experian' WHEN 1 THEN 'Equifax' WHEN 2 THEN 'TransUnion' ELSE '' END AS credit_bureau,
         o_orderkey % 9 = 0 AS is_negative, CAST(o_orderkey % 3 AS INT) AS dispute_count, CAST(o_orderdate AS DATE) AS created_on, o_totalprice AS amount
         FROM orders""",
-    "disputes": f"""SELECT 'D' || CAST(o_orderkey AS STRING) AS id, o_orderkey AS ord, 'U' || CAST(o_custkey % 60 AS STRING) AS user_id, 'T' || CAST(o_orderkey AS STRING) AS tradeline_id,
+    "disputes": f"""SELECT 'D' || CAST(o_orderkey AS STRING) AS id, o_orderkey AS ord, 'U' || CAST(CAST(floor(o_custkey / 25) AS BIGINT) AS STRING) AS user_id, 'T' || CAST(o_orderkey AS STRING) AS tradeline_id,
         {pick("(o_orderkey + o_custkey)", ["pending", "in_progress", "resolved", "rejected", "generated", "processing", "submitted"])} AS status,
         {pick("o_orderkey", ["Experian", "Equifax", "TransUnion"])} AS bureau, {pick("o_custkey", ["high", "medium", "low"])} AS priority,
         CAST(o_orderdate AS DATE) AS created_on, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 60 AS INT) AS updated_on,
@@ -64,8 +64,8 @@ VIEWS = {
         CASE WHEN c_custkey % 5 = 2 THEN '' ELSE '1980-01-02' END AS date_of_birth, CASE c_custkey % 3 WHEN 0 THEN CAST(123450000 + c_custkey AS STRING) WHEN 1 THEN '123-45-' || CAST(1000 + c_custkey % 9000 AS STRING) ELSE '' END AS ssn,
         CASE c_custkey % 3 WHEN 0 THEN '555' || CAST(1000000 + c_custkey AS STRING) WHEN 1 THEN '(555) 123-4567' ELSE 'none' END AS phone, 'user' || CAST(c_custkey AS STRING) || '@example.com' AS email, c_mktsegment AS segment, c_acctbal AS acctbal
         FROM customer""",
-    "user_documents": f"""SELECT 'F' || CAST(c_custkey AS STRING) AS id, 'U' || CAST(c_custkey % 40 AS STRING) AS user_id, c_custkey AS ord, {pick("CAST(floor(c_custkey / 40) AS BIGINT)", ["photo_id", "ssn_card", "utility_bill", "tax_form_old"])} AS document_type,
-        'U' || CAST(c_custkey % 40 AS STRING) || '/' || CAST(c_custkey AS STRING) || '.pdf' AS file_path, {pick("c_custkey", ["image/png", "application/pdf", "text/plain"])} AS content_type FROM customer""",
+    "user_documents": f"""SELECT 'F' || CAST(c_custkey AS STRING) AS id, 'U' || CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS STRING) AS user_id, c_custkey AS ord, {pick("CAST(floor(c_custkey / 3) AS BIGINT)", ["photo_id", "ssn_card", "utility_bill", "tax_form_old"])} AS document_type,
+        'U' || CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS STRING) || '/' || CAST(c_custkey AS STRING) || '.pdf' AS file_path, {pick("c_custkey", ["image/png", "application/pdf", "text/plain"])} AS content_type FROM customer""",
     "user_roles": """SELECT 'U' || CAST(c_custkey AS STRING) AS user_id, CASE WHEN c_custkey % 2 = 0 THEN 'admin' ELSE 'user' END AS role FROM customer WHERE c_custkey % 3 = 0
         UNION ALL SELECT 'U' || CAST(c_custkey AS STRING) AS user_id, 'user' AS role FROM customer WHERE c_custkey % 9 = 0""",
     "name_readings": f"""SELECT ord, CASE WHEN ord % 3 = 0 THEN left(creditor_name, CAST(customer % 19 AS INT)) || substr(creditor_name, CAST(customer % 19 AS INT) + 2) ELSE creditor_name END AS creditor_name
