@@ -33,8 +33,11 @@ def balanced(texts: DataFrame) -> DataFrame:
     pairs = numbered.groupBy("id", "level", "number").agg(F.max(F.when(c("up") > 0, c("end"))).alias("begin"), F.max(F.when(c("up") < 0, c("end"))).alias("end")).where("begin is not null and end is not null")
     # in order of place; when one has parsed the rest are not tried
     found = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(c("begin").cast("int").alias("begin"), c("end").cast("int").alias("end")))).alias("pairs"))
-    first = F.expr(f"aggregate(pairs, cast(null as string), (done, p) -> if(done is not null, done, if(try_parse_json({VALID}) is not null, {VALID}, null)))")
-    bodies = rest.join(found, "id").select("id", first.alias("body"))
+    # what is carried from pair to pair is a place, not a text: it is copied each time
+    first = F.expr(f"aggregate(pairs, 0L, (done, p) -> if(done > 0, done, if(try_parse_json({VALID}) is not null, shiftleft(cast(p.begin as bigint), 32) + p.end, 0L)))")
+    placed = rest.join(found, "id").select("id", "rest", first.alias("place"))
+    begin, end = F.shiftright("place", 32).cast("int"), c("place").bitwiseAND((1 << 32) - 1).cast("int")
+    bodies = placed.where("place > 0").select("id", F.substring("rest", begin, end - begin + 1).alias("body"))
     return texts.select("id").join(bodies, "id", "left")
 
 
