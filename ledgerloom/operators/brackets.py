@@ -37,7 +37,7 @@ def balanced(texts: DataFrame) -> DataFrame:
     first = F.expr(f"aggregate(pairs, 0L, (done, p) -> if(done > 0, done, if(try_parse_json({VALID}) is not null, shiftleft(cast(p.begin as bigint), 32) + p.end, 0L)))")
     placed = rest.join(found, "id").select("id", "rest", first.alias("place"))
     begin, end = F.shiftright("place", 32).cast("int"), c("place").bitwiseAND((1 << 32) - 1).cast("int")
-    bodies = placed.where("place > 0").select("id", F.substring("rest", begin, end - begin + 1).alias("body"))
+    bodies = placed.select("id", F.when(c("place") > 0, F.substring("rest", begin, end - begin + 1)).alias("body"))
     return texts.select("id").join(bodies, "id", "left")
 
 
