@@ -1,9 +1,10 @@
 """Main text of web pages by removing site templates.
 
-Every element subtree is hashed (tag, text and children).  Spark counts in how many pages of a host each hash occurs;
-subtrees that recur across many pages of the host are its template.  Extraction drops template subtrees, inside the
-article as well as outside, and elements that are no article by their kind (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments), and returns the blocks that are left.
+Each page is parsed once.  Every element subtree is hashed (tag, text and children), and the page is staged as its text
+without elements that are no article by their kind (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, reader comments), with the hashes and the places of its subtrees.  Spark counts in how many pages of a host each
+hash occurs; subtrees that recur across many pages of the host are its template.  Extraction cuts template subtrees by
+their places, inside the article as well as on pages without one, and returns the blocks that are left.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, stage_table
+from .common import discard, pieces, stage_table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -53,6 +56,7 @@ OUTSIDE, INSIDE, SURE = 1, 2, 4
 PAGE = 0
 #: Templates of all hosts are broadcast up to this many; beyond it they are joined page by page.
 BROADCAST_ROWS, SALTS = 200_000, 16
+SPACES = re.compile(r"\s+")
 
 
 class Element:
@@ -124,12 +128,15 @@ def walk_up(root: Element) -> list[Element]:
     return order[::-1]
 
 
-def subtree_hashes(root: Element) -> dict[int, int]:
-    """id(element) to a hash of its tag, text and children, BARE and LONG in its lowest bits; only subtrees that hold text get one."""
+def subtree_hashes(order: list[Element]) -> dict[int, int]:
+    """id(element) to a hash of its tag, text and children, BARE and LONG in its lowest bits; only subtrees that hold text get one.
+
+    ``order`` has all elements, children before their parents.
+    """
     out: dict[int, int] = {}
     words: dict[int, int] = {}
     blocks: set[int] = set()
-    for element in walk_up(root):
+    for element in order:
         parts, full, count = [element.tag], False, 0
         for child in element.children:
             if isinstance(child, str):
@@ -152,6 +159,7 @@ def subtree_hashes(root: Element) -> dict[int, int]:
     return out
 
 
+@lru_cache(maxsize=1 << 14)
 def named(token: str, inside: bool) -> bool:
     """Is each word of a class, id or role a name of what is no article, or plain?  In an article, headers are its own."""
     words = set(re.split(r"[^a-z]+", token)) - {""}
@@ -159,11 +167,11 @@ def named(token: str, inside: bool) -> bool:
     return bool(found) and words <= NAMES | PLAIN and not (inside and found <= {"header", "masthead"})
 
 
-def holders(root: Element) -> set[int]:
+def holders(order: list[Element]) -> set[int]:
     """ids of the elements that hold the largest article of the page, or most of its text and are no menu, footer, aside or reader comments."""
     size: dict[int, int] = {}
     parent: dict[int, Element] = {}
-    order = walk_up(root)
+    root = order[-1]
     for element in order:
         size[id(element)] = 0 if element.tag in HIDDEN else sum(len("".join(c.split())) if isinstance(c, str) else size[id(c)] for c in element.children)
         parent.update((id(c), element) for c in element.children if isinstance(c, Element))
@@ -186,15 +194,15 @@ def unwanted(element: Element, inside: bool, holds: set[int]) -> bool:
     return bool(element.names) and element.tag not in ("html", "body", *ARTICLE) and any(named(x, inside) for x in element.names.lower().split())
 
 
-def template_hashes(root: Element) -> dict[int, int]:
+def template_hashes(order: list[Element]) -> dict[int, int]:
     """id(element) to the hash of the subtrees that may be a template: they hold no article and are no part of a sentence."""
-    hashes, holds = subtree_hashes(root), set()
-    for element in walk_up(root):
+    hashes, holds = subtree_hashes(order), set()
+    for element in order:
         if element.tag in ARTICLE or any(id(c) in holds for c in element.children if isinstance(c, Element)):
             holds.add(id(element))
     out: dict[int, int] = {}
     # (element, is it within running text)
-    stack = [(root, False)]
+    stack = [(order[-1], False)]
     while stack:
         element, running = stack.pop()
         if id(element) in hashes and id(element) not in holds and element.tag != "#page" and (element.tag in BLOCK or not running):
@@ -204,64 +212,91 @@ def template_hashes(root: Element) -> dict[int, int]:
     return out
 
 
-def main_text(root: Element, template: dict[int, int]) -> str:
-    """Blocks of the article (of the page, where it has none) without template subtrees and unwanted elements.
+class Page:
+    """The text of a page's article (of the page, where it has none) without unwanted elements, and its subtrees.
 
-    ``template`` has the levels of the host's hashes.
+    ``text`` has a line end at each begin and end of a block.  ``marks`` has the subtrees in it that may be a template, in
+    page order: hash, first and last place in the text, characters of its markup's text, index of the next mark that is not
+    inside it.
     """
-    holds = holders(root)
-    whole = not any(e.tag in ARTICLE for e in walk_up(root))
-    levels = {e: template[h] for e, h in template_hashes(root).items() if h in template} if template else {}
-    text, unsure = blocks_of(root, whole, holds, levels)
-    if unsure > COPY_CHARS and unsure > len(text):
-        text, _ = blocks_of(root, whole, holds, {e: level for e, level in levels.items() if level & SURE})
-    return text
 
-
-def length(element: Element) -> int:
-    return sum(len(c) for e in walk_up(element) for c in e.children if isinstance(c, str))
+    __slots__ = ("hashes", "marks", "text", "whole")
+
+    def __init__(self, html: str | None):
+        order = walk_up(parse(html))
+        holds, found = holders(order), template_hashes(order)
+        size: dict[int, int] = {}
+        for element in order:
+            size[id(element)] = sum(len(c) if isinstance(c, str) else size[id(c)] for c in element.children)
+        self.hashes = sorted({PAGE, *found.values()})
+        self.whole = not any(e.tag in ARTICLE for e in order)
+        self.marks: list[list[int]] = []
+        out: list[str] = []
+        at = 0
+        # depth first with an explicit stack: (element or text, inside an article), None where a block ends, or the mark that ends
+        stack: list = [(order[-1], self.whole)]
+        while stack:
+            item = stack.pop()
+            if isinstance(item, list):
+                item[2], item[4] = at, len(self.marks)
+                continue
+            node, inside = item or ("\n", True)
+            if isinstance(node, str):
+                if inside:
+                    out.append(SPACES.sub(" ", node) if item else node)
+                    at += len(out[-1])
+                continue
+            if unwanted(node, inside and not self.whole, holds):
+                continue
+            if inside and id(node) in found:
+                self.marks.append([found[id(node)], at, at, size[id(node)], 0])
+                stack.append(self.marks[-1])
+            if node.tag == "br":
+                out.append(" ")
+                at += 1
+                continue
+            if node.tag in BLOCK:
+                out.append("\n")
+                at += 1
+                stack.append(None)
+            stack.extend((child, inside or node.tag in ARTICLE) for child in reversed(node.children))
+        self.text = "".join(out)
+
+
+def blocks(text: str) -> str:
+    """The lines of a text, white space inside each turned into one space, without empty ones."""
+    lines = (" ".join(line.split()) for line in text.split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def cut(text: str, marks, levels: dict[int, int], here: int) -> tuple[str, int]:
+    """The blocks without the marked subtrees that are templates at the level ``here``, and how many characters went with templates that are not sure."""
+    kept, at, unsure, i = [], 0, 0, 0
+    while i < len(marks):
+        value, first, last, size, after = marks[i]
+        level = levels.get(value, 0)
+        if not level & here:
+            i += 1
+            continue
+        kept.append(text[at:first])
+        at, i = last, after
+        if not level & SURE:
+            unsure += size
+    return blocks("".join([*kept, text[at:]])), unsure
+
+
+def without_templates(text: str, whole: bool, marks, template: dict[int, int]) -> str:
+    """The text of a page without the host's templates; ``template`` has the levels of the host's hashes."""
+    here = OUTSIDE if whole else INSIDE
+    out, unsure = cut(text, marks, template, here)
+    if unsure > COPY_CHARS and unsure > len(out):
+        out, _ = cut(text, marks, {h: level for h, level in template.items() if level & SURE}, here)
+    return out
 
 
-def blocks_of(root: Element, whole: bool, holds: set[int], levels: dict[int, int]) -> tuple[str, int]:
-    """The text without the templates of ``levels``, and how many characters went with templates that are not sure."""
-    blocks: list[str] = []
-    words: list[str] = []
-    unsure = 0
-
-    def end():
-        text = " ".join("".join(words).split())
-        if text:
-            blocks.append(text)
-        words.clear()
-
-    # depth first with an explicit stack: (element or text, inside an article), or None where a block ends
-    stack: list = [(root, whole)]
-    while stack:
-        item = stack.pop()
-        if item is None:
-            end()
-            continue
-        node, inside = item
-        if isinstance(node, str):
-            if inside:
-                words.append(node)
-            continue
-        if unwanted(node, inside and not whole, holds):
-            continue
-        level = levels.get(id(node), 0)
-        if level & (INSIDE if inside and not whole else OUTSIDE):
-            if inside and not level & SURE:
-                unsure += length(node)
-            continue
-        if node.tag == "br":
-            words.append(" ")
-            continue
-        if node.tag in BLOCK:
-            end()
-            stack.append(None)
-        stack.extend((child, inside or node.tag in ARTICLE) for child in reversed(node.children))
-    end()
-    return "\n".join(blocks), unsure
+def main_text(html: str | None, template: dict[int, int]) -> str:
+    page = Page(html)
+    return without_templates(page.text, page.whole, page.marks, template)
 
 
 def host_of(url):
@@ -269,30 +304,35 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def hashes_of(html: str | None) -> tuple[int, list[int]]:
-    """A hash of the page's text without unwanted elements, which copies share, and those of its subtrees."""
-    root = parse(html)
-    text = main_text(root, {})
-    own = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-    return own, sorted({PAGE, *template_hashes(root).values()})
+MARK = {"hash": pa.int64(), "first": pa.int32(), "last": pa.int32(), "size": pa.int32(), "after": pa.int32()}
+PARSED = "row long, page_id long, url string, host string, page long, hashes array<long>, text string, whole boolean, marks array<struct<hash:long,first:int,last:int,size:int,after:int>>"
 
 
-def page_hashes(pages: DataFrame) -> DataFrame:
-    """page_id, host, page (the hash of its text), hash: each hash once for each row, and PAGE."""
+def lists(values: list, item) -> pa.ListArray:
+    """A list array from the lengths of ``values`` and the array of all their items."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), item)
 
-    def run(batches):
-        for whole in batches:
-            for batch in pieces(whole, "html"):
-                found = [hashes_of(h) for h in batch.column("html").to_pylist()]
-                columns = [batch.column("page_id"), batch.column("host"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "page", "hashes"])
 
-    return pages.mapInArrow(run, "page_id long, host string, page long, hashes array<long>").select("page_id", "host", "page", F.explode("hashes").alias("hash"))
-
-
-def host_templates(pages: DataFrame, least_pages: int, least_share: float) -> DataFrame:
-    """host, hash, level of the subtrees that recur across many distinct pages of their host."""
-    each = page_hashes(pages).select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+def parsed_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of PARSED; ``page`` is the hash of a page's text without unwanted elements, which copies share."""
+    for whole in batches:
+        for batch in pieces(whole, "html"):
+            found = [Page(h) for h in batch.column("html").to_pylist()]
+            own = [int.from_bytes(hashlib.blake2b(blocks(p.text).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for p in found]
+            marks = list(zip(*(m for p in found for m in p.marks), strict=True)) or [()] * len(MARK)
+            marks = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(marks, MARK.values(), strict=True)], names=list(MARK))
+            columns = {name: batch.column(name) for name in ("row", "page_id", "url", "host")}
+            columns["page"] = pa.array(own, pa.int64())
+            columns["hashes"] = lists([p.hashes for p in found], pa.array([h for p in found for h in p.hashes], pa.int64()))
+            columns["text"] = pa.array([p.text for p in found], pa.string())
+            columns["whole"] = pa.array([p.whole for p in found], pa.bool_())
+            columns["marks"] = lists([p.marks for p in found], marks)
+            yield pa.RecordBatch.from_pydict(columns)
+
+
+def host_templates(parsed: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    """host, hash, level of the subtrees that recur across many distinct pages of their host, as a staged table."""
+    each = parsed.select("host", "page", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = stage_table(each.where((F.col("n") >= least_pages) | (F.col("hash") == PAGE)), "counts")
     sizes = counts.where(F.col("hash") == PAGE).select("host", F.col("n").alias("pages"))
     n, bare, long = F.col("n"), F.col("hash").bitwiseAND(BARE) != 0, F.col("hash").bitwiseAND(LONG) != 0
@@ -302,7 +342,9 @@ def host_templates(pages: DataFrame, least_pages: int, least_share: float) -> Da
     inside = (n >= INSIDE_PAGES) & (block | (some & (n >= SENTENCE_PAGES_INSIDE)))
     level = F.when(outside, OUTSIDE).otherwise(0) + F.when(inside, INSIDE).otherwise(0) + F.when(n >= F.col("pages") * SURE_SHARE, SURE).otherwise(0)
     known = counts.where((F.col("hash") != PAGE) & (F.col("n") >= least_pages)).join(sizes, "host")
-    return known.select("host", "hash", level.alias("level")).where(F.col("level").bitwiseAND(OUTSIDE | INSIDE) != 0)
+    out = stage_table(known.select("host", "hash", level.alias("level")).where(F.col("level").bitwiseAND(OUTSIDE | INSIDE) != 0), "templates")
+    discard(counts)
+    return out
 
 
 OUT = "page_id long, url string, text string"
@@ -312,30 +354,35 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     """The main text of every row of ``pages`` (page_id, url, html): page_id, url, text.
 
     Null and empty html give an empty text.  Pages without a host are one host of their own.  Repeated rows and
-    copies count as one page of their host and are extracted each for itself; other columns are ignored.
+    copies count as one page of their host and are extracted each for itself; other columns are ignored.  The parsed pages
+    stay in the shared folder, as the result is read from them.
     """
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host_of(F.col("url")))
-    templates = stage_table(host_templates(source, least_pages, least_share), "templates")
+    source = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
+    parsed = stage_table(source.mapInArrow(parsed_pages, PARSED), "pages")
+    templates = host_templates(parsed, least_pages, least_share)
+    need = ["page_id", "url", "text", "whole", "marks"]
     if templates.count() <= broadcast_rows:
         by_host = defaultdict(dict)
         for row in templates.toLocalIterator():
             by_host[row["host"]][row["hash"]] = row["level"]
-        shared = source.sparkSession.sparkContext.broadcast(dict(by_host))
-        return source.mapInArrow(lambda batches: texts(batches, lambda batch: [shared.value.get(h, {}) for h in batch.column("host").to_pylist()]), OUT)
+        discard(templates)
+        shared = parsed.sparkSession.sparkContext.broadcast(dict(by_host))
+        return parsed.select("host", *need).mapInArrow(lambda batches: texts(batches, lambda batch: [shared.value.get(h, {}) for h in batch.column("host").to_pylist()]), OUT)
     # a host may have a third of all pages, so its templates are repeated and its pages dealt over the copies; each row is
     # joined by a key of its own, as ids may be null or repeat
-    keyed = stage_table(source.withColumn("row", F.monotonically_increasing_id()), "pages")
     salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = page_hashes(keyed.select(F.col("row").alias("page_id"), "host", "html")).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "hash", "salt"])
-    lists = own.groupBy(F.col("page_id").alias("row")).agg(F.collect_set(F.struct("hash", "level")).alias("template"))
-    joined = keyed.join(lists, "row", "left")
+    own = parsed.select("row", "host", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.array_distinct("marks.hash")).alias("hash"))
+    found = own.join(salted, ["host", "hash", "salt"]).groupBy("row").agg(F.collect_list(F.struct("hash", "level")).alias("template"))
+    joined = parsed.select("row", *need).join(found, "row", "left")
     return joined.mapInArrow(lambda batches: texts(batches, lambda batch: [{e["hash"]: e["level"] for e in x or ()} for x in batch.column("template").to_pylist()]), OUT)
 
 
 def texts(batches: Iterator[pa.RecordBatch], templates) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in pieces(whole, "html"):
-            out = [main_text(parse(h), t) for h, t in zip(batch.column("html").to_pylist(), templates(batch), strict=True)]
+        for batch in pieces(whole, "text"):
+            marks = [[tuple(m.values()) for m in x] for x in batch.column("marks").to_pylist()]
+            rows = zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist(), marks, templates(batch), strict=True)
+            out = [without_templates(*row) for row in rows]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 

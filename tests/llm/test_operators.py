@@ -129,7 +129,7 @@ def test_templates_inside_articles(spark, broadcast_rows):
     ],
 )
 def test_wrappers_of_the_article_stay(html, expected):
-    assert mainhtml.main_text(mainhtml.parse(f"<html><body>{html}</body></html>"), {}) == expected
+    assert mainhtml.main_text(f"<html><body>{html}</body></html>", {}) == expected
 
 
 def test_copies_are_one_page(spark):
@@ -150,6 +150,110 @@ def test_furniture_of_a_large_host(spark):
     assert got[7] == "Own text 7 with several more words\nIndeed."
 
 
+def plain_extract(pages):
+    """The main text of (host, html) pages by recursion over whole trees: subtrees are compared as they are, without hashes, marks or places."""
+
+    def shape(e):
+        parts = [" ".join(c.split()) if isinstance(c, str) else shape(c) for c in e.children]
+        parts = tuple(x for x in parts if x)
+        return (e.tag, *parts) if parts else None
+
+    def strings(e):
+        return [c for x in e.children for c in ([x] if isinstance(x, str) else strings(x))]
+
+    def below(e):
+        return [x for c in e.children if not isinstance(c, str) for x in (c, *below(c))]
+
+    def candidates(e, running=False):
+        """(element, its shape) of what may be a template."""
+        out = []
+        if shape(e) and e.tag not in ("#page", *mainhtml.ARTICLE) and not any(x.tag in mainhtml.ARTICLE for x in below(e)) and (e.tag in mainhtml.BLOCK or not running):
+            out.append((e, shape(e)))
+        flows = (running and e.tag not in mainhtml.BLOCK) or e.tag in mainhtml.SENTENCE or any(isinstance(c, str) and c.strip() for c in e.children)
+        return out + [x for c in e.children if not isinstance(c, str) for x in candidates(c, flows)]
+
+    def text_of(root, levels):
+        holds, whole = mainhtml.holders(mainhtml.walk_up(root)), not any(x.tag in mainhtml.ARTICLE for x in below(root))
+        kinds, lost = {id(e): levels.get(k, "") for e, k in candidates(root)}, []
+
+        def visit(e, inside):
+            if isinstance(e, str):
+                return " ".join(e.split("\n")) if inside else ""
+            if mainhtml.unwanted(e, inside and not whole, holds):
+                return ""
+            if inside and ("outside" if whole else "inside") in kinds.get(id(e), ""):
+                lost.extend([] if "sure" in kinds[id(e)] else strings(e))
+                return ""
+            body = " " if e.tag == "br" else "".join(visit(c, inside or e.tag in mainhtml.ARTICLE) for c in e.children)
+            return f"\n{body}\n" if e.tag in mainhtml.BLOCK else body
+
+        lines = [" ".join(x.split()) for x in visit(root, whole).split("\n")]
+        return "\n".join(x for x in lines if x), len("".join(lost))
+
+    roots = [(host, mainhtml.parse(html)) for host, html in pages]
+    seen, bare = {}, {}
+    for host, root in roots:
+        own = text_of(root, {})[0]
+        seen.setdefault((host, None), set()).add(own)
+        for e, k in candidates(root):
+            seen.setdefault((host, k), set()).add(own)
+            bare[k] = (not any(x.tag in mainhtml.BLOCK for x in below(e)), sum(len(x.split()) for x in strings(e)) >= 5)
+    levels = {}
+    for (host, k), texts in seen.items():
+        n, share = len(texts), len(texts) / len(seen[host, None])
+        if k is None or n < 3:
+            continue
+        is_bare, is_long = bare[k]
+        block, some = share >= 0.3 or (is_long and not is_bare), is_long or not is_bare
+        level = "outside " * (block or (some and n >= 10)) + "inside " * (n >= 10 and (block or (some and n >= 30)))
+        if level:
+            levels.setdefault(host, {})[k] = level + "sure" * (share >= 0.5)
+    out = []
+    for host, root in roots:
+        known = levels.get(host, {})
+        text, lost = text_of(root, known)
+        out.append(text_of(root, {k: v for k, v in known.items() if "sure" in v})[0] if lost > 400 and lost > len(text) else text)
+    return out, [text_of(root, {})[0] for _, root in roots]
+
+
+def made_pages(seed):
+    """Pages of three hosts, one of them with most: with and without articles, furniture of the host without any telling name or tag, cut off markup."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(200)]
+    furniture = {h: [f"<div class='k{rng.randrange(9)}'>" + "".join(f"<{t}>{' '.join(rng.choices(words, k=rng.randint(1, 9)))}</{t}>" for t in rng.choices(["p", "span", "b", "li"], k=rng.randint(1, 5))) + "</div>" for _ in range(6)] + [f"<p>{' '.join(rng.choices(words, k=rng.randint(2, 90)))}</p>" for _ in range(4)] for h in range(3)}
+    out = []
+    for _ in range(130):
+        host = rng.choice([0, 0, 0, 1, 2])
+        own = [f"<{t}>{' '.join(rng.choices(words, k=rng.randint(1, 30)))} <i>x</i></{t}>" for t in rng.choices(["p", "h2", "div"], k=rng.randint(0, 4))]
+        body = own + rng.sample(furniture[host], rng.randint(0, 5))
+        rng.shuffle(body)
+        outer = "".join(rng.sample(furniture[host], 2))
+        html = f"{outer}<article>{''.join(body)}</article><nav>menu</nav>" if rng.random() < 0.5 else outer + "".join(body)
+        html = f"<html><body>{html}</body></html>"
+        out.append((f"h{host}.example", html[: rng.randint(0, len(html))] if rng.random() < 0.1 else html))
+    return out + out[:5]
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_main_text_equals_recursion(spark, broadcast_rows):
+    pages = made_pages(broadcast_rows)
+    wanted, without = plain_extract(pages)
+    assert sum(a != b for a, b in zip(wanted, without, strict=True)) > 40  # templates decide
+    rows = [(i, f"http://{host}/{i}", html, "a", "b", 3) for i, (host, html) in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, host string, marks string, row int")
+    got = {r.page_id: r.text for r in mainhtml.extract(frame, broadcast_rows=broadcast_rows).collect()}
+    assert [got[i] for i in range(len(rows))] == wanted
+
+
+def test_very_long_and_deep_pages(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {i} &amp; its <b>own</b> words</p>" for i in range(60_000)) + "</article>"
+    deep = "<div>" * 20_000 + "<p>Bottom</p>" + "</div>" * 20_000
+    rows = [(1, "http://a.example/", long), (2, "http://a.example/", deep), (3, None, None), (3, None, "")]
+    got = sorted((r.page_id, r.text) for r in mainhtml.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got[0][1] == "\n".join(f"Paragraph {i} & its own words" for i in range(60_000))
+    assert got[1:] == [(2, "Bottom"), (3, ""), (3, "")]
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
