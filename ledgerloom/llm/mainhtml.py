@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, pieces, stage_table
+from .common import discard, pieces, settings, stage_table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -216,8 +216,8 @@ class Page:
     """The text of a page's article (of the page, where it has none) without unwanted elements, and its subtrees.
 
     ``text`` has a line end at each begin and end of a block.  ``marks`` has the subtrees in it that may be a template, in
-    page order: hash, first and last place in the text, characters of its markup's text, index of the next mark that is not
-    inside it.
+    page order: place of its hash in ``hashes``, first and last place in the text, characters of its markup's text, index of
+    the next mark that is not inside it.
     """
 
     __slots__ = ("hashes", "marks", "text", "whole")
@@ -229,6 +229,7 @@ class Page:
         for element in order:
             size[id(element)] = sum(len(c) if isinstance(c, str) else size[id(c)] for c in element.children)
         self.hashes = sorted({PAGE, *found.values()})
+        place = {h: i for i, h in enumerate(self.hashes)}
         self.whole = not any(e.tag in ARTICLE for e in order)
         self.marks: list[list[int]] = []
         out: list[str] = []
@@ -249,7 +250,7 @@ class Page:
             if unwanted(node, inside and not self.whole, holds):
                 continue
             if inside and id(node) in found:
-                self.marks.append([found[id(node)], at, at, size[id(node)], 0])
+                self.marks.append([place[found[id(node)]], at, at, size[id(node)], 0])
                 stack.append(self.marks[-1])
             if node.tag == "br":
                 out.append(" ")
@@ -269,12 +270,12 @@ def blocks(text: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def cut(text: str, marks, levels: dict[int, int], here: int) -> tuple[str, int]:
+def cut(text: str, marks, levels: list[int], here: int) -> tuple[str, int]:
     """The blocks without the marked subtrees that are templates at the level ``here``, and how many characters went with templates that are not sure."""
     kept, at, unsure, i = [], 0, 0, 0
     while i < len(marks):
-        value, first, last, size, after = marks[i]
-        level = levels.get(value, 0)
+        of, first, last, size, after = marks[i]
+        level = levels[of]
         if not level & here:
             i += 1
             continue
@@ -285,18 +286,18 @@ def cut(text: str, marks, levels: dict[int, int], here: int) -> tuple[str, int]:
     return blocks("".join([*kept, text[at:]])), unsure
 
 
-def without_templates(text: str, whole: bool, marks, template: dict[int, int]) -> str:
+def without_templates(text: str, whole: bool, hashes: list[int], marks, template: dict[int, int]) -> str:
     """The text of a page without the host's templates; ``template`` has the levels of the host's hashes."""
-    here = OUTSIDE if whole else INSIDE
-    out, unsure = cut(text, marks, template, here)
+    here, levels = OUTSIDE if whole else INSIDE, [template.get(h, 0) for h in hashes]
+    out, unsure = cut(text, marks, levels, here)
     if unsure > COPY_CHARS and unsure > len(out):
-        out, _ = cut(text, marks, {h: level for h, level in template.items() if level & SURE}, here)
+        out, _ = cut(text, marks, [level if level & SURE else 0 for level in levels], here)
     return out
 
 
 def main_text(html: str | None, template: dict[int, int]) -> str:
     page = Page(html)
-    return without_templates(page.text, page.whole, page.marks, template)
+    return without_templates(page.text, page.whole, page.hashes, page.marks, template)
 
 
 def host_of(url):
@@ -304,8 +305,8 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-MARK = {"hash": pa.int64(), "first": pa.int32(), "last": pa.int32(), "size": pa.int32(), "after": pa.int32()}
-PARSED = "row long, page_id long, url string, host string, page long, hashes array<long>, text string, whole boolean, marks array<struct<hash:long,first:int,last:int,size:int,after:int>>"
+MARK = {"of": pa.int32(), "first": pa.int32(), "last": pa.int32(), "size": pa.int32(), "after": pa.int32()}
+PARSED = "row long, page_id long, url string, host string, page long, hashes array<long>, text string, whole boolean, marks array<struct<of:int,first:int,last:int,size:int,after:int>>"
 
 
 def lists(values: list, item) -> pa.ListArray:
@@ -358,9 +359,10 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     stay in the shared folder, as the result is read from them.
     """
     source = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
-    parsed = stage_table(source.mapInArrow(parsed_pages, PARSED), "pages")
+    with settings(pages.sparkSession, spark__sql__parquet__compression__codec="zstd"):
+        parsed = stage_table(source.mapInArrow(parsed_pages, PARSED), "pages")
     templates = host_templates(parsed, least_pages, least_share)
-    need = ["page_id", "url", "text", "whole", "marks"]
+    need = ["page_id", "url", "text", "whole", "hashes", "marks"]
     if templates.count() <= broadcast_rows:
         by_host = defaultdict(dict)
         for row in templates.toLocalIterator():
@@ -371,7 +373,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
     # a host may have a third of all pages, so its templates are repeated and its pages dealt over the copies; each row is
     # joined by a key of its own, as ids may be null or repeat
     salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = parsed.select("row", "host", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.array_distinct("marks.hash")).alias("hash"))
+    own = parsed.select("row", "host", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"), F.explode(F.array_distinct(F.transform("marks.of", lambda i: F.get("hashes", i)))).alias("hash"))
     found = own.join(salted, ["host", "hash", "salt"]).groupBy("row").agg(F.collect_list(F.struct("hash", "level")).alias("template"))
     joined = parsed.select("row", *need).join(found, "row", "left")
     return joined.mapInArrow(lambda batches: texts(batches, lambda batch: [{e["hash"]: e["level"] for e in x or ()} for x in batch.column("template").to_pylist()]), OUT)
@@ -380,8 +382,11 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float
 def texts(batches: Iterator[pa.RecordBatch], templates) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "text"):
-            marks = [[tuple(m.values()) for m in x] for x in batch.column("marks").to_pylist()]
-            rows = zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist(), marks, templates(batch), strict=True)
+            each = batch.column("marks")
+            flat = list(zip(*(x.to_pylist() for x in each.flatten().flatten()), strict=True))
+            ends = np.cumsum([0, *each.value_lengths().to_pylist()]).tolist()
+            marks = [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            rows = zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist(), batch.column("hashes").to_pylist(), marks, templates(batch), strict=True)
             out = [without_templates(*row) for row in rows]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
