@@ -223,8 +223,11 @@ LINE_PATTERNS = [
     r"(?:BARCLAYS|BARC)\s*[\#\-\s]*(\d{4,16})",
     r"([A-Z\s&]{3,30})\s*(?:ACCT|ACCOUNT|#)\s*[\#\-\s]*(\d{4,16})",
 ]
-DOLLARS = r"\s*:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)"
-AROUND = {"account_balance": "balance|bal|owe[ds]?", "credit_limit": "limit|credit limit|cl", "monthly_payment": "payment|pmt|monthly"}
+AROUND = {
+    "account_balance": r"(?i)(?:balance|bal|owe[ds]?)\s*:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+    "credit_limit": r"(?i)(?:limit|credit limit|cl)\s*:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+    "monthly_payment": r"(?i)(?:payment|pmt|monthly)\s*:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+}
 
 HITS = "array<struct<n: int, k: int, found: string, account: string>>"
 
@@ -253,7 +256,7 @@ def line_accounts(reports: DataFrame, last_group: int = 1) -> DataFrame:
         "k",
         T.creditor_from_line(c("found")).alias("creditor"),
         c("account").alias("account_number"),
-        *[F.regexp_extract(t, f"(?i)(?:{w}){DOLLARS}", 1).alias(f) for f, w in AROUND.items()],
+        *[F.regexp_extract(t, p, 1).alias(f) for f, p in AROUND.items()],
         D.opened_from_text(t).alias("date_opened"),
         C.ladder(t, C.TEXT_TYPES, F.lit("")).alias("account_type"),
         C.ladder(t, C.TEXT_STATUSES, F.lit("open")).alias("account_status"),
@@ -278,7 +281,7 @@ def lines_sql(last_group: int) -> str:
     w AS (SELECT ord, n, regexp_replace(raw, '{EDGES}', '', 'g') AS line, string_agg(raw, ' ') OVER (PARTITION BY ord ORDER BY n ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING) AS t FROM l), h AS ({hits_sql(last_group)}),
     f AS (SELECT *, upper(trim(regexp_replace(regexp_replace(regexp_replace(found, '(?i)ACCT|ACCOUNT|#|\d+', '', 'g'), '[^A-Za-z0-9_\s&]', ' ', 'g'), '\s+', ' ', 'g'))) AS creditor, {OPENED_SQL} AS day FROM h WHERE found <> ''),
     p AS (SELECT *, string_split_regex(day, '[/-]') AS part FROM f WHERE length(creditor) > 2)
-    SELECT ord, CAST(n AS INTEGER) AS n, k, creditor, account_number, {", ".join(f"regexp_extract(t, '(?i)(?:{x}){DOLLARS}', 1) AS {f}" for f, x in AROUND.items())},
+    SELECT ord, CAST(n AS INTEGER) AS n, k, creditor, account_number, {", ".join(f"regexp_extract(t, '{p}', 1) AS {f}" for f, p in AROUND.items())},
         CASE WHEN day = '' THEN '' ELSE CASE WHEN length(part[3]) = 2 THEN CASE WHEN TRY_CAST(part[3] AS INTEGER) > 50 THEN '19' ELSE '20' END ELSE '' END || part[3] || '/' || lpad(part[1], 2, '0') || '/' || lpad(part[2], 2, '0') END AS date_opened,
         {C.ladder_sql("t", C.TEXT_TYPES, "''")} AS account_type, {C.ladder_sql("t", C.TEXT_STATUSES, "'open'")} AS account_status, {C.ladder_sql("t", C.TEXT_BUREAUS, "''")} AS credit_bureau, regexp_matches(t, '(?i){C.NEGATIVE_TEXT}') AS is_negative,
         coalesce(TRY_CAST(nullif(regexp_extract(t, '(?i)dispute[ds]?\s*:?\s*(\d+)', 1), '') AS INTEGER), 0) AS dispute_count FROM p"""

@@ -254,6 +254,7 @@ def page_chunks(v: Views) -> DataFrame:
     return v.files.select("doc_id", "pages", F.explode(chunks).alias("chunk")).select("doc_id", "chunk", (c("chunk") * 30 + 1).alias("first_page"), F.least((c("chunk") + 1) * 30, "pages").alias("last_page"))
 
 
+#: The patterns of a profile.
 PROFILE = {"dollars": r"\$[\d,]+", "dates": r"\d{1,2}/\d{1,2}/\d{2,4}", "masked": r"[*X]{4}", "numbers": r"\b\d{4,16}\b", "labels": r"(?i)balance|limit|payment", "statuses": r"(?i)open|closed|current|late"}
 
 

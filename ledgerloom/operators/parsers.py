@@ -22,23 +22,40 @@ STARTS = {
     TRANSUNION: r"^[A-Z][a-z]*(?:\s+[A-Z][a-z]*)*$|^[A-Z\s&]+$",
 }
 #: For each field the patterns of its value, in order. Experian's are tried line by line.
-AMOUNT, DAY = r":?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)", r":?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
 LINE_NUMBER = [r"(?:Account|Acct)(?:\s*[#:]?\s*)(\d{4,16})", r"(?:Number|No|#)(?:\s*[:]?\s*)(\d{4,16})", r"\b(\d{4,16})\b"]
 LINE_DATE = [r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})\b", r"\b(\d{1,2}[/-]\d{2,4})\b", r"\b(\w{3}\s+\d{4})\b", r"\b(\w{3}\s+\d{1,2},?\s+\d{4})\b"]
 LINE_AMOUNT = [r"\$\s*(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)", r"\b(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)\b"]
 BLOCK = {
     EQUIFAX: {
         "account_number": [r"Account\s+number:?\s*(\d{4,16})", r"Account:?\s*(\d{4,16})", r"#\s*(\d{4,16})"],
-        "account_balance": [r"Balance" + AMOUNT, r"Current\s+balance" + AMOUNT, r"Amount\s+owed" + AMOUNT],
-        "credit_limit": [r"Credit\s+limit" + AMOUNT, r"High\s+credit" + AMOUNT, r"Limit" + AMOUNT],
-        "date_opened": [r"Date\s+opened" + DAY, r"Opened" + DAY, r"Open\s+date" + DAY],
+        "account_balance": [
+            r"Balance:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+            r"Current\s+balance:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+            r"Amount\s+owed:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+        ],
+        "credit_limit": [
+            r"Credit\s+limit:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+            r"High\s+credit:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+            r"Limit:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+        ],
+        "date_opened": [
+            r"Date\s+opened:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+            r"Opened:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+            r"Open\s+date:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})",
+        ],
     },
     TRANSUNION: {
         "account_number": [r"Account\s+Number:?\s*(\d{4,16})", r"Acct\s*#:?\s*(\d{4,16})", r"Account:?\s*(\d{4,16})"],
-        "account_balance": [r"Current\s+Balance" + AMOUNT, r"Balance" + AMOUNT],
-        "credit_limit": [r"Credit\s+Limit" + AMOUNT, r"High\s+Balance" + AMOUNT],
-        "monthly_payment": [r"Monthly\s+Payment" + AMOUNT],
-        "date_opened": [r"Date\s+Opened" + DAY],
+        "account_balance": [
+            r"Current\s+Balance:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+            r"Balance:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+        ],
+        "credit_limit": [
+            r"Credit\s+Limit:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+            r"High\s+Balance:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)",
+        ],
+        "monthly_payment": [r"Monthly\s+Payment:?\s*\$?(\d{1,3}(?:,\d{3})*(?:\.\d{2})?)"],
+        "date_opened": [r"Date\s+Opened:?\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"],
     },
 }
 #: Words of a status, of a type and of a negative account, in order.
