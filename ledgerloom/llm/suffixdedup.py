@@ -6,8 +6,10 @@ Spark brings together the places that can hold a repeat; a run-length index find
     Equal windows keep the same anchor at the same place, so a repeat needs an anchor that occurs twice: anchors are
     dealt by their hash, and single ones go.
 2.  Around each remaining anchor the bytes of all windows that can have chosen it are cut out (a context).  Equal contexts
-    of an anchor are merged before they are dealt: all but the earliest are repeats as a whole.  Of anchors that have
-    several different contexts, these go to an index.
+    of an anchor are merged before they are dealt: all but the earliest are repeats as a whole.  Each window starts in one
+    of two halves of the range before its anchor and holds the bytes from there to its shortest reach (a core).  Different
+    contexts are dealt by their cores, so those that cannot share a window do not meet; a core of several goes to an index.
+    A core of very many contexts is hot: it is not gathered, Spark counts the hashes of its windows instead.
 3.  The index is the run-compressed Burrows-Wheeler transform of the contexts.  Text positions are sampled where a run
     begins; there the neighbour in suffix order and the length of the match with it are stored.  Between samples both
     follow by counting, so the matching statistics of all positions stream from the samples.  Matches of at least
@@ -34,6 +36,8 @@ INDEX_BYTES = 1 << 20
 PLACE_BITS = 22
 #: Copies of each repeated context in the join with its occurrences.
 SALTS = 16
+#: A core of more different contexts is compared by the hashes of its windows.
+HOT_CONTEXTS = 4096
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +113,8 @@ def repeated(found: DataFrame) -> DataFrame:
 
 def contexts(documents: DataFrame, places: DataFrame, length: int, gram: int) -> DataFrame:
     """``places`` has doc_id and its places (at, anchor).  The bytes around each anchor that windows holding it can reach: anchor, ctx (their hash), doc_id, lo (where they
-    begin), middle (of the anchor in them), bytes; only those that hold a window."""
-    before, after = length - gram, length
+    begin), bytes, cores (their hashes); only those that hold a window."""
+    before, after, half = length - gram, length, (length - gram) // 2
 
     def run(batches):
         for whole in batches:
@@ -126,18 +130,28 @@ def contexts(documents: DataFrame, places: DataFrame, length: int, gram: int) ->
                 keep = hi - lo >= length
                 lo, hi, doc, anchor = lo[keep], hi[keep], doc[keep], anchor.filter(pa.array(keep))
                 begin, size = offsets[doc] + lo, hi - lo
-                names = signed(SpanHash(raw).spans(begin, begin + size))
+                spans = SpanHash(raw)
+                names, origin, middle = signed(spans.spans(begin, begin + size)), offsets[doc], at[keep]
+                # a window that starts up to half a range before the anchor holds the first core, any other the second one
+                held, cores = [], []
+                for back, ahead in ((0, length - half), (half, gram)):
+                    fits = np.flatnonzero((middle - back >= lo) & (middle + ahead <= hi))
+                    held.append(fits)
+                    cores.append(spans.spans((origin + middle)[fits] - back, (origin + middle)[fits] + ahead) ^ np.asarray(anchor)[fits].view(np.uint64))
+                order = np.argsort(np.concatenate(held), kind="stable")
+                number = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(held), minlength=len(lo)))]).astype(np.int32)
+                cores = pa.ListArray.from_arrays(pa.array(number), pa.array(signed(np.concatenate(cores)[order])))
                 ends = np.concatenate([[0], np.cumsum(size)])
                 cut = raw[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
                 data = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(cut)])
-                yield pa.RecordBatch.from_arrays([anchor, pa.array(names), pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(lo.astype(np.int32)), pa.array((at[keep] - lo).astype(np.int32)), data], names=["anchor", "ctx", "doc_id", "lo", "middle", "bytes"])
+                yield pa.RecordBatch.from_arrays([anchor, pa.array(names), pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(lo.astype(np.int32)), data, cores], names=["anchor", "ctx", "doc_id", "lo", "bytes", "cores"])
 
-    return documents.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "anchor long, ctx long, doc_id long, lo int, middle int, bytes binary")
+    return documents.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "anchor long, ctx long, doc_id long, lo int, bytes binary, cores array<long>")
 
 
 def merged_contexts(found: DataFrame) -> DataFrame:
     """The different contexts of each anchor, each at its earliest place, and how often it occurs.  A written table."""
-    first = F.min(F.struct("doc_id", "lo", "middle", "bytes")).alias("x")
+    first = F.min(F.struct("doc_id", "lo", "bytes", "cores")).alias("x")
     return stage_table(found.groupBy("anchor", "ctx").agg(first, F.count("*").alias("n")).select("anchor", "ctx", "n", "x.*"), "contexts")
 
 
@@ -149,10 +163,37 @@ def equal_runs(found: DataFrame, merged: DataFrame) -> DataFrame:
     return rows.join(again, ["anchor", "ctx", "salt"]).where("doc_id <> d0 or lo <> l0").select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e"))
 
 
-def several_contexts(merged: DataFrame) -> DataFrame:
-    """The contexts of the anchors that have several."""
-    several = merged.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    return merged.select("anchor", "doc_id", "lo", "middle", "bytes").join(several, "anchor", "left_semi")
+def shared_cores(merged: DataFrame, hot_contexts: int) -> DataFrame:
+    """The contexts that share a core: doc_id, lo, bytes, cores (those to deal it by), hot (does it have a hot one?).  A written table."""
+    salt = F.pmod(F.xxhash64("anchor", "ctx"), F.lit(SALTS)).cast("int").alias("salt")
+    each = merged.select("anchor", "ctx", salt, F.explode("cores").alias("core"))
+    counts = each.groupBy("core").agg(F.count("*").alias("m")).where("m > 1")
+    # a hot core may have a third of all rows: it is joined over copies
+    known = each.join(counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["core", "salt"])
+    dealt = known.groupBy("anchor", "ctx").agg(F.collect_set(F.when(F.col("m") <= hot_contexts, F.col("core"))).alias("cores"), F.max(F.col("m") > hot_contexts).alias("hot"))
+    return stage_table(merged.select("anchor", "ctx", "doc_id", "lo", "bytes").join(dealt, ["anchor", "ctx"]).drop("anchor", "ctx"), "contexts", hot=F.count_if("hot"))
+
+
+def window_runs(rows: DataFrame, length: int) -> DataFrame:
+    """Byte runs (doc_id, s, e) of all windows of contexts that also start earlier in another one, by counting their hashes."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in pieces(whole, "bytes", 1 << 17):
+                sizes = np.asarray(pc.binary_length(batch.column("bytes"))).astype(np.int64)
+                raw = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8)
+                many = np.maximum(sizes - length + 1, 0)
+                which = np.repeat(np.arange(len(batch)), many)
+                inner = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+                begin = (np.cumsum(sizes) - sizes)[which] + inner
+                at = np.asarray(batch.column("lo")).astype(np.int64)[which] + inner
+                yield pa.RecordBatch.from_arrays([pa.array(signed(SpanHash(raw).spans(begin, begin + length))), pa.array(np.asarray(batch.column("doc_id"))[which]), pa.array(at.astype(np.int32))], names=["window", "doc_id", "at"])
+
+    # contexts of one text overlap, so a place may come from several of them
+    each = rows.mapInArrow(run, "window long, doc_id long, at int").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
+    firsts = each.groupBy("window").agg(F.min(F.struct("doc_id", "at")).alias("x"), F.count("*").alias("n")).where("n > 1")
+    salted = firsts.select("window", F.col("x.doc_id").alias("d0"), F.col("x.at").alias("a0"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return each.join(salted, ["window", "salt"]).where("doc_id <> d0 or at <> a0").select("doc_id", F.col("at").alias("s"), (F.col("at") + length).alias("e")).distinct()
 
 
 class RunIndex:
@@ -252,22 +293,6 @@ class RunIndex:
         return np.where(self.neighbour[sample] >= 0, self.neighbour[sample] - back, -1), self.match[sample] + back
 
 
-def sharing(texts: list[bytes], middles: np.ndarray, anchors: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Which contexts can share a window with another one of their anchor: a window that starts in one half of the range
-    before the anchor holds all bytes from there to its shortest reach, and these are equal in both."""
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    begins = np.cumsum(sizes) - sizes
-    spans, half = SpanHash(raw), (length - gram) // 2
-    out = np.zeros(len(texts), bool)
-    for before, after in ((0, length - half), (half, gram)):
-        at = np.flatnonzero((middles >= before) & (middles + after <= sizes))
-        names = spans.spans(begins[at] + middles[at] - before, begins[at] + middles[at] + after) ^ anchors[at].astype(np.uint64)
-        _, which, number = np.unique(names, return_inverse=True, return_counts=True)
-        out[at] |= number[which] > 1
-    return out
-
-
 def repeats(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte runs (documents, starts, ends) of the texts covered by windows that also start earlier in another text."""
     index = RunIndex(texts, length)
@@ -295,42 +320,42 @@ def repeats(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: in
     return docs[text[begin]], where[begin], where[end] + length
 
 
-def mark(found: DataFrame, length: int, gram: int, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Byte runs (doc_id, s, e) to remove, from different contexts dealt by their anchor; whole anchors share an index."""
+def mark(found: DataFrame, length: int, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """Byte runs (doc_id, s, e) to remove, from different contexts dealt by their cores; whole cores share an index."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held, size, anchor = [], 0, None
+        held, size, core = [], 0, None
 
         def index():
             rows = pa.Table.from_batches(held)
             docs, los = np.asarray(rows.column("doc_id")), np.asarray(rows.column("lo")).astype(np.int64)
             texts = rows.column("bytes").to_pylist()
-            keep = np.flatnonzero(sharing(texts, np.asarray(rows.column("middle")).astype(np.int64), np.asarray(rows.column("anchor")), length, gram))
-            doc, s, e = repeats([texts[i] for i in keep], docs[keep], los[keep], length) if len(keep) else (keep, keep, keep)
+            doc, s, e = repeats(texts, docs, los, length)
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc_id", "s", "e"])
 
         for batch in batches:
-            names = np.asarray(batch.column("anchor"))
+            names = np.asarray(batch.column("core"))
             sizes = np.asarray(pc.binary_length(batch.column("bytes"))).astype(np.int64)
             starts = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else []
             begin = 0
             for at in [*starts, len(names)]:
-                # what is held ends with an anchor here, unless the batch goes on with the anchor of the last one
+                # what is held ends with a core here, unless the batch goes on with the core of the last one
                 if at > begin:
                     held.append(batch.slice(begin, at - begin))
                     size += int(sizes[begin:at].sum())
                     begin = at
-                if size >= index_bytes and at < len(names) and (at > 0 or names[0] != anchor):
+                if size >= index_bytes and at < len(names) and (at > 0 or names[0] != core):
                     yield index()
                     held, size = [], 0
-            anchor = names[-1] if len(names) else anchor
+            core = names[-1] if len(names) else core
         if held:
             yield index()
 
-    return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, s int, e int")
+    dealt = found.select("doc_id", "lo", "bytes", F.explode("cores").alias("core"))
+    return dealt.repartition("core").sortWithinPartitions("core").mapInArrow(run, "doc_id long, s int, e int")
 
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """Byte runs (doc_id, s, e; they may overlap) that are covered by strings of ``length`` bytes that also start earlier.
 
     Earlier: in a smaller doc_id, or before in the same text.  ``documents`` has doc_id (unique) and text.  Whole copies
@@ -347,9 +372,14 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
     merged = merged_contexts(found)
     whole = stage_table(equal_runs(found, merged), "marks")
     discard(found)
-    marks = stage_table(mark(several_contexts(merged), length, gram), "marks")
+    shared = shared_cores(merged, hot_contexts)
     discard(merged)
-    return copies.unionByName(marks).unionByName(whole)
+    marks = stage_table(mark(shared, length), "marks")
+    out = copies.unionByName(marks).unionByName(whole)
+    if shared.observed["hot"]:
+        out = out.unionByName(stage_table(window_runs(shared.where("hot"), length), "marks"))
+    discard(shared)
+    return out
 
 
 def removed(documents: DataFrame, spans: DataFrame) -> DataFrame:

@@ -434,6 +434,26 @@ def test_suffix_dedup_on_awkward_rows(awkward, empty):
     assert suffixdedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot_contexts", [1, 5, 4096])
+def test_repeats_around_a_common_passage(spark, hot_contexts):
+    """One passage with other surroundings each time: its anchors have as many different contexts as documents, hot ones or not."""
+    rng = random.Random(hot_contexts)
+    noise = lambda n: "".join(rng.choices("abcdefgh \u00e9", k=n))
+    common, short = noise(130), noise(70)
+    texts = []
+    for i in range(120):
+        parts = [noise(rng.randint(0, 150)), common[rng.randint(0, 20) :], noise(rng.randint(0, 60)), short, noise(rng.randint(0, 40))]
+        rng.shuffle(parts)
+        texts.append("".join(parts))
+    texts += [common * 4, common * 2 + short * 3, texts[7], "", "ab" * 300]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, core int, salt int")
+    spans = suffixdedup.repeated_spans(frame, hot_contexts=hot_contexts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffixdedup.removed(frame, spans).collect()}
+    expected = suffixdedup.brute_force(rows)
+    assert got == expected and sum(x[1] > 0 for x in expected.values()) > 100
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 
 
