@@ -8,8 +8,9 @@ Spark brings together the places that can hold a repeat; a run-length index find
 2.  Around each remaining anchor the bytes of all windows that can have chosen it are cut out (a context).  Equal contexts
     of an anchor are merged before they are dealt: all but the earliest are repeats as a whole.  Each window starts in one
     of two halves of the range before its anchor and holds the bytes from there to its shortest reach (a core).  Different
-    contexts are dealt by their cores, so those that cannot share a window do not meet; a core of several goes to an index.
-    A core of very many contexts is hot: it is not gathered, Spark counts the hashes of its windows instead.
+    contexts that share no core with another one go; the rest are dealt by their anchor, those of an anchor that has many
+    by their cores, and go to an index.  A core of many contexts is hot: it is not gathered, Spark counts the hashes of
+    its windows instead.
 3.  The index is the run-compressed Burrows-Wheeler transform of the contexts.  Text positions are sampled where a run
     begins; there the neighbour in suffix order and the length of the match with it are stored.  Between samples both
     follow by counting, so the matching statistics of all positions stream from the samples.  Matches of at least
@@ -36,8 +37,9 @@ INDEX_BYTES = 1 << 20
 PLACE_BITS = 22
 #: Copies of each repeated context in the join with its occurrences.
 SALTS = 16
-#: A core of more different contexts is compared by the hashes of its windows.
-HOT_CONTEXTS = 4096
+#: The contexts of an anchor that has more are dealt by their cores; those of a core that has more are compared by the
+#: hashes of their windows.
+HOT_CONTEXTS = 512
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,13 +166,23 @@ def equal_runs(found: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def shared_cores(merged: DataFrame, hot_contexts: int) -> DataFrame:
-    """The contexts that share a core: doc_id, lo, bytes, cores (those to deal it by), hot (does it have a hot one?).  A written table."""
+    """The contexts that share a core, a written table: doc_id, lo, bytes, cores (what to deal it by), hot (does it have a hot one?).
+
+    Up to ``hot_contexts`` contexts of an anchor meet by their anchor, those of other anchors by each of their cores.
+    """
     salt = F.pmod(F.xxhash64("anchor", "ctx"), F.lit(SALTS)).cast("int").alias("salt")
-    each = merged.select("anchor", "ctx", salt, F.explode("cores").alias("core"))
+    each = merged.select("anchor", "ctx", salt, F.explode(F.concat("cores", F.array("anchor"))).alias("core"))
     counts = each.groupBy("core").agg(F.count("*").alias("m")).where("m > 1")
     # a hot core may have a third of all rows: it is joined over copies
     known = each.join(counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["core", "salt"])
-    dealt = known.groupBy("anchor", "ctx").agg(F.collect_set(F.when(F.col("m") <= hot_contexts, F.col("core"))).alias("cores"), F.max(F.col("m") > hot_contexts).alias("hot"))
+    own, m = F.col("core") == F.col("anchor"), F.col("m")
+    shared = known.groupBy("anchor", "ctx").agg(
+        F.collect_set(F.when(~own & (m <= hot_contexts), F.col("core"))).alias("cores"),
+        F.count_if(~own).alias("shares"),
+        F.max(F.when(own, m > hot_contexts)).alias("many"),
+        F.max(~own & (m > hot_contexts)).alias("hot"),
+    )
+    dealt = shared.where("shares > 0").select("anchor", "ctx", F.when(F.col("many"), F.col("cores")).otherwise(F.array("anchor")).alias("cores"), "hot")
     return stage_table(merged.select("anchor", "ctx", "doc_id", "lo", "bytes").join(dealt, ["anchor", "ctx"]).drop("anchor", "ctx"), "contexts", hot=F.count_if("hot"))
 
 
@@ -193,7 +205,7 @@ def window_runs(rows: DataFrame, length: int) -> DataFrame:
     each = rows.mapInArrow(run, "window long, doc_id long, at int").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
     firsts = each.groupBy("window").agg(F.min(F.struct("doc_id", "at")).alias("x"), F.count("*").alias("n")).where("n > 1")
     salted = firsts.select("window", F.col("x.doc_id").alias("d0"), F.col("x.at").alias("a0"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return each.join(salted, ["window", "salt"]).where("doc_id <> d0 or at <> a0").select("doc_id", F.col("at").alias("s"), (F.col("at") + length).alias("e")).distinct()
+    return each.join(salted, ["window", "salt"]).where("doc_id <> d0 or at <> a0").select("doc_id", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
 
 
 class RunIndex:
@@ -321,7 +333,7 @@ def repeats(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: in
 
 
 def mark(found: DataFrame, length: int, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Byte runs (doc_id, s, e) to remove, from different contexts dealt by their cores; whole cores share an index."""
+    """Byte runs (doc_id, s, e) to remove, from different contexts dealt by their anchor or cores, whole ones share an index."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         held, size, core = [], 0, None

@@ -434,7 +434,7 @@ def test_suffix_dedup_on_awkward_rows(awkward, empty):
     assert suffixdedup.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot_contexts", [1, 5, 4096])
+@pytest.mark.parametrize("hot_contexts", [1, 12, 512])
 def test_repeats_around_a_common_passage(spark, hot_contexts):
     """One passage with other surroundings each time: its anchors have as many different contexts as documents, hot ones or not."""
     rng = random.Random(hot_contexts)
