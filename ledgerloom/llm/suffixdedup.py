@@ -205,7 +205,9 @@ def window_runs(rows: DataFrame, length: int) -> DataFrame:
     each = rows.mapInArrow(run, "window long, doc_id long, at int").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
     firsts = each.groupBy("window").agg(F.min(F.struct("doc_id", "at")).alias("x"), F.count("*").alias("n")).where("n > 1")
     salted = firsts.select("window", F.col("x.doc_id").alias("d0"), F.col("x.at").alias("a0"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return each.join(salted, ["window", "salt"]).where("doc_id <> d0 or at <> a0").select("doc_id", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
+    later = each.join(salted, ["window", "salt"]).where("doc_id <> d0 or at <> a0")
+    # windows that start within ``length`` bytes of each other touch, so all of a block of so many starts are one run
+    return later.groupBy("doc_id", F.floor(F.col("at") / length).alias("block")).agg(F.min("at").alias("s"), (F.max("at") + length).alias("e")).drop("block")
 
 
 class RunIndex:
