@@ -111,6 +111,17 @@ VIEWS = {
 }
 
 
+#: Rows of a table in one task of a query that makes many rows of each.
+ROWS_IN_TASK = 50_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by ``key`` to as many tasks as they need: what works by this key afterwards needs no other shuffle,
+    and a task stays as small when the table grows."""
+    number = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_IN_TASK))
+    return rows.repartition(number, key)
+
+
 class Views:
     """The views of one dataset, built on demand."""
 
@@ -134,6 +145,10 @@ class Views:
             text = re.sub(rf"FROM {b}\b", f"FROM {{{b}}}", text)
         return self.spark.sql(text, **bases)
 
+    def dealt(self, name: str, key: str) -> DataFrame:
+        """A view over a table whose rows are dealt by the table's ``key`` before the view makes texts of them."""
+        return self.over(name, lambda base: dealt(self.table(base), key))
+
     @cached_property
     def as_of(self) -> str:
         return AS_OF
