@@ -132,7 +132,8 @@ def set_operations(v: Views) -> DataFrame:
     names = v.tradelines.select("ord", "creditor_name")
 
     def of(condition: str, side: str) -> DataFrame:
-        return names.where(condition).select("creditor_name", F.lit(side).alias("side"))
+        # distinct first: the set operations are joins, and a name's rows would all meet in one task
+        return names.where(condition).select("creditor_name", F.lit(side).alias("side")).distinct()
 
     both = of("ord % 7 = 0", "both").intersect(of("ord % 5 = 0", "both"))
     left = of("ord % 19 < 12", "left").subtract(of("ord % 19 < 6", "left"))

@@ -32,3 +32,9 @@ def test_similar_vectors_meet_in_blocks(spark, monkeypatch):
 def test_cells_in_blocks():
     first, parts = inverted.dealt_cells({0: 5, 1: 6, 2: 25, 3: 1, 5: 9}, 6, 10)
     assert first.tolist() == [0, 1, 2, 5, 5, 5] and parts.tolist() == [1, 1, 3, 1, 1, 1]
+
+
+def test_names_are_distinct_before_they_meet(spark, sf_dir):
+    """Each side of the two set operations is a list of names, not of rows."""
+    joins = catalog.QUERIES["U1_U2_set_operations"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert joins.count("Join Left") == 2 and joins.count("Aggregate") >= 5
