@@ -22,8 +22,8 @@ def tables(reports: DataFrame) -> DataFrame:
 
     What a line does depends on how many rows are open: none, a header alone, or more.  After a header the first row
     makes it more, so the next other line closes.  After that, or before any header, a run of one row leaves a header
-    alone, which the next run takes as its own: so runs of one row count by their parity.  All of it is windows over one
-    order of a report's lines.
+    alone, which the next run takes as its own: so runs of one row count by their parity.  All of it is windows over a
+    report's lines, so reports that are dealt by ``ord`` need no shuffle, and others one.
     """
     lines = reports.select("ord", F.posexplode(F.transform(F.split("text", "\n"), lambda l: F.regexp_replace(l, r"^\s+|\s+$", ""))).alias("n", "line")).where("line <> ''")
     cells, header = F.split("line", PARTS), c("line").rlike(HEADER)
@@ -35,22 +35,18 @@ def tables(reports: DataFrame) -> DataFrame:
     # blocks begin at headers; runs are rows between other lines
     blocks = marked.withColumn("block", F.sum(F.when(c("kind") == "H", 1).otherwise(0)).over(order))
     runs = blocks.withColumn("run", F.sum(F.when(c("kind") == "O", 1).otherwise(0)).over(inside)).withColumn("last_run", F.max("run").over(Window.partitionBy("ord", "block"))).withColumn("last_block", F.max("block").over(Window.partitionBy("ord")))
-    rows = runs.where("kind <> 'O'")
-    sized = rows.groupBy("ord", "block", "run").agg(F.sum(F.when(c("kind") == "D", 1).otherwise(0)).alias("rows"), F.max(F.when(c("kind") == "H", True)).alias("headed")).where("rows > 0 or headed")
-    by_run = Window.partitionBy("ord", "block").orderBy("run")
+    # a block's first line is its header, if it has one
+    rows = runs.withColumn("head", F.first(F.when(c("kind") == "H", c("cells"))).over(inside)).where("kind = 'D'")
+    of_run, by_run = Window.partitionBy("ord", "block", "run"), Window.partitionBy("ord", "block").orderBy("number")
     # a header that no row follows before other lines waits for the next run
-    led = sized.withColumn("led", F.max("headed").over(by_run.rowsBetween(Window.unboundedPreceding, 0)).isNotNull() & (F.coalesce(F.sum("rows").over(by_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0))
-    led = led.where("rows > 0")
+    led = rows.withColumn("number", F.dense_rank().over(Window.partitionBy("ord", "block").orderBy("run"))).withColumn("led", (c("block") > 0) & (c("number") == 1))
+    ones = led.withColumn("rows", F.count("*").over(of_run)).withColumn("place", F.row_number().over(of_run.orderBy("n")))
     # of the runs without a header: how many of one row stand right before this one
-    stop = F.max(F.when(c("led") | (c("rows") > 1), c("run"))).over(by_run.rowsBetween(Window.unboundedPreceding, -1))
-    ones = led.withColumn("number", F.row_number().over(by_run)).withColumn("stop", stop)
-    ones = ones.withColumn("base", F.coalesce(F.max(F.when(c("led") | (c("rows") > 1), c("number"))).over(by_run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ones = ones.withColumn("base", F.coalesce(F.max(F.when(c("led") | (c("rows") > 1), c("number"))).over(by_run.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joins = ~c("led") & ((c("number") - c("base") - 1) % 2 == 1)
     # a run that joins the one before it shares its table
-    table = ones.withColumn("table", F.sum(F.when(joins, 0).otherwise(1)).over(by_run)).select("ord", "block", "run", "table", "led")
-    placed = rows.where("kind = 'D'").join(table, ["ord", "block", "run"]).select("ord", "block", "table", "n", "cells", "led", (c("last_run") > c("run")).alias("followed"), (c("block") == c("last_block")).alias("at_end"))
-    heads = rows.where("kind = 'H'").select("ord", "block", c("cells").alias("head"))
-    whole = placed.join(heads, ["ord", "block"], "left")
+    table = F.sum(F.when(joins | (c("place") > 1), 0).otherwise(1)).over(inside)
+    whole = ones.withColumn("table", table).select("ord", "block", "table", "n", "cells", "head", "led", (c("last_run") > c("run")).alias("followed"), (c("block") == c("last_block")).alias("at_end"))
     of_table = Window.partitionBy("ord", "block", "table")
     first = F.max("led").over(of_table)
     numbered = whole.withColumn("headed", first).withColumn("k", F.row_number().over(of_table.orderBy("n"))).withColumn("headers", F.when(c("headed"), c("head")).otherwise(F.first("cells").over(of_table.orderBy("n"))))
@@ -74,4 +70,4 @@ SQL = rf"""WITH RECURSIVE l AS (SELECT ord, unnest(string_split(text, chr(10)))
 
 @query("X12_text_tables", SQL)
 def text_tables(v: Views) -> DataFrame:
-    return tables(v.grid_reports.select("ord", "text"))
+    return tables(v.dealt("grid_reports", "o_orderkey").select("ord", "text"))

@@ -38,3 +38,8 @@ def test_names_are_distinct_before_they_meet(spark, sf_dir):
     """Each side of the two set operations is a list of names, not of rows."""
     joins = catalog.QUERIES["U1_U2_set_operations"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert joins.count("Join Left") == 2 and joins.count("Aggregate") >= 5
+
+
+@pytest.mark.parametrize("name, most", [("X12_text_tables", 1)])
+def test_texts_are_dealt_once(spark, sf_dir, name, most):
+    assert plan(spark, sf_dir, name).count("Exchange hashpartitioning") <= most
