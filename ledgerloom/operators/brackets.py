@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from ..plans.views import Views
+from ..plans.views import Views, dealt
 
 c = F.col
 #: What a text is made of from its first bracket on: strings as a whole, brackets, and all that lies between.
@@ -19,10 +19,11 @@ def balanced(texts: DataFrame) -> DataFrame:
 
     Strings are told apart from the first bracket of the text on; brackets inside them do not count, and the two kinds of
     brackets count alike.  An opening bracket belongs to the closing one at which the depth is first lower again: the n-th
-    opening and the n-th closing bracket of a level.  Only places are shuffled, never texts; the work grows with the number
-    of brackets.  Rows are told apart by their id, which must be unique; null and empty texts have no body.
+    opening and the n-th closing bracket of a level.  Texts are shuffled once, to tasks of a bounded number of rows, and places
+    never; the work grows with the number of brackets.  Rows are told apart by their id, which must be unique; null and empty texts have no body.
     """
-    rest = texts.select("id", F.nullif(F.regexp_extract("text", r"(?s)[\[{].*", 0), F.lit("")).alias("rest"))
+    dealt_texts = dealt(texts.select("id", "text"), "id")
+    rest = dealt_texts.select("id", F.nullif(F.regexp_extract("text", r"(?s)[\[{].*", 0), F.lit("")).alias("rest"))
     tokens = F.transform(F.regexp_extract_all("rest", F.lit(TOKEN), F.lit(0)), lambda t: F.struct(F.length(t).alias("n"), F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0).alias("up")))
     parts = rest.where("rest is not null").select("id", F.posexplode(tokens).alias("at", "t")).select("id", "at", "t.n", "t.up")
     order = Window.partitionBy("id").orderBy("at")
@@ -35,10 +36,9 @@ def balanced(texts: DataFrame) -> DataFrame:
     found = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(c("begin").cast("int").alias("begin"), c("end").cast("int").alias("end")))).alias("pairs"))
     # what is carried from pair to pair is a place, not a text: it is copied each time
     first = F.expr(f"aggregate(pairs, 0L, (done, p) -> if(done > 0, done, if(try_parse_json({VALID}) is not null, shiftleft(cast(p.begin as bigint), 32) + p.end, 0L)))")
-    placed = rest.join(found, "id").select("id", "rest", first.alias("place"))
+    placed = rest.join(found, "id", "left").select("id", "rest", first.alias("place"))
     begin, end = F.shiftright("place", 32).cast("int"), c("place").bitwiseAND((1 << 32) - 1).cast("int")
-    bodies = placed.select("id", F.when(c("place") > 0, F.substring("rest", begin, end - begin + 1)).alias("body"))
-    return texts.select("id").join(bodies, "id", "left")
+    return placed.select("id", F.when(c("place") > 0, F.substring("rest", begin, end - begin + 1)).alias("body"))
 
 
 SQL = r"""WITH r AS (SELECT id, nullif(regexp_extract(text, '(?s)[\[{].*', 0), '') AS rest FROM model_answers), t AS (SELECT id, regexp_extract_all(rest, '(?s)"(?:[^"\\]|\\.)*"?|[{}\[\]]|[^"{}\[\]]+') AS tokens FROM r WHERE rest IS NOT NULL),

@@ -40,6 +40,6 @@ def test_names_are_distinct_before_they_meet(spark, sf_dir):
     assert joins.count("Join Left") == 2 and joins.count("Aggregate") >= 5
 
 
-@pytest.mark.parametrize("name, most", [("X12_text_tables", 1)])
+@pytest.mark.parametrize("name, most", [("X12_text_tables", 1), ("K2_balanced_json", 2)])
 def test_texts_are_dealt_once(spark, sf_dir, name, most):
     assert plan(spark, sf_dir, name).count("Exchange hashpartitioning") <= most
