@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -126,3 +127,22 @@ def document_title(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")).cast("long")
+
+
+def word_in(pattern: str) -> str:
+    """The longest word outside of groups that every match of a pattern holds, in small letters; empty without one."""
+    plain = re.sub(r"\[[^\]]*\]", " ", re.sub(r"\(\?[a-z]+\)|\\.", " ", pattern))
+    while "(" in plain:
+        plain = re.sub(r"\([^()]*\)", " ", plain)
+    words = re.findall("[A-Za-z]+", re.sub("[A-Za-z][?*{]", " ", plain))
+    return "" if "|" in plain else max([w.lower() for w in words], key=len, default="")
+
+
+def first_group(text: Column, low: Column, pattern: str) -> Column:
+    """What the first group of a pattern holds, null if that is nothing; ``low`` is the text in small letters.
+
+    A text without the pattern's word is not searched, and the group is read once (``nullif`` would search twice).
+    """
+    found = F.get(F.filter(F.array(F.regexp_extract(text, pattern, 1)), lambda x: x != ""), F.lit(0))
+    word = word_in(pattern)
+    return F.when(low.contains(word), found) if word else found

@@ -23,9 +23,9 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 
 
-def first_of(text: Column, patterns: list[str]) -> Column:
-    """What the first pattern that is found holds in its first group, null if none is."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+def first_of(text: Column, patterns: list[str], low: Column | None = None) -> Column:
+    """What the first pattern that is found holds in its first group, null if none is; ``low`` is the text in small letters."""
+    return F.coalesce(*[T.first_group(text, F.lower(text) if low is None else low, p) for p in patterns])
 
 
 def first_of_sql(patterns: list[str]) -> str:
@@ -121,12 +121,13 @@ def text_accounts(reports: DataFrame) -> DataFrame:
     Blocks are parted by blank lines, rules, form feeds and "Account Type:". A field is the first group of its first
     pattern that is found; missing ones are empty. Creditors of two letters or fewer, null and empty texts give no row.
     """
-    blocks = reports.select("ord", F.posexplode(F.split("text", DIVIDERS)).alias("n", "block")).select("ord", "n", strip(c("block")).alias("block"))
+    blocks = reports.select("ord", F.posexplode(F.transform(F.split("text", DIVIDERS), strip)).alias("n", "block"))
     marked = reduce(or_, [c("block").rlike(p) for p in MARKERS])
     kept = blocks.where((F.length("block") >= SHORTEST_BLOCK) & marked)
-    text = kept.select("ord", "n", F.regexp_replace("block", r"\s+", " ").alias("text"))
-    raw = text.select("ord", "n", "text", *[F.trim(F.coalesce(first_of(c("text"), p), F.lit(""))).alias(f) for f, p in BLOCK_FIELDS.items()])
-    named = raw.where(F.length("creditor") > 2)
+    text = kept.select("ord", "n", F.regexp_replace("block", r"\s+", " ").alias("text")).withColumn("low", F.lower("text"))
+    raw = F.struct(*[F.trim(F.coalesce(first_of(c("text"), p, c("low")), F.lit(""))).alias(f) for f, p in BLOCK_FIELDS.items()])
+    # in a generator, as a filter on the creditor would be pushed down and seek it twice
+    named = text.select("ord", "n", "text", F.inline(F.filter(F.array(raw), lambda x: F.length(x["creditor"]) > 2)))
     status, both = F.lower("account_status"), F.lower(F.concat_ws(" ", "creditor", "text"))
     kind = F.coalesce(*[F.when(F.lower("creditor").rlike(name) | both.rlike(either), k) for k, name, either in BLOCK_TYPES], F.lit(""))
     found = named.select(
@@ -156,7 +157,7 @@ TYPES_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(creditor), '{name}')
         lower(account_status) AS account_status, {TYPES_SQL} AS account_type, regexp_matches(lower(account_status), '{NEGATIVE_STATUS}') OR regexp_matches(lower(text), '{NEGATIVE_BLOCK}') AS is_negative FROM r WHERE length(creditor) > 2)
     SELECT ord, creditor, account_number, CAST(n AS INTEGER) AS n, {", ".join(MONEY)}, date_opened, account_status, account_type, is_negative FROM f QUALIFY row_number() OVER (PARTITION BY ord, creditor, account_number ORDER BY n) = 1""")
 def text_parser(v: Views) -> DataFrame:
-    return text_accounts(v.statements)
+    return text_accounts(v.dealt("statements", "o_orderkey"))
 
 
 #: Creditors that begin an entry, and the patterns of its number, in order.
