@@ -72,9 +72,9 @@ NEGATIVE = {EXPERIAN: "negative|collection", EQUIFAX: "collection|charge off|cha
 NO_DATE = "xx/xx/xxxxx"
 
 
-def first_of(text: Column, patterns: list[str]) -> Column:
-    """The value of the first pattern that is found, null if none is."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, f"(?i){p}", 1), F.lit("")) for p in patterns])
+def first_of(text: Column, low: Column, patterns: list[str]) -> Column:
+    """The value of the first pattern that is found, null if none is; ``low`` is the text in small letters."""
+    return F.coalesce(*[T.first_group(text, low, f"(?i){p}") for p in patterns])
 
 
 def first_of_sql(text: str, patterns: list[str]) -> str:
@@ -131,7 +131,7 @@ def field_sql(name: str) -> str:
         {by_form_sql({f: f"regexp_matches(lower({'section' if f == EXPERIAN else 'body'}), '{p}')" for f, p in NEGATIVE.items()})} AS is_negative FROM g)
     SELECT ord, line_no, form AS credit_bureau, {CLEAN_SQL} AS creditor, {", ".join(FIELDS)}, account_type, account_status, is_negative FROM r WHERE ({CLEAN_SQL}) <> '' AND (form <> '{EXPERIAN}' OR account_number <> '')""")
 def bureau_parsers(v: Views) -> DataFrame:
-    return accounts(v.statements)
+    return accounts(v.dealt("statements", "o_orderkey"))
 
 
 def accounts(reports: DataFrame) -> DataFrame:
@@ -141,11 +141,11 @@ def accounts(reports: DataFrame) -> DataFrame:
     heading above it says so, and what stands under a heading replaces what stood under the same heading before.
     Equifax: a line in capitals begins an account. TransUnion: a line in capitals or of capitalized words does, and a
     separator ends it. Null and empty texts have no accounts. ``ord`` is unique: rows that share it would be mixed. All
-    windows and the grouping share one shuffle by report.
+    windows and the grouping need reports dealt by ``ord`` and share that one shuffle.
     """
     form = F.when(c("bureau").isin(EQUIFAX, TRANSUNION), c("bureau")).otherwise(EXPERIAN)
-    lines = reports.select("ord", form.alias("form"), F.posexplode(F.split("text", "\n")).alias("n", "raw")).withColumn("n", c("n") + 1)
-    lines = lines.withColumn("line", F.regexp_replace("raw", r"^\s+|\s+$", "")).where("line <> ''")
+    lines = reports.select("ord", form.alias("form"), F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("raw"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("line")))).alias("n", "x")).where("x.line <> ''")
+    lines = lines.select("ord", "form", (c("n") + 1).alias("n"), "x.*")
     ends = F.coalesce(by_form({EXPERIAN: c("line").rlike(HEADERS), TRANSUNION: c("raw").rlike(SEPARATORS)}), F.lit(False))
     long = F.length("line") > 3
     starts = by_form({EXPERIAN: c("line").rlike(STARTS[EXPERIAN]), EQUIFAX: long & c("line").rlike(STARTS[EQUIFAX]), TRANSUNION: long & c("line").rlike(STARTS[TRANSUNION])})
@@ -162,12 +162,14 @@ def accounts(reports: DataFrame) -> DataFrame:
     def on_line(value: Column) -> Column:
         return F.when(c("form") == EXPERIAN, value)
 
-    line = c("line")
+    line, low = c("line"), c("low")
+    kept = kept.withColumn("low", F.lower("line"))
+    digits = line.rlike(r"\d{4}")  # every pattern of a number asks for them
     values = {
-        "number_": on_line(first_of(line, LINE_NUMBER)),
-        "opened_": on_line(F.when(line.rlike("(?i)opened"), first_of(line, LINE_DATE))),
-        "balance_": on_line(F.when(line.rlike("(?i)balance|owed|owes"), first_of(line, LINE_AMOUNT))),
-        "limit_": on_line(F.when(line.rlike("(?i)limit|credit"), first_of(line, LINE_AMOUNT))),
+        "number_": on_line(F.when(digits, first_of(line, low, LINE_NUMBER))),
+        "opened_": on_line(F.when(low.contains("opened"), first_of(line, low, LINE_DATE))),
+        "balance_": on_line(F.when(line.rlike("(?i)balance|owed|owes"), first_of(line, low, LINE_AMOUNT))),
+        "limit_": on_line(F.when(line.rlike("(?i)limit|credit"), first_of(line, low, LINE_AMOUNT))),
         "status_": on_line(named(line, STATUS[EXPERIAN])),
     }
     valued = kept.select("ord", "form", "rec", "n", "line", "section", *[x.alias(k) for k, x in values.items()])
@@ -178,17 +180,18 @@ def accounts(reports: DataFrame) -> DataFrame:
         *[F.min_by(k, F.when(c(k).isNotNull(), c("n"))).alias(k) for k in ("number_", "opened_")],
         *[F.max_by(k, F.when(c(k).isNotNull(), c("n"))).alias(k) for k in ("balance_", "limit_", "status_")],
     )
+    blocks = blocks.withColumn("low", F.lower("body"))
     body = c("body")
 
     def field(name: str, line_value: str | None = None) -> Column:
-        choices = {form: first_of(body, patterns[name]) for form, patterns in BLOCK.items() if name in patterns}
+        choices = {form: first_of(body, low, patterns[name]) for form, patterns in BLOCK.items() if name in patterns}
         return by_form(choices | ({EXPERIAN: c(line_value)} if line_value else {}))
 
     def amount(value: Column, name: str) -> Column:
         return F.replace(F.coalesce(value, F.lit("")), F.lit(","), F.lit("")).alias(name)
 
     name = F.when(c("form") == EXPERIAN, F.regexp_extract("head", STARTS[EXPERIAN], 1)).otherwise(c("head"))
-    found = blocks.select(
+    found = F.struct(
         "ord",
         c("rec").alias("line_no"),
         c("form").alias("credit_bureau"),
@@ -200,6 +203,7 @@ def accounts(reports: DataFrame) -> DataFrame:
         F.coalesce(field("date_opened", "opened_"), F.lit(NO_DATE)).alias("date_opened"),
         F.coalesce(by_form({f: named(body, w) for f, w in KIND.items()}), F.lit("")).alias("account_type"),
         F.coalesce(by_form({EXPERIAN: c("status_"), **{f: named(body, STATUS[f]) for f in BLOCK}}), F.lit("")).alias("account_status"),
-        by_form({f: F.lower("section" if f == EXPERIAN else "body").rlike(p) for f, p in NEGATIVE.items()}).alias("is_negative"),
+        by_form({f: (F.lower("section") if f == EXPERIAN else low).rlike(p) for f, p in NEGATIVE.items()}).alias("is_negative"),
     )
-    return found.where((c("creditor") != "") & ((c("credit_bureau") != EXPERIAN) | (c("account_number") != "")))
+    # in a generator, as a filter would be pushed down and seek creditor and number twice
+    return blocks.select(F.inline(F.filter(F.array(found), lambda x: (x["creditor"] != "") & ((x["credit_bureau"] != EXPERIAN) | (x["account_number"] != "")))))

@@ -40,12 +40,12 @@ def test_names_are_distinct_before_they_meet(spark, sf_dir):
     assert joins.count("Join Left") == 2 and joins.count("Aggregate") >= 5
 
 
-@pytest.mark.parametrize("name, most", [("X12_text_tables", 1), ("X7_text_parser", 1), ("K2_balanced_json", 2)])
+@pytest.mark.parametrize("name, most", [("X12_text_tables", 1), ("X7_text_parser", 1), ("X1_X2_X3_X4_bureau_parsers", 1), ("K2_balanced_json", 2)])
 def test_texts_are_dealt_once(spark, sf_dir, name, most):
     assert plan(spark, sf_dir, name).count("Exchange hashpartitioning") <= most
 
 
-@pytest.mark.parametrize("name, pattern", [("X7_text_parser", "Company Name:")])
+@pytest.mark.parametrize("name, pattern", [("X7_text_parser", "Company Name:"), ("X1_X2_X3_X4_bureau_parsers", "Amount\\s+owed")])
 def test_a_pattern_is_searched_once(spark, sf_dir, name, pattern):
     steps = [line for line in plan(spark, sf_dir, name).splitlines() if "regexp_extract" in line]
     assert sum(line.count(f"(?i){pattern}") for line in steps) == 1
