@@ -215,7 +215,10 @@ def compare_groups(groups: DataFrame, number: int, texts: DataFrame, k: int, per
         return pd.DataFrame([(min(a[i], b[j]), max(a[i], b[j])) for i, j in links], columns=["a", "b"]).astype("int64")
 
     held = by_ids(texts, groups.select("doc_id").distinct(), "doc_id", number, "left_semi").dropDuplicates(["doc_id"])
-    return groups.join(held, "doc_id").groupBy("node").applyInPandas(run, "a long, b long").distinct()
+    # a document meets its text once and goes to its groups from there
+    at = groups.groupBy("doc_id").agg(F.collect_list(F.struct("node", "class", "outside")).alias("at"))
+    whole = at.join(held, "doc_id").select("doc_id", "text", F.inline("at"))
+    return whole.groupBy("node").applyInPandas(run, "a long, b long").distinct()
 
 
 def branched(placed: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
@@ -228,23 +231,23 @@ def branched(placed: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFr
     counts = {"open": F.count(F.when(~small & ~final, 1)), "larger": F.count(F.when(~small, 1))}
     root = roots(placed, "doc_id", "n", "class").withColumn("above", F.lit(1 << 60))
     nodes = stage_table(undecided(root), "nodes", **counts)
-    tables, larger = [nodes], [nodes.where(~small & final)]
+    tables = [nodes]
     for level in range(levels):
         if not nodes.observed["open"]:
             break
-        below = nodes.where(~small & ~final).select("node", "doc_id", "size").join(placed, "doc_id")
+        # a document meets its sketch once, however many of its nodes branch
+        at = nodes.where(~small & ~final).groupBy("doc_id").agg(F.collect_list(F.struct("node", "size")).alias("at"))
+        below = at.join(placed, "doc_id").select("doc_id", "n", "class", "sketch", F.inline("at"))
         nodes = stage_table(undecided(children(below, level)), "nodes", **counts)
         tables.append(nodes)
-        larger.append(nodes.where(~small & final))
-    larger.append(nodes.where(~small & ~final))
 
-    def union(parts):
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+    def read(parts):  # one scan of all: a union would plan every table for itself
+        return nodes.sparkSession.read.schema(nodes.schema).parquet(*[t.staged for t in parts])
 
-    return union([t.where(small) for t in tables]), union(larger), tables
+    larger = nodes.where(~small)
+    if tables[:-1]:
+        larger = larger.unionByName(read(tables[:-1]).where(~small & final))
+    return read(tables).where(small), larger, tables
 
 
 class Classes:
@@ -277,7 +280,9 @@ def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int, leve
     links = confirmed(rest, rest.observed["n"], texts, k, percent)
     number = sum(t.observed["larger"] for t in tables)
     if number:
-        links = links.unionByName(compare_groups(in_blocks(larger), number, texts, k, percent))
+        groups = stage_table(in_blocks(larger), "groups")
+        tables.append(groups)
+        links = links.unionByName(compare_groups(groups, number, texts, k, percent))
     links = stage_table(links, "links", **count)
     if links.observed["n"]:
         classes.add(links, links.observed["n"])
