@@ -35,7 +35,7 @@ LENGTH, GRAM = 100, 32
 #: Contexts are gathered up to so many bytes before an index is built over them.
 INDEX_BYTES = 1 << 20
 PLACE_BITS = 22
-#: Copies of each repeated context in the join with its occurrences.
+#: Copies of the first place of each repeated window in the join with its occurrences.
 SALTS = 16
 #: The contexts of an anchor that has more are dealt by their cores; those of a core that has more are compared by the
 #: hashes of their windows.
@@ -115,7 +115,7 @@ def repeated(found: DataFrame) -> DataFrame:
 
 def contexts(documents: DataFrame, places: DataFrame, length: int, gram: int) -> DataFrame:
     """``places`` has doc_id and its places (at, anchor).  The bytes around each anchor that windows holding it can reach: anchor, ctx (their hash), doc_id, lo (where they
-    begin), bytes, cores (their hashes); only those that hold a window."""
+    begin), size, bytes, cores (their hashes); only those that hold a window."""
     before, after, half = length - gram, length, (length - gram) // 2
 
     def run(batches):
@@ -146,9 +146,9 @@ def contexts(documents: DataFrame, places: DataFrame, length: int, gram: int) ->
                 ends = np.concatenate([[0], np.cumsum(size)])
                 cut = raw[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
                 data = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(cut)])
-                yield pa.RecordBatch.from_arrays([anchor, pa.array(names), pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(lo.astype(np.int32)), data, cores], names=["anchor", "ctx", "doc_id", "lo", "bytes", "cores"])
+                yield pa.RecordBatch.from_arrays([anchor, pa.array(names), pa.array(np.asarray(batch.column("doc_id"))[doc]), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32)), data, cores], names=["anchor", "ctx", "doc_id", "lo", "size", "bytes", "cores"])
 
-    return documents.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "anchor long, ctx long, doc_id long, lo int, bytes binary, cores array<long>")
+    return documents.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "anchor long, ctx long, doc_id long, lo int, size int, bytes binary, cores array<long>")
 
 
 def merged_contexts(found: DataFrame) -> DataFrame:
@@ -159,10 +159,10 @@ def merged_contexts(found: DataFrame) -> DataFrame:
 
 def equal_runs(found: DataFrame, merged: DataFrame) -> DataFrame:
     """Byte runs (doc_id, s, e) that equal an earlier context as a whole."""
-    # the commonest context may be a third of all: it is joined over copies
-    again = merged.where("n > 1").select("anchor", "ctx", F.col("doc_id").alias("d0"), F.col("lo").alias("l0"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = found.select("anchor", "ctx", "doc_id", "lo", F.octet_length("bytes").alias("size"), F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(again, ["anchor", "ctx", "salt"]).where("doc_id <> d0 or lo <> l0").select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e"))
+    # the commonest context may be a third of all: Spark splits a partition that stands out in a join of two tables
+    again = merged.where("n > 1").select("anchor", "ctx", F.col("doc_id").alias("d0"), F.col("lo").alias("l0"))
+    rows = found.select("anchor", "ctx", "doc_id", "lo", "size")
+    return rows.join(again, ["anchor", "ctx"]).where("doc_id <> d0 or lo <> l0").select("doc_id", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e"))
 
 
 def shared_cores(merged: DataFrame, hot_contexts: int) -> DataFrame:
@@ -170,11 +170,10 @@ def shared_cores(merged: DataFrame, hot_contexts: int) -> DataFrame:
 
     Up to ``hot_contexts`` contexts of an anchor meet by their anchor, those of other anchors by each of their cores.
     """
-    salt = F.pmod(F.xxhash64("anchor", "ctx"), F.lit(SALTS)).cast("int").alias("salt")
-    each = merged.select("anchor", "ctx", salt, F.explode(F.concat("cores", F.array("anchor"))).alias("core"))
-    counts = each.groupBy("core").agg(F.count("*").alias("m")).where("m > 1")
-    # a hot core may have a third of all rows: it is joined over copies
-    known = each.join(counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["core", "salt"])
+    each = merged.select("anchor", "ctx", F.explode(F.concat("cores", F.array("anchor"))).alias("core"))
+    # a hot core may have a third of all rows: with the counts as a table Spark splits its partition in the join
+    counts = stage_table(each.groupBy("core").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    known = each.join(counts, "core")
     own, m = F.col("core") == F.col("anchor"), F.col("m")
     shared = known.groupBy("anchor", "ctx").agg(
         F.collect_set(F.when(~own & (m <= hot_contexts), F.col("core"))).alias("cores"),
@@ -183,7 +182,9 @@ def shared_cores(merged: DataFrame, hot_contexts: int) -> DataFrame:
         F.max(~own & (m > hot_contexts)).alias("hot"),
     )
     dealt = shared.where("shares > 0").select("anchor", "ctx", F.when(F.col("many"), F.col("cores")).otherwise(F.array("anchor")).alias("cores"), "hot")
-    return stage_table(merged.select("anchor", "ctx", "doc_id", "lo", "bytes").join(dealt, ["anchor", "ctx"]).drop("anchor", "ctx"), "contexts", hot=F.count_if("hot"))
+    out = stage_table(merged.select("anchor", "ctx", "doc_id", "lo", "bytes").join(dealt, ["anchor", "ctx"]).drop("anchor", "ctx"), "contexts", hot=F.count_if("hot"))
+    discard(counts)
+    return out
 
 
 def window_runs(rows: DataFrame, length: int) -> DataFrame:

@@ -454,6 +454,15 @@ def test_repeats_around_a_common_passage(spark, hot_contexts):
     assert got == expected and sum(x[1] > 0 for x in expected.values()) > 100
 
 
+def test_equal_runs_meet_their_first_place_once(spark):
+    """A repeated context is one row of the join with its occurrences, however common it is."""
+    found = spark.createDataFrame([(1, 2, d, 10 * d, 120) for d in range(300)] + [(1, 3, 5, 7, 100)], "anchor long, ctx long, doc_id long, lo int, size int")
+    merged = spark.createDataFrame([(1, 2, 300, 0, 0), (1, 3, 1, 5, 7)], "anchor long, ctx long, n long, doc_id long, lo int")
+    runs = suffixdedup.equal_runs(found, merged)
+    assert sorted(map(tuple, runs.collect())) == [(d, 10 * d, 10 * d + 120) for d in range(1, 300)]
+    assert "Generate" not in runs._jdf.queryExecution().optimizedPlan().toString()
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 
 
