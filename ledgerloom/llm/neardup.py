@@ -42,6 +42,8 @@ DENSE = 0.5
 PIVOTS = 2
 #: Larger nodes are compared in blocks of about so many tokens (distinct shingles of their documents, added up).
 BLOCK_TOKENS = 500_000
+#: Rows that go to a Python worker at once: a batch of pairs holds two texts a row.
+BATCH_ROWS = 1000
 #: Copies of each group of equal sets in the join with its documents, which may be a third of all rows.
 SALTS = 16
 
@@ -254,13 +256,14 @@ class Classes:
     """doc_id, class of the documents that have a link, from a growing set of links."""
 
     def __init__(self):
-        self.links, self.most = None, 0
+        self.table, self.most = None, 0
 
     def add(self, links: DataFrame, number: int) -> None:
         """Join the classes that ``number`` links (a, b) at most link."""
-        self.links = links if self.links is None else self.links.unionByName(links)
+        if self.table is not None:  # the classes so far stand for the links that made them
+            links = links.unionByName(self.table.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b")))
         self.most += 2 * number
-        self.table = connected_components(self.links).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+        self.table = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
 
     def of(self, rows: DataFrame, key: str = "doc_id", name: str = "class") -> DataFrame:
         found = self.table.select(F.col("doc_id").alias(key), F.col("class").alias(name))
@@ -301,7 +304,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     """
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
         sets = stage_table(sketches(source, shingle), "sketches")
         full, name = sets.where("n > 0 and doc_id is not null"), ["d1", "d2", "n"]
         groups = stage_table(full.groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.count("*").alias("size")), "groups")

@@ -619,6 +619,55 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_steps_and_shuffles(spark, monkeypatch):
+    """A step groups the edges once and makes them distinct once; pointers double along a path."""
+    plans, stage = [], components.stage_table
+
+    def staged(df, name, **counts):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stage(df, name, **counts)
+
+    monkeypatch.setattr(components, "stage_table", staged)
+    places = list(range(400))
+    random.Random(3).shuffle(places)
+    edges = list(zip(places, places[1:])) + [(1000 + i, 1000 + i // 3) for i in range(200)]
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {**{i: 0 for i in range(400)}, **{1000 + i: 1000 for i in range(200)}}
+    # the grouping is read on both sides of an edge
+    assert len(plans) <= 13 and max(p.count("Aggregate") for p in plans) <= 3
+
+
+def test_neardup_sends_few_texts_at_once(spark, monkeypatch):
+    name, seen, stage = "spark.sql.execution.arrow.maxRecordsPerBatch", [], neardup.stage_table
+    before = spark.conf.get(name)
+
+    def staged(df, *args, **counts):
+        seen.append(int(spark.conf.get(name)))
+        return stage(df, *args, **counts)
+
+    monkeypatch.setattr(neardup, "stage_table", staged)
+    documents = spark.createDataFrame([(i, f"one two three four five {i // 2}") for i in range(6)], "doc_id long, text string")
+    check_neardup(documents, 4)
+    assert max(seen) <= 1000 and spark.conf.get(name) == before
+
+
+def test_classes_grow_from_classes(spark, monkeypatch):
+    """Later links join the classes so far, and the links that made these are not walked again."""
+    sizes, find = [], neardup.connected_components
+
+    def counted(links):
+        sizes.append(links.count())
+        return find(links)
+
+    monkeypatch.setattr(neardup, "connected_components", counted)
+    classes = neardup.Classes()
+    cycle = [(i, (i + 1) % 20) for i in range(20)] + [(i, (i + 2) % 20) for i in range(20)]
+    classes.add(spark.createDataFrame(cycle + [(50, 51)], "a long, b long"), 41)
+    classes.add(spark.createDataFrame([(51, 7), (60, 61)], "a long, b long"), 2)
+    assert dict(map(tuple, classes.table.collect())) == {**{i: 0 for i in range(20)}, 50: 0, 51: 0, 60: 60, 61: 60}
+    assert sizes == [41, 2 + 19 + 1]
+
+
 # all ---------------------------------------------------------------------------------------------------------------
 
 COLUMNS = {
