@@ -9,8 +9,9 @@ is negligible.
 Equal sets are one representative from the start.  A first look at the trees holds every document of a larger node
 against a few pivots, and the links to the nearest ones make classes.  A node whose documents are one class needs no more
 comparisons, and one where few documents stand outside its largest class compares only those with the rest.  So does one
-that branching hardly makes smaller, as its documents are alike.  Pairs that meet in small nodes are first held against a
-sketch (all minwise tokens), then confirmed on the full sets; larger nodes are compared on the full sets, in blocks.
+that branching hardly makes smaller, as its documents are alike: a child that holds most of its node, or a root whose
+documents came near one class in the first look.  Pairs that meet in small nodes are first held against a sketch (all
+minwise tokens), then confirmed on the full sets; larger nodes are compared on the full sets, in blocks.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ TREES, BRANCHES, LEVELS = 8, 2, 8
 LEAF = 24
 #: A node that holds so large a share of the documents of the node above it is compared as it is.
 DENSE = 0.5
+#: A root with so large a share of documents whose nearest pivots are of one class is compared as it is.
+ALIKE = 0.75
 #: Pivots of a larger node.
 PIVOTS = 2
 #: Larger nodes are compared in blocks of about so many tokens (distinct shingles of their documents, added up).
@@ -223,24 +226,41 @@ def compare_groups(groups: DataFrame, number: int, texts: DataFrame, k: int, per
     return whole.groupBy("node").applyInPandas(run, "a long, b long").distinct()
 
 
-def branched(placed: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def alike(nodes: DataFrame, kin: DataFrame, number: int) -> DataFrame:
+    """The names of nodes most of whose documents have one kin; ``kin`` (doc_id, kin) has ``number`` rows at most, and a
+    document without one is its class."""
+    held = nodes.select("node", "doc_id", "class").join(sized(kin, number), "doc_id", "left")
+    each = held.groupBy("node", F.coalesce("kin", "class").alias("kin")).agg(F.count("*").alias("c"))
+    return each.groupBy("node").agg(F.max("c").alias("c"), F.sum("c").alias("size")).where(F.col("c") >= F.col("size") * ALIKE).select("node")
+
+
+def branched(placed: DataFrame, levels: int = LEVELS, kin: DataFrame | None = None, number: int = 0) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Nodes in which documents are compared, small ones and larger ones; and the tables they are read from.
 
     ``placed`` has doc_id, n, class and sketch.  A node above the leaf size branches, unless few of its documents stand
-    outside its largest class or it holds most of the node above; what the last level leaves is compared as it is.
+    outside its largest class or it holds most of the node above; what the last level leaves is compared as it is.  No
+    node is above a root: it does not branch if its documents are ``alike`` by the ``number`` rows of ``kin``.
     """
     small, final = F.col("size") <= LEAF, (F.col("outsiders") <= LEAF) | (F.col("size") >= F.col("above") * DENSE)
     counts = {"open": F.count(F.when(~small & ~final, 1)), "larger": F.count(F.when(~small, 1))}
     root = roots(placed, "doc_id", "n", "class").withColumn("above", F.lit(1 << 60))
     nodes = stage_table(undecided(root), "nodes", **counts)
-    tables = [nodes]
+    tables, names, whole = [nodes], [], []
     for level in range(levels):
         if not nodes.observed["open"]:
             break
+        opened = nodes.where(~small & ~final)
+        if kin is not None and not level:
+            name = stage_table(alike(opened, kin, number), "alike", n=F.count("*"))
+            names, whole = [name], [by_ids(opened, name, "node", name.observed["n"], "left_semi")]
+            opened = by_ids(opened, name, "node", name.observed["n"], "left_anti")
         # a document meets its sketch once, however many of its nodes branch
-        at = nodes.where(~small & ~final).groupBy("doc_id").agg(F.collect_list(F.struct("node", "size")).alias("at"))
+        at = opened.groupBy("doc_id").agg(F.collect_list(F.struct("node", "size")).alias("at"))
         below = at.join(placed, "doc_id").select("doc_id", "n", "class", "sketch", F.inline("at"))
-        nodes = stage_table(undecided(children(below, level)), "nodes", **counts)
+        # written, as the counts of the nodes and their rows would each join and branch again
+        rows = stage_table(children(below, level), "children")
+        nodes = stage_table(undecided(rows), "nodes", **counts)
+        discard(rows)
         tables.append(nodes)
 
     def read(parts):  # one scan of all: a union would plan every table for itself
@@ -249,7 +269,9 @@ def branched(placed: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, DataFr
     larger = nodes.where(~small)
     if tables[:-1]:
         larger = larger.unionByName(read(tables[:-1]).where(~small & final))
-    return read(tables).where(small), larger, tables
+    for rows in whole:
+        larger = larger.unionByName(rows.select(larger.columns))
+    return read(tables).where(small), larger, tables + names
 
 
 class Classes:
@@ -274,14 +296,16 @@ def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int, leve
     """Classes of the representatives that are similar to another one, directly or over others."""
     classes, count = Classes(), {"n": F.count("*")}
     near = agreeing(stars(roots(reps, "doc_id", "n"), percent), reps, percent).groupBy("a").agg(F.max(F.struct("same", "b"))["b"].alias("b"))
+    near = stage_table(near, "near", **count)
     pairs = stage_table(near.select(*ordered("a", "b")).distinct(), "pairs", **count)
     links = stage_table(confirmed(pairs, pairs.observed["n"], texts, k, percent), "links", **count)
     classes.add(links, links.observed["n"])
     placed = stage_table(classes.of(reps), "placed")
-    small, larger, tables = branched(placed, levels)
+    kin = classes.of(near, "b", "kin").select(F.col("a").alias("doc_id"), "kin")
+    small, larger, tables = branched(placed, levels, kin, near.observed["n"])
     rest = stage_table(agreeing(exhaustive(small, percent).distinct(), reps, percent), "pairs", **count)
     links = confirmed(rest, rest.observed["n"], texts, k, percent)
-    number = sum(t.observed["larger"] for t in tables)
+    number = sum(t.observed.get("larger", 0) for t in tables)
     if number:
         groups = stage_table(in_blocks(larger), "groups")
         tables.append(groups)
@@ -289,7 +313,7 @@ def linked_classes(reps: DataFrame, texts: DataFrame, k: int, percent: int, leve
     links = stage_table(links, "links", **count)
     if links.observed["n"]:
         classes.add(links, links.observed["n"])
-    discard(pairs, rest, placed, *tables)
+    discard(near, pairs, rest, placed, *tables)
     return classes
 
 

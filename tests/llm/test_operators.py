@@ -612,6 +612,36 @@ def test_neardup_trees_branch(spark):
     check_neardup(documents, 4)
 
 
+def test_neardup_branches_once_and_not_where_all_are_alike(spark, monkeypatch):
+    """A level makes the children of its rows once, and a root of near copies is compared as it is."""
+    plans, sizes, names, stage = [], [], [], neardup.stage_table
+
+    def staged(df, name, **counts):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = stage(df, name, **counts)
+        sizes.extend([out.count()] if name == "nodes" else [])
+        names.extend([out.count()] if name == "alike" else [])
+        return out
+
+    monkeypatch.setattr(neardup, "stage_table", staged)
+    draw = random.Random(5)
+    base, copies = [f"b{i}" for i in range(150)], []
+    for i in range(150):  # near enough to the base, or (60 of them) to no other one
+        words = list(base)
+        for j in draw.sample(range(4, 146), 6) if i % 5 < 2 else draw.sample(range(4, 146), 1):
+            words[j] = f"e{i}x{j}"
+        copies.append(" ".join(words))
+    check_neardup(spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string"), 4)
+    assert sizes[0] > 1000 and sum(sizes[1:]) == 0 and names[0] > 4
+    # texts that share a passage only are not alike: their roots branch
+    plans.clear(), sizes.clear(), names.clear()
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(40)) for _ in range(300)]
+    check_neardup(spark.createDataFrame(list(enumerate(texts + [t + " end" for t in texts[::20]])), "doc_id long, text string"), 4)
+    assert sizes[1] > 0 and names == [0]
+    assert max(p.count("explode(array(xxhash64(node") for p in plans) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7), (200, 7), (101, 100)]
     got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
