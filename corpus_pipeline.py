@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, language, neardup, packing, secrets
-from ledgerloom.llm.common import by_ids, discard, shared_dir, stage_table
+from ledgerloom.llm.common import BATCHES, by_ids, discard, settings, shared_dir, stage_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text that the best language codes in so many bits a byte is in none of them: plain bytes cost no more.
@@ -50,8 +50,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Rows whose text holds a window of a benchmark item go; equal texts go together, null and empty ones stay."""
     name = F.unhex(F.sha2("text", 256))
     rows = docs.select(*COLUMNS).withColumn("_name", name)
-    found = decontaminate.find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("_name",))
-    gone = stage_table(found.where(F.size("spans") > 0).select("_name").distinct(), "gone", n=F.count("*"))
+    with settings(spark, **BATCHES):
+        found = decontaminate.find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("_name",))
+        gone = stage_table(found.where(F.size("spans") > 0).select("_name").distinct(), "gone", n=F.count("*"))
     return by_ids(rows, gone, "_name", gone.observed["n"], "left_anti").select(*COLUMNS)
 
 

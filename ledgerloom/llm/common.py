@@ -60,6 +60,12 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
 WRITING = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true", "spark__sql__autoBroadcastJoinThreshold": "-1"}
 
 
+#: While these hold, a batch for a Python worker ends after so many rows or so many bytes (one row at least).  Spark's own
+#: bounds (10,000 rows, 64 MB) are held for each task twice while a vector grows, and once more in the worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(BATCH_ROWS), "spark__sql__execution__arrow__maxBytesPerBatch": str(BATCH_BYTES)}
+
+
 def stage_table(df: DataFrame, name: str, **counts: Column) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that a lost executor costs no recomputation.
 

@@ -198,13 +198,16 @@ def identify(documents: DataFrame, model: ContextTrees, keep: tuple[str, ...] =
                     mean = bits[known] / SCALE / np.maximum(sizes[known], 1)[:, None]
                     least = mean.min(1)
                     score[known], rate[known] = 1 / np.exp2(least[:, None] - mean).sum(1), least
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(rate), batch.column("kept")], names=["doc_id", "lang_pred", "score", "bits_per_byte", "kept"])
+                columns = [batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(rate), *(batch.column(c) for c in carried)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score", "bits_per_byte", *carried])
 
     known = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("known")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), known, F.struct(F.lit(0).alias("_none"), *keep).alias("kept"))
+    # a text that is kept goes to the workers once, as it is what they read
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), known, F.struct(F.lit(0).alias("_none"), *(c for c in keep if c != "text")).alias("kept"))
+    carried = ["kept", "text"] if "text" in keep else ["kept"]
     kept = "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema["kept"].dataType) + ">"
-    out = rows.mapInArrow(run, f"doc_id long, {FOUND}, kept {kept}")
-    return out.select("doc_id", *[F.col("kept")[c].alias(c) for c in keep], "lang_pred", "score", "bits_per_byte")
+    out = rows.mapInArrow(run, f"doc_id long, {FOUND}, kept {kept}" + (", text string" if "text" in keep else ""))
+    return out.select("doc_id", *["text" if c == "text" else F.col("kept")[c].alias(c) for c in keep], "lang_pred", "score", "bits_per_byte")
 
 
 def held_out():

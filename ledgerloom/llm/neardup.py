@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, FOLD, SpanHash, by_ids, discard, gram_hashes, mix, pieces, settings, signed, sized, stage_table, utf8, word_spans, word_table
+from .common import BASE, BATCHES, FOLD, SpanHash, by_ids, discard, gram_hashes, mix, pieces, settings, signed, sized, stage_table, utf8, word_spans, word_table
 from .components import connected_components
 
 #: Bytes between words: space and \x09-\x0D.
@@ -45,8 +45,6 @@ ALIKE = 0.75
 PIVOTS = 2
 #: Larger nodes are compared in blocks of about so many tokens (distinct shingles of their documents, added up).
 BLOCK_TOKENS = 500_000
-#: Rows that go to a Python worker at once: a batch of pairs holds two texts a row.
-BATCH_ROWS = 1000
 #: Copies of each group of equal sets in the join with its documents, which may be a third of all rows.
 SALTS = 16
 
@@ -328,7 +326,7 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE, percent: int =
     """
     spark = documents.sparkSession
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS)):
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", **BATCHES):
         sets = stage_table(sketches(source, shingle), "sketches")
         full, name = sets.where("n > 0 and doc_id is not null"), ["d1", "d2", "n"]
         groups = stage_table(full.groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.count("*").alias("size")), "groups")

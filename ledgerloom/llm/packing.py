@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, stage_table
+from .common import BATCHES, pieces, settings, stage_table
 from .encoder import default_encoder
 
 SEQUENCE, END_ID = 1024, 2
@@ -221,7 +221,8 @@ def pack(documents: DataFrame, sequence: int = SEQUENCE, encoder=default_encoder
     repeated rows are packed each for itself; an empty table gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession
-    cut = stage_table(cut_pieces(documents, sequence, encoder), "pieces")
+    with settings(spark, **BATCHES):
+        cut = stage_table(cut_pieces(documents, sequence, encoder), "pieces")
     histogram = cut.groupBy("length").count().collect()  # at most one row for each length up to a sequence
     counts = np.zeros(sequence + 1, np.int64)
     for row in histogram:

@@ -3,6 +3,7 @@
 import hashlib
 import importlib.util
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -681,6 +682,40 @@ def test_neardup_sends_few_texts_at_once(spark, monkeypatch):
     assert max(seen) <= 1000 and spark.conf.get(name) == before
 
 
+def test_stages_send_few_texts_at_once(spark, monkeypatch, tmp_path):
+    """Batches of texts for Python workers are bounded in the tables that decontamination and the packing write."""
+    import corpus_pipeline
+
+    names, seen = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"), {}
+    before = [spark.conf.get(n) for n in names]
+    for module in (corpus_pipeline, decontaminate, packing):
+        stage = module.stage_table
+
+        def staged(df, name, stage=stage, **counts):
+            if re.search("(?i)Map\\w*InArrow", df._jdf.queryExecution().optimizedPlan().toString()):
+                seen[name] = [int(spark.conf.get(n).rstrip("b")) for n in names]
+            return stage(df, name, **counts)
+
+        monkeypatch.setattr(module, "stage_table", staged)
+    texts = [" ".join(f"w{i % 7}" for i in range(j)) for j in range(40)]
+    documents = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([("a", texts[15])], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.decontamination(spark, documents, str(tmp_path)).count() < len(texts)
+    assert corpus_pipeline.best_fit_packing(spark, documents, str(tmp_path)).count() == len(texts)
+    assert {"items", "fingerprints", "pieces"} <= seen.keys()
+    assert all(n <= 1000 and size <= 4 << 20 for n, size in seen.values())
+    assert [spark.conf.get(n) for n in names] == before
+
+
+def test_kept_text_goes_to_workers_once(spark):
+    documents = spark.createDataFrame([(i, f"the cat sat on mat {i}" if i % 2 else f"le chat est sur le tapis {i}", "en" if i % 2 else "fr") for i in range(20)] + [(99, None, None)], "doc_id long, text string, lang string")
+    found = language.identify(documents, language.train(documents.where("doc_id < 10")), ("text", "lang"))
+    assert found.columns[:3] == ["doc_id", "text", "lang"]
+    assert sorted(found.select("doc_id", "text", "lang").collect(), key=lambda r: r.doc_id) == documents.collect()
+    sent = found._jdf.queryExecution().analyzed().toString()
+    assert not re.search(r"struct\(_none[^\n]*\btext\b", sent)
+
+
 def test_classes_grow_from_classes(spark, monkeypatch):
     """Later links join the classes so far, and the links that made these are not walked again."""
     sizes, find = [], neardup.connected_components
