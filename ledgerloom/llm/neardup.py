@@ -45,6 +45,8 @@ ALIKE = 0.75
 PIVOTS = 2
 #: Larger nodes are compared in blocks of about so many tokens (distinct shingles of their documents, added up).
 BLOCK_TOKENS = 500_000
+#: Bytes of texts that are hashed at once.
+HASHED_BYTES = 1 << 19
 #: Copies of each group of equal sets in the join with its documents, which may be a third of all rows.
 SALTS = 16
 
@@ -57,7 +59,15 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
-    """The distinct shingles of each text, sorted; with fewer words than a shingle has, the whole sequence as one."""
+    """The distinct shingles of each text, sorted; with fewer words than a shingle has, the whole sequence as one.
+
+    Texts are hashed ``HASHED_BYTES`` at a time: hashing takes some 30 bytes of memory for each, half of which the worker
+    keeps (the powers of ``SpanHash``).
+    """
+    return [own for part in pieces(pa.record_batch([column], names=["text"]), "text", HASHED_BYTES) for own in few_shingle_sets(part.column("text"), k)]
+
+
+def few_shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     words, first = word_hashes(column)
     grams, bounds, out = gram_hashes(words, k), first.tolist(), []
     for s, e in zip(bounds[:-1], bounds[1:], strict=True):
@@ -77,7 +87,7 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
     def run(batches):
         odd = factors(SKETCH)
         for whole in batches:
-            for batch in pieces(whole, "text", 1 << 19):
+            for batch in pieces(whole, "text", HASHED_BYTES):
                 sets = shingle_sets(batch.column("text"), k)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
@@ -116,7 +126,7 @@ def confirmed(pairs: DataFrame, most: int, texts: DataFrame, k: int, percent: in
 
     def run(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
-            for batch in pieces(whole, "text_a"):
+            for batch in pieces(whole, "text_a", HASHED_BYTES):
                 sets_a, sets_b = shingle_sets(batch.column("text_a"), k), shingle_sets(batch.column("text_b"), k)
                 common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sets_a, sets_b, strict=True)]
                 keep = [100 * c >= percent * (len(x) + len(y) - c) for c, x, y in zip(common, sets_a, sets_b, strict=True)]

@@ -707,6 +707,21 @@ def test_stages_send_few_texts_at_once(spark, monkeypatch, tmp_path):
     assert [spark.conf.get(n) for n in names] == before
 
 
+def test_shingles_are_hashed_in_pieces():
+    """Memory beside the sets is that of a piece, not of all texts."""
+    import tracemalloc
+
+    texts = [None, "", "one two", *(" ".join(f"w{(i * j) % 997}" for i in range(4000)) for j in range(1, 250))]
+    alone = [neardup.shingle_sets(pa.array([t], pa.string()), 5)[0] for t in texts]
+    tracemalloc.start()
+    found = neardup.shingle_sets(pa.array(texts, pa.large_string()), 5)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(found) == len(texts) and all(np.array_equal(a, b) for a, b in zip(found, alone, strict=True))
+    assert neardup.shingle_sets(pa.array([], pa.string()), 5) == []
+    assert peak - held < 32 << 20
+
+
 def test_kept_text_goes_to_workers_once(spark):
     documents = spark.createDataFrame([(i, f"the cat sat on mat {i}" if i % 2 else f"le chat est sur le tapis {i}", "en" if i % 2 else "fr") for i in range(20)] + [(99, None, None)], "doc_id long, text string, lang string")
     found = language.identify(documents, language.train(documents.where("doc_id < 10")), ("text", "lang"))
